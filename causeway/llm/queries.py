@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, quality_rules
+from . import jaccard_join, mixing, packing, pii, quality_rules
 from .tables import read
 
 
@@ -20,7 +20,42 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(read(spark, sf_dir, "documents"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents repeated to square-root source weights, in globally shuffled order."""
+    return mixing.mixed(read(spark, sf_dir, "documents"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in windows of 2048 tokens."""
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by surrogates."""
+    return pii.scrub(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_quality_rules, op4_ngram_jaccard_join)
+    f.__name__: f
+    for f in (op2_mixing, op3_quality_rules, op4_ngram_jaccard_join, op9_packing, op10_pii_surrogates)
+}
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_mixing": """
+WITH mass AS (SELECT source, coalesce(sum(length(text)), 0)::DOUBLE AS mass FROM documents GROUP BY source),
+tot AS (SELECT sum(mass) AS m, sum(sqrt(mass)) AS w FROM mass),
+rate AS (SELECT source, CASE WHEN mass > 0 AND w > 0 THEN sqrt(mass) / w * m / mass ELSE 1.0 END AS rate FROM mass, tot),
+step AS (SELECT source, rate, unnest(generate_series(0, ceil(rate + 12 * sqrt(rate) + 40)::BIGINT)) AS k FROM rate),
+fact AS (SELECT source, rate, k, sum(CASE WHEN k > 0 THEN ln(k) ELSE 0.0 END) OVER (
+    PARTITION BY source ORDER BY k ROWS UNBOUNDED PRECEDING) AS lf FROM step),
+cdf AS (SELECT source, k, sum(CASE WHEN rate > 0 THEN exp(k * ln(rate) - rate - lf) WHEN k = 0 THEN 1.0 ELSE 0.0 END)
+    OVER (PARTITION BY source ORDER BY k ROWS UNBOUNDED PRECEDING) AS p FROM fact),
+doc AS (SELECT *, ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0
+    AS u FROM documents),
+steps AS (SELECT source, list(p ORDER BY k) AS ps FROM cdf GROUP BY source),
+drawn AS (SELECT d.*, least(len(list_filter(s.ps, lambda p: p <= d.u)), len(s.ps) - 1) AS n
+    FROM doc d JOIN steps s ON d.source IS NOT DISTINCT FROM s.source),
+rows AS (SELECT doc_id, text, lang, source, n_chars, unnest(range(n))::INTEGER AS copy FROM drawn)
+SELECT *, md5('mix-1:order:' || coalesce(doc_id::VARCHAR, '') || ':' || copy) AS mix_key FROM rows
+""",
 }
-ORACLE_SQL: dict[str, str] = {}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from causeway.llm import quality_rules
+from causeway.llm import jaccard_join, mixing, packing, pii, quality_rules
 from causeway.llm.tables import read, written
 
 
@@ -15,7 +15,33 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep(docs, read(spark, sf_dir, "labels"))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("quality_rules", quality)]
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five words, similarity 0.8)."""
+    return jaccard_join.keep_one(docs)
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with surrogates for personal data."""
+    return pii.scrub(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated to the target mixture, shuffled."""
+    return mixing.mixed(docs).select(*[f"`{c}`" for c in docs.columns])
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 2048 tokens."""
+    return packing.pack(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality),
+    ("near_copies", near_copies),
+    ("pii", private),
+    ("mixing", mixture),
+    ("packing", packed),
+]
 
 #: Forests, signature trees and token counts are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
