@@ -1,18 +1,23 @@
 """N-gram Jaccard join by signature trees.
 
 A document's set holds the hashes of its distinct word shingles. Equal sets are one class from the start. The join is
-exact:
-
-1. Every class emits the prefix of its set that a partner must share: floor(0.2 n) + 1 shingles under one global
-   order (hash order, with the most frequent shingles last, so that passages many documents share come up rarely).
-2. Classes that share a prefix shingle are connected into cells; no two classes of different cells can link. A shingle
-   with many classes joins them through its smallest class, never pair by pair.
+exact; what can't link is put aside in two steps before the trees see it:
+
+1. Every class emits the prefix of its set of which a partner must hold something: floor(0.2 n) + 1 shingles in a
+   global order (hash order, the most frequent shingles last). Classes without a shared prefix shingle are done.
+2. The others emit their whole sets. A class with more than 0.2 n shingles that no other has is done. Each of the rest
+   takes its prefix once more, rarest shingles first, so that passages many documents share hardly come up; classes
+   that share a prefix shingle are connected into cells (through its smallest class, never pair by pair). No two
+   classes of different cells can link.
 3. Each cell is searched by a signature tree: nodes hold the OR of token bitmaps, the range of set sizes and the
    largest number of tokens that fell on taken bits. A dual traversal drops node pairs whose largest possible overlap
    or whose sizes rule a link out, and node pairs that are one component already. What is left is counted exactly.
    A cell beyond BLOCK_SHINGLES is split into blocks and searched by pairs of blocks, one task each.
 4. Links found (a spanning forest of each cell) are connected again; classes give components to their documents.
 
+The most frequent shingles are known beforehand (a bounded list); they count as shared without being shuffled, so no
+key of a shuffle has many rows.
+
 Defined cases: a null or empty text, or one without words, has an empty set and is linked with nothing; a null
 doc_id takes part and takes the smallest known doc_id of its component (null if none); repeated rows are linked like
 any equal texts; extra columns are ignored; an empty table gives an empty result.
@@ -36,6 +41,11 @@ WIDTH = 5
 #: Shingles found at least FREQUENT times in FREQUENT_ROWS shingles of one reader are counted over the corpus; the
 #: FREQUENT_KEPT most frequent go last in the order. This only steers the order; links don't depend on it.
 FREQUENT, FREQUENT_ROWS, FREQUENT_KEPT = 4, 1 << 20, 1 << 16
+#: What counts as the number of classes with a frequent shingle: more than any other.
+MANY = 1 << 40
+#: Bits of the filter that spares texts a shuffle before the exact join by doc_id: 2 MB whatever the corpus; where
+#: it fills up, it only spares less.
+FILTER_BITS = 1 << 24
 #: A block of a cell holds about so many shingles (8 bytes each).
 BLOCK_SHINGLES = 4_000_000
 LEAF, FAN = 16, 8
@@ -84,41 +94,93 @@ def _frequent(sets: list[np.ndarray]) -> pa.RecordBatch:
     return _rows(1, pa.array(got.view(np.int64)), pa.array(n), pa.array(np.zeros(len(n), np.int64)))
 
 
-def _prefixes(docs: DataFrame, last: np.ndarray) -> DataFrame:
-    """(h, c): the prefix shingles of each class, once for each reader that meets it."""
+def _is_late(s: np.ndarray, last: np.ndarray) -> np.ndarray:
+    if not len(last):
+        return np.zeros(len(s), bool)
+    return last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
+
+
+def _prefix_size(n: int) -> int:
+    return n - (4 * n + 4) // 5 + 1
+
+
+def _shingles(docs: DataFrame, last: np.ndarray, whole: bool) -> DataFrame:
+    """(h, c, late): the prefix shingles of each class, or all of them, once for each reader that meets it; late marks
+    the frequent ones."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
         for batch in batches:
             for _, data, offs in chunks(batch.column(0)):
                 sets = shingle_sets(data, offs, WIDTH)
-                keys, owners, sizes = [], [], []
+                keys, owners, marks = [], [], []
                 for c, s in zip(_class_ids(sets).tolist(), sets, strict=True):
                     if not len(s) or c in met:
                         continue
                     met.add(c)
-                    need = len(s) - (4 * len(s) + 4) // 5 + 1
-                    if len(last):
-                        at = np.minimum(np.searchsorted(last, s), len(last) - 1)
-                        late = last[at] == s
-                        if late.any():
-                            s = np.concatenate([s[~late], s[late]])
-                    keys.append(s[:need])
-                    owners.append(c)
-                    sizes.append(need)
+                    late = _is_late(s, last)
+                    if not whole:
+                        order = np.argsort(late, kind="stable")[: _prefix_size(len(s))]
+                        s, late = s[order], late[order]
+                    keys.append(s)
+                    marks.append(late)
+                    owners.append(np.full(len(s), c, _U))
                 if keys:
-                    h = np.concatenate(keys).view(np.int64)
-                    c = np.repeat(np.array(owners, _U).view(np.int64), sizes)
-                    yield pa.record_batch([pa.array(h), pa.array(c)], names=["h", "c"])
+                    h, c = (np.concatenate(x).view(np.int64) for x in (keys, owners))
+                    yield pa.record_batch([pa.array(h), pa.array(c), pa.array(np.concatenate(marks))],
+                                          names=["h", "c", "late"])
 
-    return own(docs, "text").mapInArrow(read, "h long, c long")
+    return own(docs, "text").mapInArrow(read, "h long, c long, late boolean")
 
 
-def _cells(docs: DataFrame, last: np.ndarray) -> DataFrame:
-    """(c, cell) of every class that shares a prefix shingle with another."""
-    rows = _prefixes(docs, last)
-    met = rows.groupBy("h").agg(F.min("c").alias("m"), F.max("c").alias("x")).where("m <> x").select("h", "m")
-    edges = rows.join(met, "h").where("c <> m").select(F.col("c").alias("a"), F.col("m").alias("b")).distinct()
+def _shared(rows: DataFrame) -> DataFrame:
+    """(h, c, df) of the rows whose shingle more than one class has. Frequent ones need no shuffle."""
+    once = rows.where("not late").select("h", "c")
+    df = F.count("*").over(Window.partitionBy("h"))
+    # one reader emits a class once; the same class from two readers is told apart by the smallest and largest
+    low, high = (f("c").over(Window.partitionBy("h")) for f in (F.min, F.max))
+    met = once.select("h", "c", df.alias("df"), (low != high).alias("two")).where("two").select("h", "c", "df")
+    return met.union(rows.where("late").select("h", "c", F.lit(MANY).alias("df")))
+
+
+def _bit_filter(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """A filter of `bits` bits with the bit of each id set, built by partial aggregation."""
+    at = F.pmod(F.xxhash64("id"), F.lit(bits))
+    words = ids.select(at.alias("at")).selectExpr("cast(at div 64 as int) w", "shiftleft(1L, cast(at % 64 as int)) v")
+    rows = words.groupBy("w").agg(F.bit_or("v").alias("v")).toPandas()
+    out = np.zeros(bits // 64, np.int64)
+    out[rows["w"].to_numpy(np.int64)] = rows["v"].to_numpy(np.int64)
+    return out
+
+
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(c, text) of the classes in ids(doc_id, c): the texts that a small bit filter passes, then joined exactly."""
+    held = docs.sparkSession.sparkContext.broadcast(_bit_filter(ids.select(F.col("doc_id").alias("id"))))
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = held.value
+        for batch in batches:
+            at = batch.column(2).to_numpy()
+            yield batch.filter(pa.array((words[at >> 6] >> (at & 63)) & 1 == 1)).select([0, 1])
+
+    base = own(docs, "doc_id", "text").select(
+        F.col("doc_id").alias("d"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("at"))
+    passed = base.mapInArrow(sift, "d long, text string")
+    return ids.join(passed, F.col("doc_id").eqNullSafe(F.col("d"))).select("c", "text")
+
+
+def _cells(texts: DataFrame, sizes: DataFrame, last: np.ndarray) -> DataFrame:
+    """(c, cell) of the classes that may link: those that share a shingle of their rarest-first prefix."""
+    rows = written(_shared(_shingles(texts, last, True)).distinct(), "shared")
+    count = rows.groupBy("c").agg(F.count("*").alias("s")).join(sizes, "c")
+    # the shingles that no other class has come first in the order and use up that much of the prefix
+    left = F.expr("n - (4 * n + 4) div 5 + 1 - (n - s)").alias("left")
+    able = count.select("c", left).where("left > 0")
+    rank = F.row_number().over(Window.partitionBy("c").orderBy("df", "h"))
+    near = rows.join(able, "c").withColumn("rank", rank).where("rank <= left").select("h", "c")
+    near = written(near, "near")
+    met = near.groupBy("h").agg(F.min("c").alias("m"), F.max("c").alias("x")).where("m <> x").select("h", "m")
+    edges = near.join(met, "h").where("c <> m").select(F.col("c").alias("a"), F.col("m").alias("b")).distinct()
     return components(edges).toDF("c", "cell")
 
 
@@ -261,12 +323,15 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .orderBy(F.desc("n"), "a").limit(FREQUENT_KEPT).select("a").toPandas()["a"]
     )  # bounded by FREQUENT_KEPT
     last = np.sort(often.to_numpy(np.int64).view(_U))
-    cells = written(_cells(docs, last), "cells")
     one = known.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
-    member = cells.join(one, "c")
+    first = _shared(_shingles(docs, last, False)).select("c").distinct()
+    some = written(one.join(first, "c"), "some")
+    texts = written(_texts_of(docs, some.select("doc_id", "c")), "texts")
+    cells = written(_cells(texts, some.select("c", "n"), last), "cells")
+    member = cells.join(some.select("c", "n"), "c")
     size = member.groupBy("cell").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")
-    member = member.join(size, "cell").select("cell", "c", "doc_id", "blocks", block.alias("block"))
+    member = member.join(size, "cell").select("cell", "c", "blocks", block.alias("block"))
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda o: F.struct(
@@ -275,10 +340,8 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             F.when(F.col("block") <= o, 0).otherwise(1).alias("side"),
         ),
     )
-    texts = own(docs, "doc_id", "text").withColumnRenamed("doc_id", "d")
-    placed = member.join(texts, F.col("doc_id").eqNullSafe(F.col("d"))).select(
-        "cell", "c", "text", F.explode(pairs).alias("p")
-    ).select("cell", "p.*", "c", "text")
+    placed = member.join(texts, "c").select("cell", "c", "text", F.explode(pairs).alias("p"))
+    placed = placed.select("cell", "p.*", "c", "text")
     found = placed.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "side", "c")
     links = written(found.mapInPandas(_links, "a long, b long"), "links")
     return known, components(links).toDF("c", "root")

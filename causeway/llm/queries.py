@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, mixing, packing, pii, quality_rules
+from . import compression_quality, jaccard_join, mixing, packing, pii, quality_rules, token_files
 from .tables import read
 
 
@@ -25,6 +25,16 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(read(spark, sf_dir, "documents"))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents, written, read back and summed up."""
+    return token_files.round_trip(read(spark, sf_dir, "documents"))
+
+
+def op8_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents by two compression dictionaries."""
+    return compression_quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in windows of 2048 tokens."""
     return packing.pack(read(spark, sf_dir, "documents"))
@@ -37,7 +47,8 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_mixing, op3_quality_rules, op4_ngram_jaccard_join, op9_packing, op10_pii_surrogates)
+    for f in (op2_mixing, op3_quality_rules, op4_ngram_jaccard_join, op6_token_files, op8_compression_quality,
+              op9_packing, op10_pii_surrogates)
 }
 
 ORACLE_SQL: dict[str, str] = {
