@@ -6,7 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import compression_quality, jaccard_join, mixing, packing, pii, quality_rules, token_files
+from . import (
+    compression_quality,
+    html_text,
+    jaccard_join,
+    mixing,
+    nn_descent,
+    packing,
+    pii,
+    quality_rules,
+    token_files,
+)
 from .tables import read
 
 
@@ -20,6 +30,11 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(read(spark, sf_dir, "documents"))
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.main_texts(read(spark, sf_dir, "pages"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents repeated to square-root source weights, in globally shuffled order."""
     return mixing.mixed(read(spark, sf_dir, "documents"))
@@ -30,6 +45,11 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(read(spark, sf_dir, "documents"))
 
 
+def op7_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of embeddings alike by cosine 0.95 or more."""
+    return nn_descent.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op8_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents by two compression dictionaries."""
     return compression_quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
@@ -47,7 +67,8 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_mixing, op3_quality_rules, op4_ngram_jaccard_join, op6_token_files, op8_compression_quality,
+    for f in (op1_html_text, op2_mixing, op3_quality_rules, op4_ngram_jaccard_join, op6_token_files, op7_nn_descent,
+              op8_compression_quality,
               op9_packing, op10_pii_surrogates)
 }
 
