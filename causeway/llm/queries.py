@@ -15,6 +15,7 @@ from . import (
     packing,
     pii,
     quality_rules,
+    suffix_dedup,
     token_files,
 )
 from .tables import read
@@ -40,6 +41,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(read(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without repeated strings of 100 bytes."""
+    return suffix_dedup.dedup(read(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of all documents, written, read back and summed up."""
     return token_files.round_trip(read(spark, sf_dir, "documents"))
@@ -67,7 +73,8 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_html_text, op2_mixing, op3_quality_rules, op4_ngram_jaccard_join, op6_token_files, op7_nn_descent,
+    for f in (op1_html_text, op2_mixing, op3_quality_rules, op4_ngram_jaccard_join, op5_suffix_dedup,
+              op6_token_files, op7_nn_descent,
               op8_compression_quality,
               op9_packing, op10_pii_surrogates)
 }
