@@ -3,12 +3,12 @@
 A document's set holds the hashes of its distinct word shingles. Equal sets are one class from the start. The join is
 exact; what can't link is put aside in two steps before the trees see it:
 
-1. Every class emits the prefix of its set of which a partner must hold something: floor(0.2 n) + 1 shingles in a
-   global order (hash order, the most frequent shingles last). Classes without a shared prefix shingle are done.
-2. The others emit their whole sets. A class with more than 0.2 n shingles that no other has is done. Each of the rest
-   takes its prefix once more, rarest shingles first, so that passages many documents share hardly come up; classes
-   that share a prefix shingle are connected into cells (through its smallest class, never pair by pair). No two
-   classes of different cells can link.
+1. Every class emits its shingles from the low end of the hash range: a bit over a fifth of them, less of a fifth the
+   larger the set (_cut). A class that alone has more than 0.2 n of them is done, as a partner lacks at most 0.2 n.
+2. The others emit their whole sets and are judged so once more. Each of the rest takes the prefix of its set of which
+   a partner must hold something, floor(0.2 n) + 1 shingles, rarest first, so that passages many documents share
+   hardly come up; classes that share a prefix shingle are connected into cells (through the smallest class, never
+   pair by pair). No two classes of different cells can link.
 3. Each cell is searched by a signature tree: nodes hold the OR of token bitmaps, the range of set sizes and the
    largest number of tokens that fell on taken bits. A dual traversal drops node pairs whose largest possible overlap
    or whose sizes rule a link out, and node pairs that are one component already. What is left is counted exactly.
@@ -63,8 +63,9 @@ def _class_ids(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _classes(docs: DataFrame) -> DataFrame:
-    """Rows (kind, a, b, c): kind 0 has doc_id, set size and class of each document, kind 1 a shingle and how often
-    one reader found it."""
+    """Rows (kind, a, b, c, d, e): kind 0 has doc_id, set size and class of each document, how many of its shingles
+    every partner emits too where it has them, and below which hash; kind 1 a shingle and how often one reader found
+    it."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -73,7 +74,10 @@ def _classes(docs: DataFrame) -> DataFrame:
                 sets = shingle_sets(data, offs, WIDTH)
                 size = np.array([len(s) for s in sets], np.int64)
                 ids = pa.array(_class_ids(sets).view(np.int64), mask=size == 0)
-                yield _rows(0, batch.column(0).slice(first, len(sets)), pa.array(size), ids)
+                cut = [_cut(1.25 * n) for n in size.tolist()]
+                low = [int(np.searchsorted(x, _U(2 * e))) for x, e in zip(sets, cut, strict=True)]
+                yield _rows(0, batch.column(0).slice(first, len(sets)), pa.array(size), ids, pa.array(low, pa.int64()),
+                            pa.array(cut, pa.int64()))
                 held += sets
                 if sum(map(len, held)) >= FREQUENT_ROWS:
                     yield _frequent(held)
@@ -81,17 +85,18 @@ def _classes(docs: DataFrame) -> DataFrame:
         if held:
             yield _frequent(held)
 
-    return own(docs, "doc_id", "text").mapInArrow(read, "kind int, a long, b long, c long")
+    return own(docs, "doc_id", "text").mapInArrow(read, "kind int, a long, b long, c long, d long, e long")
 
 
 def _rows(kind: int, *columns: pa.Array) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(np.full(len(columns[0]), kind, np.int32)), *columns], names=["kind", *"abc"])
+    return pa.record_batch([pa.array(np.full(len(columns[0]), kind, np.int32)), *columns], names=["kind", *"abcde"])
 
 
 def _frequent(sets: list[np.ndarray]) -> pa.RecordBatch:
     got, n = np.unique(np.concatenate(sets), return_counts=True)
     got, n = got[n >= FREQUENT], n[n >= FREQUENT]
-    return _rows(1, pa.array(got.view(np.int64)), pa.array(n), pa.array(np.zeros(len(n), np.int64)))
+    none = pa.array(np.zeros(len(n), np.int64))
+    return _rows(1, pa.array(got.view(np.int64)), pa.array(n), none, none, none)
 
 
 def _is_late(s: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -100,12 +105,15 @@ def _is_late(s: np.ndarray, last: np.ndarray) -> np.ndarray:
     return last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
 
 
-def _prefix_size(n: int) -> int:
-    return n - (4 * n + 4) // 5 + 1
+def _cut(n: float) -> int:
+    """Half of the hash below which a set of n shingles emits: it falls with n, and leaves about 2.6 standard
+    deviations beyond a fifth of the shingles."""
+    share = min(1.0, 0.2 + 1.04 / max(n, 1e-9) ** 0.5)
+    return min(int(share * (1 << 53)) << 10, (1 << 63) - 1)
 
 
 def _shingles(docs: DataFrame, last: np.ndarray, whole: bool) -> DataFrame:
-    """(h, c, late): the prefix shingles of each class, or all of them, once for each reader that meets it; late marks
+    """(h, c, late): the low shingles of each class, or all of them, once for each reader that meets it; late marks
     the frequent ones."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,12 +126,10 @@ def _shingles(docs: DataFrame, last: np.ndarray, whole: bool) -> DataFrame:
                     if not len(s) or c in met:
                         continue
                     met.add(c)
-                    late = _is_late(s, last)
                     if not whole:
-                        order = np.argsort(late, kind="stable")[: _prefix_size(len(s))]
-                        s, late = s[order], late[order]
+                        s = s[: np.searchsorted(s, _U(2 * _cut(len(s))))]
                     keys.append(s)
-                    marks.append(late)
+                    marks.append(_is_late(s, last))
                     owners.append(np.full(len(s), c, _U))
                 if keys:
                     h, c = (np.concatenate(x).view(np.int64) for x in (keys, owners))
@@ -169,9 +175,22 @@ def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return ids.join(passed, F.col("doc_id").eqNullSafe(F.col("d"))).select("c", "text")
 
 
+def _one_each(texts: DataFrame) -> DataFrame:
+    """One row for each class, with its own text, where doc_ids that are null or repeated brought others."""
+
+    def own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c = batch.column(0).to_numpy()
+            for first, data, offs in chunks(batch.column(1)):
+                ids = _class_ids(shingle_sets(data, offs, WIDTH)).view(np.int64)
+                yield batch.slice(first, len(ids)).filter(pa.array(ids == c[first : first + len(ids)]))
+
+    return texts.mapInArrow(own_text, "c long, text string").dropDuplicates(["c"])
+
+
 def _cells(texts: DataFrame, sizes: DataFrame, last: np.ndarray) -> DataFrame:
     """(c, cell) of the classes that may link: those that share a shingle of their rarest-first prefix."""
-    rows = written(_shared(_shingles(texts, last, True)).distinct(), "shared")
+    rows = written(_shared(_shingles(texts, last, True)), "shared")
     count = rows.groupBy("c").agg(F.count("*").alias("s")).join(sizes, "c")
     # the shingles that no other class has come first in the order and use up that much of the prefix
     left = F.expr("n - (4 * n + 4) div 5 + 1 - (n - s)").alias("left")
@@ -323,10 +342,16 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .orderBy(F.desc("n"), "a").limit(FREQUENT_KEPT).select("a").toPandas()["a"]
     )  # bounded by FREQUENT_KEPT
     last = np.sort(often.to_numpy(np.int64).view(_U))
-    one = known.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
-    first = _shared(_shingles(docs, last, False)).select("c").distinct()
-    some = written(one.join(first, "c"), "some")
-    texts = written(_texts_of(docs, some.select("doc_id", "c")), "texts")
+    one = read.where("kind = 0 and c is not null").groupBy("c").agg(
+        F.min("a").alias("doc_id"), F.max("b").alias("n"), F.max("d").alias("low"), F.max("e").alias("cut"))
+    met = _shared(_shingles(docs, last, False)).select("h", "c").join(one.select("c", "cut"), "c")
+    met = met.where(F.shiftrightunsigned("h", 1) < F.col("cut")).distinct().groupBy("c").agg(F.count("*").alias("s"))
+    some = one.join(met, "c", "left").where("low - coalesce(s, 0) <= n div 5").select("c", "doc_id", "n")
+    some = written(some, "some")
+    texts = _texts_of(docs, some.select("doc_id", "c"))
+    if not known.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty():
+        texts = _one_each(texts)
+    texts = written(texts, "texts")
     cells = written(_cells(texts, some.select("c", "n"), last), "cells")
     member = cells.join(some.select("c", "n"), "c")
     size = member.groupBy("cell").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
