@@ -72,7 +72,7 @@ def impact(members: DataFrame, roots: DataFrame, dependents: DataFrame, registry
     """Severity 0.40 blast + 0.35 criticality + 0.25 magnitude and its priority."""
     out = blast_radius(members, roots, dependents).join(criticality(members, registry), "label").join(
         magnitude(members), "label")
-    s = F.round(0.40 * F.col("blast") + 0.35 * F.col("criticality") + 0.25 * F.col("magnitude"), 3)
+    s = F.round(0.40 * F.col("blast") + 0.35 * F.col("criticality") + 0.25 * F.col("magnitude") + 1e-9, 3)
     p = F.when(F.col("severity") >= 0.75, "P1").when(F.col("severity") >= 0.50, "P2").when(
         F.col("severity") >= 0.25, "P3").otherwise("P4")
     return out.withColumn("severity", s).withColumn("priority", p)

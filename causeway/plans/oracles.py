@@ -86,7 +86,7 @@ VIEWS = {
   SELECT r.label, count(*) AS n FROM roots r JOIN dep d ON d.service = r.root WHERE NOT EXISTS (SELECT 1 FROM svcs s WHERE s.label = r.label
   AND s.service = d.dependent) GROUP BY r.label) f ON f.label = s.label GROUP BY s.label""",
     "impact": """SELECT *, CASE WHEN severity >= 0.75 THEN 'P1' WHEN severity >= 0.50 THEN 'P2' WHEN severity >= 0.25 THEN 'P3' ELSE 'P4' END AS priority
-  FROM (SELECT b.*, criticality, magnitude, round(0.40 * blast + 0.35 * criticality + 0.25 * magnitude, 3) AS severity FROM blast b
+  FROM (SELECT b.*, criticality, magnitude, round(0.40 * blast + 0.35 * criticality + 0.25 * magnitude + 1e-9, 3) AS severity FROM blast b
   JOIN (SELECT label, round(max(coalesce(criticality, 0.5)), 3) AS criticality FROM svcs LEFT JOIN registry USING (service) GROUP BY label) USING (label)
   JOIN (SELECT label, round(least(greatest(max(anomaly_score), 0.0), 1.0), 3) AS magnitude FROM members GROUP BY label) USING (label))""",
     "truth": "SELECT a.id, a.trace_id AS truth, l.label FROM anom a LEFT JOIN labels l ON l.id = a.id",
