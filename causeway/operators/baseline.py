@@ -56,7 +56,7 @@ def metric_judgement(z: Column) -> tuple[Column, Column]:
 def breach(value: Column, threshold: Column) -> Column:
     """Score of a value beyond its threshold; null without either or for threshold 0."""
     over = F.abs(value - threshold) / F.abs(F.nullif(threshold, F.lit(0.0)))
-    return F.least(F.lit(1.0), 0.6 + 2 * over)
+    return F.when(over.isNotNull(), F.least(F.lit(1.0), 0.6 + 2 * over))
 
 
 def template_rates(counts: DataFrame, alpha: float = ALPHA) -> DataFrame:
