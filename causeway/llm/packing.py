@@ -33,6 +33,8 @@ from .tables import own, written
 from .tokens import encoder, tokenizer_path
 
 LENGTH, BLOCK, END, QUEUES = 2048, 1024, 1, 1024
+#: A row for each reader and source is broadcast up to so many rows (about 10 MB).
+BROADCAST_ROWS = 1 << 18
 TOKENIZER = "word_bpe_49k.json"
 PIECES = (
     "doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -81,7 +83,7 @@ class Schedule:
         self.shares = np.where((totals > 0) & (shares <= 0), 1e-9 * max(shares.sum(), 1), shares)
         self.tokens = int(self.totals.sum())
         self.windows = self.tokens // LENGTH
-        self.held: dict[int, np.ndarray] = {}
+        self.held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.stands: dict[int, np.ndarray] = {}
 
     def standing(self, tokens: int) -> np.ndarray:
@@ -110,8 +112,9 @@ class Schedule:
             out[q] -= min(over, int(out[q] - floor[q]))
         return out, np.clip(np.minimum(self.shares * high, self.totals) - out, -1, 1)
 
-    def block(self, b: int) -> np.ndarray:
-        """Tokens of each queue before each window of block b and before the window after it: [queue, window]."""
+    def block(self, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """For block b, [queue, window]: tokens of the queue before each window and before the window after the last,
+        and tokens of earlier queues in each window."""
         if b not in self.held:
             if len(self.held) >= 16:
                 self.held.pop(next(iter(self.held)))
@@ -138,7 +141,8 @@ class Schedule:
                 deficit = deficit - give
                 left = left - give
                 cuts[:, w] = cuts[:, w - 1] + give
-            self.held[b] = cuts
+            give = np.diff(cuts, axis=1)
+            self.held[b] = cuts, np.cumsum(give, axis=0) - give
         return self.held[b]
 
     def tail(self) -> np.ndarray:
@@ -147,32 +151,45 @@ class Schedule:
         sizes = [1 << k for k in range(LENGTH.bit_length(), -1, -1) if rest >> k & 1]
         return np.cumsum([0, *sizes])
 
-    def place(self, q: int, first: int, n: int) -> Iterator[tuple[int, int, int, int]]:
-        """(token, length, sequence, offset) of the pieces of tokens first .. first + n of queue q."""
-        now, end = first, first + n
+    def place(self, q: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Rows (document, token, length, sequence, offset) of the pieces of documents k: tokens first[k] and the n[k] - 1
+        after it of queue q[k], where token counts in the queue."""
+        out = [np.zeros((0, 5), np.int64)]
         full = self.standing(self.windows * LENGTH) if self.windows else np.zeros(len(self.totals), np.int64)
-        if now < full[q]:
-            b = self._block_of(q, now)
-            while now < min(end, full[q]):
-                cuts = self.block(b)
-                if now < cuts[q, -1]:
-                    stop = min(end, int(cuts[q, -1]))
-                    w = int(np.searchsorted(cuts[q], now, "right")) - 1
-                    while now < stop:
-                        upto = min(stop, int(cuts[q, w + 1]))
-                        if upto > now:
-                            ahead = int((cuts[:q, w + 1] - cuts[:q, w]).sum())
-                            yield now, upto - now, b * BLOCK + w, ahead + now - int(cuts[q, w])
-                        now, w = upto, w + 1
-                b += 1
-        if now < end:
-            bounds = self.tail()
-            offset = int((self.totals[:q] - full[:q]).sum()) + now - int(full[q])
-            while now < end:
-                k = int(np.searchsorted(bounds, offset, "right")) - 1
-                upto = min(end, now + int(bounds[k + 1]) - offset)
-                yield now, upto - now, self.windows + k, offset - int(bounds[k])
-                offset, now = offset + upto - now, upto
+        for one in np.unique(q).tolist():
+            who = np.flatnonzero(q == one)
+            start, end = first[who], first[who] + n[who]
+            inner = np.flatnonzero(start < full[one])
+            if len(inner):
+                low, high = int(start[inner].min()), int(np.minimum(end[inner], full[one]).max())
+                b = self._block_of(one, low)
+                while b * BLOCK < self.windows:
+                    cuts, ahead = self.block(b)
+                    c = cuts[one]
+                    if c[0] >= high:
+                        break
+                    out.append(self._cut(who, np.maximum(start, c[0]), np.minimum(end, c[-1]), c, ahead[one], b * BLOCK))
+                    b += 1
+            if (end > full[one]).any():  # the unfinished last window: its sequences take the place of windows
+                bounds, base = self.tail(), int((self.totals[:one] - full[:one]).sum())
+                at = bounds + int(full[one]) - base  # where each sequence begins, in tokens of this queue
+                out.append(self._cut(who, np.maximum(start, full[one]), end, at, np.zeros(len(at) - 1, np.int64), self.windows))
+        return np.concatenate(out)
+
+    @staticmethod
+    def _cut(who: np.ndarray, start: np.ndarray, end: np.ndarray, cuts: np.ndarray, ahead: np.ndarray, base: int) -> np.ndarray:
+        """place() for ranges of tokens inside the bounds of cuts; offset in a window counts from its cut and ahead."""
+        able = np.flatnonzero(end > start)
+        who, start, end = who[able], start[able], end[able]
+        left = np.searchsorted(cuts, start, "right") - 1
+        right = np.searchsorted(cuts, end, "left")
+        n = right - left
+        total = np.concatenate([[0], np.cumsum(n)])
+        doc = np.repeat(np.arange(len(who)), n)
+        w = np.arange(total[-1]) - total[:-1][doc] + left[doc]
+        a, b = np.maximum(start[doc], cuts[w]), np.minimum(end[doc], cuts[w + 1])
+        rows = np.column_stack([who[doc], a, b - a, base + w, ahead[w] + a - cuts[w]])
+        return rows[rows[:, 2] > 0]
 
     def _block_of(self, q: int, token: int) -> int:
         """The last block at whose start queue q stands at or before token."""
@@ -214,25 +231,28 @@ def pack(docs: DataFrame, weights: dict[str, float] | None = None, path: str | N
     run = Window.partitionBy("q").orderBy("source", "part").rowsBetween(Window.unboundedPreceding, -1)
     base = part.select("source", "part", "q", F.coalesce(F.sum("n").over(run), F.lit(0)).alias("base"))
     base = base.select(F.col("source").alias("s"), F.col("part").alias("p"), "q", "base")
+    if part.count() <= BROADCAST_ROWS:  # else the ids are shuffled to it
+        base = F.broadcast(base)
     placed = table.join(base, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for at in range(0, big.num_rows, 500):
-                batch = big.slice(at, 500)
-                doc_id, source = batch.column(0), batch.column(1)
-                q, place, sizes = (batch.column(k).to_numpy() for k in (2, 3, 4))
-                rows: list[tuple[int, ...]] = []
-                for k in range(batch.num_rows):
-                    raw = np.frombuffer(batch.column(5)[k].as_buffer(), np.uint16).astype("<u4").tobytes()
-                    first, n = int(place[k]), int(sizes[k])
-                    for token, length, sequence, offset in schedule.place(int(q[k]), first, n):
-                        a = token - first
-                        rows.append((k, a, length, zlib.crc32(raw[4 * a : 4 * (a + length)]), n, sequence, offset))
-                got = np.array(rows, np.int64).reshape(-1, 7)
-                which = pa.array(got[:, 0])
+            for at in range(0, big.num_rows, 2000):
+                batch = big.slice(at, 2000)
+                q, place, n = (batch.column(k).to_numpy() for k in (2, 3, 4))
+                blobs = batch.column(5)
+                _, offs, data = blobs.buffers()
+                offs = np.frombuffer(offs, np.int32)[blobs.offset : blobs.offset + len(blobs) + 1].astype(np.int64)
+                ids = np.frombuffer(data, np.uint8)[offs[0] : offs[-1]].view(np.uint16).astype("<u4")
+                begin = (offs[:-1] - offs[0]) // 2
+                k, token, length, sequence, offset = schedule.place(q, place, n).T
+                own_start = token - place[k]
+                left = begin[k] + own_start
+                crc = [zlib.crc32(ids[a:b]) for a, b in zip(left.tolist(), (left + length).tolist(), strict=True)]
+                which = pa.array(k)
                 yield pa.record_batch(
-                    [doc_id.take(which), source.take(which), *[pa.array(got[:, c]) for c in range(1, 7)]],
+                    [batch.column(0).take(which), batch.column(1).take(which), *[pa.array(x, pa.int64()) for x in (
+                        own_start, length, crc, n[k], sequence, offset)]],
                     names=[x.split()[0] for x in PIECES.split(", ")])
 
     return placed.select("doc_id", "source", "q", (F.col("base") + F.col("before")).alias("place"), "n", "ids"
