@@ -15,9 +15,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import written
+
 SEED = "mix-1"
 #: Target shares go with the input share to this power: 1 keeps the mixture, 0 makes sources equal.
 POWER = 0.5
+#: The table of rates is broadcast where its distributions hold at most so many numbers (8 MB).
+BROADCAST_NUMBERS = 1 << 20
 
 
 def _uniform(*parts: Column) -> Column:
@@ -62,10 +66,11 @@ def _cdf(rate: Column) -> Column:
 
 def copies(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0,
            seed: str = SEED) -> DataFrame:
-    """docs with one row for each copy, and columns copy (from 0) and mix_key, not yet shuffled. The table of rates
-    has a row for each source, so that it is broadcast only where Spark finds it small."""
+    """docs with one row for each copy, and columns copy (from 0) and mix_key, not yet shuffled."""
     own_names = [c for c in docs.columns if c not in ("copy", "mix_key")]
-    table = rates(docs, weights, epochs).select(F.col("source").alias("__source"), "cdf")
+    table = written(rates(docs, weights, epochs).select(F.col("source").alias("__source"), "cdf"), "rates")
+    if (table.agg(F.sum(F.size("cdf"))).first()[0] or 0) <= BROADCAST_NUMBERS:  # else texts are shuffled to it
+        table = F.broadcast(table)
     base = docs.select(*[F.col(f"`{c}`") for c in own_names])
     drawn = base.join(table, F.col("`source`").eqNullSafe(F.col("__source")))
     u = _uniform(F.lit(seed), F.col("`doc_id`"))
