@@ -70,6 +70,7 @@ LABELLED = (
     """<body><div class="wrapper" data-keep><div class="top-banner">Subscribe now and save.</div><div class="post" data-keep><h2 data-keep>Post title</h2><div data-keep>Text without a paragraph tag, long enough to be content of the page, with commas, stops. And so on.</div><pre data-keep>code = 1</pre><div class="share"><a href=a>Share</a><a href=b>Post</a></div></div><div class="respond"><h3>Leave a reply</h3><p>Your mail will not be shown, of course. Fields are needed.</p></div></div><div class="footer"><span>Copyright</span></div></body>""",
     """<html><body><p data-keep>A plain page with a paragraph, no more than that.</p><p data-keep>And a second <em data-keep>one</em> here.</p></body></html>""",
     """<html><body><h1 data-keep>Only a heading</h1><div data-keep><span data-keep>Words in a span, part of the text.</span></div><section class="related-posts"><h2>More stories</h2><div>Another headline from elsewhere, with words. Read it.</div></section></body></html>""",
+    """<html><body><article data-keep><h2 data-keep>Steps</h2><ul data-keep><li data-keep>One</li><li data-keep>Two</li><li data-keep>Three of them</li><li data-keep>Four</li></ul><p data-keep>Then this.</p><ol data-keep><li data-keep>First</li><li data-keep>Second</li><li data-keep>Third</li></ol><dl data-keep><dt data-keep>Term</dt><dd data-keep>Meaning</dd></dl><div data-keep><em data-keep>End</em></div></article></body></html>""",
 )
 
 
