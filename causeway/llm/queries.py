@@ -96,5 +96,33 @@ drawn AS (SELECT d.*, least(len(list_filter(s.ps, lambda p: p <= d.u)), len(s.ps
     FROM doc d JOIN steps s ON d.source IS NOT DISTINCT FROM s.source),
 rows AS (SELECT doc_id, text, lang, source, n_chars, unnest(range(n))::INTEGER AS copy FROM drawn)
 SELECT *, md5('mix-1:order:' || coalesce(doc_id::VARCHAR, '') || ':' || copy) AS mix_key FROM rows
+""",
+    "op4_ngram_jaccard_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+sets AS (SELECT doc_id, list_sort(CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3),
+    lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3] || ' ' || ws[i + 4]))
+    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS s FROM w),
+docs AS (SELECT doc_id, len(s) AS n, CASE WHEN len(s) > 0 THEN md5(array_to_string(s, '|')) END AS c, s FROM sets),
+classes AS (SELECT c, any_value(n) AS n, any_value(s) AS s, min(doc_id) AS low FROM docs WHERE c IS NOT NULL GROUP BY c),
+inv AS (SELECT c, n, unnest(s) AS g FROM classes),
+links AS (SELECT a.c AS p, b.c AS q FROM inv a JOIN inv b ON a.g = b.g AND a.c < b.c GROUP BY a.c, b.c, a.n, b.n
+    HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+sym AS (SELECT p, q FROM links UNION ALL SELECT q, p FROM links),
+spread AS (SELECT c, low FROM classes UNION SELECT sym.q, spread.low FROM spread JOIN sym ON sym.p = spread.c),
+best AS (SELECT c, min(low) AS component_id FROM spread GROUP BY c)
+SELECT d.doc_id, d.n AS n_shingles, coalesce(b.component_id, d.doc_id) AS component_id FROM docs d LEFT JOIN best b ON b.c = d.c
+""",
+    "op7_nn_descent": """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+ok AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS size FROM v WHERE e IS NOT NULL AND len(e) > 0
+    AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+links AS (SELECT a.vec_id AS p, b.vec_id AS q FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    WHERE a.size > 0 AND b.size > 0 AND list_dot_product(a.e, b.e) >= 0.95 * a.size * b.size),
+spread AS (SELECT vec_id AS id, vec_id AS r FROM v UNION SELECT links.q, spread.r FROM spread JOIN links ON links.p = spread.id),
+best AS (SELECT id, min(r) AS component_id FROM spread GROUP BY id),
+deg AS (SELECT p, count(*) AS n FROM links GROUP BY p)
+SELECT v.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, component_id = v.vec_id AS kept FROM v JOIN best ON id = v.vec_id
+    LEFT JOIN deg ON p = v.vec_id
 """,
 }
