@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import written
+
 CLOSENESS = {0: 1.0, 1: 0.75, 2: 0.45, 3: 0.15}
 
 
@@ -33,40 +35,45 @@ def closeness(hop: Column) -> Column:
     return reduce(lambda c, kv: c.when(hop == kv[0], kv[1]), CLOSENESS.items(), F.when(hop.isNull(), 0.0)).otherwise(0.0)
 
 
-def dependents(edges: DataFrame, depth: int | None = None) -> DataFrame:
-    """(service, dependent): who transitively calls a service, by doubling paths until none is new."""
-    pairs = edges.select(F.col("callee").alias("service"), F.col("caller").alias("dependent")).where(
-        "service <> dependent").distinct()
-    known, n = pairs, pairs.count()
-    for _ in range(depth or 64):
-        left, right = known, known.select(F.col("service").alias("m"), F.col("dependent").alias("d"))
-        more = left.join(right, left.dependent == right.m).select("service", F.col("d").alias("dependent"))
-        known = known.union(more).where("service <> dependent").distinct()
-        spark = edges.sparkSession
-        known = spark.createDataFrame(known.toPandas(), "service string, dependent string")  # the graph is small
-        m = known.count()
-        if m == n:
-            break
-        n = m
+#: A service graph of at most so many edges is walked on the driver; a larger one by joins.
+SMALL_GRAPH = 100_000
+
+
+def _callers_of(calls: list[tuple[str, str]], service: str, without: str | None = None) -> set[str]:
+    callers: dict[str, set[str]] = {}
+    for a, b in calls:
+        if without not in (a, b) and a != b:
+            callers.setdefault(b, set()).add(a)
+    found, todo = set(), [service]
+    while todo:
+        new = callers.get(todo.pop(), set()) - found
+        found |= new
+        todo += new
+    return found - {service}
+
+
+def dependents(edges: DataFrame) -> DataFrame:
+    """(service, dependent): who transitively calls a service."""
+    some = edges.distinct().limit(SMALL_GRAPH + 1).collect()
+    if len(some) <= SMALL_GRAPH:
+        calls = [(r.caller, r.callee) for r in some]
+        rows = [(s, d) for s in sorted({b for _, b in calls}) for d in sorted(_callers_of(calls, s))]
+        return edges.sparkSession.createDataFrame(rows, "service string, dependent string")
+    known = edges.select(F.col("callee").alias("service"), F.col("caller").alias("dependent")).where("service <> dependent")
+    known, n = written(known.distinct(), "dependents"), -1
+    while known.count() != n:  # doubles the length of the paths that are known
+        n = known.count()
+        right = known.select(F.col("service").alias("m"), F.col("dependent").alias("d"))
+        more = known.join(right, known.dependent == right.m).select("service", F.col("d").alias("dependent"))
+        known = written(known.union(more).where("service <> dependent").distinct(), "dependents")
     return known
 
 
 def dependents_without(edges: DataFrame) -> DataFrame:
     """(removed, service, dependent): dependents in the graph without one service, for each service."""
-    names = [r[0] for r in edges.select(F.explode(F.array("caller", "callee"))).distinct().orderBy(F.col("col")).collect()]
-    calls = [(r.caller, r.callee) for r in edges.collect()]  # the graph is a small reference table
-    rows = []
-    for gone in names:
-        callers: dict[str, set[str]] = {}
-        for a, b in calls:
-            if gone not in (a, b) and a != b:
-                callers.setdefault(b, set()).add(a)
-        for s in names:
-            found, todo = set(), [s]
-            while todo:
-                for c in callers.get(todo.pop(), ()):
-                    if c not in found:
-                        found.add(c)
-                        todo.append(c)
-            rows += [(gone, s, d) for d in sorted(found - {s})]
+    calls = [(r.caller, r.callee) for r in edges.distinct().limit(SMALL_GRAPH + 1).collect()]
+    if len(calls) > SMALL_GRAPH:
+        raise ValueError("ablation needs a service graph of at most SMALL_GRAPH edges")
+    names = sorted({x for c in calls for x in c})
+    rows = [(gone, s, d) for gone in names for s in names if s != gone for d in sorted(_callers_of(calls, s, gone))]
     return edges.sparkSession.createDataFrame(rows, "removed string, service string, dependent string")
