@@ -32,6 +32,19 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of text that cross to Python at once: what a batch holds must not depend on how long texts are on average.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Python stages take at most BATCH_ROWS rows at once, so that batches stay small in both processes."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "0"))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def own(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, found whatever other columns there are."""
+    small_batches(df.sparkSession)
     return df.select(*[F.col(f"`{n}`") for n in names])

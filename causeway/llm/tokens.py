@@ -16,7 +16,7 @@ import pyarrow as pa
 
 from .textkit import SPACE, chunks, hashes, pieces, sums
 
-KEPT = 1_500_000
+KEPT, BATCH = 1_000_000, 4096
 _U = np.uint64
 #: Bytes after a blank that surely begin a word: printable ASCII, or the lead byte of a Latin-1 letter.
 _BEGINS = np.zeros(256, bool)
@@ -66,10 +66,18 @@ class PieceEncoder:
         ends = np.append(starts[1:], n)
         return starts, ends, np.searchsorted(offs, starts, "right") - 1
 
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text, some thousand at a time: the library keeps much beside the ids of a batch."""
+        out = []
+        for k in range(0, len(texts), BATCH):
+            got = self.tokenizer.encode_batch_fast(texts[k : k + BATCH], add_special_tokens=False)
+            out += [e.ids for e in got]
+        return out
+
     def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
         if len(self.keys) + len(keys) > KEPT:
             self._forget()
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        got = self._ids(texts)
         size = np.fromiter(map(len, got), np.int64, len(got))
         slot = np.arange(len(self.begin) - 1, len(self.begin) - 1 + len(keys))
         self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(size)])
@@ -80,11 +88,11 @@ class PieceEncoder:
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows as uint32, number of ids of each row). A null is an empty text."""
         out, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        for first, data, offs in chunks(column, 1 << 22):
+        for first, data, offs in chunks(column, 1 << 21):
             raw = data.tobytes()
             if any(s in raw for s in self.special):  # the library reads these strings as one token
                 whole = [raw[a:b].decode("utf-8", "replace") for a, b in zip(offs[:-1], offs[1:], strict=True)]
-                got = [e.ids for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)]
+                got = self._ids(whole)
                 sizes.append(np.fromiter(map(len, got), np.int64, len(got)))
                 out.append(np.fromiter(chain.from_iterable(got), np.uint32, int(sizes[-1].sum())))
                 continue
