@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import redaction
 from ..functions import text as T
-from ..operators import baseline, causal, dedup, evaluate, incidents, legacy, pairs, severity, similar_text, timeline, topology
+from ..operators import baseline, causal, dedup, evaluate, incidents, legacy, pairs, severity, similar_text, splitting, timeline, topology
 from ..operators.components import components
 from ..tables import read, written
 from .signals import edges, registry, signals
@@ -267,6 +267,14 @@ def weak_bridge_parts(spark, d):
     return incidents.split_weak_bridges(m, found)
 
 
+@query
+def causal_split(spark, d):
+    """Clusters with several independent causes, by cause (procedural; rows only)."""
+    m, s = _scores(spark, d)
+    e = edges(spark)
+    return splitting.split(m, s, topology.dependents(e), topology.hops(e))
+
+
 @query
 def near_misses(spark, d):
     m, found = membership(spark, d)

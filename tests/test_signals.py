@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from causeway.functions import redaction, text
-from causeway.operators import baseline, causal, dedup, evaluate, incidents, pairs, severity, similar_text, timeline, topology
+from causeway.operators import baseline, causal, dedup, evaluate, incidents, pairs, severity, similar_text, splitting, timeline, topology
 from causeway.operators.components import components
 from causeway.sources import adapters, files, sinks
 from causeway.streaming.review import Review, adjusted_weights
@@ -127,6 +127,19 @@ def test_cascade_to_root_cause(spark):
     assert (got.n_services, got.n_further, got.priority) == (3, 1, "P1")  # 0.4 * 0.48 + 0.35 * 0.9 + 0.25 = 0.757
 
 
+def test_two_causes_in_one_cluster_split(spark):
+    s = baseline.detect(signal_rows(spark, [
+        (1, 0, "db", "pool", "cloudwatch_metric", "critical", "DatabaseConnections", "DatabaseConnections", 200.0),
+        (2, 1, "api", "pool", "app_log", "high", "database connection refused", None, None),
+        (3, 0, "cache", "redis", "cloudwatch_metric", "critical", "Evictions memory", "Evictions", 200.0),
+        (4, 1, "cache", "redis", "app_log", "high", "evictions memory pressure", None, None),
+    ])).withColumn("label", F.lit(1).cast("long"))
+    g = graph(spark)
+    scored = causal.scores(s, g, topology.dependents(g), topology.dependents_without(g))
+    got = {r.id: r.centre for r in splitting.split(s, scored, topology.dependents(g), topology.hops(g)).collect()}
+    assert got == {1: "db", 2: "db", 3: "cache", 4: "cache"}
+
+
 def test_components_of_a_long_chain(spark):
     e = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "a long, b long")
     assert {(r.id, r.label) for r in components(e).collect()} == {(k, 0) for k in range(41)} | {(100, 100), (101, 100)}
