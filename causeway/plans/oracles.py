@@ -172,8 +172,8 @@ TEXTS: dict[str, tuple[str, str]] = {
   JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey GROUP BY 1, 2"""),
     "candidate_pairs": ("keyed dedup scored anom calls cand", "SELECT a_id, b_id FROM cand"),
     "gate_reasons": ("keyed dedup scored anom calls walk hop cand gated", "SELECT coalesce(gate, 'rejected') AS gate, count(*) AS n FROM gated GROUP BY 1"),
-    "pair_similarity": ("+terms sims", """SELECT a_id, b_id, gate, round(time_term, 6) AS time_term, service_term, dependency_term, round(template_term, 6) AS template_term,
-  component_term, sim FROM sims"""),
+    "pair_similarity": ("+terms sims", """SELECT a_id, b_id, gate, round(time_term, 6) AS time_term, service_term::DOUBLE AS service_term,
+  dependency_term::DOUBLE AS dependency_term, round(template_term, 6) AS template_term, component_term::DOUBLE AS component_term, sim FROM sims"""),
     "incident_components": ("+labels", "SELECT id, label FROM labels"),
     "cluster_summary": ("+clusters", "SELECT * REPLACE (round(peak, 6) AS peak) FROM clusters"),
     "gate_histogram": ("+labels", "SELECT label, gate, count(*) AS n FROM links JOIN labels ON id = a_id GROUP BY 1, 2"),
