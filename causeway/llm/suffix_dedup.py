@@ -34,14 +34,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import own, written
-from .textkit import chunks, hashes, mix, sums
+from .textkit import chunks, hashes, mix, powers, sums
 
 MIN, K = 100, 20
 SPAN = MIN - K + 1
 #: Anchor hashes found at least FREQUENT times in FREQUENT_ROWS segments of one reader; the FREQUENT_KEPT most
 #: frequent of the corpus aren't shuffled to learn that they repeat. Results don't depend on it.
 FREQUENT, FREQUENT_ROWS, FREQUENT_KEPT = 4, 1 << 18, 1 << 16
-SHARD_SEGMENTS, BLOCK = 20_000, 20_000
+#: The list only steers the shuffle, so every FREQUENT_STEP-th row of a reader is looked at for it.
+FREQUENT_STEP = 8
+#: Segments of a shard: about half a megabyte of text, so that its arrays stay in a processor's cache.
+SHARD_SEGMENTS, BLOCK = 4_000, 4_000
+CHUNK = 1 << 17
 FILTER_BITS = 1 << 24
 _U = np.uint64
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -63,17 +67,16 @@ def segments(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     if n < MIN:
         return none
     prefix = sums(data)
-    at = np.arange(n - K + 1)
-    gram = hashes(prefix, at, at + K) | _U(1)
-    low = _slide(gram, SPAN, np.minimum)  # smallest hash of each window
-    able = np.zeros(len(low) + 1, np.int64)  # windows inside one row
     long_rows = np.flatnonzero(offs[1:] - offs[:-1] >= MIN)
     if not len(long_rows):
         return none
-    np.add.at(able, offs[:-1][long_rows], 1)
-    np.add.at(able, offs[1:][long_rows] - MIN + 1, -1)
-    able = np.cumsum(able[:-1]) > 0
-    low = np.where(able, low, _U(0))
+    gram = mix((prefix[K:] - prefix[:-K]) * powers(n)[1][: n - K + 1]) | _U(1)
+    low = _slide(gram, SPAN, np.minimum)  # smallest hash of each window
+    end = 0
+    for r in long_rows.tolist():  # no window crosses rows
+        low[end : offs[r]] = 0
+        end = int(offs[r + 1]) - MIN + 1
+    low[end:] = 0
     # runs of windows with one smallest hash, inside one row
     new = np.ones(len(low), bool)
     new[1:] = low[1:] != low[:-1]
@@ -126,7 +129,8 @@ def _frequent(docs: DataFrame) -> DataFrame:
             return pa.record_batch([pa.array(got.view(np.int64)), pa.array(n)], names=["a", "n"])
 
         for batch in batches:
-            for _, data, offs in chunks(batch.column(0)):
+            rows = batch.column(0).take(pa.array(np.arange(0, batch.num_rows, FREQUENT_STEP)))
+            for _, data, offs in chunks(rows, CHUNK):
                 held.append(segments(data, offs)[0])
                 if sum(map(len, held)) >= FREQUENT_ROWS:
                     yield often()
@@ -141,7 +145,7 @@ def _rows(docs: DataFrame, last: np.ndarray) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, data, offs in chunks(batch.column(1)):
+            for start, data, offs in chunks(batch.column(1), CHUNK):
                 a, s, row, first, n = segments(data, offs)
                 late = last[np.minimum(np.searchsorted(last, a), len(last) - 1)] == a if len(last) else a == 0
                 yield pa.record_batch(
@@ -184,7 +188,7 @@ class SuffixArray:
             at = np.flatnonzero(wide)
             at = at[self.rest[order[at]] >= h] if len(at) else at
             if not len(at):
-                return order, rank
+                break
             group = np.flatnonzero(wide)
             who = order[group]
             after = np.where(self.rest[who] >= h, rank[np.minimum(who + h, n - 1)] + 1, 0)
@@ -198,7 +202,8 @@ class SuffixArray:
             head = np.flatnonzero(rank[order] == np.arange(n))
             h *= 2
             if h > int(self.rest.max(initial=0)) + 1:
-                return order, rank
+                break
+        return order, rank
 
     def common(self) -> np.ndarray:
         """For each place in order, the common prefix with the place before: Kasai's walk along all strings at once,
@@ -404,16 +409,20 @@ def _bytes_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpacker = zstandard.ZstdDecompressor()
-        for batch in batches:
-            for k in range(batch.num_rows):
-                text = unpacker.decompress(batch.column(2)[k].as_py())
-                rows = batch.column(1).slice(k, 1).flatten()
-                g, blocks, block, at = (rows.field(i) for i in (1, 2, 3, 4))
-                places = at.to_numpy()
-                yield pa.record_batch(
-                    [g, blocks, block, pa.array(np.full(len(places), batch.column(0)[k].as_py(), np.int64)), at,
-                     pa.array([text[p >> 8 : (p >> 8) + (p & 255)] for p in places.tolist()], pa.binary())],
-                    names=["g", "blocks", "block", "id", "at", "bytes"])
+        for big in batches:
+            for first in range(0, big.num_rows, 1000):
+                batch = big.slice(first, 1000)
+                lists = batch.column(1)
+                sizes = np.diff(lists.offsets.to_numpy()).tolist()
+                _, g, blocks, block, at = lists.flatten().flatten()
+                places, pieces, n = at.to_numpy().tolist(), [], 0
+                for packed, size in zip(batch.column(2).to_pylist(), sizes, strict=True):
+                    text = unpacker.decompress(packed)
+                    pieces += [text[p >> 8 : (p >> 8) + (p & 255)] for p in places[n : n + size]]
+                    n += size
+                ids = np.repeat(batch.column(0).to_numpy(), sizes)
+                yield pa.record_batch([g, blocks, block, pa.array(ids), at, pa.array(pieces, pa.binary())],
+                                      names=["g", "blocks", "block", "id", "at", "bytes"])
 
     joined = lists.join(texts, F.col("id") == F.col("d")).select("id", "w", "packed")
     return joined.mapInArrow(cut, "g string, blocks int, block int, id long, at long, bytes binary")
