@@ -16,7 +16,7 @@ import pyarrow as pa
 
 from .textkit import SPACE, chunks, hashes, pieces, sums
 
-KEPT, BATCH = 1_000_000, 4096
+KEPT, BATCH = 1_500_000, 4096
 _U = np.uint64
 #: Bytes after a blank that surely begin a word: printable ASCII, or the lead byte of a Latin-1 letter.
 _BEGINS = np.zeros(256, bool)
