@@ -177,7 +177,7 @@ class SuffixArray:
             part = np.zeros(n, np.int64)
             part[: n - k] = self.text[k:]
             key = (key << 9) | np.where(self.rest > k, part, 0)
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         rank = np.empty(n, np.int64)
         head = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
         rank[order] = np.repeat(head, np.diff(np.append(head, n)))  # a group's rank is where it begins
@@ -192,7 +192,7 @@ class SuffixArray:
             group = np.flatnonzero(wide)
             who = order[group]
             after = np.where(self.rest[who] >= h, rank[np.minimum(who + h, n - 1)] + 1, 0)
-            by = np.lexsort((after, rank[who]))
+            by = np.argsort((rank[who] << 32) | after)  # places fit 31 bits: a shard is small
             order[group] = who = who[by]
             after = after[by]
             old = rank[who]
@@ -203,7 +203,8 @@ class SuffixArray:
             h *= 2
             if h > int(self.rest.max(initial=0)) + 1:
                 break
-        return order, rank
+        # equal suffixes go by place: Kasai's walk needs one order for them at every byte
+        return np.argsort((rank << 32) | np.arange(n)), rank
 
     def common(self) -> np.ndarray:
         """For each place in order, the common prefix with the place before: Kasai's walk along all strings at once,
