@@ -343,6 +343,41 @@ def test_nn_descent(spark):
     assert len(got) == len(rows) and nn_descent.near_duplicates(df.limit(0)).count() == 0
 
 
+def brute_links(x):
+    u = np.array(x) / np.linalg.norm(x, axis=1)[:, None]
+    link = u @ u.T >= 0.95
+    low = np.arange(len(x))
+    while (new := np.where(link, low, len(x)).min(1)).tolist() != low.tolist():
+        low = new
+    return {(k, int(n) - 1, int(low[k])) for k, n in enumerate(link.sum(1))}
+
+
+def dense(seed, groups, size, dims=24, spread=0.003):
+    """Pairs of tight groups, cosine about 0.96 between the two of a pair."""
+    rng, out = np.random.default_rng(seed), []
+    for _ in range(groups):
+        a, b = np.linalg.qr(rng.standard_normal((dims, 2)))[0].T
+        for centre in (a, 0.96 * a + 0.28 * b):
+            out.append(centre + spread * rng.standard_normal((size, dims)))
+    return np.concatenate([*out, rng.standard_normal((200, dims))])
+
+
+def links_of(spark, x):
+    df = spark.createDataFrame([(k, [float(c) for c in v]) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    return {(r.vec_id, r.n_links, r.component_id) for r in nn_descent.near_duplicates(df).collect()}
+
+
+def test_nn_descent_links_dense_groups(spark):
+    x = np.concatenate([dense(6, 2, 150), dense(6, 1, 1, spread=0)[[0] * 60]])  # and exact copies
+    assert links_of(spark, x) == brute_links(x)
+
+
+def test_nn_descent_lists_leave_dense_groups_without_audit(spark, monkeypatch):
+    monkeypatch.setattr(nn_descent, "audited", lambda placed, whole=False: (None, True, True))
+    x = dense(6, 2, 150)
+    assert links_of(spark, x) == brute_links(x)
+
+
 def test_compression_quality(spark, docs, labels):
     rng = np.random.default_rng(1)
     good = [(k, " ".join(words(80, 1000 + k)) + ".") for k in range(200)]
