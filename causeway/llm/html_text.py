@@ -58,6 +58,8 @@ GOOD_WORDS = frozenset(
     "maincontent".split()
 )
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+#: The end tags of elements of raw text, found without regard to what looks like tags or quotes before them.
+_ENDS = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I) for t in ("script", "style", "textarea", "title", "iframe")}
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _SPACES = re.compile(r"\s+")
@@ -94,12 +96,10 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
     """The elements in page order (0 is the root) and the run of texts and block ends: (element, text) or
     (element, None) where a block begins or ends."""
     nodes, run, stack = [Node("#root", -1, "")], [], [0]
-    at, raw = 0, ""
-    for m in _TAG.finditer(page):
+    at, look = 0, 0
+    while m := _TAG.search(page, look):
         closing, name = m[1], m[2]
-        if raw:  # inside an element of raw text only its own end tag counts
-            if not (closing and name and name.lower() == raw):
-                continue
+        look = m.end()
         if m.start() > at and page[at : m.start()]:
             run.append((stack[-1], page[at : m.start()]))
         at = m.end()
@@ -109,7 +109,6 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
         if tag in BLOCK or tag == "br":
             run.append((stack[-1], " " if tag == "br" else None))
         if closing:
-            raw = ""
             for k in range(len(stack) - 1, 0, -1):
                 open_tag = nodes[stack[k]].tag
                 if open_tag == tag:
@@ -131,8 +130,9 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
         nodes[stack[-1]].children += 1
         if tag not in VOID and not m[3].endswith("/"):
             stack.append(len(nodes) - 1)
-            if tag in RAW and tag not in ("svg", "select", "option", "math", "object", "noscript", "template"):
-                raw = tag
+            if tag in _ENDS:  # inside an element of raw text only its own end tag counts
+                end = _ENDS[tag].search(page, at)
+                look = end.start() if end else len(page)
         elif tag in VOID:
             nodes.pop() if nodes[-1].children == 0 else None
     if at < len(page):

@@ -308,6 +308,15 @@ def test_html_text(spark):
     assert html_text.main_texts(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("raw", [
+    "<script>for(i=0;i<n;i++)f()</script>", "<script>s = \"it's <b>\"; t = '<a href=\"'</script>", "<style>p:after{content:'<x'}</style>",
+    "<SCRIPT>if(a<b)x=\"</p>\"</Script >", "<script>a<!--b</script>", "<script></script>", "<title>x<y</title>", "<script>'</scripts>'</script>"])
+def test_html_raw_text_ends_at_its_end_tag(raw):
+    story = "<article><h1>Head</h1><p>The story starts here, and goes on.</p></article>"
+    assert html_text.extract(f"<body>{raw}{story}{raw}{story}</body>") == "\n".join(["Head", "The story starts here, and goes on."] * 2)
+    assert html_text.extract(f"<body>{story}<script>for(i=0;i<n;i++)") == "Head\nThe story starts here, and goes on."
+
+
 def test_html_messages_equal_enumeration():
     page = "<body><nav><a href=a>x</a></nav><div class=post><p>Some text, here. And more.</p></div></body>"
     nodes, _ = html_text.parse(page)
