@@ -387,6 +387,16 @@ def test_nn_descent_lists_leave_dense_groups_without_audit(spark, monkeypatch):
     assert links_of(spark, x) == brute_links(x)
 
 
+def test_nn_descent_audit_takes_no_links_as_no_evidence(spark, monkeypatch):
+    monkeypatch.setattr(nn_descent, "SLICE", 1 << 13)  # eight slices or so
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((500, 16))
+    x[490:] = x[:10] + 0.01
+    vec = spark.createDataFrame([(k, [float(c) for c in v], k) for k, v in enumerate(x)], "id long, vec array<double>, root long")
+    edges, met, every = nn_descent.audited(vec)
+    assert {tuple(sorted(r)) for r in edges.collect()} == {(k, 490 + k) for k in range(10)} and not met and every
+
+
 def test_compression_quality(spark, docs, labels):
     rng = np.random.default_rng(1)
     good = [(k, " ".join(words(80, 1000 + k)) + ".") for k in range(200)]
