@@ -3,8 +3,10 @@
 Statistics come from one pass over the text, without a shuffle. Each statistic has a forest of its own, grown on a
 bounded sample of labelled rows (SAMPLE) that pass the base rule; a forest over all statistics at once let the many
 harmless ones drown the telling one (2 % of bad rows found against 100 %). Thresholds are calibrated on the same
-rows: halfway from the score that at most MAX_LOSS of the good rows exceed to where the bad rows above it begin; a
-statistic that finds less than MIN_GAIN of the bad rows is not used. The model is a few hundred kilobytes whatever the corpus, and
+rows: halfway from a score of good rows to where the bad rows above it begin. That score is the highest, unless passing
+over a few extreme good rows, at most MAX_LOSS, finds at least PRICE times as many bad rows as chance and PRICE for
+each: they are taken for mislabelled. A statistic is used where the bad rows found are more than chance gives (CHANCE),
+however few they are among all bad rows, or at least MIN_GAIN of them with no good row. The model is a few hundred kilobytes whatever the corpus, and
 every document is scored.
 
 Defined cases: a null or empty text has no words, all counts 0, and fails the base rule; a null doc_id stays null;
@@ -28,8 +30,8 @@ from .textkit import SPACE, SYMBOL, chunks, hashes, pieces, sums, windows
 #: The forest sees at most so many labelled rows, those with the smallest hash of their doc_id.
 SAMPLE = 20_000
 TREES, NODE_ROWS, SEED = 100, 256, 7
-#: Share of good labelled rows that a threshold may call anomalous, and of bad ones that it must.
-MAX_LOSS, MIN_GAIN = 0.0, 0.2
+#: Share of good labelled rows that a threshold may call anomalous, what each must bring, and what bad rows show.
+MAX_LOSS, PRICE, MIN_GAIN, CHANCE = 0.01, 10, 0.2, 1e-6
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -176,6 +178,22 @@ def _sampled(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return known.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id", "quality").limit(sample)
 
 
+def _threshold(good: np.ndarray, bad: np.ndarray) -> float | None:
+    """The threshold for these scores, or None where bad rows don't stand out."""
+    if not len(bad):
+        return None
+    tops = np.sort(good)[::-1][: 1 + int(np.ceil(MAX_LOSS * len(good)))]
+    beyond, lost = (bad[:, None] > tops + 1e-9).sum(0), (good[:, None] > tops + 1e-9).sum(0)
+    best = int(np.argmax(beyond - lost * PRICE * max(1.0, len(bad) / len(good))))
+    n, chance = int(beyond[best]), len(bad) * (lost[best] + 1) / (len(good) + 1)
+    if n <= chance or n * np.log(n / chance) - (n - chance) < -np.log(CHANCE):  # a bound of the Poisson tail
+        best = 0
+        if beyond[0] < max(MIN_GAIN * len(bad), 1):
+            return None
+    top = float(tops[best])
+    return (top + float(np.quantile(bad[bad > top + 1e-9], 0.05))) / 2
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Rules:
     """Forests and thresholds from at most `sample` labelled rows; only their texts are read for it."""
     known = _sampled(labels, sample)
@@ -194,10 +212,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Rules:
     for k in range(x.shape[1]):
         forest = grow(x[:, k : k + 1], seed=SEED + k)
         score = forest.scores(x[:, k : k + 1])
-        top = float(np.quantile(score[good], 1 - MAX_LOSS, method="higher"))
-        beyond = score[~good & (score > top + 1e-9)]
-        if len(beyond) >= MIN_GAIN * (~good).sum():
-            used.append((k, forest, (top + float(np.quantile(beyond, 0.05))) / 2))
+        threshold = _threshold(score[good], score[~good])
+        if threshold is not None:
+            used.append((k, forest, threshold))
     return Rules(used)
 
 

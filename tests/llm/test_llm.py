@@ -77,6 +77,25 @@ def test_quality_counts(spark, docs, labels):
     assert kept.columns == docs.columns and 13 not in [r.doc_id for r in kept.collect()]
 
 
+def test_quality_keeps_forests_of_rare_kinds_and_noisy_labels(spark):
+    rng = np.random.default_rng(3)
+    plain = [" ".join(words(80, 100 + k)) for k in range(600)]
+    odd = [" ".join(words(80, 9000 + k) + ["#$%&"] * int(rng.integers(60, 90))) for k in range(31)]
+    texts = [*plain[:400], odd[0], *plain[400:], *odd[1:]]  # one odd text labelled good; 30 of 230 bad ones are odd
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k <= 400)) for k in range(len(texts))], "doc_id long, quality int")
+    got = quality_rules.rules(docs, labels).toPandas().set_index("doc_id").kept
+    assert got[range(400)].mean() > 0.99 and not got[range(601, 631)].any()
+
+
+def test_quality_threshold_needs_more_than_chance():
+    rng = np.random.default_rng(0)
+    good, bad = rng.uniform(0, 0.5, 2000), rng.uniform(0, 0.5, 1000)
+    assert quality_rules._threshold(good, bad) is None
+    assert 0.5 < quality_rules._threshold(good, np.append(bad, np.full(12, 0.9))) < 0.9
+    assert 0.4 < quality_rules._threshold(np.append(good, 0.95), np.append(bad, np.full(60, 0.9))) < 0.9
+
+
 def brute_components(rows):
     sets = []
     for d, t in rows:
