@@ -10,8 +10,9 @@ All ids are packed. Where a queue runs dry the others' shares rise. Documents ar
 except the last, whose tokens form sequences of powers of two, so nothing is padded.
 
 Two passes: the first encodes every text once and writes ids (two bytes each) with their place in their queue; the
-second cuts them. Only token totals of queues come to the driver: at most QUEUES numbers, as sources beyond the
-QUEUES - 1 largest share one queue.
+second cuts them. Only the name and token total of each source come to the driver. With more than QUEUES sources, the
+smaller ones form pools: a pool is a queue with the shares of its sources together, and the same round-robin runs
+inside it over its sources.
 
 Defined cases: a null or empty text is one end id; a null source is a queue of its own; a null doc_id stays null;
 repeated rows are packed each; extra columns are ignored; an empty table gives an empty result.
@@ -76,13 +77,14 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
 class Schedule:
     """Which tokens of each queue go to which window, for queue totals and target shares."""
 
-    def __init__(self, totals: np.ndarray, shares: np.ndarray) -> None:
+    def __init__(self, totals: np.ndarray, shares: np.ndarray, length: int = LENGTH) -> None:
+        self.length = length
         self.totals = totals.astype(np.int64)
         shares = np.where(totals > 0, shares, 0).astype(float)
         # a queue without a share comes after all others
         self.shares = np.where((totals > 0) & (shares <= 0), 1e-9 * max(shares.sum(), 1), shares)
         self.tokens = int(self.totals.sum())
-        self.windows = self.tokens // LENGTH
+        self.windows = self.tokens // self.length
         self.held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.stands: dict[int, np.ndarray] = {}
 
@@ -119,15 +121,15 @@ class Schedule:
             if len(self.held) >= 16:
                 self.held.pop(next(iter(self.held)))
             first, last = b * BLOCK, min((b + 1) * BLOCK, self.windows)
-            (stand, deficit), end = self._fluid(first * LENGTH), self.standing(last * LENGTH)
+            (stand, deficit), end = self._fluid(first * self.length), self.standing(last * self.length)
             cuts = np.empty((len(stand), last - first + 1), np.int64)
             cuts[:, 0] = stand
             left = end - stand
             for w in range(1, last - first + 1):
                 active = self.shares * (left > 0)
-                deficit = deficit + active * (LENGTH / active.sum())
+                deficit = deficit + active * (self.length / active.sum())
                 give = np.minimum(np.maximum(np.floor(deficit), 0).astype(np.int64), left)
-                short = LENGTH - int(give.sum())
+                short = self.length - int(give.sum())
                 while short > 0:  # rounding: the largest deficits first
                     able = np.flatnonzero(left > give)
                     take = able[np.argsort(give[able] - deficit[able], kind="stable")][:short]
@@ -147,15 +149,15 @@ class Schedule:
 
     def tail(self) -> np.ndarray:
         """Where the sequences of the unfinished last window begin: powers of two, largest first, and the end."""
-        rest = self.tokens - self.windows * LENGTH
-        sizes = [1 << k for k in range(LENGTH.bit_length(), -1, -1) if rest >> k & 1]
+        rest = self.tokens - self.windows * self.length
+        sizes = [1 << k for k in range(self.length.bit_length(), -1, -1) if rest >> k & 1]
         return np.cumsum([0, *sizes])
 
     def place(self, q: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Rows (document, token, length, sequence, offset) of the pieces of documents k: tokens first[k] and the n[k] - 1
         after it of queue q[k], where token counts in the queue."""
         out = [np.zeros((0, 5), np.int64)]
-        full = self.standing(self.windows * LENGTH) if self.windows else np.zeros(len(self.totals), np.int64)
+        full = self.standing(self.windows * self.length) if self.windows else np.zeros(len(self.totals), np.int64)
         for one in np.unique(q).tolist():
             who = np.flatnonzero(q == one)
             start, end = first[who], first[who] + n[who]
@@ -206,27 +208,78 @@ class Schedule:
         if b not in self.stands:
             if len(self.stands) > 4096:
                 self.stands.clear()
-            self.stands[b] = self.standing(b * BLOCK * LENGTH)
+            self.stands[b] = self.standing(b * BLOCK * self.length)
         return self.stands[b]
 
 
+class Pools:
+    """A schedule of any number of queues: the largest, and pools of the others that have schedules of their own."""
+
+    def __init__(self, totals: np.ndarray, shares: np.ndarray, most: int = QUEUES) -> None:
+        self.top, self.inside = np.arange(len(totals)), np.zeros(len(totals), np.int64)
+        self.pools: dict[int, Schedule] = {}
+        if len(totals) > most:
+            order, half = np.argsort(-totals, kind="stable"), most // 2
+            self.top[order[:half]] = np.arange(half)
+            rest, queues = order[half:], [np.array([k]) for k in order[:half]]
+            # a pool's sources run dry at about the same time; those without a share are apart
+            by_end = rest[np.argsort(totals[rest] / np.where(shares[rest] > 0, shares[rest], np.inf), kind="stable")]
+            size = max(most, -(-len(rest) // half))
+            for some in (by_end[shares[by_end] > 0], by_end[shares[by_end] <= 0]):
+                for pool in (some[at : at + size] for at in range(0, len(some), size)):
+                    self.top[pool], self.inside[pool] = len(queues), np.arange(len(pool))
+                    # one turn of a pool is what it gives to a window
+                    turn = int(LENGTH * np.maximum(shares[pool], 0).sum() / max(np.maximum(shares, 0).sum(), 1e-300))
+                    self.pools[len(queues)] = Schedule(totals[pool], shares[pool], turn or LENGTH)
+                    queues.append(pool)
+            totals, shares = (np.array([x[k].sum() for k in queues]) for x in (totals, np.maximum(shares, 0)))
+        self.schedule = Schedule(totals, shares)
+
+    def place(self, q: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """As Schedule.place, for queues of all sources."""
+        if not self.pools:
+            return self.schedule.place(q, first, n)
+        top = self.top[q]
+        alone = np.flatnonzero(~np.isin(top, list(self.pools)))
+        # document, first token in its source, first token in the queue, length, queue
+        parts = [np.column_stack([alone, first[alone], first[alone], n[alone], top[alone]])]
+        for one in np.unique(top).tolist():
+            if one in self.pools:
+                who, pool = np.flatnonzero(top == one), self.pools[one]
+                k, token, length, sequence, offset = pool.place(self.inside[q[who]], first[who], n[who]).T
+                begin = np.where(sequence < pool.windows, sequence * pool.length, pool.windows * pool.length + pool.tail()[
+                    np.maximum(sequence - pool.windows, 0)])
+                parts.append(np.column_stack([who[k], token, begin + offset, length, np.full(len(k), one)]))
+                pool.held.clear()  # there may be many pools
+        doc, token, begin, length, top = np.concatenate(parts).T
+        k, at, length, sequence, offset = self.schedule.place(top, begin, length).T
+        rows = np.column_stack([doc[k], token[k] + at - begin[k], length, sequence, offset])
+        rows = rows[np.lexsort([rows[:, 1], rows[:, 0]])]
+        # pieces cut at a window of the pool only are one again
+        a, b = rows[:-1], rows[1:]
+        new = (a[:, [0, 3]] != b[:, [0, 3]]).any(1) | (a[:, 1] + a[:, 2] != b[:, 1]) | (a[:, 4] + a[:, 2] != b[:, 4])
+        starts = np.flatnonzero(np.concatenate([[True], new])[: len(rows)])
+        if len(starts):
+            rows[starts, 2] = np.add.reduceat(rows[:, 2], starts)
+        return rows[starts]
+
+
 def pack(docs: DataFrame, weights: dict[str, float] | None = None, path: str | None = None) -> DataFrame:
     """PIECES of all documents. weights: target token shares by source, else the shares of the corpus itself."""
     path = path or tokenizer_path(TOKENIZER)
     table = written(encoded(docs, path), "ids")
     part = table.groupBy("source", "part").agg(F.sum("n").alias("n"))
     total = part.groupBy("source").agg(F.sum("n").alias("n"))
-    large = total.orderBy(F.desc("n"), "source").limit(QUEUES - 1).toPandas()  # bounded by QUEUES
-    large = large.sort_values("source", na_position="first", ignore_index=True)
-    rest = int(total.agg(F.sum("n")).first()[0] or 0) - int(large["n"].sum())
-    names = [None if pd.isna(x) else x for x in large["source"]]
-    totals = np.array([*large["n"], rest], np.int64)
-    shares = totals.astype(float) if weights is None else np.array([weights.get(x, 0.0) for x in names] + [0.0])
-    schedule = Schedule(totals, shares)
+    each = total.toPandas().sort_values("source", na_position="first", ignore_index=True)  # a row for each source
+    names = [None if pd.isna(x) else x for x in each["source"]]
+    totals = each["n"].to_numpy(np.int64)
+    shares = totals.astype(float) if weights is None else np.array([weights.get(x, 0.0) for x in names], float)
+    schedule = Pools(totals, shares)
     queue = docs.sparkSession.createDataFrame(
         pd.DataFrame({"s": pd.Series(names, dtype=object), "q": range(len(names))}), "s string, q int")
-    part = part.join(F.broadcast(queue), F.col("source").eqNullSafe(F.col("s")), "left")
-    part = part.select("source", "part", "n", F.coalesce("q", F.lit(len(names))).alias("q"))
+    if len(names) <= BROADCAST_ROWS:
+        queue = F.broadcast(queue)
+    part = part.join(queue, F.col("source").eqNullSafe(F.col("s"))).select("source", "part", "n", "q")
     # a queue's stream goes by source and reader: one row each, so the window is as small as the list of readers
     run = Window.partitionBy("q").orderBy("source", "part").rowsBetween(Window.unboundedPreceding, -1)
     base = part.select("source", "part", "q", F.coalesce(F.sum("n").over(run), F.lit(0)).alias("base"))

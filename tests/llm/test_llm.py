@@ -256,6 +256,40 @@ def test_schedule_holds_shares_and_carries_deficits():
     assert abs(full.cumsum(1) - want).max() < 4
 
 
+@pytest.mark.parametrize("weighted", [False, True])
+def test_packing_pools_keep_shares(weighted):
+    rng = np.random.default_rng(2)
+    totals = rng.integers(20_000, 60_000, 50)
+    shares = rng.permutation(totals).astype(float) if weighted else totals.astype(float)
+    s, n = packing.Pools(totals, shares, 8), np.full(50, 1000)
+    assert s.pools
+    rows = []
+    for q, total in enumerate(totals.tolist()):
+        first = np.arange(0, total, 1000)
+        size = np.minimum(1000, total - first)
+        got = s.place(np.full(len(first), q), first, size)
+        assert (np.bincount(got[:, 0], got[:, 2], len(first)) == size).all()
+        rows.append(np.column_stack([np.full(len(got), q), got]))
+    q, _, _, length, window, offset = np.concatenate(rows).T
+    order = np.lexsort([offset, window])
+    assert (np.bincount(window, length)[: totals.sum() // packing.LENGTH] == packing.LENGTH).all()
+    same = window[order][1:] == window[order][:-1]
+    assert (offset[order][1:] == np.where(same, (offset + length)[order][:-1], 0)).all()
+    early = window < 150  # no source is dry yet
+    got = np.bincount(q[early], length[early], 50) / length[early].sum()
+    assert abs(got / (shares / shares.sum()) - 1).max() < 0.1
+
+
+def test_packing_with_pools_packs_every_source(spark, monkeypatch):
+    monkeypatch.setattr(packing.Pools.__init__, "__defaults__", (4,))
+    rows = [(k, " ".join(words(40 + k, k)), f"s{k % 23}") for k in range(400)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
+    assert (got.groupby("doc_id").length.sum() == got.groupby("doc_id").doc_tokens.first()).all() and got.doc_id.nunique() == 400
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert (g.offset.to_numpy() == np.cumsum([0, *g.length])[:-1]).all()
+        assert g.length.sum() < packing.LENGTH or g.source.nunique() == 23
+
+
 def test_mixing(spark, docs):
     rates = {r.source: r for r in mixing.rates(docs).collect()}
     mass = Counter()
