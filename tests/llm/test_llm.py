@@ -337,6 +337,12 @@ def test_pii_surrogates(spark, docs):
     assert pii.scrub(docs.limit(0)).count() == 0
 
 
+def test_pii_finds_keys_without_digits(spark):
+    keys = ["AKIA" + "QWERTYUI" * 2, "ASIA" + "QWERTYUI" * 2, "ghp_" + "abcdefghij" * 2, "sk-" + "abcdefghij" * 2, "eyJabcdefgh.abcdefgh.abcdefgh"]
+    got = [r.text for r in pii.scrub(spark.createDataFrame([(f"see {k} here",) for k in keys], "text string")).collect()]
+    assert all(k not in text for k, text in zip(keys, got, strict=True))
+
+
 def test_pii_is_a_permutation(spark):
     rows = [(f"{a}.{b}.7.9 call +1 ({100 + a}) 555-{1000 + b} or u{a}{b}@ex.org",) for a in range(1, 30) for b in range(1, 30)]
     df = spark.createDataFrame(rows, "text string")
