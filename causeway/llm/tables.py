@@ -15,11 +15,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as spark.checkpoint.dir names it; a temporary one only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: spark.checkpoint.dir, or what the context was given. A temporary one only where
+    neither is set and all runs in one process (tests); elsewhere that is an error."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="causeway-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="causeway-"))
+        found = context.getCheckpointDir()
     return found.rstrip("/")
 
 
@@ -48,3 +52,11 @@ def own(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, found whatever other columns there are."""
     small_batches(df.sparkSession)
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with marks added until no column of df has it, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
