@@ -4,12 +4,15 @@ A page is parsed into a tree of elements. Every element is a node with a hidden
 seen at it (tag, class and id words, amount of text, share of link text, punctuation, place) has a probability under
 each state, and each child's state depends on its parent's. Sum-product messages go up the tree and down again and
 give each node's marginal probability of content, exactly, as a tree has no loops. Text belongs to its nearest element
-and is kept where that element's marginal is at least one half. Potentials are counted on the labelled pages in
-LABELLED, where content elements carry data-keep; adding pages there retrains the model.
+and is kept where that element's marginal is at least one half. Potentials are counted on labelled pages
+(labelled_pages), where content elements carry data-keep; adding pages there retrains the model. Names count by kind:
+words of boilerplate, of content, both, or a layout word beside them; names that only say what a page has or lacks
+(has-comments, no-sidebar) and those of html and body tell nothing.
 
-Tags that never hold text to read (scripts, styles, forms, ...) end as boilerplate with all below them, which is the
-model's limit for their evidence. Blocks are joined in page order by a newline; white space inside a block becomes one
-blank; character references are decoded.
+Tags that never hold text to read (scripts, styles, forms, ...) are boilerplate. Siblings aren't independent witnesses,
+so that what their plain tags and amounts of text tell is shared out among them: sixty long comments say no more than
+two. Blocks are joined in page order by a newline; white space inside a block becomes one blank; character references
+are decoded.
 
 Defined cases: a null or empty page has the text ''; a page cut off anywhere is read as far as it goes, an unfinished
 tag at its end is dropped; unclosed and stray tags are mended; a page without markup is content; repeated rows and null
@@ -21,12 +24,13 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import labelled_pages
 from .tables import own
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
@@ -48,54 +52,60 @@ CLOSES |= {t: {"p"} for t in BLOCK - CLOSES.keys() - {"html", "body"}}
 #: Words of class, id and role that tell boilerplate from content.
 BAD_WORDS = frozenset(
     "ad ads advert advertisement adverts banner sponsor sponsored promo promotion nav navigation navbar menu menubar "
-    "breadcrumb breadcrumbs sidebar side widget widgets footer foot header masthead cookie cookies consent notice "
+    "breadcrumb breadcrumbs sidebar widget widgets footer foot masthead cookie cookies consent notice "
     "notices alert popup modal overlay newsletter subscribe signup login share sharing social related recommended "
     "comment comments reply replies respond disqus reader readers discussion form search pagination pager toolbar "
     "legal copyright disclaimer tags rss skip complementary contentinfo".split()
 )
+HEAD_WORDS = frozenset("header head top".split())
+LAYOUT_WORDS = frozenset("row col left right side template grid".split())
+#: First or last words of names that say what a page or an element has, not what it is.
+ABOUT_WORDS = frozenset("no not non without has have with is open layout".split())
 GOOD_WORDS = frozenset(
     "article articlebody articletext story storybody main content contents entry post posttext body text prose page "
     "maincontent".split()
 )
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+#: Quotes count after an equals sign only, and only where they are closed.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 #: The end tags of elements of raw text, found without regard to what looks like tags or quotes before them.
 _ENDS = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I) for t in ("script", "style", "textarea", "title", "iframe")}
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-_WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACES = re.compile(r"\s+")
 
-#: Labelled pages. data-keep marks elements whose own text is content.
-LABELLED = (
-    """<html><head><title>A title</title><style>p{}</style><script>x()</script></head><body><nav><ul><li><a href=a>Home</a></li><li><a href=b>News</a></li></ul></nav><div class="ad">Buy this now.</div><article data-keep><h1 data-keep>A title</h1><p data-keep>First long paragraph of the story, with a comma and a stop. It goes on for some time.</p><p data-keep><b data-keep>Bold words here.</b> and more text, as it should be.</p><p data-keep>Short.</p></article><footer>&copy; site. All rights.</footer></body></html>""",
-    """<body><header class="site-header"><h2>Site name</h2><a href=a>About</a></header><div id="menu"><a href=a>One</a> <a href=b>Two</a> <a href=c>Three</a></div><main data-keep><section data-keep><h2 data-keep>Heading of a part</h2><p data-keep>Text of the part, which says something. And another sentence follows here.</p><ul data-keep><li data-keep>An item of the text, as a sentence.</li><li data-keep>Another item.</li></ul><blockquote data-keep><p data-keep>What somebody said, word for word.</p></blockquote></section></main><aside class="sidebar"><h3>Related</h3><p>You may also like this story about a thing.</p></aside><div class="comments"><h3>Comments</h3><p>I disagree with all of it, said a reader. It is wrong.</p></div><footer><p>Contact us at the office. Terms apply.</p></footer></body>""",
-    """<body><div class="cookie-notice"><p>We use cookies on this site. Accept them, please.</p></div><div id="nav"><ul><li><a href=x>World</a></li></ul></div><div id="content" data-keep><h1 data-keep>Headline</h1><div class="story-body" data-keep><p data-keep>The story starts with this sentence, and goes on. It has <a href=x data-keep>a link</a> inside.</p><div class="ad"><p>Advert text, cheap offers. Click here today.</p></div><p data-keep>It ends here.</p><table data-keep><tbody data-keep><tr data-keep><td data-keep>Cell one</td><td data-keep>12</td></tr></tbody></table></div></div><div class="newsletter"><form><label>Mail</label><input><button>Send</button></form></div></body>""",
-    """<body><div class="wrapper" data-keep><div class="top-banner">Subscribe now and save.</div><div class="post" data-keep><h2 data-keep>Post title</h2><div data-keep>Text without a paragraph tag, long enough to be content of the page, with commas, stops. And so on.</div><pre data-keep>code = 1</pre><div class="share"><a href=a>Share</a><a href=b>Post</a></div></div><div class="respond"><h3>Leave a reply</h3><p>Your mail will not be shown, of course. Fields are needed.</p></div></div><div class="footer"><span>Copyright</span></div></body>""",
-    """<html><body><p data-keep>A plain page with a paragraph, no more than that.</p><p data-keep>And a second <em data-keep>one</em> here.</p></body></html>""",
-    """<html><body><h1 data-keep>Only a heading</h1><div data-keep><span data-keep>Words in a span, part of the text.</span></div><section class="related-posts"><h2>More stories</h2><div>Another headline from elsewhere, with words. Read it.</div></section></body></html>""",
-    """<html><body><article data-keep><h2 data-keep>Steps</h2><ul data-keep><li data-keep>One</li><li data-keep>Two</li><li data-keep>Three of them</li><li data-keep>Four</li></ul><p data-keep>Then this.</p><ol data-keep><li data-keep>First</li><li data-keep>Second</li><li data-keep>Third</li></ol><dl data-keep><dt data-keep>Term</dt><dd data-keep>Meaning</dd></dl><div data-keep><em data-keep>End</em></div></article></body></html>""",
-)
+@lru_cache(1 << 14)
+def naming(attrs: str) -> tuple[int, bool]:
+    """(kind of the names in the attributes of a tag, whether it is labelled as content)."""
+    bad = good = head = layout = False
+    for name, *values in _ATTR.findall(attrs):
+        if name.lower() in ("class", "id", "role"):
+            for token in "".join(values).split():
+                words = [w.lower() for w in _WORD.findall(token)]
+                if not words or words[0] in ABOUT_WORDS or words[-1] in ABOUT_WORDS:
+                    continue
+                bad |= not BAD_WORDS.isdisjoint(words)
+                good |= not GOOD_WORDS.isdisjoint(words)
+                head |= not HEAD_WORDS.isdisjoint(words)
+                layout |= not LAYOUT_WORDS.isdisjoint(words)
+    kind = 3 if bad and good else 4 if bad and layout else 1 if bad else 6 if head and good else 5 if head else 2 if good else 0
+    return kind, "data-keep" in attrs
 
 
 class Node:
     """An element: its place in the tree and what is seen at it."""
 
-    __slots__ = ("tag", "parent", "words", "keep", "text", "link", "marks", "children")
+    __slots__ = ("tag", "parent", "kind", "keep", "text", "link", "marks", "children", "anchor")
 
-    def __init__(self, tag: str, parent: int, attrs: str) -> None:
-        self.tag, self.parent, self.words, self.keep = tag, parent, frozenset(), False
+    def __init__(self, tag: str, parent: int, attrs: str, anchor: int) -> None:
+        self.tag, self.parent, self.anchor = tag, parent, anchor
+        self.kind, self.keep = naming(attrs) if attrs and not attrs.isspace() else (0, False)
         self.text = self.link = self.marks = self.children = 0
-        if attrs and not attrs.isspace():
-            found = set()
-            for name, *values in _ATTR.findall(attrs):
-                if name.lower() in ("class", "id", "role"):
-                    found |= {w.lower() for w in _WORD.findall("".join(values))}
-            self.words, self.keep = frozenset(found), "data-keep" in attrs
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
     """The elements in page order (0 is the root) and the run of texts and block ends: (element, text) or
     (element, None) where a block begins or ends."""
-    nodes, run, stack = [Node("#root", -1, "")], [], [0]
+    nodes, run, stack = [Node("#root", -1, "", -1)], [], [0]
     at, look = 0, 0
     while m := _TAG.search(page, look):
         closing, name = m[1], m[2]
@@ -126,7 +136,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
                     del stack[k:]
                 elif open_tag in BLOCK:
                     break
-        nodes.append(Node(tag, stack[-1], m[3]))
+        top = nodes[stack[-1]]
+        nodes.append(Node(tag, stack[-1], m[3], len(nodes) if tag == "a" else top.anchor))
         nodes[stack[-1]].children += 1
         if tag not in VOID and not m[3].endswith("/"):
             stack.append(len(nodes) - 1)
@@ -143,11 +154,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
             n = len(text)
             node.text += n
             node.marks += text.count(".") + text.count(",")
-            while k > 0:
-                if nodes[k].tag == "a":
-                    node.link += n
-                    break
-                k = nodes[k].parent
+            if node.anchor >= 0:
+                node.link += n
     return nodes, run
 
 
@@ -163,11 +171,19 @@ def observed(nodes: list[Node]) -> tuple[np.ndarray, np.ndarray]:
         link[p] += link[k]
         marks[p] += marks[k]
     share = link / np.maximum(text, 1)
+    titled = set()  # elements with a headline of the first order
+    for k, n in enumerate(nodes):
+        while n.tag == "h1" and k > 0 and parent[k] not in titled:
+            k = int(parent[k])
+            titled.add(k)
     out = np.zeros((len(nodes), 5), np.int64)
     for k, n in enumerate(nodes):
         out[k, 0] = KINDS.get(n.tag, 0)
-        bad, good = bool(n.words & BAD_WORDS), bool(n.words & GOOD_WORDS)
-        out[k, 1] = 1 if bad else 2 if good else 0
+        out[k, 1] = n.kind if out[k, 0] != KINDS["body"] else 0
+        if out[k, 0] == KINDS["header"] and k not in titled:
+            out[k, 0] = BARE_HEADER
+        if n.kind >= 5:  # names of a header: what it holds tells whose
+            out[k, 1] = 6 if k in titled else 5
     out[:, 2] = np.digitize(text, (1, 25, 80, 300))
     out[:, 3] = np.digitize(share, (0.01, 0.3, 0.7))
     out[:, 4] = np.digitize(marks / np.maximum(text, 1), (0.002, 0.02))
@@ -185,20 +201,25 @@ _GROUPS = (
 )
 KINDS = {tag: k + 1 for k, tags in enumerate(_GROUPS) for tag in tags.split()}
 INLINE = KINDS["span"], KINDS["a"]
-SIZES = (len(_GROUPS) + 1, 3, 5, 4, 3)
+BARE_HEADER = len(_GROUPS) + 1
+SIZES = (len(_GROUPS) + 2, 7, 5, 4, 3)
 #: How much each kind of evidence counts: tag and names tell more than amounts of text.
-POWER = (1.0, 1.6, 0.5, 0.7, 0.4)
-#: What no page shows otherwise: these elements are boilerplate whatever is seen around them.
-SURE = KINDS["script"], KINDS["nav"], KINDS["aside"], KINDS["footer"]
+POWER = (1.5, 1.6, 0.5, 0.7, 0.4)
+#: Siblings look alike for one reason: what their amounts of text and plain tags tell counts for about so many of them.
+SIBLINGS = 2.0
+PLAIN = tuple(KINDS[t] for t in ("p", "h1", "span", "a", "ul", "table")) + (0,)
+PLAIN_POWER = 0.4
+#: The log-odds against content of elements that hold no text to read.
+NEVER_LOG = 50.0
 
 
 class Potentials:
     """Log-probabilities of what is seen under each state, of a child's state given its parent's, and of the root's."""
 
-    def __init__(self, pages: tuple[str, ...] = LABELLED) -> None:
+    def __init__(self, pages: tuple[str, ...] | None = None) -> None:
         seen = [np.full((2, n), 0.5) for n in SIZES]
-        pairs = np.array([[6.0, 0.05], [1.0, 3.0]])  # parent, child: below boilerplate hardly anything is content
-        for page in pages:
+        pairs = np.array([[1.0, 0.05], [1.0, 1.0]])  # parent, child: below boilerplate hardly anything is content
+        for page in labelled_pages.training() if pages is None else pages:
             nodes, _ = parse(page)
             values, parent = observed(nodes)
             keep = [n.keep for n in nodes]
@@ -213,12 +234,20 @@ class Potentials:
         self.pairs = np.log(pairs / pairs.sum(1, keepdims=True))
         self.root = np.log(np.array([0.05, 0.95]))
 
+    def evidence(self, nodes: list[Node]) -> tuple[np.ndarray, np.ndarray]:
+        """(log-probability of what is seen at each node under each state, parents)."""
+        values, parent = observed(nodes)
+        tag, name, *amounts = (t[:, values[:, f]].T for f, t in enumerate(self.seen))
+        siblings = np.array([nodes[p].children if p >= 0 else 1 for p in parent])
+        share = np.minimum(1, SIBLINGS / np.maximum(siblings, 1))[:, None]
+        own_log = name * np.where(values[:, 1:2] == 0, share, 1) + tag * np.where(
+            np.isin(values[:, :1], PLAIN), PLAIN_POWER * share, 1) + sum(amounts) * share
+        own_log[values[:, 0] == KINDS["script"], 1] -= NEVER_LOG
+        return own_log, parent
+
     def content(self, nodes: list[Node]) -> np.ndarray:
         """Each node's marginal probability of content, by messages up and then down the tree."""
-        values, parent = observed(nodes)
-        own_log = sum(t[:, values[:, f]] for f, t in enumerate(self.seen)).T.copy()
-        sure = np.isin(values[:, 0], SURE) | (values[:, 1] == 1)
-        own_log[sure, 1] -= 12.0
+        own_log, parent = self.evidence(nodes)
         up = own_log.copy()  # what is seen in the subtree, for each state of its top
         message = np.zeros_like(up)
         for k in range(len(nodes) - 1, 0, -1):
@@ -242,12 +271,17 @@ def potentials() -> Potentials:
     return Potentials()
 
 
-def extract(page: str | None) -> str:
+def extract(page: str | None, model: Potentials | None = None) -> str:
     """The main text of a page."""
     if not page:
         return ""
     nodes, run = parse(page)
-    keep = potentials().content(nodes) >= 0.5
+    keep = (model or potentials()).content(nodes) >= 0.5
+    return joined(run, keep)
+
+
+def joined(run: list[tuple[int, str | None]], keep: np.ndarray) -> str:
+    """The texts of kept elements as blocks."""
     blocks, now = [], []
     for k, text in [*run, (0, None)]:
         if text is None:
@@ -261,13 +295,14 @@ def extract(page: str | None) -> str:
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
-    """SCHEMA for every row of pages, in one pass without a shuffle."""
+    """SCHEMA for every row of pages, in one pass without a shuffle; the model (a few kilobytes) goes with the task."""
+    model = potentials()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for at in range(0, big.num_rows, 500):
                 batch = big.slice(at, 500)
-                texts = [extract(page) for page in batch.column(2).to_pylist()]
+                texts = [extract(page, model) for page in batch.column(2).to_pylist()]
                 yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string()),
                                        pa.array([len(t) for t in texts], pa.int64())],
                                       names=["page_id", "url", "text", "n_chars"])

@@ -380,10 +380,7 @@ def test_html_messages_equal_enumeration():
     page = "<body><nav><a href=a>x</a></nav><div class=post><p>Some text, here. And more.</p></div></body>"
     nodes, _ = html_text.parse(page)
     m = html_text.potentials()
-    values, parent = html_text.observed(nodes)
-    own = sum(t[:, values[:, f]] for f, t in enumerate(m.seen)).T.copy()
-    sure = np.isin(values[:, 0], html_text.SURE) | (values[:, 1] == 1)
-    own[sure, 1] -= 12.0
+    own, parent = m.evidence(nodes)
     total = np.zeros((len(nodes), 2))
     for code in range(2 ** len(nodes)):
         s = [(code >> k) & 1 for k in range(len(nodes))]
