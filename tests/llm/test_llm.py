@@ -330,7 +330,7 @@ def test_pii_surrogates(spark, docs):
     card = re.findall(r"\b4[0-9]{15}\b", got[0])[0]
     digits = [int(c) for c in card][::-1]
     assert sum(d if k % 2 == 0 else (2 * d - 9 * (d > 4)) for k, d in enumerate(digits)) % 10 == 0
-    assert "+1 (" in got[0] and "password=" in got[0] and "Mrs. M" in got[0] and "3.5 and v1.2" in got[0]
+    assert "+1 (" in got[0] and "password=" in got[0] and re.search("Mrs[.] [A-Z][a-z]+ia ", got[0]) and "3.5 and v1.2" in got[0]
     assert re.search(r"Господин [А-Я][а-я]+ [А-Я][а-я]+", got[0])
     assert pii.scrub(docs).where("text is null").count() == 1 and pii.scrub(docs).columns == docs.columns
     assert any("﷐" in (r.text or "") for r in pii.scrub(docs).collect())
@@ -349,8 +349,8 @@ def test_pii_is_a_permutation(spark):
     e = pii.entities(df).toPandas()
     assert pii.collisions(df).count() == 0
     assert e.groupby("kind").surrogate.nunique().sum() == len(e) == len(set(e.entity)) and (e.entity != e.surrogate).all()
-    again = pii.scrub(df).collect()
-    assert [r.text for r in again] == [r.text for r in pii.scrub(df.repartition(5)).orderBy("text").collect()] or len(again) == len(rows)
+    texts = lambda d: sorted(r.text for r in pii.scrub(d).collect())
+    assert texts(df) == texts(df.repartition(5)) and len(set(texts(df))) == len(rows)
 
 
 def test_html_text(spark):
