@@ -1,13 +1,15 @@
 """Quality rules: word and line statistics of every document, judged by isolation forests.
 
-Statistics come from one pass over the text, without a shuffle. Each statistic has a forest of its own, grown on a
-bounded sample of labelled rows (SAMPLE) that pass the base rule; a forest over all statistics at once let the many
-harmless ones drown the telling one (2 % of bad rows found against 100 %). Thresholds are calibrated on the same
-rows: halfway from a score of good rows to where the bad rows above it begin. That score is the highest, unless passing
-over a few extreme good rows, at most MAX_LOSS, finds at least PRICE times as many bad rows as chance and PRICE for
-each: they are taken for mislabelled. A statistic is used where the bad rows found are more than chance gives (CHANCE),
-however few they are among all bad rows, or at least MIN_GAIN of them with no good row. The model is a few hundred kilobytes whatever the corpus, and
-every document is scored.
+Statistics come from one pass over the text, without a shuffle: word length, and symbols, repeated lines and repeated
+words a word, each over its spread. A forest judges all of them jointly; forests over fewer of them follow, as harmless
+statistics can drown a telling one, each for the bad rows that those before it leave. They are grown on half of a
+bounded sample of labelled rows (SAMPLE), on good rows that pass the base rule; cuts are drawn from the range of a node
+widened by the spread of all rows, so that a row beyond what good rows show is cut off early. Thresholds are calibrated
+on the other half, which no forest has seen: halfway from a score of good rows to where the bad rows
+above it begin. That score is the highest, unless passing over a few extreme good rows, at most MAX_LOSS, finds at least
+PRICE times as many bad rows as chance and PRICE for each: they are taken for mislabelled. A forest is used where the
+bad rows found are more than chance gives (CHANCE), however few they are among all bad rows, or at least MIN_GAIN of
+them with no good row. The model is some megabytes whatever the corpus, and every document is scored.
 
 Defined cases: a null or empty text has no words, all counts 0, and fails the base rule; a null doc_id stays null;
 repeated rows are judged one by one; extra columns are ignored by `statistics` and kept by `keep`; without labelled
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +32,9 @@ from .textkit import SPACE, SYMBOL, chunks, hashes, pieces, sums, windows
 
 #: The forest sees at most so many labelled rows, those with the smallest hash of their doc_id.
 SAMPLE = 20_000
-TREES, NODE_ROWS, SEED = 100, 256, 7
+TREES, NODE_ROWS, SEED, DEEPER = 100, 256, 7, 2
+#: The statistics that forests look at, by their place in features(): all, then ever fewer.
+SUBSETS = tuple(c for n in (4, 3, 2, 1) for c in combinations(range(4), n))
 #: Share of good labelled rows that a threshold may call anomalous, what each must bring, and what bad rows show.
 MAX_LOSS, PRICE, MIN_GAIN, CHANCE = 0.01, 10, 0.2, 1e-6
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -114,25 +119,25 @@ def _mean_path(n: int) -> float:
     return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
 
 
-def grow(x: np.ndarray, trees: int = TREES, rows: int = NODE_ROWS, seed: int = SEED) -> Forest:
-    """Grow an isolation forest over random splits of random subsets."""
+def grow(x: np.ndarray, wide: np.ndarray, trees: int = TREES, rows: int = NODE_ROWS, seed: int = SEED) -> Forest:
+    """Grow an isolation forest over random splits of random subsets. Cuts go up to `wide` beyond a node's range; as
+    some then divide nothing, trees are DEEPER times as deep."""
     rng = np.random.default_rng(seed)
     rows = min(rows, len(x))
-    depth = int(np.ceil(np.log2(max(rows, 2))))
-    size = 2 ** (depth + 1)
+    depth = DEEPER * int(np.ceil(np.log2(max(rows, 2))))
+    size = 2 * depth * rows + 3
+    able = np.flatnonzero((wide > 0) | (x.max(0) > x.min(0)))
     shape = (trees, size)
     feature, cut, left, path = np.full(shape, -1), np.zeros(shape), np.zeros(shape, np.int64), np.zeros(shape)
     for t in range(trees):
         todo, free = [(0, x[rng.choice(len(x), rows, replace=False)], 0)], 1
         while todo:
             node, part, d = todo.pop()
-            low, high = part.min(0), part.max(0)
-            able = np.flatnonzero(high > low)
             if d >= depth or len(part) < 2 or not len(able):
                 path[t, node] = d + _mean_path(len(part))
                 continue
             f = int(rng.choice(able))
-            at = rng.uniform(low[f], high[f])
+            at = rng.uniform(part[:, f].min() - wide[f], part[:, f].max() + wide[f])
             right = part[:, f] >= at
             feature[t, node], cut[t, node], left[t, node] = f, at, free
             todo += [(free, part[~right], d + 1), (free + 1, part[right], d + 1)]
@@ -159,19 +164,26 @@ def statistics(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Rules:
-    """The forests in use: (column of features(), forest, threshold)."""
+    """The forests in use, (statistics, forest, threshold), over statistics less their middle, over their spread."""
 
-    used: list[tuple[int, Forest, float]]
+    used: list[tuple[tuple[int, ...], Forest, float]]
+    middle: np.ndarray
+    spread: np.ndarray
 
     def judge(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(highest score, whether one is above its threshold) of each row."""
-        x, top, odd = features(counts), np.zeros(len(counts)), np.zeros(len(counts), bool)
-        for k, forest, threshold in self.used:
-            score = forest.scores(x[:, k : k + 1])
-            top, odd = np.maximum(top, score), odd | (score > threshold)
+        """(highest score, whether one is above its threshold) of each row. Equal statistics are scored once."""
+        top, odd = np.zeros(len(counts)), np.zeros(len(counts), bool)
+        if self.used and len(counts):
+            x, back = np.unique((features(counts) - self.middle) / self.spread, axis=0, return_inverse=True)
+            for columns, forest, threshold in self.used:
+                score = forest.scores(x[:, columns])[back.ravel()]
+                top, odd = np.maximum(top, score), odd | (score > threshold)
         return top, odd
 
 
+NONE = Rules([], np.zeros(4), np.ones(4))
+
+
 def _sampled(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The labelled rows that fit() may use: at most `sample`, small enough to broadcast."""
     known = own(labels, "doc_id", "quality").where("doc_id is not null and quality is not null").dropDuplicates()
@@ -197,25 +209,43 @@ def _threshold(good: np.ndarray, bad: np.ndarray) -> float | None:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Rules:
     """Forests and thresholds from at most `sample` labelled rows; only their texts are read for it."""
     known = _sampled(labels, sample)
+    half = F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.lit(2)).alias("half")
     rows = (
         statistics(own(docs, "doc_id", "text").join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi"))
         .where("not base_failed")
         .join(F.broadcast(known), "doc_id")
-        .select("quality", *COUNTS)
+        .select("quality", half, *COUNTS)
         .toPandas()
     )
-    x, good = features(rows[list(COUNTS)].to_numpy()), rows.quality.to_numpy() == 1
+    return calibrated(rows[list(COUNTS)].to_numpy(np.int64), rows.quality.to_numpy() == 1, rows.half.to_numpy() == 0)
+
+
+def calibrated(counts: np.ndarray, good: np.ndarray, first: np.ndarray) -> Rules:
+    """Rules from the counts of labelled rows: forests see good rows of the first half, thresholds the other half.
+    Where a half lacks a kind, both halves serve for both."""
     if good.all() or not good.any():
-        return Rules([])
-    order = np.lexsort([*x.T, good])
-    x, good, used = x[order], good[order], []
-    for k in range(x.shape[1]):
-        forest = grow(x[:, k : k + 1], seed=SEED + k)
-        score = forest.scores(x[:, k : k + 1])
-        threshold = _threshold(score[good], score[~good])
+        return NONE
+    order = np.lexsort([*counts.T, good, first])
+    counts, good, first = counts[order], good[order], first[order]
+    if not (good & first).any() or len(np.unique(good[~first])) < 2:
+        first = np.ones(len(good), bool)
+    other = ~first if not first.all() else first
+    x = features(counts)
+    middle, spread = np.median(x[first & good], axis=0), x[first].std(0)
+    model = Rules([], middle, np.where(spread > 0, spread, np.maximum(x.std(0), 1e-9)))
+    x = (x - middle) / model.spread
+    wide = np.where(x.std(0) > 0, 1.0, 0.0)
+    grown, safe, left = x[first & good], x[other & good], x[other & ~good]
+    for columns in SUBSETS:
+        if not len(left):
+            break
+        forest = grow(grown[:, columns], wide[list(columns)], seed=SEED + len(model.used))
+        score = forest.scores(left[:, columns])
+        threshold = _threshold(forest.scores(safe[:, columns]), score)
         if threshold is not None:
-            used.append((k, forest, threshold))
-    return Rules(used)
+            model.used.append((columns, forest, threshold))
+            left = left[score <= threshold]
+    return model
 
 
 def rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
