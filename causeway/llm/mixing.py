@@ -12,10 +12,10 @@ those named like the two this adds are replaced; an empty table gives an empty o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import written
+from .tables import fresh, written
 
 SEED = "mix-1"
 #: Target shares go with the input share to this power: 1 keeps the mixture, 0 makes sources equal.
@@ -45,38 +45,37 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, epochs: floa
     whole = mass.agg(F.sum("mass").alias("all_mass"), F.sum("wish").alias("all_wish"))
     rate = F.when((F.col("mass") > 0) & (F.col("all_wish") > 0), F.lit(float(epochs)) * F.col("wish") / F.col(
         "all_wish") * F.col("all_mass") / F.col("mass")).otherwise(F.lit(float(epochs)))
-    out = mass.join(F.broadcast(whole)).select("source", rate.alias("rate"))
-    return out.withColumn("cdf", _cdf(F.col("rate")))
+    return _distributions(mass.join(F.broadcast(whole)).select("source", rate.alias("rate")))
 
 
-def _cdf(rate: Column) -> Column:
-    """P(X <= k) for k = 0, 1, ... until nothing is left, for a Poisson X with mean rate."""
-    most = F.ceil(rate + 12 * F.sqrt(rate) + 40).cast("int")
-
-    def step(acc: Column, k: Column) -> Column:
-        log_fact = acc["lf"] + F.when(k > 0, F.log(k.cast("double"))).otherwise(F.lit(0.0))
-        log_p = F.when(rate > 0, k * F.log(rate) - rate - log_fact).otherwise(
-            F.when(k == 0, F.lit(0.0)).otherwise(F.lit(float("-inf"))))
-        total = acc["t"] + F.exp(log_p)
-        return F.struct(log_fact.alias("lf"), total.alias("t"), F.concat(acc["c"], F.array(total)).alias("c"))
-
-    none = F.struct(F.lit(0.0).alias("lf"), F.lit(0.0).alias("t"), F.array().cast("array<double>").alias("c"))
-    return F.aggregate(F.sequence(F.lit(0), most), none, step)["c"]
+def _distributions(rate: DataFrame) -> DataFrame:
+    """rate(source, rate) with cdf, P(X <= k) for k = 0, 1, ... until nothing is left, of a Poisson X with that mean. A
+    step is a row, summed up in order: work grows with the rate, not with its square."""
+    mean = F.col("rate")
+    most = F.ceil(mean + 12 * F.sqrt(mean) + 40).cast("int")
+    step = rate.withColumn("k", F.explode(F.sequence(F.lit(0), most)))
+    run = Window.partitionBy("source").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    log_fact = F.sum(F.when(F.col("k") > 0, F.log(F.col("k").cast("double"))).otherwise(F.lit(0.0))).over(run)
+    log_p = F.when(mean > 0, F.col("k") * F.log(mean) - mean - F.col("lf")).otherwise(
+        F.when(F.col("k") == 0, F.lit(0.0)).otherwise(F.lit(float("-inf"))))
+    total = step.withColumn("lf", log_fact).withColumn("p", F.sum(F.exp(log_p)).over(run))
+    return total.groupBy("source", "rate").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "p"))), lambda x: x["p"]).alias("cdf"))
 
 
 def copies(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0,
            seed: str = SEED) -> DataFrame:
     """docs with one row for each copy, and columns copy (from 0) and mix_key, not yet shuffled."""
-    own_names = [c for c in docs.columns if c not in ("copy", "mix_key")]
-    table = written(rates(docs, weights, epochs).select(F.col("source").alias("__source"), "cdf"), "rates")
-    if (table.agg(F.sum(F.size("cdf"))).first()[0] or 0) <= BROADCAST_NUMBERS:  # else texts are shuffled to it
+    own_names = [c for c in docs.columns if c.lower() not in ("copy", "mix_key")]
+    of, steps = fresh(docs, "of_source"), fresh(docs, "steps")
+    table = written(rates(docs, weights, epochs).select(F.col("source").alias(of), F.col("cdf").alias(steps)), "rates")
+    if (table.agg(F.sum(F.size(steps))).first()[0] or 0) <= BROADCAST_NUMBERS:  # else texts are shuffled to it
         table = F.broadcast(table)
     base = docs.select(*[F.col(f"`{c}`") for c in own_names])
-    drawn = base.join(table, F.col("`source`").eqNullSafe(F.col("__source")))
+    drawn = base.join(table, F.col("`source`").eqNullSafe(F.col(of)))
     u = _uniform(F.lit(seed), F.col("`doc_id`"))
     # the number of steps of the distribution at or below u; the last step stands for certainty
-    n = F.size(F.filter("cdf", lambda p: p <= u))
-    n = F.least(n, F.size("cdf") - 1)
+    n = F.size(F.filter(steps, lambda p: p <= u))
+    n = F.least(n, F.size(steps) - 1)
     row = drawn.select(*[F.col(f"`{c}`") for c in own_names], F.explode(
         F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))).alias("copy"))
     key = F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.coalesce(F.col("`doc_id`").cast("string"), F.lit("")),
