@@ -1,10 +1,11 @@
 """Quality classifier by compression: how much better a text packs with a dictionary of good text than of bad text.
 
 Two zstandard dictionaries are built from labelled texts. A text's evidence is the difference of its two compressed
-sizes a byte; a logistic curve over that difference and the mean size, fitted on labelled texts that no dictionary saw,
-turns it into a score from 0 to 1. Labels, language, source and doc_id are never inputs of a score. Fitting uses at
-most SAMPLE labelled rows (smallest hash of doc_id) and DICTIONARY_TEXT bytes of each class's texts; every document is
-scored whole, in one pass without a shuffle.
+sizes, normalised by its length and by what is left of it; a logistic curve over that difference, whose slope may change
+with the length, fitted on labelled texts that no dictionary saw, turns it into a score from 0 to 1. Labels, language,
+source and doc_id are never inputs of a score. Fitting uses at most SAMPLE labelled rows (smallest hash of doc_id);
+DICTIONARY_TEXT bytes of each class's texts come to the driver, which builds the dictionaries, and no other text: the
+curve's evidence is taken where texts are read. Every document is scored whole, in one pass without a shuffle.
 
 Defined cases: a null or empty text gets the score of no evidence; a null doc_id is in no fold (held_out null-safe
 false) and scored; repeated rows are scored alike; extra columns are ignored; without labels of both kinds every score
@@ -19,12 +20,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import own
+from .tables import own, written
 
-SAMPLE, DICTIONARY_TEXT, DICTIONARY_SIZE, LEVEL = 12_000, 8 << 20, 1 << 17, 3
+SAMPLE, DICTIONARY_TEXT, DICTIONARY_SIZE, LEVEL, LEAST = 12_000, 8 << 20, 1 << 17, 12, 8
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 
@@ -43,14 +44,14 @@ class Model:
     spread: np.ndarray
 
     def evidence(self, texts: list[bytes]) -> np.ndarray:
-        """For each text: difference of compressed sizes a byte, bad less good; their mean; log of its length."""
+        """For each text: difference of compressed sizes, bad less good, over the root of its length; log of its length."""
         if not hasattr(self, "_packers"):
             self._packers = [zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False,
                              write_dict_id=False, dict_data=zstandard.ZstdCompressionDict(d)) for d in self.dictionaries]
         good, bad = self._packers
-        sizes = np.array([(len(good.compress(t)), len(bad.compress(t)), len(t)) for t in texts], float).reshape(-1, 3)
-        n = sizes[:, 2] + 16
-        return np.column_stack([(sizes[:, 1] - sizes[:, 0]) / n, (sizes[:, 0] + sizes[:, 1]) / 2 / n, np.log(n)])
+        sizes = np.array([(len(bad.compress(t)) - len(good.compress(t)), len(t)) for t in texts], float).reshape(-1, 2)
+        n = sizes[:, 1] + 16
+        return np.column_stack([sizes[:, 0] / np.sqrt(n), np.log(n)])
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "_packers"}
@@ -63,9 +64,9 @@ class Model:
 
 
 def _terms(x: np.ndarray) -> np.ndarray:
-    """Constant, evidence, and its squares and products: where good and bad lie depends on the length."""
-    a, b, c = x.T
-    return np.column_stack([np.ones(len(x)), a, b, c, a * b, a * c, b * c, a * a, b * b, c * c])
+    """Constant and difference, the latter with a slope that changes with the length."""
+    a, c = x.T
+    return np.column_stack([np.ones(len(x)), a, a * c])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -80,46 +81,50 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def train(texts: list[bytes], good: np.ndarray) -> Model:
-    """A model from labelled texts: every other one of each class for the dictionaries, the rest for the curve."""
-    texts = list(texts)
-    none = Model(None, np.array([float(good.mean()) if len(good) else 0.5]), np.zeros(3), np.ones(3))
-    turn = np.zeros(len(good), bool)
-    for kind in (True, False):
-        turn[np.flatnonzero(good == kind)[::2]] = True
-    if min(good.sum(), (~good).sum()) < 8:
-        return none
-    dictionaries = []
-    for kind in (True, False):
-        taken, room = [], DICTIONARY_TEXT
-        for k in np.flatnonzero(turn & (good == kind)):
-            if texts[k] and len(texts[k]) <= room:
-                taken.append(texts[k])
-                room -= len(texts[k])
-        # raw content, the end of which is nearest: joined texts serve as a dictionary of any size
-        content = b"\n".join(taken)[-DICTIONARY_SIZE:]
-        try:
-            content = zstandard.train_dictionary(DICTIONARY_SIZE, taken, threads=0).as_bytes()
-        except zstandard.ZstdError:
-            pass
-        if not content:
-            return none
-        dictionaries.append(content)
-    model = Model((dictionaries[0], dictionaries[1]), np.zeros(10), np.zeros(3), np.ones(3))
-    rest = np.flatnonzero(~turn)
-    x = model.evidence([texts[k] for k in rest])
-    model.middle, model.spread = x.mean(0), np.maximum(x.std(0), 1e-9)
-    model.weights = _logistic(_terms((x - model.middle) / model.spread), good[rest].astype(float))
-    return model
+def dictionary(texts: list[bytes]) -> bytes:
+    """A zstandard dictionary of texts; their joined end where they are too few to train one."""
+    try:
+        return zstandard.train_dictionary(DICTIONARY_SIZE, texts, threads=0).as_bytes()
+    except zstandard.ZstdError:
+        return b"\n".join(texts)[-DICTIONARY_SIZE:]
+
+
+def calibrated(dictionaries: tuple[bytes, bytes], x: np.ndarray, good: np.ndarray) -> Model:
+    """The model with a curve fitted on the evidence x of labelled texts that no dictionary saw."""
+    middle, spread = x.mean(0), np.maximum(x.std(0), 1e-9)
+    return Model(dictionaries, _logistic(_terms((x - middle) / spread), good.astype(float)), middle, spread)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from at most `sample` labelled rows outside the held-out fold."""
+    """A model from at most `sample` labelled rows outside the held-out fold: half of each class by a hash for the
+    dictionaries, the rest for the curve. Of repeated ids the smallest label and the smallest text count."""
     known = own(labels, "doc_id", "quality").where("doc_id is not null and quality is not null").where(~held_out())
-    known = known.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = own(docs, "doc_id", "text").join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"]).toPandas()
-    rows = rows.sort_values("doc_id")
-    return train([(t or "").encode() for t in rows["text"]], rows["quality"].to_numpy() == 1)
+    known = known.groupBy("doc_id").agg((F.min("quality") == 1).alias("good")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = own(docs, "doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id", "good").agg(
+        F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    rows = written(rows.withColumn("turn", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)) == 0), "labelled")
+    share = rows.groupBy("good").agg(F.count("*").alias("n"), F.count_if("turn").alias("seen")).toPandas()
+    if len(share) < 2 or share["seen"].min() < LEAST // 2 or (share["n"] - share["seen"]).min() < LEAST // 2:
+        n = share["n"].sum()
+        return Model(None, np.array([share.loc[share["good"], "n"].sum() / n if n else 0.5]), np.zeros(2), np.ones(2))
+    # no text may fill the dictionary alone; lengths of at most `sample` rows are summed up in order
+    size = rows.where("turn").select("doc_id", "good", F.octet_length("text").alias("size")).where(F.col("size") <= DICTIONARY_TEXT // 8)
+    upto = F.sum("size").over(Window.partitionBy("good").orderBy(F.xxhash64("doc_id", F.lit(2)), "doc_id"))
+    taken = size.withColumn("upto", upto).where(F.col("upto") <= DICTIONARY_TEXT).select("doc_id")
+    texts = rows.join(F.broadcast(taken), "doc_id", "left_semi").select("doc_id", "good", "text").toPandas().sort_values("doc_id")
+    both = tuple(dictionary([t.encode() for t in texts.loc[texts["good"] == kind, "text"] if t]) for kind in (True, False))
+    if not all(both):
+        return Model(None, np.array([share.loc[share["good"], "n"].sum() / share["n"].sum()]), np.zeros(2), np.ones(2))
+    blank = docs.sparkSession.sparkContext.broadcast(Model(both, np.zeros(3), np.zeros(2), np.ones(2)))
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = blank.value.evidence(batch.column(2).cast(pa.binary()).to_pylist())
+            yield pa.record_batch([*batch.columns[:2], pa.array(x[:, 0]), pa.array(x[:, 1])], names=["doc_id", "good", "a", "c"])
+
+    rest = rows.where("not turn").select("doc_id", "good", "text").mapInArrow(seen, "doc_id long, good boolean, a double, c double")
+    x = rest.toPandas().sort_values("doc_id")  # a few numbers for each of at most `sample` rows
+    return calibrated(both, x[["a", "c"]].to_numpy(), x["good"].to_numpy())
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
