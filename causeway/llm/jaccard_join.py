@@ -12,7 +12,8 @@ exact; what can't link is put aside in two steps before the trees see it:
 3. Each cell is searched by a signature tree: nodes hold the OR of token bitmaps, the range of set sizes and the
    largest number of tokens that fell on taken bits. A dual traversal drops node pairs whose largest possible overlap
    or whose sizes rule a link out, and node pairs that are one component already. What is left is counted exactly.
-   A cell beyond BLOCK_SHINGLES is split into blocks and searched by pairs of blocks, one task each.
+   A cell beyond BLOCK_SHINGLES is split into blocks of about one size and smallest shingle; pairs of blocks that their
+   sizes and OR-combined bitmaps leave possible are searched, one task each, and no other pair copies a text.
 4. Links found (a spanning forest of each cell) are connected again; classes give components to their documents.
 
 The most frequent shingles are known beforehand (a bounded list); they count as shared without being shuffled, so no
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .linking import components
-from .tables import own, written
+from .tables import fresh, own, written
 from .textkit import chunks, mix, shingle_sets
 
 WIDTH = 5
@@ -48,6 +49,8 @@ MANY = 1 << 40
 FILTER_BITS = 1 << 24
 #: A block of a cell holds about so many shingles (8 bytes each).
 BLOCK_SHINGLES = 4_000_000
+#: Bits of the bitmap of a block, and rows of a table that is broadcast (16 bytes each).
+SIGNATURE, BROADCAST_ROWS = 1 << 12, 1 << 18
 LEAF, FAN = 16, 8
 _U = np.uint64
 
@@ -333,6 +336,63 @@ def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield solve(parts, key[1] != key[2])
 
 
+def _signed(rows: DataFrame) -> DataFrame:
+    """rows(cell, c, n, text) with size, the number of the factor 1.25 in which n falls, low, the smallest shingle,
+    and bits, the bitmap of all."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, data, offs in chunks(batch.column(3)):
+                sets = shingle_sets(data, offs, WIDTH)
+                bits = np.zeros((len(sets), SIGNATURE // 64), _U)
+                for k, s in enumerate(sets):
+                    at = (s & _U(SIGNATURE - 1)).astype(np.int64)
+                    np.bitwise_or.at(bits[k], at >> 6, _U(1) << (at & 63).astype(_U))
+                n = np.array([max(len(s), 1) for s in sets])
+                low = np.array([s[0] if len(s) else 0 for s in sets], _U)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * (SIGNATURE // 64)),
+                                                 pa.array(bits.ravel().view(np.int64)))
+                part = batch.slice(first, len(sets))
+                yield pa.record_batch([*part.columns, pa.array(np.floor(np.log(n) / np.log(1.25) + 1e-9).astype(np.int64)),
+                                       pa.array(low.view(np.int64)), lists], names=["cell", "c", "n", "text", "size", "low", "bits"])
+
+    return rows.select("cell", "c", "n", "text").mapInArrow(
+        read, "cell long, c long, n long, text string, size long, low long, bits array<long>")
+
+
+def _blocked(rows: DataFrame) -> DataFrame:
+    """(cell, i, j, side, c, text) for the large cells in rows(cell, c, n, text): classes of about one size and, as far
+    as that goes, with one smallest shingle are a block; each pair of blocks whose sizes and OR-combined bitmaps leave
+    a link possible is searched. Pairs are pruned on a row for each block, before texts are copied."""
+    signed = written(_signed(rows), "signed")
+    share = signed.groupBy("cell", "size").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("long").alias("parts"))
+    # several smallest shingles share a part; a common one is dealt by class
+    often = signed.groupBy("cell", "size", "low").agg(F.sum("n").alias("m"))
+    often = often.join(share, ["cell", "size"]).select("cell", "size", "low", F.pmod(F.xxhash64("low"), F.col("parts")).alias(
+        "part"), F.ceil(F.col("m") / BLOCK_SHINGLES).cast("long").alias("split"))
+    put = signed.join(often, ["cell", "size", "low"])
+    block = F.when(F.col("split") > 1, F.xxhash64("size", "low", F.pmod(F.xxhash64("c"), F.col("split")))).otherwise(
+        F.xxhash64("size", "part"))
+    put = written(put.select("cell", "c", "n", "size", "text", "bits", block.alias("block")), "put")
+    bit = F.posexplode("bits").alias("w", "v")
+    words = put.select("cell", "block", bit).groupBy("cell", "block", "w").agg(F.bit_or("v").alias("v"))
+    ors = words.groupBy("cell", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "v"))), lambda x: x["v"]).alias("bits"))
+    spare = F.col("n") - F.aggregate("bits", F.lit(0).cast("long"), lambda a, v: a + F.bit_count(v))
+    head = put.groupBy("cell", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(spare).alias("spare"), F.min("size").alias("size"))
+    head = written(head.join(ors, ["cell", "block"]), "blocks")
+    one, two = (head.select("cell", *[F.col(x).alias(x + k) for x in ("block", "low", "high", "spare", "size", "bits")]) for k in "12")
+    met = one.withColumn("size2", F.explode(F.array(F.col("size1") - 1, F.col("size1"), F.col("size1") + 1))).join(two, ["cell", "size2"])
+    both = F.aggregate(F.zip_with("bits1", "bits2", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0).cast("long"), lambda a, v: a + v)
+    most = F.least(both + F.least("spare1", "spare2"), F.col("high1"), F.col("high2"))
+    met = met.where("block1 <= block2 and 5 * high1 >= 4 * low2 and 5 * high2 >= 4 * low1").where(
+        9 * most >= 4 * (F.col("low1") + F.col("low2")))
+    sides = F.when(F.col("block1") == F.col("block2"), F.array(F.struct(F.col("block1").alias("block"), F.lit(0).alias("side")))).otherwise(
+        F.array(F.struct(F.col("block1").alias("block"), F.lit(0).alias("side")), F.struct(F.col("block2").alias("block"), F.lit(1).alias("side"))))
+    pairs = met.select("cell", F.col("block1").alias("i"), F.col("block2").alias("j"), F.explode(sides).alias("p")).select(
+        "cell", "i", "j", "p.*")
+    return pairs.join(put.select("cell", "block", "c", "text"), ["cell", "block"]).select("cell", "i", "j", "side", "c", "text")
+
+
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles, c) of every row and (c, root) of every class with a link."""
     read = written(_classes(docs), "classes")
@@ -354,19 +414,15 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = written(texts, "texts")
     cells = written(_cells(texts, some.select("c", "n"), last), "cells")
     member = cells.join(some.select("c", "n"), "c")
-    size = member.groupBy("cell").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")
-    member = member.join(size, "cell").select("cell", "c", "blocks", block.alias("block"))
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda o: F.struct(
-            F.least(o, F.col("block")).alias("i"),
-            F.greatest(o, F.col("block")).alias("j"),
-            F.when(F.col("block") <= o, 0).otherwise(1).alias("side"),
-        ),
-    )
-    placed = member.join(texts, "c").select("cell", "c", "text", F.explode(pairs).alias("p"))
-    placed = placed.select("cell", "p.*", "c", "text")
+    # at most one row for BLOCK_SHINGLES shingles
+    large = written(member.groupBy("cell").agg(F.sum("n").alias("all")).where(F.col("all") > BLOCK_SHINGLES).select(
+        F.col("cell").alias("large")), "large")
+    wide = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
+    whole = member.join(wide, F.col("cell") == F.col("large"), "left_anti").join(texts, "c")
+    zero = F.lit(0).cast("long")
+    placed = whole.select("cell", zero.alias("i"), zero.alias("j"), F.lit(0).alias("side"), "c", "text")
+    if not large.isEmpty():
+        placed = placed.union(_blocked(member.join(wide, F.col("cell") == F.col("large"), "left_semi").join(texts, "c")))
     found = placed.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "side", "c")
     links = written(found.mapInPandas(_links, "a long, b long"), "links")
     return known, components(links).toDF("c", "root")
@@ -385,10 +441,18 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component, the one with the smallest doc_id (once, where its row is repeated).
-    Rows without a doc_id can't be named and stay. Columns are those of docs."""
-    kept = join(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    once = Window.partitionBy("doc_id").orderBy(F.lit(0))
-    named = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
-    named = named.withColumn("__row", F.row_number().over(once)).where("__row = 1").drop("__row")
-    return named.unionByName(docs.where("doc_id is null"))
+    """docs with one document of each component, the one with the smallest doc_id (of rows that repeat it the one with
+    the smallest hash of its text). Rows without a doc_id can't be named and stay. Columns are those of docs. Texts are
+    only compared with the ids that go."""
+    name, at = fresh(docs, "named"), fresh(docs, "at")
+    same = F.col("doc_id") == F.col("component_id")
+    ids = written(join(docs).where("doc_id is not null").groupBy("doc_id").agg(
+        F.max(same.cast("int")).alias("kept"), F.count("*").alias("n")), "kept")
+    gone = ids.where("kept = 0 or n > 1").select(F.col("doc_id").alias(name))
+    out = docs.join(gone, F.col("`doc_id`") == F.col(name), "left_anti")
+    twice = ids.where("kept = 1 and n > 1").select(F.col("doc_id").alias(name))
+    if twice.isEmpty():
+        return out
+    once = F.row_number().over(Window.partitionBy(F.col("`doc_id`")).orderBy(F.xxhash64(F.col("`text`")), F.col("`text`")))
+    some = docs.join(twice, F.col("`doc_id`") == F.col(name), "left_semi").withColumn(at, once).where(F.col(at) == 1).drop(at)
+    return out.unionByName(some)
