@@ -12,7 +12,8 @@ form one segment of at most 2 MIN - K bytes.
    segments; Larsson-Sadakane refinement sorts all suffixes in numpy, Kasai's method gives common prefixes, and every
    run of suffixes with MIN bytes in common keeps its first place only. An anchor with more than BLOCK segments is
    split into shards of its own, which are merged pair by pair: the windows of one are looked up in the other's suffix
-   array by binary search.
+   array by binary search. Beyond DEAL shards, when that would copy segments more often than they have windows, the
+   windows are dealt to shards by their content instead, so that work grows with their number.
 4. Removed ranges meet their document, which is hashed without them.
 
 Defined cases: a null or empty text has 0 bytes; texts shorter than MIN keep all; where doc_ids are null or repeated,
@@ -23,6 +24,7 @@ extra columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +47,10 @@ FREQUENT, FREQUENT_ROWS, FREQUENT_KEPT = 4, 1 << 18, 1 << 16
 FREQUENT_STEP = 8
 #: Segments of a shard: about half a megabyte of text, so that its arrays stay in a processor's cache.
 SHARD_SEGMENTS, BLOCK = 4_000, 4_000
+#: An anchor in more shards than this is dealt by windows.
+DEAL = 45
+#: A repeated segment found more often than this, or than its share of HOT_ROWS of all rows, meets its places by broadcast.
+HOT, HOT_ROWS = 1_000, 1 << 16
 CHUNK = 1 << 17
 FILTER_BITS = 1 << 24
 _U = np.uint64
@@ -421,9 +427,20 @@ def _bytes_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     text = unpacker.decompress(packed)
                     pieces += [text[p >> 8 : (p >> 8) + (p & 255)] for p in places[n : n + size]]
                     n += size
-                ids = np.repeat(batch.column(0).to_numpy(), sizes)
-                yield pa.record_batch([g, blocks, block, pa.array(ids), at, pa.array(pieces, pa.binary())],
+                ids = pa.array(np.repeat(batch.column(0).to_numpy(), sizes))
+                out = pa.record_batch([g, blocks, block, ids, at, pa.array(pieces, pa.binary())],
                                       names=["g", "blocks", "block", "id", "at", "bytes"])
+                wide = blocks.to_numpy() > DEAL
+                yield out.filter(pa.array(~wide)) if wide.any() else out
+                for k in range(0, int(wide.sum()), 1000):
+                    yield dealt(out.filter(pa.array(wide)).slice(k, 1000))
+
+    def dealt(rows: pa.RecordBatch) -> pa.RecordBatch:
+        """The windows of segments, in shards of their anchor that their content picks."""
+        out = [(f"{g}.{zlib.crc32(w) % (blocks * MIN)}", 1, 0, i, at + (k << 8) - (at & 255) + MIN, w)
+               for g, blocks, i, at, text in zip(*(rows.column(c).to_pylist() for c in (0, 1, 3, 4, 5)), strict=True)
+               for k in range(len(text) - MIN + 1) for w in (text[k : k + MIN],)]
+        return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), rows.schema.types, strict=True)], names=rows.schema.names)
 
     joined = lists.join(texts, F.col("id") == F.col("d")).select("id", "w", "packed")
     return joined.mapInArrow(cut, "g string, blocks int, block int, id long, at long, bytes binary")
@@ -440,8 +457,13 @@ def removed_ranges(docs: DataFrame) -> DataFrame:
     kinds = rows.groupBy("a", "s").agg(F.count("*").alias("n"), F.min(F.struct("id", "at")).alias("f"))
     kinds = written(kinds.select("a", "s", "n", F.col("f.id").alias("fid"), F.col("f.at").alias("fat")), "kinds")
     many = kinds.where("n > 1").select(F.col("a").alias("ka"), F.col("s").alias("ks"), "fid", "fat")
-    later = rows.join(many, (F.col("a") == F.col("ka")) & (F.col("s") == F.col("ks"))).where(
-        "id <> fid or at <> fat").select("id", F.expr("at div 256").alias("a"), F.expr("at div 256 + at % 256").alias("b"))
+    # a segment that a large part of the rows repeat is no key of a shuffle; there are few of them
+    often = F.col("n") > max(HOT, rows.count() // HOT_ROWS)
+    hot = kinds.where(often).select(F.col("a").alias("ha"), F.col("s").alias("hs"), F.col("fid").alias("hid"), F.col("fat").alias("hat"))
+    told = rows.join(F.broadcast(hot), (F.col("a") == F.col("ha")) & (F.col("s") == F.col("hs")), "left")
+    rest = told.where("hid is null").join(many, (F.col("a") == F.col("ka")) & (F.col("s") == F.col("ks"))).where("id <> fid or at <> fat")
+    span = F.expr("at div 256").alias("a"), F.expr("at div 256 + at % 256").alias("b")
+    later = rest.select("id", *span).union(told.where("id <> hid or at <> hat").select("id", *span))
     several = kinds.groupBy("a").agg(F.count("*").alias("m")).where("m > 1")
     some = kinds.join(several, "a")
     total = some.agg(F.count("*")).first()[0]
