@@ -47,6 +47,8 @@ LINKED, RECALL, ROUNDS, DESCENTS = 200, 0.97, 8, 2
 #: A slice of the audit takes so many bytes of vectors.
 SLICE = 1 << 21
 BLOCK = 2048
+#: Vectors of a block of a component; pairs of blocks are tasks of their own.
+PART = 512
 #: Lists are kept in single precision; what may be at the threshold is looked at again in double.
 SLACK = 1e-5
 _EDGE = "u long, v long, sim float"
@@ -93,7 +95,7 @@ def _start(vec: DataFrame, turn: int) -> DataFrame:
 
     order = vec.select("id", "root", "vec").mapInPandas(
         keyed, "id long, root long, vec array<double>, size int, bits long, along double")
-    order = order.repartitionByRange("size", "bits", "along").sortWithinPartitions("size", "bits", "along", "id")
+    order = order.repartitionByRange("size", "bits", "along", "id").sortWithinPartitions("size", "bits", "along", "id")
     return order.mapInPandas(compared, _EDGE)
 
 
@@ -349,7 +351,7 @@ def near_duplicates(table: DataFrame) -> DataFrame:
     copied = each.join(once.where("copies > 1").withColumnRenamed("id", "first"), "vec").select("id", "first")
     vec = once.select("id", "vec", "copies")
     placed = linked(vec).where("members > 1")
-    size = F.ceil(F.col("members") / BLOCK).cast("int")
+    size = F.ceil(F.col("members") / PART).cast("int")
     placed = placed.withColumn("blocks", size).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(
         F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j"),
