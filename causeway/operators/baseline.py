@@ -100,3 +100,30 @@ def detect(signals: DataFrame) -> DataFrame:
     score = F.greatest(
         F.when(over, breach(F.col("value"), F.col("threshold"))).otherwise(0.0), F.when(severe, 0.6).otherwise(0.0))
     return signals.withColumn("is_anomaly", over | severe).withColumn("anomaly_score", score)
+
+
+def detect_all(signals: DataFrame, minutes: int = 5) -> DataFrame:
+    """Deduplicated signals with is_anomaly, anomaly_score and reason. What its source flags (a value beyond its
+    threshold) stays flagged, with the higher of its breach and its z; other metrics go by z, logs by novelty and bursts
+    of their template in batches of `minutes`, the rest by severity."""
+    logs = F.col("source").isin("app_log", "cloudwatch_log")
+    points = signals.where("metric is not null and value is not null").select(series_key(F.col("service"), F.col("metric")).alias("series"), "ts", "id", "value")
+    z = z_scores(points).select(F.col("id").alias("z_id"), "z")
+    name = F.concat_ws("|", "service", "template").alias("log_name")
+    batch = F.floor(F.col("ts") / (minutes * 60_000_000)).alias("log_batch")
+    counts = signals.where(logs).groupBy(name, batch).agg(F.sum("occurrence_count").alias("n"))
+    rates = template_rates(counts.select(F.col("log_name").alias("template"), F.col("log_batch").alias("batch"), "n")).select(
+        F.col("template").alias("of"), F.col("batch").alias("at"), F.col("n").alias("log_n"), "rate")
+    out = signals.select("*", F.when(logs, name).alias("log_name"), batch).join(z, F.col("id") == F.col("z_id"), "left").join(
+        rates, (F.col("log_name") == F.col("of")) & (F.col("log_batch") == F.col("at")), "left")
+    flagged = F.coalesce(F.col("value") > F.col("threshold"), F.lit(False))
+    by_z, z_score = metric_judgement(F.col("z"))
+    log_reason, log_score = log_judgement(F.col("sev_rank"), F.col("log_n"), F.col("rate"))
+    metric, severe = F.col("source") == "cloudwatch_metric", F.col("sev_rank") <= 1
+    reason = (
+        F.when(flagged, "breach").when(metric, F.when(by_z, "baseline").otherwise("none")).when(logs, log_reason)
+        .when(severe, "severity").otherwise("none"))
+    score = (
+        F.when(flagged, F.greatest(z_score, F.coalesce(breach(F.col("value"), F.col("threshold")), F.lit(0.7))))
+        .when(metric, z_score).when(logs, log_score).otherwise(F.lit(0.0)))
+    return out.select(*[F.col(c) for c in signals.columns], (reason != "none").alias("is_anomaly"), score.alias("anomaly_score"), reason.alias("reason"))

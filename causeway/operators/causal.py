@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .incidents import family
+from .topology import explained_without
 
 TOLERANCE = 300 * 1_000_000
 AGREEMENT = 0.12
@@ -50,29 +51,24 @@ def symptoms(on: DataFrame, edges: DataFrame, ceiling: int = TOLERANCE) -> DataF
     return met.groupBy("label", "service").agg(F.array_sort(F.collect_set("callee")).alias("symptom_of"))
 
 
-def ablation(on: DataFrame, dependents: DataFrame, without: DataFrame) -> DataFrame:
+def ablation(on: DataFrame, dependents: DataFrame, edges: DataFrame) -> DataFrame:
     """(label, service, n_unique): how many failing services only this one explains: its dependents less those that
     other failing services explain in the graph without it."""
     services = on.select("label", "service")
-    other = services.withColumnRenamed("service", "x")
     mine = services.join(dependents, "service").join(
-        other.withColumnRenamed("x", "dependent"), ["label", "dependent"]).select("label", "service", "dependent")
-    explained = (
-        services.join(other, "label").where("x <> service")
-        .join(without.select(F.col("removed").alias("service"), F.col("service").alias("x"), "dependent"), ["service", "x"])
-        .select("label", "service", "dependent").distinct()
-    )
+        services.select("label", F.col("service").alias("dependent")), ["label", "dependent"]).select("label", "service", "dependent")
+    explained = explained_without(services, edges).select("label", F.col("removed").alias("service"), "dependent")
     unique = mine.join(explained, ["label", "service", "dependent"], "left_anti")
     n = unique.groupBy("label", "service").agg(F.count("*").alias("n_unique"))
     return services.join(n, ["label", "service"], "left").withColumn("n_unique", F.coalesce("n_unique", F.lit(0)))
 
 
-def scores(members: DataFrame, edges: DataFrame, dependents: DataFrame, without: DataFrame) -> DataFrame:
+def scores(members: DataFrame, edges: DataFrame, dependents: DataFrame) -> DataFrame:
     """All five passes for each (label, service)."""
     on = onsets(members)
     key = ["label", "service"]
     out = precedence(on).join(reach(on, dependents), key).join(symptoms(on, edges), key, "left").join(
-        ablation(on, dependents, without), key)
+        ablation(on, dependents, edges), key)
     rank = F.round(0.30 * F.col("temporal") + 0.40 * F.col("reach") + 0.30 * F.col("strength"), 4)
     return out.withColumn("rank_score", rank).withColumn("is_symptom", F.col("symptom_of").isNotNull()).withColumn(
         "survived", F.col("n_unique") > 0)

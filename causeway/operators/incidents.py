@@ -18,6 +18,12 @@ def family(source):
     return F.coalesce(table[source], F.lit("other"))
 
 
+def mean_of(value, digits: int = 6):
+    """Mean of numbers of at most six decimals, summed as whole millionths: the order of rows changes nothing."""
+    c = F.col(value) if isinstance(value, str) else value
+    return F.round(F.sum(F.round(c * 1e6).cast("long")) / F.count(c) / 1e6, digits)
+
+
 def link_stats(links: DataFrame, labels: DataFrame) -> DataFrame:
     """(label, n_links, mean_sim, strong_links, reasons) of each cluster."""
     inside = links.join(labels.withColumnRenamed("id", "a_id"), "a_id")
@@ -25,7 +31,7 @@ def link_stats(links: DataFrame, labels: DataFrame) -> DataFrame:
     counts = inside.groupBy("label", "gate").agg(F.count("*").alias("n"))
     reasons = counts.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("gate", "n"))).alias("reasons"))
     stats = inside.groupBy("label").agg(
-        F.count("*").alias("n_links"), F.round(F.avg("sim"), 6).alias("mean_sim"), strong.alias("strong_links"))
+        F.count("*").alias("n_links"), mean_of("sim").alias("mean_sim"), strong.alias("strong_links"))
     return stats.join(reasons, "label")
 
 
@@ -74,7 +80,7 @@ def correlation_confidence(members: DataFrame, links: DataFrame, hops: DataFrame
     labels = members.select("id", "label")
     ends = links.select(F.col("a_id").alias("id"), "sim").union(links.select("b_id", "sim"))
     best = labels.join(ends.groupBy("id").agg(F.max("sim").alias("best")), "id", "left")
-    best = best.groupBy("label").agg(F.avg(F.coalesce("best", F.lit(0.0))).alias("evidence"))
+    best = best.groupBy("label").agg(mean_of(F.coalesce("best", F.lit(0.0)), 9).alias("evidence"))
     dens = annotate(members, links).select("label", "density")
     return dens.join(topo, "label", "left").join(best, "label").select("label", F.round(
         0.40 * F.col("density") + 0.35 * F.coalesce("topology", F.lit(1.0)) + 0.25 * F.col("evidence"), 6).alias(

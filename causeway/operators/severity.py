@@ -61,9 +61,12 @@ def suppressed(members: DataFrame, windows: DataFrame) -> DataFrame:
     a window without a service covers all."""
     span = members.groupBy("label").agg(F.min("ts").alias("started"))
     services = members.select("label", "service").distinct().join(span, "label")
-    w = F.broadcast(windows.where("enabled").select(F.col("service").alias("w_service"), "start_ts", "end_ts"))
-    hit = services.join(w, (F.col("started") >= F.col("start_ts")) & (F.col("started") <= F.col("end_ts")) & (
-        F.col("w_service").isNull() | (F.col("w_service") == F.col("service"))), "left_semi").withColumn("hit", F.lit(1))
+    day = lambda c: F.floor(c / 86_400_000_000)
+    # one equi-join on (service or every service, day); a window has a row for each day it touches
+    w = windows.where("enabled and start_ts <= end_ts").select(F.coalesce("service", F.lit("*")).alias("of"), "start_ts", "end_ts", F.explode(
+        F.sequence(day(F.col("start_ts")), day(F.col("end_ts")))).alias("day"))
+    asked = services.withColumn("day", day(F.col("started"))).withColumn("of", F.explode(F.array("service", F.lit("*"))))
+    hit = asked.join(w, ["of", "day"]).where("started >= start_ts and started <= end_ts").select("label", "service").distinct().withColumn("hit", F.lit(1))
     both = services.join(hit.select("label", "service", "hit"), ["label", "service"], "left")
     return both.groupBy("label").agg((F.count("hit") == F.count("*")).alias("suppressed"))
 

@@ -42,13 +42,14 @@ def sessions(rows: DataFrame, key: str, gap_minutes: float) -> DataFrame:
 
 
 def busiest(rows: DataFrame, minutes: int = 10, lead_seconds: int = 60) -> DataFrame:
-    """One row: the trailing window with most rows (the first such) and where playback should start. Counting is done
-    in buckets of one minute's rows first, so that the ordered step sees few rows."""
+    """One row: the trailing window with most rows (the first such) and where playback should start. Rows are counted by
+    time first; each slot of the window's length sees the slot before it, so that no pair of rows is made."""
     span = minutes * MINUTE
-    slot = rows.select("ts", F.floor(F.col("ts") / span).alias("slot"))
-    other = slot.select(F.col("ts").alias("t2"), F.explode(F.array(F.col("slot"), F.col("slot") + 1)).alias("slot"))
-    got = slot.join(other, "slot").where((F.col("t2") <= F.col("ts")) & (F.col("t2") > F.col("ts") - span))
-    per = got.groupBy("ts").agg(F.count("*").alias("n"), F.min("t2").alias("first"))
+    slot = F.floor(F.col("ts") / span)
+    at = rows.groupBy("ts").agg(F.count("*").alias("k")).withColumn("own", slot)
+    seen = at.withColumn("slot", F.explode(F.array(F.col("own"), F.col("own") + 1)))
+    trailing = Window.partitionBy("slot").orderBy("ts").rangeBetween(-span + 1, 0)
+    per = seen.withColumn("n", F.sum("k").over(trailing)).withColumn("first", F.min("ts").over(trailing)).where("slot = own")
     top = per.agg(F.min(F.struct((-F.col("n")).alias("neg"), "ts", "first")).alias("m"))
     return top.select((-F.col("m.neg")).alias("n"), F.col("m.ts").alias("window_end"), (F.col("m.first") - F.lit(
         lead_seconds * 1_000_000)).alias("start_at"))

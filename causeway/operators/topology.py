@@ -1,5 +1,5 @@
-"""The service graph: hop distances, dependents, reach and ablation. Graph tables are small and known; data tables
-meet them through joins that Spark broadcasts where it finds them small."""
+"""The service graph: hop distances, dependents and dependencies, call paths, reach without a service. All are joins, in
+rounds that are written tables where the depth isn't known; nothing of the graph comes to the driver."""
 
 from __future__ import annotations
 
@@ -35,45 +35,59 @@ def closeness(hop: Column) -> Column:
     return reduce(lambda c, kv: c.when(hop == kv[0], kv[1]), CLOSENESS.items(), F.when(hop.isNull(), 0.0)).otherwise(0.0)
 
 
-#: A service graph of at most so many edges is walked on the driver; a larger one by joins.
-SMALL_GRAPH = 100_000
+def _closed(start: DataFrame, step: DataFrame, key: list[str], at: str, name: str) -> DataFrame:
+    """start(*key, at) with all that steps (at, next) reach; only what a round finds anew is joined again."""
+    known = new = written(start.distinct(), name)
+    columns = [*key, at]
+    while True:
+        more = new.join(step, at).select(*key, F.col("next").alias(at)).distinct()
+        if "removed" in key:
+            more = more.where(F.col(at) != F.col("removed"))
+        new = written(more.join(known, columns, "left_anti").select(*columns), name)
+        if new.isEmpty():
+            return known
+        known = known.union(new)
 
 
-def _callers_of(calls: list[tuple[str, str]], service: str, without: str | None = None) -> set[str]:
-    callers: dict[str, set[str]] = {}
-    for a, b in calls:
-        if without not in (a, b) and a != b:
-            callers.setdefault(b, set()).add(a)
-    found, todo = set(), [service]
-    while todo:
-        new = callers.get(todo.pop(), set()) - found
-        found |= new
-        todo += new
-    return found - {service}
+def _callers(edges: DataFrame) -> DataFrame:
+    """(service, next): who calls a service."""
+    return edges.where("caller <> callee").select(F.col("callee").alias("at"), F.col("caller").alias("next")).distinct()
 
 
 def dependents(edges: DataFrame) -> DataFrame:
     """(service, dependent): who transitively calls a service."""
-    some = edges.distinct().limit(SMALL_GRAPH + 1).collect()
-    if len(some) <= SMALL_GRAPH:
-        calls = [(r.caller, r.callee) for r in some]
-        rows = [(s, d) for s in sorted({b for _, b in calls}) for d in sorted(_callers_of(calls, s))]
-        return edges.sparkSession.createDataFrame(rows, "service string, dependent string")
-    known = edges.select(F.col("callee").alias("service"), F.col("caller").alias("dependent")).where("service <> dependent")
-    known, n = written(known.distinct(), "dependents"), -1
-    while known.count() != n:  # doubles the length of the paths that are known
-        n = known.count()
-        right = known.select(F.col("service").alias("m"), F.col("dependent").alias("d"))
-        more = known.join(right, known.dependent == right.m).select("service", F.col("d").alias("dependent"))
-        known = written(known.union(more).where("service <> dependent").distinct(), "dependents")
-    return known
-
-
-def dependents_without(edges: DataFrame) -> DataFrame:
-    """(removed, service, dependent): dependents in the graph without one service, for each service."""
-    calls = [(r.caller, r.callee) for r in edges.distinct().limit(SMALL_GRAPH + 1).collect()]
-    if len(calls) > SMALL_GRAPH:
-        raise ValueError("ablation needs a service graph of at most SMALL_GRAPH edges")
-    names = sorted({x for c in calls for x in c})
-    rows = [(gone, s, d) for gone in names for s in names if s != gone for d in sorted(_callers_of(calls, s, gone))]
-    return edges.sparkSession.createDataFrame(rows, "removed string, service string, dependent string")
+    step = _callers(edges)
+    start = step.select(F.col("at").alias("service"), F.col("next").alias("at"))
+    found = _closed(start, step, ["service"], "at", "dependents")
+    return found.where(F.col("service") != F.col("at")).select("service", F.col("at").alias("dependent"))
+
+
+def dependencies(edges: DataFrame) -> DataFrame:
+    """(service, dependency): whom a service transitively calls."""
+    turned = edges.select(F.col("callee").alias("caller"), F.col("caller").alias("callee"))
+    return dependents(turned).withColumnRenamed("dependent", "dependency")
+
+
+def explained_without(services: DataFrame, edges: DataFrame) -> DataFrame:
+    """services(label, service): (label, removed, dependent) for each service of a label removed from the graph: what
+    the label's other services still reach among their callers. Only services of labels are removed."""
+    step = _callers(edges)
+    one = services.select("label", F.col("service").alias("removed"))
+    other = services.select("label", F.col("service").alias("from"))
+    start = one.join(other, "label").where(F.col("from") != F.col("removed")).select(
+        "label", "removed", F.col("from").alias("at")).distinct()
+    first = start.join(step, "at").where(F.col("next") != F.col("removed")).select("label", "removed", F.col("next").alias("at"))
+    return _closed(first, step, ["label", "removed"], "at", "explained").withColumnRenamed("at", "dependent")
+
+
+def call_paths(edges: DataFrame, most: int = 6) -> DataFrame:
+    """(caller, callee, path): the shortest chain of calls of at most `most` steps; of equal ones the first by names."""
+    calls = edges.where("caller <> callee").select("caller", "callee").distinct()
+    paths = now = calls.select("caller", "callee", F.array("caller", "callee").alias("path"))
+    for _ in range(most - 1):
+        more = now.join(calls.select(F.col("caller").alias("callee"), F.col("callee").alias("next")), "callee")
+        more = more.where(~F.array_contains("path", F.col("next"))).select(
+            "caller", F.col("next").alias("callee"), F.concat("path", F.array("next")).alias("path"))
+        now = more.groupBy("caller", "callee").agg(F.min("path").alias("path"))
+        paths = paths.union(now)
+    return paths.groupBy("caller", "callee").agg(F.min(F.struct(F.size("path").alias("n"), "path"))["path"].alias("path"))

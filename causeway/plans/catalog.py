@@ -40,16 +40,18 @@ def linked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def membership(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(members: anomalous signals of clusters with label, links)."""
-    found = linked(spark, d)
+    """(members: anomalous signals of clusters with label, links). Signals are judged once and written."""
+    odd, e = written(anomalous(spark, d), "anomalous"), edges(spark)
+    near = pairs.similarity(pairs.gated(pairs.candidates(odd, e), e))
+    found = written(pairs.links(near).select("a_id", "b_id", "gate", "sim"), "links")
     labels = components(found.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
-    return written(anomalous(spark, d).join(labels, "id"), "members"), found
+    return written(odd.join(labels, "id"), "members"), found
 
 
 def _scores(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     m, _ = membership(spark, d)
     e = edges(spark)
-    return m, causal.scores(m, e, topology.dependents(e), topology.dependents_without(e))
+    return m, causal.scores(m, e, topology.dependents(e))
 
 
 # --- signals, dedup, detection

@@ -44,7 +44,7 @@ VIEWS = {
     "spread": "SELECT p AS id, p AS r FROM sym UNION SELECT sym.q, spread.r FROM spread JOIN sym ON sym.p = spread.id",
     "labels": "SELECT id, min(r) AS label FROM spread GROUP BY id",
     "members": "SELECT a.*, l.label FROM anom a JOIN labels l ON a.id = l.id",
-    "lstats": """SELECT label, count(*) AS n_links, round(avg(sim), 6) AS mean_sim,
+    "lstats": """SELECT label, count(*) AS n_links, round(sum(round(sim * 1e6)::BIGINT) / count(*)::DOUBLE / 1e6, 6) AS mean_sim,
   sum(CASE WHEN gate IN ('shared trace', 'same service', 'direct dependency') THEN 1 ELSE 0 END)::BIGINT AS strong_links
   FROM links JOIN labels ON id = a_id GROUP BY label""",
     "clusters": """SELECT m.label, n_signals, n_services, started, ended, peak, n_links, mean_sim, strong_links,
@@ -185,7 +185,7 @@ TEXTS: dict[str, tuple[str, str]] = {
   LEFT JOIN (SELECT label, avg(CASE WHEN coalesce(h.hops, 9) <= 2 THEN 1.0 ELSE 0.0 END) AS topology FROM (SELECT m.label, m.service AS s1, n.service AS s2,
     row_number() OVER (PARTITION BY m.label ORDER BY m.id, n.id) AS k FROM members m JOIN members n ON m.label = n.label AND m.id < n.id) p
     LEFT JOIN hop h ON h.a = s1 AND h.b = s2 WHERE k <= 2500 GROUP BY label) t ON t.label = c.label
-  JOIN (SELECT label, avg(best) AS evidence FROM (SELECT l.label, l.id, max(sim) AS best FROM labels l JOIN (SELECT a_id AS id, sim FROM links UNION ALL
+  JOIN (SELECT label, round(sum(round(best * 1e6)::BIGINT) / count(*)::DOUBLE / 1e6, 9) AS evidence FROM (SELECT l.label, l.id, max(sim) AS best FROM labels l JOIN (SELECT a_id AS id, sim FROM links UNION ALL
     SELECT b_id, sim FROM links) e ON e.id = l.id GROUP BY l.label, l.id) GROUP BY label) b ON b.label = c.label"""),
     "near_misses": ("+clusters svcs", """SELECT label, id, reason, rank FROM (SELECT c.label, a.id, CASE WHEN EXISTS (SELECT 1 FROM svcs s JOIN calls e ON e.x = s.service
   WHERE s.label = c.label AND e.y = a.service) THEN 'below threshold' ELSE 'no shared context' END AS reason, row_number() OVER (PARTITION BY c.label ORDER BY a.ts, a.id) AS rank
@@ -298,8 +298,8 @@ def _closure(names: str) -> list[str]:
     return [v for v in order if v in want]
 
 
-def oracle(name: str) -> str:
-    needs, text = TEXTS[name]
+def oracle(name: str, texts: dict[str, tuple[str, str]] = TEXTS) -> str:
+    needs, text = texts[name]
     views = "".join(f",\n{v} AS ({VIEWS[v]})" for v in _closure(needs))
     return f"WITH RECURSIVE {SIGNALS_SQL}{views}\n{text}"
 

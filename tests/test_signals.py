@@ -117,7 +117,7 @@ def test_cascade_to_root_cause(spark):
     label = components(link.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
     assert {(r.id, r.label) for r in label.collect()} == {(1, 1), (2, 1), (3, 1)}
     m = s.join(label, "id")
-    scored = causal.scores(m, g, topology.dependents(g), topology.dependents_without(g))
+    scored = causal.scores(m, g, topology.dependents(g))
     root = causal.root_causes(scored).collect()
     assert [(r.root, r.fell_back) for r in root] == [("db", False)]
     checks = incidents.validation(m, incidents.annotate(m, link)).collect()[0]
@@ -135,7 +135,7 @@ def test_two_causes_in_one_cluster_split(spark):
         (4, 1, "cache", "redis", "app_log", "high", "evictions memory pressure", None, None),
     ])).withColumn("label", F.lit(1).cast("long"))
     g = graph(spark)
-    scored = causal.scores(s, g, topology.dependents(g), topology.dependents_without(g))
+    scored = causal.scores(s, g, topology.dependents(g))
     got = {r.id: r.centre for r in splitting.split(s, scored, topology.dependents(g), topology.hops(g)).collect()}
     assert got == {1: "db", 2: "db", 3: "cache", 4: "cache"}
 
