@@ -42,13 +42,13 @@ def dimension_means(labels: DataFrame, pairs: DataFrame, weights: dict[str, floa
     parts = F.explode(F.array(*[F.struct(F.lit(k).alias("dimension"), F.round(F.col(f"{k}_term"), 6).alias("v"), F.lit(
         w).alias("w")) for k, w in weights.items()]))
     each = inside.select("label", parts.alias("p")).select("label", "p.*")
-    return each.groupBy("label", "dimension").agg(F.round(mean_of("v", 9) * F.max("w"), 6).alias("contribution"))
+    return each.groupBy("label", "dimension").agg(F.round(mean_of("v", 9) * F.max("w") + 1e-9, 6).alias("contribution"))
 
 
 def confidence_parts(clusters: DataFrame) -> DataFrame:
     """(label, part, points): the terms of the correlator's confidence, rounded to two places."""
     share = F.col("strong_links") / F.nullif("n_links", F.lit(0))
-    parts = (("baseline", F.lit(0.35)), ("strong links", F.round(0.45 * share, 2)), ("mean similarity", F.round(0.30 * F.col("mean_sim"), 2)))
+    parts = (("baseline", F.lit(0.35)), ("strong links", F.round(0.45 * share + 1e-9, 2)), ("mean similarity", F.round(0.30 * F.col("mean_sim") + 1e-9, 2)))
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("part"), v.alias("points")) for k, v in parts]))
     return clusters.select("label", each.alias("p")).select("label", "p.part", "p.points")
 

@@ -19,9 +19,11 @@ def family(source):
 
 
 def mean_of(value, digits: int = 6):
-    """Mean of numbers of at most six decimals, summed as whole millionths: the order of rows changes nothing."""
+    """Mean of numbers of at most six decimals, summed and divided as whole numbers and rounded up at a half: neither the
+    order of rows nor an engine's rounding changes anything."""
     c = F.col(value) if isinstance(value, str) else value
-    return F.round(F.sum(F.round(c * 1e6).cast("long")) / F.count(c) / 1e6, digits)
+    total, n = F.sum(F.round(c * 1e6).cast("long")) * (2 * 10 ** (digits - 6)), F.count(c)
+    return F.floor((total + n) / (2 * n)) / 10.0**digits
 
 
 def link_stats(links: DataFrame, labels: DataFrame) -> DataFrame:
@@ -46,7 +48,7 @@ def annotate(members: DataFrame, links: DataFrame) -> DataFrame:
     density = F.when(n < 2, 1.0).otherwise(F.col("n_links") / (n * (n - 1) / 2))
     share = F.col("strong_links") / F.nullif("n_links", F.lit(0))
     return base.join(s, "label", "left").withColumn("density", F.round(density, 6)).withColumn(
-        "correlator_confidence", F.round(0.35 + 0.45 * share + 0.30 * F.col("mean_sim"), 6))
+        "correlator_confidence", F.round(0.35 + 0.45 * share + 0.30 * F.col("mean_sim") + 1e-9, 6))
 
 
 def validation(members: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -83,7 +85,7 @@ def correlation_confidence(members: DataFrame, links: DataFrame, hops: DataFrame
     best = best.groupBy("label").agg(mean_of(F.coalesce("best", F.lit(0.0)), 9).alias("evidence"))
     dens = annotate(members, links).select("label", "density")
     return dens.join(topo, "label", "left").join(best, "label").select("label", F.round(
-        0.40 * F.col("density") + 0.35 * F.coalesce("topology", F.lit(1.0)) + 0.25 * F.col("evidence"), 6).alias(
+        0.40 * F.col("density") + 0.35 * F.coalesce("topology", F.lit(1.0)) + 0.25 * F.col("evidence") + 1e-9, 6).alias(
         "confidence"))
 
 

@@ -43,7 +43,7 @@ def signal_joins(spark, d):
     return evidence.strongest_joins(m, _pairs_of(spark, d, m))
 
 
-@sql("+labels", """SELECT label, dimension, round(round(sum(round(v * 1e6)::BIGINT) / count(*)::DOUBLE / 1e6, 9) * any_value(w), 6) AS contribution FROM (
+@sql("+labels", """SELECT label, dimension, round(floor((2000 * sum(round(v * 1e6)::BIGINT)::BIGINT + count(*)) / (2 * count(*))::DOUBLE) / 1e9 * any_value(w) + 1e-9, 6) AS contribution FROM (
   SELECT l.label, t.dimension, t.v, t.w FROM sims s JOIN labels l ON l.id = s.a_id, LATERAL (VALUES ('time', round(time_term, 6), 0.36::DOUBLE), ('service', round(service_term::DOUBLE, 6), 0.06),
   ('dependency', round(dependency_term::DOUBLE, 6), 0.33), ('template', round(template_term, 6), 0.19), ('component', round(component_term::DOUBLE, 6), 0.06)) t(dimension, v, w)
   WHERE 1 - s.sim <= 0.55) GROUP BY label, dimension""")
@@ -53,8 +53,8 @@ def dimension_means(spark, d):
     return evidence.dimension_means(m.select("id", "label"), pairs.links(_pairs_of(spark, d, m)), pairs.WEIGHTS)
 
 
-@sql("+clusters", """SELECT label, 'baseline' AS part, 0.35::DOUBLE AS points FROM clusters UNION ALL SELECT label, 'strong links', round(0.45 * (strong_links / n_links::DOUBLE), 2) FROM clusters
-  UNION ALL SELECT label, 'mean similarity', round(0.30 * mean_sim, 2) FROM clusters""")
+@sql("+clusters", """SELECT label, 'baseline' AS part, 0.35::DOUBLE AS points FROM clusters UNION ALL SELECT label, 'strong links', round(0.45 * (strong_links / n_links::DOUBLE) + 1e-9, 2) FROM clusters
+  UNION ALL SELECT label, 'mean similarity', round(0.30 * mean_sim + 1e-9, 2) FROM clusters""")
 def confidence_parts(spark, d):
     m, found = membership(spark, d)
     return evidence.confidence_parts(incidents.annotate(m, found))

@@ -44,12 +44,12 @@ VIEWS = {
     "spread": "SELECT p AS id, p AS r FROM sym UNION SELECT sym.q, spread.r FROM spread JOIN sym ON sym.p = spread.id",
     "labels": "SELECT id, min(r) AS label FROM spread GROUP BY id",
     "members": "SELECT a.*, l.label FROM anom a JOIN labels l ON a.id = l.id",
-    "lstats": """SELECT label, count(*) AS n_links, round(sum(round(sim * 1e6)::BIGINT) / count(*)::DOUBLE / 1e6, 6) AS mean_sim,
+    "lstats": """SELECT label, count(*) AS n_links, floor((2 * sum(round(sim * 1e6)::BIGINT)::BIGINT + count(*)) / (2 * count(*))::DOUBLE) / 1e6 AS mean_sim,
   sum(CASE WHEN gate IN ('shared trace', 'same service', 'direct dependency') THEN 1 ELSE 0 END)::BIGINT AS strong_links
   FROM links JOIN labels ON id = a_id GROUP BY label""",
     "clusters": """SELECT m.label, n_signals, n_services, started, ended, peak, n_links, mean_sim, strong_links,
   round(CASE WHEN n_signals < 2 THEN 1.0 ELSE n_links / (n_signals * (n_signals - 1) / 2.0) END, 6) AS density,
-  round(0.35 + 0.45 * (strong_links / n_links::DOUBLE) + 0.30 * mean_sim, 6) AS correlator_confidence
+  round(0.35 + 0.45 * (strong_links / n_links::DOUBLE) + 0.30 * mean_sim + 1e-9, 6) AS correlator_confidence
   FROM (SELECT label, count(*) AS n_signals, count(DISTINCT service) AS n_services, min(ts) AS started, max(ts) AS ended,
   max(anomaly_score) AS peak FROM members GROUP BY label) m LEFT JOIN lstats s ON s.label = m.label""",
     "dep": "SELECT callee AS service, caller AS dependent FROM edges UNION SELECT d.service, e.caller FROM dep d JOIN edges e ON e.callee = d.dependent",
@@ -181,11 +181,11 @@ TEXTS: dict[str, tuple[str, str]] = {
   n_signals <= 3 OR density >= 0.25 AS coherent, peak >= 0.6 AS supported, conditions >= 2 OR all_severe AS independent FROM clusters c JOIN (
   SELECT label, count(DISTINCT (service, source, coalesce(metric, substr(message, 1, 60)))) AS conditions, bool_and(sev_rank <= 1) AS all_severe
   FROM members GROUP BY label) s ON s.label = c.label)"""),
-    "cluster_confidence": ("+clusters", """SELECT c.label, round(0.40 * density + 0.35 * coalesce(topology, 1.0) + 0.25 * evidence, 6) AS confidence FROM clusters c
+    "cluster_confidence": ("+clusters", """SELECT c.label, round(0.40 * density + 0.35 * coalesce(topology, 1.0) + 0.25 * evidence + 1e-9, 6) AS confidence FROM clusters c
   LEFT JOIN (SELECT label, avg(CASE WHEN coalesce(h.hops, 9) <= 2 THEN 1.0 ELSE 0.0 END) AS topology FROM (SELECT m.label, m.service AS s1, n.service AS s2,
     row_number() OVER (PARTITION BY m.label ORDER BY m.id, n.id) AS k FROM members m JOIN members n ON m.label = n.label AND m.id < n.id) p
     LEFT JOIN hop h ON h.a = s1 AND h.b = s2 WHERE k <= 2500 GROUP BY label) t ON t.label = c.label
-  JOIN (SELECT label, round(sum(round(best * 1e6)::BIGINT) / count(*)::DOUBLE / 1e6, 9) AS evidence FROM (SELECT l.label, l.id, max(sim) AS best FROM labels l JOIN (SELECT a_id AS id, sim FROM links UNION ALL
+  JOIN (SELECT label, floor((2000 * sum(round(best * 1e6)::BIGINT)::BIGINT + count(*)) / (2 * count(*))::DOUBLE) / 1e9 AS evidence FROM (SELECT l.label, l.id, max(sim) AS best FROM labels l JOIN (SELECT a_id AS id, sim FROM links UNION ALL
     SELECT b_id, sim FROM links) e ON e.id = l.id GROUP BY l.label, l.id) GROUP BY label) b ON b.label = c.label"""),
     "near_misses": ("+clusters svcs", """SELECT label, id, reason, rank FROM (SELECT c.label, a.id, CASE WHEN EXISTS (SELECT 1 FROM svcs s JOIN calls e ON e.x = s.service
   WHERE s.label = c.label AND e.y = a.service) THEN 'below threshold' ELSE 'no shared context' END AS reason, row_number() OVER (PARTITION BY c.label ORDER BY a.ts, a.id) AS rank
