@@ -9,7 +9,7 @@ on the other half, which no forest has seen: halfway from a score of good rows t
 above it begin. That score is the highest, unless passing over a few extreme good rows, at most MAX_LOSS, finds at least
 PRICE times as many bad rows as chance and PRICE for each: they are taken for mislabelled. A forest is used where the
 bad rows found are more than chance gives (CHANCE), however few they are among all bad rows, or at least MIN_GAIN of
-them with no good row. The model is some megabytes whatever the corpus, and every document is scored.
+them with no good row. The model is a few megabytes whatever the corpus, and every document is scored.
 
 Defined cases: a null or empty text has no words, all counts 0, and fails the base rule; a null doc_id stays null;
 repeated rows are judged one by one; extra columns are ignored by `statistics` and kept by `keep`; without labelled
@@ -128,6 +128,7 @@ def grow(x: np.ndarray, wide: np.ndarray, trees: int = TREES, rows: int = NODE_R
     size = 2 * depth * rows + 3
     able = np.flatnonzero((wide > 0) | (x.max(0) > x.min(0)))
     shape = (trees, size)
+    used = 1
     feature, cut, left, path = np.full(shape, -1), np.zeros(shape), np.zeros(shape, np.int64), np.zeros(shape)
     for t in range(trees):
         todo, free = [(0, x[rng.choice(len(x), rows, replace=False)], 0)], 1
@@ -142,7 +143,10 @@ def grow(x: np.ndarray, wide: np.ndarray, trees: int = TREES, rows: int = NODE_R
             feature[t, node], cut[t, node], left[t, node] = f, at, free
             todo += [(free, part[~right], d + 1), (free + 1, part[right], d + 1)]
             free += 2
-    return Forest(feature, cut, left, path, max(_mean_path(rows), 1e-9))
+        used = max(used, free)
+    # only the nodes in use go to the tasks, in small numbers
+    trim = lambda a, kind: a[:, :used].astype(kind)
+    return Forest(trim(feature, np.int8), trim(cut, np.float32), trim(left, np.int32), trim(path, np.float32), max(_mean_path(rows), 1e-9))
 
 
 def statistics(docs: DataFrame) -> DataFrame:
