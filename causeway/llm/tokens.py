@@ -2,7 +2,7 @@
 
 Both tokenizers cut a text before merging, and never merge across the cuts found here, so a piece has the same ids
 wherever it stands. Each distinct piece that a worker meets is encoded once by the library and kept (up to KEPT
-pieces, then the memory starts anew); a text's ids are put together from its pieces. `same` compares this with
+pieces, then the memory starts anew); a text's ids are put together from its pieces. Tests compare this with
 encoding texts whole.
 """
 
