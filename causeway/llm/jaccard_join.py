@@ -152,11 +152,29 @@ def _shared(rows: DataFrame) -> DataFrame:
     return met.union(rows.where("late").select("h", "c", F.lit(MANY).alias("df")))
 
 
-def _bit_filter(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """A filter of `bits` bits with the bit of each id set, built by partial aggregation."""
+def _bit_words(ids: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """(w, v): a filter of `bits` bits in words of 64 with the bit of each id(long) set, by partial aggregation; at
+    most bits / 64 rows."""
     at = F.pmod(F.xxhash64("id"), F.lit(bits))
     words = ids.select(at.alias("at")).selectExpr("cast(at div 64 as int) w", "shiftleft(1L, cast(at % 64 as int)) v")
-    rows = words.groupBy("w").agg(F.bit_or("v").alias("v")).toPandas()
+    return words.groupBy("w").agg(F.bit_or("v").alias("v"))
+
+
+def _sifted(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs whose doc_id may be one of ids(id), and those whose isn't: by a bit filter, broadcast in at most
+    FILTER_BITS / 64 rows. Rows without a doc_id are in one of both."""
+    w, v = fresh(docs, "w"), fresh(docs, "v")
+    words = F.broadcast(written(_bit_words(ids), "bits").toDF(w, v))
+    at = F.pmod(F.xxhash64(F.col("`doc_id`").cast("long")), F.lit(FILTER_BITS))
+    all_ = docs.join(words, F.floor(at / 64).cast("int") == F.col(w), "left")
+    may = F.coalesce(F.getbit(F.col(v), F.pmod(at, F.lit(64)).cast("int")), F.lit(0)) == 1
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return all_.where(may).select(*columns), all_.where(~may).select(*columns)
+
+
+def _bit_filter(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """The words of a filter as one array."""
+    rows = _bit_words(ids, bits).toPandas()
     out = np.zeros(bits // 64, np.int64)
     out[rows["w"].to_numpy(np.int64)] = rows["v"].to_numpy(np.int64)
     return out
@@ -442,17 +460,18 @@ def join(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one document of each component, the one with the smallest doc_id (of rows that repeat it the one with
-    the smallest hash of its text). Rows without a doc_id can't be named and stay. Columns are those of docs. Texts are
-    only compared with the ids that go."""
+    the smallest hash of its text). Rows without a doc_id can't be named and stay. Columns are those of docs. Rows that
+    a bit filter of the ids that go sets apart are joined with these ids exactly; no other row is shuffled."""
     name, at = fresh(docs, "named"), fresh(docs, "at")
     same = F.col("doc_id") == F.col("component_id")
     ids = written(join(docs).where("doc_id is not null").groupBy("doc_id").agg(
         F.max(same.cast("int")).alias("kept"), F.count("*").alias("n")), "kept")
     gone = ids.where("kept = 0 or n > 1").select(F.col("doc_id").alias(name))
-    out = docs.join(gone, F.col("`doc_id`") == F.col(name), "left_anti")
+    met, rest = _sifted(docs, gone.select(F.col(name).alias("id")))
+    out = rest.unionByName(met.join(gone, F.col("`doc_id`") == F.col(name), "left_anti"))
     twice = ids.where("kept = 1 and n > 1").select(F.col("doc_id").alias(name))
     if twice.isEmpty():
         return out
     once = F.row_number().over(Window.partitionBy(F.col("`doc_id`")).orderBy(F.xxhash64(F.col("`text`")), F.col("`text`")))
-    some = docs.join(twice, F.col("`doc_id`") == F.col(name), "left_semi").withColumn(at, once).where(F.col(at) == 1).drop(at)
+    some = met.join(twice, F.col("`doc_id`") == F.col(name), "left_semi").withColumn(at, once).where(F.col(at) == 1).drop(at)
     return out.unionByName(some)
