@@ -277,11 +277,11 @@ def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            verdicts = []
-            for _, data, offs in chunks(batch.column(at)):
-                c = _row_counts(data, offs)
-                verdicts.append((c[:, 0] >= 50) & (100 * c[:, 4] <= 50 * c[:, 0]) & ~model.judge(c)[1])
-            if verdicts:
-                yield batch.filter(pa.array(np.concatenate(verdicts)))
+            parts = [_row_counts(data, offs) for _, data, offs in chunks(batch.column(at))]
+            if parts:  # forests judge a batch at once, and only what passes the base rule
+                c = np.concatenate(parts)
+                keep = (c[:, 0] >= 50) & (100 * c[:, 4] <= 50 * c[:, 0])
+                keep[keep] = ~model.judge(c[keep])[1]
+                yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(sift, docs.schema)
