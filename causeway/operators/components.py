@@ -10,7 +10,7 @@ from ..tables import written
 
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(id, label) for every id of edges(a, b); label is the smallest id reachable. Labels also jump to their own
-    label's label, so rounds grow slowly with the diameter."""
+    label's label, so rounds grow slowly with the diameter. Labels that don't settle in `rounds` are an error."""
     both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "cc-edges")
     now = written(both.groupBy("a").agg(F.least("a", F.min("b")).alias("label")).withColumnRenamed("a", "id"), "cc")
     for _ in range(rounds):
@@ -20,6 +20,6 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         new = new.join(jump, F.col("label") == F.col("jid")).select("id", F.least("label", "jlabel").alias("label"), "old")
         new = written(new, "cc")
         if new.where("label <> old").isEmpty():
-            break
+            return new.select("id", "label")
         now = new.select("id", "label")
-    return new.select("id", "label") if rounds else now
+    raise RuntimeError(f"components: not settled after {rounds} rounds")

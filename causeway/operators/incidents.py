@@ -1,14 +1,13 @@
-"""Clusters of linked signals: confidence, validation checks, splitting at weak bridges, near misses, late arrivals."""
+"""Clusters of linked signals: confidence, validation checks, near misses, late arrivals."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .pairs import BAND
 
-MIN_DENSITY, MIN_ANOMALY, WEAK_BRIDGE, PAIR_CAP = 0.25, 0.60, 0.50, 2500
+MIN_DENSITY, MIN_ANOMALY, PAIR_CAP = 0.25, 0.60, 2500
 FAMILY = {"cloudwatch_metric": "metric", "grafana_alert": "metric", "cloudwatch_log": "log", "app_log": "log",
           "trace_span": "trace"}
 
@@ -89,63 +88,6 @@ def correlation_confidence(members: DataFrame, links: DataFrame, hops: DataFrame
         "confidence"))
 
 
-def _parts(nodes: list, edges: list[tuple], without=None) -> list[set]:
-    left, out = {n for n in nodes if n != without}, []
-    near: dict = {}
-    for a, b, _ in edges:
-        near.setdefault(a, []).append(b)
-        near.setdefault(b, []).append(a)
-    while left:
-        todo = [left.pop()]
-        part = set(todo)
-        while todo:
-            for x in near.get(todo.pop(), ()):
-                if x in left:
-                    left.discard(x)
-                    part.add(x)
-                    todo.append(x)
-        out.append(part)
-    return out
-
-
-def split_weak_bridges(members: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, label, part): clusters of five or more fall apart at a signal whose best link is under WEAK_BRIDGE and
-    without which two or more parts of at least two remain; parts are looked at again. Ties go by id. The bridge stays
-    with the part of its best link. One cluster at a time; linked pairs of a cluster only."""
-
-    def solve(nodes: list, edges: list[tuple]) -> list[list]:
-        done, todo = [], [sorted(nodes)]
-        while todo:
-            now = todo.pop()
-            inner = [e for e in edges if e[0] in set(now) and e[1] in set(now)]
-            cut = None
-            if len(now) >= 5 and len(_parts(now, inner)) == 1:
-                for x in now:
-                    mine = [e for e in inner if x in e[:2]]
-                    if mine and max(e[2] for e in mine) < WEAK_BRIDGE:
-                        parts = [p for p in _parts(now, inner, x) if len(p) >= 2]
-                        if len(parts) >= 2:
-                            best = max(mine, key=lambda e: (e[2], -min(e[:2])))
-                            other = best[1] if best[0] == x else best[0]
-                            cut = [sorted(p | ({x} if other in p else set())) for p in _parts(now, inner, x)]
-                            break
-            if cut:
-                todo += cut
-            else:
-                done.append(now)
-        return done
-
-    def run(key: tuple, m: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        parts = solve(m["id"].tolist(), list(e[["a_id", "b_id", "sim"]].itertuples(index=False, name=None)))
-        rows = [(x, key[0], min(p)) for p in parts for x in p]
-        return pd.DataFrame(rows, columns=["id", "label", "part"])
-
-    inside = links.join(members.select(F.col("id").alias("a_id"), F.col("label").alias("of")), "a_id").select(
-        "of", "a_id", "b_id", "sim")
-    return members.select("label", "id").groupBy("label").cogroup(inside.groupBy("of")).applyInPandas(
-        run, "id long, label long, part long")
-
-
 def near_misses(clusters: DataFrame, members: DataFrame, noise: DataFrame, edges: DataFrame, limit: int = 4) -> DataFrame:
     """(label, id, reason, rank): the first `limit` noise signals within 15 minutes of a cluster's span, with why they
     are outside: a call away but below the threshold, or no shared context. Signals of a member service are left out."""

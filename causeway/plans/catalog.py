@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import redaction
 from ..functions import text as T
-from ..operators import baseline, causal, dedup, evaluate, incidents, legacy, pairs, severity, similar_text, splitting, timeline, topology
+from ..operators import baseline, bridges, causal, dedup, evaluate, incidents, legacy, pairs, severity, similar_text, splitting, timeline, topology
 from ..operators.components import components
 from ..tables import read, written
 from .signals import edges, registry, signals
@@ -266,7 +266,7 @@ def cluster_confidence(spark, d):
 def weak_bridge_parts(spark, d):
     """Clusters after splitting at weak bridges (procedural; rows only)."""
     m, found = membership(spark, d)
-    return incidents.split_weak_bridges(m, found)
+    return bridges.split_weak_bridges(m, found)
 
 
 @query

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from causeway.functions import redaction, text
-from causeway.operators import baseline, causal, dedup, evaluate, incidents, pairs, severity, similar_text, splitting, timeline, topology
+from causeway.operators import baseline, bridges, causal, dedup, evaluate, incidents, pairs, severity, similar_text, splitting, timeline, topology
 from causeway.operators.components import components
 from causeway.sources import adapters, files, sinks
 from causeway.streaming.review import Review, adjusted_weights
@@ -148,7 +148,7 @@ def test_components_of_a_long_chain(spark):
 def test_weak_bridge_splits(spark):
     m = spark.createDataFrame([(k, 1) for k in range(1, 6)], "id long, label long")
     link = spark.createDataFrame([(1, 2, "g", 0.9), (2, 3, "g", 0.46), (3, 4, "g", 0.47), (4, 5, "g", 0.9)], "a_id long, b_id long, gate string, sim double")
-    got = {r.id: r.part for r in incidents.split_weak_bridges(m, link).collect()}
+    got = {r.id: r.part for r in bridges.split_weak_bridges(m, link).collect()}
     assert got[1] == got[2] and got[3] == got[4] == got[5] != got[1]
 
 
