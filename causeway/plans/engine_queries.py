@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import templates
-from ..tables import read
+from ..operators import causal, splitting, templates, topology, validated
+from ..sources import appended
+from ..streaming import live
+from ..tables import read, shared_dir
 from . import oracles
-from .catalog import query
-from .signals import signals
+from .catalog import anomalous, membership, query
+from .signals import edges, signals
 
 TEXTS: dict[str, tuple[str, str]] = {}
 
@@ -47,4 +51,66 @@ def mined_signal_templates(spark, d):
     return found.select("template", "n_words", "n_lines", "n_distinct")
 
 
+# --- validation
+
+
+def _environment() -> Column:
+    k = F.pmod("id", F.lit(7))
+    return F.when(k.isin(1, 2), "staging").when(k > 2, "production")
+
+
+@query
+def validated_incidents(spark, d):
+    """What becomes of each candidate cluster: split by cause, environment and weak bridges, then checked (compared with a
+    plain worklist in tests)."""
+    m, found = membership(spark, d)
+    e = edges(spark)
+    down, near = topology.dependents(e), topology.hops(e)
+    causes = splitting.split(m, causal.scores(m, e, down), down, near).select("id", "centre")
+    verdicts, _ = validated.validated(m.withColumn("environment", _environment()), found, near, causes)
+    return verdicts
+
+
+# --- recordings and streams
+
+
+def _recording(spark, d) -> DataFrame:
+    """Events as lines of a recording: three streams, every fifth event skipped, every seventh without an id."""
+    e = read(spark, d, "events")
+    stream = F.element_at(F.array(F.lit("app-logs"), F.lit("aws-cloudwatch"), F.lit("dash-grafana")), (F.col("user_id") % 3 + 1).cast("int"))
+    outcome = F.when(F.col("event_id") % 5 == 0, "skipped").otherwise("signal")
+    ident = F.when(F.col("event_id") % 7 > 0, F.concat(F.lit("e"), F.lpad(F.col("event_id").cast("string"), 12, "0")))
+    line = F.to_json(F.struct(F.lit("event").alias("kind"), stream.alias("stream"), ident.alias("id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias(
+        "at"), outcome.alias("outcome"), F.struct("event_type", "value").alias("signal")))
+    return e.select("event_id", line.alias("value"))
+
+
+@sql("", """SELECT ['app-logs', 'aws-cloudwatch', 'dash-grafana'][user_id % 3 + 1] AS stream, count(*) AS events, count_if(event_id % 5 > 0)::BIGINT AS signals, count_if(event_id % 5 = 0)::BIGINT AS skipped, 0::BIGINT AS errors,
+  max(CASE WHEN event_id % 7 > 0 THEN 'e' || lpad(event_id::VARCHAR, 12, '0') END) AS last_id FROM events GROUP BY 1""")
+def replayed_recording(spark, d):
+    """Counters and resume points of a recording that is read as a stream, stopped, grown and resumed."""
+    folder = f"{shared_dir(spark)}/recording-{uuid.uuid4().hex}"
+    lines, half = _recording(spark, d), read(spark, d, "events").agg(F.expr("percentile(event_id, 0.5)")).first()[0] or 0
+    for part in (lines.where(F.col("event_id") <= half), lines.where(F.col("event_id") > half)):
+        # later lines come in later files, as a recorder rolls them
+        part.repartitionByRange(4, "event_id").sortWithinPartitions("event_id").select("value").write.mode("append").text(f"{folder}/lines")
+        appended.recorded(spark, f"{folder}/lines").writeStream.format("parquet").option("path", f"{folder}/read").option(
+            "checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(f"{folder}/read")
+    # ids rise with time, so the last by name is the last recorded
+    return appended.resume_points(got.select("stream", "id", "outcome", F.coalesce("id", F.lit("")).alias("file"), F.lit(0).alias("place")))
+
+
+@sql("+members", "SELECT id, label FROM members")
+def streamed_members(spark, d):
+    """Members of the incidents that the streaming engine forms from all anomalous signals in one batch, every candidate
+    accepted and repeats left as the batch dedup has them: what incident_components finds."""
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    anomalous(spark, d).write.parquet(f"{folder}/in")
+    source = spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).parquet(f"{folder}/in")
+    engine = live.IncidentStream(f"{folder}/state", edges(spark), accept=lambda m, _: m.select("label").distinct(), repeat_minutes=0)
+    engine.replay(source, f"{folder}/checkpoint")
+    return engine.members(spark, 0).select("id", "label")
+
+
 ORACLE_SQL = {name: oracles.oracle(name, TEXTS) for name in TEXTS}
