@@ -11,7 +11,8 @@ from ..functions import redaction
 from ..functions import text as T
 from ..operators import baseline, bridges, causal, dedup, evaluate, incidents, legacy, pairs, severity, similar_text, splitting, timeline, topology
 from ..operators.components import components
-from ..tables import read, written
+from ..tables import read
+from .runs import kept
 from .signals import edges, registry, signals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,7 +24,8 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
-    return baseline.detect(dedup.dedup_signals(signals(spark, d)))
+    """Deduplicated signals judged by the whole detector."""
+    return kept(spark, d, "scored", lambda: baseline.detect_all(dedup.dedup_signals(signals(spark, d))))
 
 
 def anomalous(spark: SparkSession, d: str) -> DataFrame:
@@ -31,27 +33,43 @@ def anomalous(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scored_pairs(spark: SparkSession, d: str) -> DataFrame:
-    e = edges(spark)
-    return pairs.similarity(pairs.gated(pairs.candidates(anomalous(spark, d), e), e))
+    """Pairs that the gate lets through, with terms and similarity, and each side's service."""
+
+    def build() -> DataFrame:
+        e = edges(spark)
+        side = lambda c: F.struct(F.col(f"{c}.service").alias("service")).alias(c)
+        out = pairs.similarity(pairs.gated(pairs.candidates(anomalous(spark, d), e), e))
+        return out.withColumns({c: side(c) for c in "ab"})
+
+    return kept(spark, d, "pairs", build)
 
 
 def linked(spark: SparkSession, d: str) -> DataFrame:
-    return written(pairs.links(scored_pairs(spark, d)).select("a_id", "b_id", "gate", "sim"), "links")
+    return pairs.links(scored_pairs(spark, d)).select("a_id", "b_id", "gate", "sim")
 
 
 def membership(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(members: anomalous signals of clusters with label, links). Signals are judged once and written."""
-    odd, e = written(anomalous(spark, d), "anomalous"), edges(spark)
-    near = pairs.similarity(pairs.gated(pairs.candidates(odd, e), e))
-    found = written(pairs.links(near).select("a_id", "b_id", "gate", "sim"), "links")
-    labels = components(found.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
-    return written(odd.join(labels, "id"), "members"), found
+    """(members: anomalous signals of clusters with label, links)."""
+    found = kept(spark, d, "links", lambda: linked(spark, d))
+    labels = lambda: components(found.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
+    return kept(spark, d, "members", lambda: anomalous(spark, d).join(labels(), "id")), found
+
+
+def reach(spark: SparkSession, d: str) -> DataFrame:
+    """(service, dependent): who transitively calls a service."""
+    return kept(spark, d, "dependents", lambda: topology.dependents(edges(spark)))
 
 
 def _scores(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     m, _ = membership(spark, d)
-    e = edges(spark)
-    return m, causal.scores(m, e, topology.dependents(e))
+    return m, kept(spark, d, "causes", lambda: causal.scores(m, edges(spark), reach(spark, d)))
+
+
+def rooted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, root causes, impact) of every incident."""
+    m, s = _scores(spark, d)
+    roots = kept(spark, d, "roots", lambda: causal.root_causes(s))
+    return m, roots, kept(spark, d, "impact", lambda: severity.impact(m, roots, reach(spark, d), registry(spark)))
 
 
 # --- signals, dedup, detection
@@ -317,8 +335,7 @@ def causal_scores(spark, d):
 
 @query
 def root_causes(spark, d):
-    _, s = _scores(spark, d)
-    return causal.root_causes(s)
+    return rooted(spark, d)[1]
 
 
 @query
@@ -329,14 +346,12 @@ def representative_signals(spark, d):
 
 @query
 def impact_severity(spark, d):
-    m, s = _scores(spark, d)
-    return severity.impact(m, causal.root_causes(s), topology.dependents(edges(spark)), registry(spark))
+    return rooted(spark, d)[2]
 
 
 @query
 def p1_calibration(spark, d):
-    m, s = _scores(spark, d)
-    return severity.p1_warning(severity.impact(m, causal.root_causes(s), topology.dependents(edges(spark)), registry(spark)))
+    return severity.p1_warning(rooted(spark, d)[2])
 
 
 @query

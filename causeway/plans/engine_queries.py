@@ -7,12 +7,12 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import causal, splitting, templates, topology, validated
+from ..operators import splitting, templates, topology, validated
 from ..sources import appended
 from ..streaming import live
 from ..tables import read, shared_dir
 from . import oracles
-from .catalog import anomalous, membership, query
+from .catalog import _scores, anomalous, membership, query, reach
 from .signals import edges, signals
 
 TEXTS: dict[str, tuple[str, str]] = {}
@@ -63,10 +63,9 @@ def _environment() -> Column:
 def validated_incidents(spark, d):
     """What becomes of each candidate cluster: split by cause, environment and weak bridges, then checked (compared with a
     plain worklist in tests)."""
-    m, found = membership(spark, d)
-    e = edges(spark)
-    down, near = topology.dependents(e), topology.hops(e)
-    causes = splitting.split(m, causal.scores(m, e, down), down, near).select("id", "centre")
+    (m, scores), (_, found) = _scores(spark, d), membership(spark, d)
+    down, near = reach(spark, d), topology.hops(edges(spark))
+    causes = splitting.split(m, scores, down, near).select("id", "centre")
     verdicts, _ = validated.validated(m.withColumn("environment", _environment()), found, near, causes)
     return verdicts
 

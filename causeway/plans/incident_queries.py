@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import baseline, causal, dedup, evidence, incidents, pairs, review_tables, severity, topology
+from ..operators import causal, dedup, evidence, incidents, pairs, review_tables, topology
 from ..sources import adapters
 from ..tables import read, written
 from . import oracles
-from .catalog import QUERIES, _scores, anomalous, membership, query, scored, scored_pairs
-from .signals import edges, registry, signals
+from .catalog import QUERIES, anomalous, membership, query, rooted, scored, scored_pairs
+from .signals import edges, signals
 
 TEXTS: dict[str, tuple[str, str]] = {}
 
@@ -26,8 +26,9 @@ def sql(views: str, text: str):
 
 
 def _pairs_of(spark, d, m: DataFrame) -> DataFrame:
-    e = edges(spark)
-    return pairs.similarity(pairs.gated(pairs.candidates(m.drop("label"), e), e))
+    """Scored pairs of members."""
+    one = lambda c: m.select(F.col("id").alias(c))
+    return scored_pairs(spark, d).join(one("a_id"), "a_id", "left_semi").join(one("b_id"), "b_id", "left_semi")
 
 
 _BOTH = """SELECT a_id AS id, b_id AS other, * FROM sims UNION ALL SELECT b_id, a_id, * FROM sims"""
@@ -86,8 +87,8 @@ _TOLD = f"CASE WHEN metric IS NOT NULL AND value IS NOT NULL THEN metric || ' =
   ON t.label = r.label AND t.service = r.root JOIN members m ON m.id = t.id""")
 def incident_drafts(spark, d):
     """Draft id, title and facts of each incident."""
-    m, s = _scores(spark, d)
-    return evidence.drafts(m, causal.root_causes(s), causal.representative(m))
+    m, roots, _ = rooted(spark, d)
+    return evidence.drafts(m, roots, causal.representative(m))
 
 
 @sql("+members", """SELECT label, count(*) || '-' || sum(('0x' || substr(sha1(id::VARCHAR), 1, 12))::BIGINT)::BIGINT AS members_key FROM members GROUP BY label""")
@@ -147,8 +148,7 @@ def decision_times(spark, d):
   ON s.draft_id = i.label WHERE status <> 'merged'""")
 def incident_ranking(spark, d):
     """Incidents in the queue's order."""
-    m, s = _scores(spark, d)
-    got = severity.impact(m, causal.root_causes(s), topology.dependents(edges(spark)), registry(spark))
+    m, _, got = rooted(spark, d)
     status = review_tables.statuses(decisions(m)).withColumnRenamed("draft_id", "label")
     return review_tables.ranked(got.join(status, "label").select("label", "status", "priority", "severity"))
 
@@ -174,9 +174,9 @@ def top_incidents(spark, d):
 @sql("+roots svcs", """SELECT n.s AS service, (SELECT count(*) FROM (SELECT DISTINCT label, service FROM members) v WHERE v.service = n.s) AS open_incidents, (SELECT count(*) FROM roots r WHERE r.root = n.s) AS root_of
   FROM names n""")
 def topology_overlay(spark, d):
-    m, s = _scores(spark, d)
+    m, roots, _ = rooted(spark, d)
     names = edges(spark).select(F.explode(F.array("caller", "callee")).alias("service")).distinct()
-    return review_tables.overlay(names, m, causal.root_causes(s))
+    return review_tables.overlay(names, m, roots)
 
 
 @sql("+members", """SELECT s.id, CASE WHEN ts >= started - 1000000 THEN 'correlated' WHEN is_anomaly THEN 'anomaly' ELSE 'normal' END AS class FROM scored s LEFT JOIN (SELECT service, min(started) AS started FROM (
@@ -213,7 +213,7 @@ def learned_weights(spark, d):
   (SELECT count(*) AS anomalies FROM anom), (SELECT count(*) AS clustered, count(DISTINCT label) AS incidents FROM labels), (SELECT count(*) AS met FROM cand)""")
 def run_report(spark, d):
     """One run in figures: what came, what was kept, judged, compared and raised."""
-    s, odd = signals(spark, d), written(anomalous(spark, d), "anomalous")
+    s, odd = signals(spark, d), anomalous(spark, d)
     m, _ = membership(spark, d)
     one = lambda df, *c: df.agg(*c)
     n = F.count("*")
@@ -248,25 +248,10 @@ def earliest_roots(spark, d):
 # --- detection
 
 
-@sql("keyed dedup", """SELECT id, is_anomaly, round(anomaly_score, 6) AS anomaly_score, reason FROM (SELECT s.id,
-  CASE WHEN pre THEN greatest(CASE WHEN abs(z) >= 3 THEN least(abs(z) / 6, 1.0) ELSE 0.0 END, least(1.0, 0.6 + 2 * abs(value - threshold) / abs(threshold)))
-    WHEN source = 'cloudwatch_metric' THEN CASE WHEN abs(z) >= 3 THEN least(abs(z) / 6, 1.0) ELSE 0.0 END
-    WHEN source = 'app_log' THEN CASE log WHEN 'novel' THEN CASE WHEN sev_rank <= 1 THEN 0.8 ELSE 0.55 END WHEN 'burst' THEN least(nb / 20.0 + 0.4, 1.0) WHEN 'error' THEN 0.6 ELSE 0.0 END ELSE 0.0 END AS anomaly_score,
-  pre OR CASE WHEN source = 'cloudwatch_metric' THEN coalesce(abs(z) >= 3, false) WHEN source = 'app_log' THEN log <> 'none' ELSE sev_rank <= 1 END AS is_anomaly,
-  CASE WHEN pre THEN 'breach' WHEN source = 'cloudwatch_metric' THEN CASE WHEN abs(z) >= 3 THEN 'baseline' ELSE 'none' END WHEN source = 'app_log' THEN log WHEN sev_rank <= 1 THEN 'severity' ELSE 'none' END AS reason
-  FROM (SELECT s.*, b.z, r.n AS nb, coalesce(value > threshold, false) AS pre, CASE WHEN r.rate IS NULL AND sev_rank <= 2 THEN 'novel' WHEN r.rate IS NOT NULL AND r.n >= 3 AND r.n >= 4 * r.rate THEN 'burst'
-    WHEN sev_rank <= 1 THEN 'error' ELSE 'none' END AS log FROM dedup s LEFT JOIN (SELECT id, CASE WHEN n >= 5 AND std >= 1e-9 THEN (x - mean) / std END AS z FROM (
-  WITH RECURSIVE o AS (SELECT service || '|' || metric AS series, ts, id, value AS x, row_number() OVER (PARTITION BY service, metric ORDER BY ts, id) AS k FROM dedup WHERE metric IS NOT NULL AND value IS NOT NULL),
-  f AS (SELECT series, k, id, x, NULL::DOUBLE AS mean, NULL::DOUBLE AS std, 0::BIGINT AS n, x AS m, 0.0::DOUBLE AS v FROM o WHERE k = 1 UNION ALL SELECT o.series, o.k, o.id, o.x, f.m, sqrt(f.v), f.n + 1,
-    f.m + 0.3 * (o.x - f.m), 0.7 * (f.v + 0.3 * (o.x - f.m) * (o.x - f.m)) FROM f JOIN o ON o.series = f.series AND o.k = f.k + 1) SELECT * FROM f)) b ON b.id = s.id
-  LEFT JOIN (WITH RECURSIVE c AS (SELECT service || '|' || template AS t, floor(ts / 300000000.0)::BIGINT AS batch, sum(occurrence_count)::BIGINT AS n FROM dedup WHERE source = 'app_log' GROUP BY 1, 2),
-  o AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY batch) AS k FROM c), f AS (SELECT t, batch, n, k, NULL::DOUBLE AS rate, (0.3 * n)::DOUBLE AS nxt FROM o WHERE k = 1 UNION ALL
-    SELECT o.t, o.batch, o.n, o.k, f.nxt, 0.7 * f.nxt + 0.3 * o.n FROM f JOIN o ON o.t = f.t AND o.k = f.k + 1) SELECT * FROM f) r
-  ON s.source = 'app_log' AND r.t = s.service || '|' || s.template AND r.batch = floor(s.ts / 300000000.0)::BIGINT) s)""")
+@sql("keyed dedup scored", "SELECT id, is_anomaly, round(anomaly_score, 6) AS anomaly_score, reason FROM scored")
 def detected_signals(spark, d):
     """The whole detector: thresholds, running baselines, log novelty and bursts, severities."""
-    got = baseline.detect_all(dedup.dedup_signals(signals(spark, d)))
-    return got.select("id", "is_anomaly", F.round("anomaly_score", 6).alias("anomaly_score"), "reason")
+    return scored(spark, d).select("id", "is_anomaly", F.round("anomaly_score", 6).alias("anomaly_score"), "reason")
 
 
 TEXTS["detection_tally"] = TEXTS["detected_signals"][0], f"SELECT reason, count(*) AS n FROM ({TEXTS['detected_signals'][1]}) WHERE is_anomaly GROUP BY reason"
@@ -274,7 +259,7 @@ TEXTS["detection_tally"] = TEXTS["detected_signals"][0], f"SELECT reason, count(
 
 @query
 def detection_tally(spark, d):
-    return baseline.detect_all(dedup.dedup_signals(signals(spark, d))).where("is_anomaly").groupBy("reason").agg(F.count("*").alias("n"))
+    return anomalous(spark, d).groupBy("reason").agg(F.count("*").alias("n"))
 
 
 
