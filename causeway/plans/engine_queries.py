@@ -7,12 +7,13 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import splitting, templates, topology, validated
+from ..operators import evaluate, similar_text, splitting, sweeps, templates, text_links, topology, validated
 from ..sources import appended
 from ..streaming import live
-from ..tables import read, shared_dir
+from ..tables import read, shared_dir, written
 from . import oracles
-from .catalog import _scores, anomalous, membership, query, reach
+from .catalog import _scores, anomalous, membership, query, reach, scored_pairs
+from .runs import kept
 from .signals import edges, signals
 
 TEXTS: dict[str, tuple[str, str]] = {}
@@ -112,4 +113,124 @@ def streamed_members(spark, d):
     return engine.members(spark, 0).select("id", "label")
 
 
+# --- sweeps
+
+THRESHOLDS = [0.45, 0.5, 0.55, 0.6, 0.7]
+
+
+def _truth(spark, d) -> DataFrame:
+    return anomalous(spark, d).select("id", F.col("trace_id").alias("truth"), F.floor(F.col("ts") / 86_400_000_000).alias("day"))
+
+
+_SCORED = """SELECT config{by}, round(coalesce(hit, 0) / predicted, 6) AS precision, round(coalesce(hit, 0) / actual, 6) AS recall, round(coalesce(CASE WHEN coalesce(hit, 0) = 0 THEN 0.0
+  ELSE 2 * (hit / predicted) * (hit / actual) / (hit / predicted + hit / actual) END, 0.0), 6) AS f1, round(major / placed::DOUBLE, 6) AS purity FROM (SELECT config{by}, sum(n * (n - 1) / 2.0)::DOUBLE AS predicted FROM (
+  SELECT config{by}, label, count(*) AS n FROM placed GROUP BY ALL) GROUP BY ALL) LEFT JOIN (SELECT config{by}, sum(n * (n - 1) / 2.0)::DOUBLE AS hit FROM (
+  SELECT config{by}, label, truth, count(*) AS n FROM placed WHERE truth IS NOT NULL GROUP BY ALL) GROUP BY ALL) USING (config{by}) LEFT JOIN (SELECT config{by}, sum(m) AS major, sum(n) AS placed FROM (
+  SELECT config{by}, label, max(n) AS m, sum(n) AS n FROM (SELECT config{by}, label, truth, count(*) AS n FROM placed WHERE truth IS NOT NULL GROUP BY ALL) GROUP BY ALL) GROUP BY ALL) USING (config{by})
+  {want}"""
+_WHOLE = _SCORED.format(by="", want=", (SELECT sum(n * (n - 1) / 2.0)::DOUBLE AS actual FROM (SELECT trace_id, count(*) AS n FROM anom WHERE trace_id IS NOT NULL GROUP BY 1))")
+_DAILY = _SCORED.format(by=", day", want="LEFT JOIN (SELECT day, sum(n * (n - 1) / 2.0)::DOUBLE AS actual FROM (SELECT floor(ts / 86400000000.0)::BIGINT AS day, trace_id, count(*) AS n FROM anom WHERE trace_id IS NOT NULL GROUP BY 1, 2) GROUP BY 1) USING (day)")
+_CLUSTERS = """both_ways AS (SELECT config, a_id AS p, b_id AS q FROM met UNION SELECT config, b_id, a_id FROM met),
+  spreads AS (SELECT config, p AS id, p AS r FROM both_ways UNION SELECT s.config, y.q, s.r FROM spreads s JOIN both_ways y ON y.config = s.config AND y.p = s.id),
+  placed AS (SELECT config, m.id, label, trace_id AS truth, floor(ts / 86400000000.0)::BIGINT AS day FROM (SELECT config, id, min(r) AS label FROM spreads GROUP BY ALL) m JOIN anom USING (id))"""
+_AT = f"""met AS (SELECT t.config, a_id, b_id FROM sims, (VALUES {', '.join(f'({round(100 * t)})' for t in THRESHOLDS)}) t(config) WHERE round(sim * 1e6)::BIGINT >= t.config * 10000),"""
+
+
+def _forest(spark, d) -> DataFrame:
+    pair = scored_pairs(spark, d).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.col("sim").alias("w"))
+    # pairs below every threshold tie nothing
+    return kept(spark, d, "forest", lambda: sweeps.spanning_forest(pair.where(F.col("w") >= min(THRESHOLDS))))
+
+
+@sql("+sims", f"SELECT * FROM (WITH RECURSIVE {_AT} {_CLUSTERS} {_WHOLE})")
+def threshold_sweep(spark, d):
+    """Pair scores and purity of the clusters at other thresholds, from one spanning forest."""
+    return sweeps.scores(_truth(spark, d).drop("day"), sweeps.at_thresholds(_forest(spark, d), THRESHOLDS))
+
+
+@sql("+sims", f"SELECT config, round(avg(f1), 6) AS mean_f1, round(median(f1), 6) AS median_f1, min(f1) AS worst_f1 FROM (WITH RECURSIVE {_AT} {_CLUSTERS} {_DAILY}) GROUP BY config")
+def benchmark_sweep(spark, d):
+    """Mean, median and worst F1 over days of each threshold."""
+    daily = sweeps.scores(_truth(spark, d), sweeps.at_thresholds(_forest(spark, d), THRESHOLDS), "day")
+    return evaluate.sweep(daily)
+
+
+def _left_out() -> str:
+    term = lambda k, w: f"{w} * {k}_term"
+    total = lambda w: "round(" + " + ".join(term(k, v) for k, v in w.items()) + ", 6)"
+    return " UNION ALL ".join(f"SELECT '{name}' AS config, a_id, b_id FROM terms WHERE 1 - {total(w)} <= 0.55" for name, w in sweeps.variants())
+
+
+_ALONE = """UNION ALL SELECT 'time alone', id, label, trace_id, 0 FROM (SELECT *, min(id) OVER (PARTITION BY run) AS label, count(*) OVER (PARTITION BY run) AS n FROM (SELECT *, sum(starts) OVER (ORDER BY ts, id) AS run
+  FROM (SELECT id, ts, trace_id, CASE WHEN ts - lag(ts) OVER (ORDER BY ts, id) <= floor(-ln(1 - 0.55::DOUBLE) * 6e7) THEN 0 ELSE 1 END AS starts FROM anom))) WHERE n > 1)"""
+
+
+@sql("+terms", f"""SELECT *, round(f1 - max(CASE WHEN config = 'all' THEN f1 END) OVER (), 6) AS delta FROM (WITH RECURSIVE met AS ({_left_out()}), {_CLUSTERS[:-1]} {_ALONE} {_WHOLE})""")
+def dimension_ablation(spark, d):
+    """Pair scores without each dimension of similarity, and by time alone without the gate."""
+    found = sweeps.under_weights(scored_pairs(spark, d), sweeps.variants())
+    alone = sweeps.by_time_alone(anomalous(spark, d)).select(F.lit("time alone").alias("config"), "id", "label")
+    got = written(sweeps.scores(_truth(spark, d).drop("day"), found.union(alone)), "ablation")
+    base = got.where("config = 'all'").select(F.col("f1").alias("base"))
+    return got.join(F.broadcast(base), F.lit(True), "left").withColumn("delta", F.round(F.col("f1") - F.col("base"), 6)).drop("base")
+
+
+# --- texts
+
+
+def _alerts(spark, d) -> DataFrame:
+    return anomalous(spark, d).select("id", "ts", F.concat_ws(" ", "service", "source", "message").alias("text"))
+
+
+def _terms_sql(text: str) -> str:
+    words = f"regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}_]{{2,}}')"
+    return f"list_concat({words}, list_transform(range(1, len({words})), lambda i: {words}[i] || ' ' || {words}[i + 1]))"
+
+
+_NEAR = f"""told AS (SELECT id, ts, service || ' ' || source || ' ' || message AS text FROM anom),
+  tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({_terms_sql('text')}) AS term FROM told) GROUP BY ALL),
+  idf AS (SELECT term, ln((1 + (SELECT count(*) FROM told)) / (1 + count(*))::DOUBLE) + 1 AS idf FROM tf GROUP BY term),
+  vec AS (SELECT id, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY id)) AS w FROM tf JOIN idf USING (term)),
+  close AS (SELECT a.id AS a, b.id AS b, abs(a.ts - b.ts) / 6e7 AS gap FROM told a JOIN told b ON a.id < b.id AND abs(a.ts - b.ts) <= 4.25 * 60000000),
+  like_ AS (SELECT a, b, gap, round(sum(x.w * y.w), 9) AS c FROM close JOIN vec x ON x.id = a JOIN vec y ON y.id = b AND y.term = x.term GROUP BY ALL),
+  edge AS (SELECT a, b, round(1 - coalesce(c, 0), 9) AS semantic, round(2 * least(gap / 6, 1.0) ** 2, 9) AS time FROM close LEFT JOIN like_ USING (a, b, gap)),
+  near AS (SELECT *, round(greatest(semantic + time, 0.0), 9) AS distance FROM edge WHERE round(semantic + time, 9) <= 1.0)"""
+
+
+@sql("+anom", f"""SELECT gap, count(*) AS n, round(sum(round(distance * 1e6)::BIGINT)::BIGINT / 1e6, 6) AS distances FROM (SELECT *, floor(time * 10)::INTEGER AS gap FROM (WITH {_NEAR} SELECT * FROM near)) GROUP BY gap""")
+def text_distances(spark, d):
+    """Pairs of alerts that are near by wording and time, by tenths of the time penalty."""
+    got = text_links.near(_alerts(spark, d))
+    total = F.round(F.sum(F.round(F.col("distance") * 1e6).cast("long")) / 1e6, 6)
+    return got.groupBy(F.floor(F.col("time") * 10).cast("int").alias("gap")).agg(F.count("*").alias("n"), total.alias("distances"))
+
+
+@sql("+anom", f"""SELECT id, coalesce(label, -1) AS label FROM (WITH RECURSIVE {_NEAR}, two AS (SELECT a AS p, b AS q FROM near UNION SELECT b, a FROM near), core AS (SELECT p AS id FROM two GROUP BY p HAVING count(*) >= 2),
+  inn AS (SELECT p, q FROM two WHERE p IN (SELECT id FROM core) AND q IN (SELECT id FROM core)), sp AS (SELECT id, id AS r FROM core UNION SELECT inn.q, sp.r FROM sp JOIN inn ON inn.p = sp.id),
+  known AS (SELECT id, min(r) AS label FROM sp GROUP BY id), border AS (SELECT p AS id, min(label) AS label FROM two JOIN known ON known.id = q WHERE p NOT IN (SELECT id FROM core) GROUP BY p)
+  SELECT t.id, coalesce(k.label, b.label) AS label FROM told t LEFT JOIN known k ON k.id = t.id LEFT JOIN border b ON b.id = t.id)""")
+def text_clusters(spark, d):
+    """Density clusters of alerts by wording and time."""
+    got = text_links.near(_alerts(spark, d))
+    return similar_text.density_clusters(got.select("a", "b"), _alerts(spark, d).select("id"))
+
+
+@sql("", f"""SELECT label, item, similarity FROM (WITH parts AS (SELECT item_id AS item, i AS part, p AS text FROM (SELECT item_id, unnest(string_split(text, '.')) AS p, generate_subscripts(string_split(text, '.'), 1) AS i FROM benchmark)),
+  lines AS (SELECT doc_id AS label, i AS part, p AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
+  ptf AS (SELECT item, part, term, count(*) AS tf FROM (SELECT item, part, unnest({_terms_sql('text')}) AS term FROM parts) GROUP BY ALL),
+  idf AS (SELECT term, ln((1 + (SELECT count(DISTINCT item_id) FROM benchmark)) / (1 + count(DISTINCT item))::DOUBLE) + 1 AS idf FROM ptf GROUP BY term),
+  pv AS (SELECT item, term, sum(w) AS w FROM (SELECT item, part, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY item, part)) AS w FROM ptf JOIN idf USING (term)) GROUP BY ALL),
+  iv AS (SELECT item, term, w / sqrt(sum(w * w) OVER (PARTITION BY item)) AS w FROM pv),
+  ltf AS (SELECT label, part, term, count(*) AS tf FROM (SELECT label, part, unnest({_terms_sql('text')}) AS term FROM lines) GROUP BY ALL),
+  lv AS (SELECT label, term, sum(w) AS w FROM (SELECT label, part, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY label, part)) AS w FROM ltf JOIN idf USING (term)) GROUP BY ALL),
+  cv AS (SELECT label, term, w / sqrt(sum(w * w) OVER (PARTITION BY label)) AS w FROM lv)
+  SELECT label, item, round(sum(cv.w * iv.w), 6) AS similarity FROM cv JOIN iv USING (term) GROUP BY label, item HAVING round(sum(cv.w * iv.w), 6) >= 0.25
+  QUALIFY row_number() OVER (PARTITION BY label ORDER BY round(sum(cv.w * iv.w), 6) DESC, item) = 1)""")
+def library_argmax(spark, d):
+    """The benchmark item whose sentences each document's lines are most like, by centroids."""
+    part = lambda t, key, cut: read(spark, d, t).select(F.col(key), F.posexplode(F.split("text", cut)).alias("part", "text"))
+    library = text_links.Library(part("benchmark", "item_id", r"\.").withColumnRenamed("item_id", "item"))
+    return library.best(part("documents", "doc_id", "\n").withColumnRenamed("doc_id", "label"))
+
+
 ORACLE_SQL = {name: oracles.oracle(name, TEXTS) for name in TEXTS}
