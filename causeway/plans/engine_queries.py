@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scrub
 from ..operators import evaluate, similar_text, splitting, sweeps, templates, text_links, topology, validated
 from ..sources import appended
 from ..streaming import live
@@ -175,6 +176,26 @@ def dimension_ablation(spark, d):
     return got.join(F.broadcast(base), F.lit(True), "left").withColumn("delta", F.round(F.col("f1") - F.col("base"), 6)).drop("base")
 
 
+# --- redaction
+
+
+@query
+def scrubbed_documents(spark, d):
+    """Documents after every pass of the redaction, names that their addresses show among them, with the kinds found (both
+    engines' patterns differ, so tests compare with plain Python)."""
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    return scrub.known(scrub.redacted(docs, "text"), "text", scrub.learned(docs, "text"))
+
+
+@query
+def scrubbed_payloads(spark, d):
+    """Documents as nested payloads, redacted inside: the service stays, prose at any depth doesn't."""
+    note = F.named_struct(F.lit("note"), F.col("text"), F.lit("n"), F.col("doc_id"))
+    raw = F.to_json(F.named_struct(F.lit("id"), F.col("doc_id"), F.lit("service"), F.lit("mail ops@example.com"), F.lit("labels"), note, F.lit(
+        "lines"), F.slice(F.split("text", "\n"), 1, 2)))
+    return read(spark, d, "documents").select("doc_id", scrub.payload(raw).alias("payload"))
+
+
 # --- texts
 
 
