@@ -153,7 +153,7 @@ def known(df: DataFrame, column: str, names: DataFrame, kinds: str = "redacted_f
 def payload(raw: Column, structural: list[str] = STRUCTURAL, first_names: list[str] = (), not_surnames: list[str] = NOT_SURNAMES) -> Column:
     """A JSON payload with every string inside it redacted, whatever its depth, but for what stands under a structural key
     of the outermost object. Keys, numbers, order and white space stay as they are. Text that is no JSON is redacted whole."""
-    pieces = F.regexp_extract_all(raw, F.lit(r'("(?:[^"\\]|\\.)*"(?:\s*:)?|[^"]+)'), 1)
+    pieces = F.regexp_extract_all(raw, F.lit(r'("(?:[^"\\]|\\.)*+"(?:\s*:)?|[^"]+)'), 1)
     plain = lambda s: F.get(F.from_json(F.concat(F.lit("["), s, F.lit("]")), "array<string>"), F.lit(0))
     whole = lambda s: F.regexp_replace(F.to_json(F.array(s)), r"^\[|\]$", "")
 

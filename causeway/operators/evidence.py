@@ -53,6 +53,13 @@ def confidence_parts(clusters: DataFrame) -> DataFrame:
     return clusters.select("label", each.alias("p")).select("label", "p.part", "p.points")
 
 
+def validated_parts(confidence: DataFrame) -> DataFrame:
+    """(label, part, points) of a validated cluster's confidence: confidence(label, density, topology, evidence)."""
+    parts = (("density", 0.40), ("topology", 0.35), ("evidence", 0.25))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("part"), F.round(w * F.col(k) + 1e-9, 2).alias("points")) for k, w in parts]))
+    return confidence.select("label", each.alias("p")).select("label", "p.part", "p.points")
+
+
 def environment_split(members: DataFrame) -> DataFrame:
     """(id, label, environment, mixed): clusters of several environments fall into one part for each; signals without
     one go with the most frequent, of equal ones the first by name."""
@@ -86,6 +93,7 @@ def drafts(members: DataFrame, roots: DataFrame, telling: DataFrame) -> DataFram
     clock = lambda c: F.date_format(F.timestamp_micros(c), "HH:mm:ss")
     others = F.when(F.col("services") > 1, F.concat(F.lit(" cascading to "), (F.col("services") - 1).cast("string"), F.lit(
         " service(s)"))).otherwise("")
+    # fixed values: the wordings of titles and facts
     facts = F.array(
         F.concat(F.col("n").cast("string"), F.lit(" anomalous signals from "), F.col("n_sources").cast("string"), F.lit(" stream(s) ("),
                  "sources", F.lit(") between "), clock(F.col("started")), F.lit(" and "), clock(F.col("ended")), F.lit(" UTC.")),

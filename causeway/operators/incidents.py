@@ -64,9 +64,19 @@ def validation(members: DataFrame, clusters: DataFrame) -> DataFrame:
     return out.withColumn("accepted", F.col("coherent") & F.col("supported") & F.col("independent"))
 
 
+def confidence_terms(members: DataFrame, links: DataFrame, hops: DataFrame) -> DataFrame:
+    """(label, density, topology, evidence): what correlation_confidence weighs."""
+    return _terms(members, links, hops).select("label", "density", F.coalesce("topology", F.lit(1.0)).alias("topology"), "evidence")
+
+
 def correlation_confidence(members: DataFrame, links: DataFrame, hops: DataFrame) -> DataFrame:
     """0.40 density + 0.35 share of the first PAIR_CAP member pairs (by ids) at most 2 calls apart + 0.25 mean best
     link of each signal. Only the topology term is capped; pairs come from ranks, a bounded number for each member."""
+    return _terms(members, links, hops).select("label", F.round(
+        0.40 * F.col("density") + 0.35 * F.coalesce("topology", F.lit(1.0)) + 0.25 * F.col("evidence") + 1e-9, 6).alias("confidence"))
+
+
+def _terms(members: DataFrame, links: DataFrame, hops: DataFrame) -> DataFrame:
     order = F.row_number().over(Window.partitionBy("label").orderBy("id"))
     size = F.count("*").over(Window.partitionBy("label"))
     m = members.select("label", "id", "service", order.alias("k"), size.alias("n"))
@@ -83,9 +93,7 @@ def correlation_confidence(members: DataFrame, links: DataFrame, hops: DataFrame
     best = labels.join(ends.groupBy("id").agg(F.max("sim").alias("best")), "id", "left")
     best = best.groupBy("label").agg(mean_of(F.coalesce("best", F.lit(0.0)), 9).alias("evidence"))
     dens = annotate(members, links).select("label", "density")
-    return dens.join(topo, "label", "left").join(best, "label").select("label", F.round(
-        0.40 * F.col("density") + 0.35 * F.coalesce("topology", F.lit(1.0)) + 0.25 * F.col("evidence") + 1e-9, 6).alias(
-        "confidence"))
+    return dens.join(topo, "label", "left").join(best, "label")
 
 
 def near_misses(clusters: DataFrame, members: DataFrame, noise: DataFrame, edges: DataFrame, limit: int = 4) -> DataFrame:

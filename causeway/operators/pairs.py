@@ -11,15 +11,18 @@ from .topology import closeness, hops, undirected
 BAND = 15 * 60_000_000
 WEIGHTS = {"time": 0.36, "service": 0.06, "dependency": 0.33, "template": 0.19, "component": 0.06}
 EPS, MENTION_FLOOR = 0.55, 0.6
-SIDE = ("id", "ts", "service", "component", "trace_id", "mention", "template", "source", "words")
+SIDE = ("id", "ts", "service", "component", "trace_id", "mention", "template", "source", "words", "parent_service")
 
 
 def candidates(signals: DataFrame, edges: DataFrame, band: int = BAND) -> DataFrame:
     """(a, b) with a.id < b.id at most `band` apart that share a block: service, trace, component, a call either way,
-    or one that names the other's service. All blocks are one equi-join on (block key, time bucket), so a hot service
+    or one that names the other's service or was called by it (parent_service, null where signals lack it). All blocks are one equi-join on (block key, time bucket), so a hot service
     spreads over its time buckets; pairs met in several blocks are one."""
     near = undirected(edges).groupBy("a").agg(F.collect_set("b").alias("near")).withColumnRenamed("a", "svc")
     words = tokens(F.col("message"), F.col("metric"), F.col("component"))
+    called = "parent_service" in signals.columns
+    if not called:
+        signals = signals.withColumn("parent_service", F.lit(None).cast("string"))
     base = signals.withColumn("words", words).join(near, F.col("service") == F.col("svc"), "left").withColumn(
         "near", F.coalesce("near", F.array().cast("array<string>")))
 
@@ -27,9 +30,9 @@ def candidates(signals: DataFrame, edges: DataFrame, band: int = BAND) -> DataFr
         return F.concat(F.lit(tag), F.col(c))
 
     same = [key("s:", "service"), key("t:", "trace_id"), F.concat(F.lit("c:"), F.lower("component"))]
-    left = F.array_compact(F.array(*same, key("g:", "service"), key("m:", "mention"), key("n:", "service")))
+    left = F.array_compact(F.array(*same, key("g:", "service"), key("m:", "mention"), key("n:", "service"), *[key("p:", "parent_service"), key("q:", "service")] * called))
     right = F.array_compact(F.concat(
-        F.array(*same, key("m:", "service"), key("n:", "mention")),
+        F.array(*same, key("m:", "service"), key("n:", "mention"), *[key("p:", "service"), key("q:", "parent_service")] * called),
         F.transform("near", lambda x: F.concat(F.lit("g:"), x))))
     slot = F.floor(F.col("ts") / band)
     a = base.select(F.struct(*SIDE).alias("a"), F.explode(left).alias("key"), slot.alias("slot"))
@@ -40,9 +43,10 @@ def candidates(signals: DataFrame, edges: DataFrame, band: int = BAND) -> DataFr
         F.first("a").alias("a"), F.first("b").alias("b"))
 
 
-def gated(pairs: DataFrame, edges: DataFrame) -> DataFrame:
-    """pairs with hops and gate, the first structural reason that holds (null: rejected)."""
-    near = hops(edges).select(F.col("a").alias("__x"), F.col("b").alias("__y"), "hops")
+def gated(pairs: DataFrame, edges: DataFrame, near: DataFrame | None = None) -> DataFrame:
+    """pairs with hops and gate, the first structural reason that holds (null: rejected). near: hops(edges), where it is at
+    hand."""
+    near = (hops(edges) if near is None else near).select(F.col("a").alias("__x"), F.col("b").alias("__y"), "hops")
     out = pairs.join(near, (F.col("a.service") == F.col("__x")) & (F.col("b.service") == F.col("__y")), "left")
     a, b = F.col("a"), F.col("b")
     names = F.coalesce(a["mention"] == b["service"], F.lit(False)) | F.coalesce(b["mention"] == a["service"], F.lit(False))
@@ -50,14 +54,26 @@ def gated(pairs: DataFrame, edges: DataFrame) -> DataFrame:
         F.when(a["trace_id"] == b["trace_id"], "shared trace")
         .when(a["service"] == b["service"], "same service")
         .when(F.col("hops") == 1, "direct dependency")
+        .when((a["parent_service"] == b["service"]) | (b["parent_service"] == a["service"]), "caller in trace")
         .when(names, "named in evidence")
         .when((F.lower(a["component"]) == F.lower(b["component"])) & (F.col("hops") <= 2), "same component")
     )
     return out.drop("__x", "__y").withColumn("named", names).withColumn("gate", gate)
 
 
+def learned_sets(pairs: DataFrame, learned: DataFrame) -> DataFrame:
+    """pairs with `learned`, the weights of the first set of services, by k, that holds both of a pair's services; null
+    where none does. learned(k, services, weights map<string,double>) is a short list, met once for each two services."""
+    both = pairs.select(F.col("a.service").alias("__a"), F.col("b.service").alias("__b")).distinct()
+    side = lambda c: learned.select("k", F.explode("services").alias(c), "weights")
+    met = both.join(side("__a"), "__a").join(side("__b").drop("weights"), ["k", "__b"])
+    best = met.groupBy("__a", "__b").agg(F.min_by("weights", "k").alias("learned"))
+    return pairs.join(best, (F.col("a.service") == F.col("__a")) & (F.col("b.service") == F.col("__b")), "left").drop("__a", "__b")
+
+
 def similarity(pairs: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
-    """gated pairs with the five terms and their weighted sum; only pairs the gate lets through."""
+    """gated pairs with the five terms and their weighted sum; only pairs the gate lets through. Pairs from learned_sets
+    are weighted by what was learned for their services, a missing weight being 0, else by weights."""
     a, b = F.col("a"), F.col("b")
     minutes = F.abs(a["ts"] - b["ts"]) / 6e7
     same_service = a["service"] == b["service"]
@@ -71,10 +87,17 @@ def similarity(pairs: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFra
         "template": F.when(F.col("named"), F.greatest(wording, F.lit(MENTION_FLOOR))).otherwise(wording),
         "component": same_component.cast("double"),
     }
-    out = pairs.where("gate is not null").select("a_id", "b_id", "a", "b", "gate", "hops", *[
+    kept = ["learned"] if "learned" in pairs.columns else []
+    out = pairs.where("gate is not null").select("a_id", "b_id", "a", "b", "gate", "hops", *kept, *[
         t.alias(f"{k}_term") for k, t in terms.items()])
-    total = sum((weights[k] * F.col(f"{k}_term") for k in terms), F.lit(0.0))
-    return out.withColumn("sim", F.round(total, 6))
+
+    def weight(k: str):
+        if not kept:
+            return F.lit(weights[k])
+        return F.when(F.col("learned").isNull(), weights[k]).otherwise(F.coalesce(F.try_element_at("learned", F.lit(k)), F.lit(0.0)))
+
+    total = sum((weight(k) * F.col(f"{k}_term") for k in terms), F.lit(0.0))
+    return out.withColumn("sim", F.round(total, 6)).drop("learned")
 
 
 def links(pairs: DataFrame, eps: float = EPS) -> DataFrame:

@@ -81,7 +81,15 @@ def impact(members: DataFrame, roots: DataFrame, dependents: DataFrame, registry
     return out.withColumn("severity", s).withColumn("priority", p)
 
 
-def p1_warning(scored: DataFrame, ceiling: float = 0.4) -> DataFrame:
-    """One row: incidents, share of P1, and whether at least 3 incidents have more P1 than the ceiling."""
+def p1_warning(scored: DataFrame, ceiling: float = 0.4, suppressed: DataFrame | None = None) -> DataFrame:
+    """One row: incidents, share of P1, and whether at least 3 incidents have more P1 than the ceiling. Those that
+    suppressed(label, suppressed) holds back are counted as incidents, but have no part in the share."""
+    if suppressed is not None:
+        held = suppressed.where("suppressed").select("label", F.lit(True).alias("held"))
+        scored = scored.join(held, "label", "left")
+        live = F.col("held").isNull()
+        share = F.round(F.avg(F.when(live, (F.col("priority") == "P1").cast("double"))), 6)
+        out = scored.agg(F.count("*").alias("incidents"), F.count_if(live).alias("live"), share.alias("p1_share"))
+        return out.withColumn("warn", F.coalesce((F.col("incidents") >= 3) & (F.col("p1_share") > ceiling), F.lit(False)))
     return scored.agg(F.count("*").alias("incidents"), F.round(F.avg((F.col("priority") == "P1").cast("double")), 6).alias(
         "p1_share")).withColumn("warn", (F.col("incidents") >= 3) & (F.col("p1_share") > ceiling))

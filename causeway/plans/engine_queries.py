@@ -8,12 +8,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scrub
-from ..operators import evaluate, similar_text, splitting, sweeps, templates, text_links, topology, validated
+from ..operators import (
+    bundle,
+    causal,
+    evaluate,
+    evidence,
+    incidents,
+    propagation,
+    severity,
+    similar_text,
+    splitting,
+    sweeps,
+    templates,
+    text_links,
+    topology,
+    truth,
+    validated,
+)
 from ..sources import appended
 from ..streaming import live
 from ..tables import read, shared_dir, written
 from . import oracles
-from .catalog import _scores, anomalous, membership, query, reach, scored_pairs
+from .catalog import _scores, anomalous, membership, query, reach, rooted, scored_pairs
 from .runs import kept
 from .signals import edges, signals
 
@@ -176,6 +192,99 @@ def dimension_ablation(spark, d):
     return got.join(F.broadcast(base), F.lit(True), "left").withColumn("delta", F.round(F.col("f1") - F.col("base"), 6)).drop("base")
 
 
+# --- how incidents spread, the graph they suggest, known stories
+
+
+@sql("+roots", """SELECT label, row_number() OVER (PARTITION BY label ORDER BY late, len(chain), chain)::INTEGER AS place, service, "from" FROM (WITH RECURSIVE own AS (SELECT label, service, onset, service AS s FROM onset),
+  step AS (SELECT DISTINCT o.label, o.service, o.onset, e.callee AS f FROM onset o JOIN edges e ON e.caller = o.service JOIN onset p ON p.label = o.label AND p.service = e.callee
+    WHERE p.onset <= o.onset + 300000000 AND e.callee <> o.service),
+  walk_ AS (SELECT o.label, o.service, NULL::VARCHAR AS f, [{'onset': o.onset, 'service': o.service}] AS chain FROM onset o JOIN roots r ON r.label = o.label AND r.root = o.service
+    UNION ALL SELECT s.label, s.service, s.f, list_append(w.chain, {'onset': s.onset, 'service': s.service}) FROM walk_ w JOIN step s ON s.label = w.label AND s.f = w.service
+    WHERE len(list_filter(w.chain, lambda c: c.service = s.service)) = 0),
+  best AS (SELECT label, service, arg_min({'f': f, 'chain': chain}, (len(chain), chain)) AS m FROM walk_ GROUP BY 1, 2)
+  SELECT label, service, m.f AS "from", m.chain AS chain, 0 AS late FROM best UNION ALL SELECT label, service, NULL, [{'onset': onset, 'service': service}], 1 FROM onset o
+  WHERE NOT EXISTS (SELECT 1 FROM best b WHERE b.label = o.label AND b.service = o.service))""")
+def propagation_path(spark, d):
+    """The services of each incident from its root outwards."""
+    _, roots, _ = rooted(spark, d)
+    return propagation.propagation(_scores(spark, d)[1], roots)
+
+
+_EDGES = """SELECT m.root AS source, m.service AS target, m.label FROM (SELECT arg_min({'label': v.label, 'root': r.root, 'service': v.service}, (-i.severity, v.label, r.root, v.service)) AS m FROM svcs v JOIN roots r USING (label)
+  JOIN impact i USING (label) WHERE v.service <> r.root GROUP BY least(v.service, r.root), greatest(v.service, r.root))"""
+
+
+@sql("+impact", _EDGES)
+def derived_edges(spark, d):
+    """Edges between services that incidents tie, each of its riskiest incident."""
+    m, roots, impact = rooted(spark, d)
+    return propagation.derived_edges(m, roots, impact.select("label", F.col("severity").alias("score")))
+
+
+@sql("+impact", """SELECT s.service, t.label, coalesce(r.root = s.service, false) AS is_root, round(100 * severe / n::DOUBLE)::INTEGER AS error_rate, CASE WHEN t.label IS NULL THEN 'healthy'
+  WHEN coalesce(r.root = s.service, false) OR t.score >= 0.7 THEN 'critical' ELSE 'warning' END AS status FROM (SELECT service, count(*) AS n, count_if(sev_rank <= 1) AS severe FROM signals GROUP BY 1) s
+  LEFT JOIN (SELECT service, arg_min(label, (-severity, label)) AS label, max(severity) AS score FROM svcs JOIN impact USING (label) GROUP BY 1) t ON t.service = s.service LEFT JOIN roots r ON r.label = t.label""")
+def derived_nodes(spark, d):
+    m, roots, impact = rooted(spark, d)
+    stats = signals(spark, d).groupBy("service").agg(F.count("*").alias("n"), F.count_if(F.col("sev_rank") <= 1).alias("severe"))
+    return propagation.derived_nodes(stats, m, roots, impact.select("label", F.col("severity").alias("score")))
+
+
+def _labels(spark, d) -> DataFrame:
+    """A log of labelled faults: every second event, 0.4 s after it, in stories of forty; every eleventh is a decoy."""
+    story = F.when(F.col("id") % 11 == 0, truth.DECOY).otherwise(F.concat(F.lit("story"), F.floor(F.col("id") / 40).cast("string")))
+    return signals(spark, d).where("id % 2 = 0").select("service", (F.col("ts") + 400_000).alias("ts"), story.alias("story"))
+
+
+_TOLD = """lab AS (SELECT service, ts + 400000 AS ts, min(CASE WHEN id % 11 = 0 THEN 'decoy' ELSE 'story' || (id // 40) END) AS story FROM signals WHERE id % 2 = 0 GROUP BY 1, 2),
+  told AS (SELECT a.id, arg_min(l.story, (abs(a.ts - l.ts), l.ts)) AS story FROM anom a JOIN lab l ON l.service = a.service AND abs(a.ts - l.ts) <= 5000000 GROUP BY a.id),
+  sroot AS (SELECT 'story' || (id // 40) AS story, arg_min(service, (ts, id)) AS root FROM signals GROUP BY 1),
+  mine AS (SELECT m.id, m.label FROM members m), known AS (SELECT * FROM told WHERE story <> 'decoy'),
+  cell AS (SELECT label, story, count(*) AS n FROM mine JOIN known USING (id) GROUP BY 1, 2),
+  clus AS (SELECT label, sum(n) AS n, max(n) AS most, count(*) AS kinds, arg_min(story, (-n, story)) AS story FROM cell GROUP BY 1),
+  stor AS (SELECT story, count(*) AS n FROM known GROUP BY 1), lead_ AS (SELECT c.*, s.root AS true_root, r.root FROM clus c JOIN sroot s USING (story) LEFT JOIN roots r USING (label) WHERE c.most >= 0.6 * c.n),
+  figs AS (SELECT (SELECT count(*) FROM stor) AS stories, (SELECT count(DISTINCT label) FROM mine) AS incidents, (SELECT coalesce(sum(n * (n - 1) / 2.0), 0)::DOUBLE FROM stor) AS actual,
+    (SELECT coalesce(sum(n * (n - 1) / 2.0), 0)::DOUBLE FROM clus) AS predicted, (SELECT coalesce(sum(n * (n - 1) / 2.0), 0)::DOUBLE FROM cell) AS correct)"""
+
+
+@sql("+roots", f"""SELECT * FROM (WITH {_TOLD} SELECT stories, incidents, actual, predicted, correct, round(correct / predicted, 6) AS precision, round(correct / actual, 6) AS recall,
+  round(2 * (correct / predicted) * (correct / actual) / (correct / predicted + correct / actual), 6) AS f1, (SELECT round(sum(most) / sum(n)::DOUBLE, 6) FROM clus) AS purity,
+  (SELECT round(avg(coalesce(m, 0) / n::DOUBLE), 6) FROM stor LEFT JOIN (SELECT story, max(n) AS m FROM cell GROUP BY 1) USING (story)) AS completeness,
+  (SELECT count(*) FROM told WHERE story = 'decoy') AS decoys, (SELECT count(*) FROM told JOIN mine USING (id) WHERE story = 'decoy') AS decoys_in, (SELECT count(*) FROM clus WHERE kinds > 1) AS mixed_incidents,
+  (SELECT count(*) FROM (SELECT story FROM cell GROUP BY 1 HAVING count(*) > 1)) AS split_stories, (SELECT count(*) FROM lead_) AS dominated, (SELECT count_if(root = true_root)::BIGINT FROM lead_) AS root_correct FROM figs)""")
+def ground_truth_scores(spark, d):
+    """Incidents against a log of labelled faults, joined by service and nearest time within 5 s."""
+    m, roots, _ = rooted(spark, d)
+    told = truth.attached(anomalous(spark, d).select("id", "service", "ts"), _labels(spark, d), 5_000_000).where("story is not null")
+    first = signals(spark, d).groupBy(F.concat(F.lit("story"), F.floor(F.col("id") / 40).cast("string")).alias("story")).agg(
+        F.min(F.struct("ts", "id", "service"))["service"].alias("root"))
+    return truth.truth_scores(m.select("id", "label"), told.select("id", "story"), roots, first)
+
+
+# --- evidence
+
+
+@sql("+impact", """SELECT * FROM (WITH parts AS (SELECT label, 'part' AS section, 'baseline' AS subject, 0.35::DOUBLE AS value FROM clusters UNION ALL SELECT label, 'part', 'strong links', round(0.45 * (strong_links / n_links::DOUBLE) + 1e-9, 2)
+  FROM clusters UNION ALL SELECT label, 'part', 'mean similarity', round(0.30 * mean_sim + 1e-9, 2) FROM clusters)
+  SELECT label, 'signal' AS section, row_number() OVER (PARTITION BY label ORDER BY ts, id)::INTEGER AS place, id::VARCHAR AS subject, occurrence_count::DOUBLE AS value FROM members
+  UNION ALL SELECT label, 'candidate', row_number() OVER (PARTITION BY label ORDER BY rank_score DESC, onset, service)::INTEGER, service, round(rank_score, 6) FROM scores
+  UNION ALL SELECT label, section, row_number() OVER (PARTITION BY label ORDER BY subject)::INTEGER, subject, value FROM parts
+  UNION ALL SELECT i.label, 'factor', t.n, t.f, round(t.w * t.s + 1e-9, 3) FROM impact i, LATERAL (VALUES (1, 'blast radius', 0.40, blast), (2, 'business criticality', 0.35, criticality), (3, 'anomaly magnitude', 0.25, magnitude)) t(n, f, w, s)
+  UNION ALL SELECT label, 'summary', 1, 'draft-' || label || '-' || floor(started / 1000000.0)::BIGINT, round(severity, 6) FROM impact JOIN clusters USING (label))""")
+def evidence_bundle(spark, d):
+    """The evidence of every incident as rows (near misses, trend and diversity have queries of their own)."""
+    m, roots, impact = rooted(spark, d)
+    _, found = membership(spark, d)
+    noise = anomalous(spark, d).join(m.select("id"), "id", "left_anti")
+    clusters, telling = incidents.annotate(m, found), causal.representative(m)
+    pair = scored_pairs(spark, d).join(m.select(F.col("id").alias("a_id")), "a_id", "left_semi").join(m.select(F.col("id").alias("b_id")), "b_id", "left_semi")
+    rows = bundle.bundle(
+        m, evidence.strongest_joins(m, pair), evidence.drafts(m, roots, telling), roots, telling, impact, _scores(spark, d)[1],
+        incidents.near_misses(clusters, m, noise, edges(spark)), bundle.factors(impact, severity.trend(m), severity.diversity(m)),
+        evidence.confidence_parts(clusters), noise)
+    return rows.where("section <> 'excluded' and not (section = 'factor' and place > 3)").drop("body")
+
+
 # --- redaction
 
 

@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators import baseline, dedup, evidence, incidents, pairs
+from ..operators import baseline, dedup, evidence, incidents, pairs, topology
 from ..operators.components import components
 from ..sources import sinks
+from ..tables import written
 
 MINUTE = 60_000_000
 PENDING, LATE = 15 * MINUTE, 60 * MINUTE
@@ -90,7 +91,7 @@ class IncidentStream:
     def __init__(self, folder: str, edges: DataFrame, accept: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
                  score: Callable[[DataFrame], DataFrame] | None = None, repeat_minutes: float = 5) -> None:
         self.folder, self.edges, self.accept, self.score = folder.rstrip("/"), edges, accept or self._accepted, score or self._sized
-        self.repeat_minutes = repeat_minutes
+        self.repeat_minutes, self.near = repeat_minutes, None
 
     @staticmethod
     def _accepted(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -137,7 +138,9 @@ class IncidentStream:
         since = pool.agg(F.min("ts")).first()[0] or 0
         # signals are alike inside a band of time only, so older members are not compared
         near = member.where(F.col("ts") >= since - pairs.BAND).drop("label")
-        pair = pairs.similarity(pairs.gated(pairs.candidates(pool.unionByName(near), self.edges), self.edges)).select("a_id", "b_id", "gate", "sim")
+        if self.near is None:  # the graph is the same for every batch
+            self.near = written(topology.hops(self.edges), "hops")
+        pair = pairs.similarity(pairs.gated(pairs.candidates(pool.unionByName(near), self.edges), self.edges, self.near)).select("a_id", "b_id", "gate", "sim")
         pair = put(pair, "pair")
         # late signals join the open incident that fits best
         both = pair.unionByName(pair.select(F.col("b_id").alias("a_id"), F.col("a_id").alias("b_id"), "gate", "sim"))
