@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..streaming.review import MOVES
+from ..tables import written
 
 STATUSES = ("awaiting", "published", "rejected", "merged", "resolved")
 
@@ -42,8 +43,21 @@ def decision_times(events: DataFrame) -> DataFrame:
 def ranked(incidents: DataFrame) -> DataFrame:
     """incidents(label, status, priority, severity) with place: awaiting first, then P1 to P4, then by severity; merged
     ones are left out."""
-    order = Window.orderBy(F.col("status") != "awaiting", "priority", F.desc("severity"), "label")  # a row for each incident
-    return incidents.where("status <> 'merged'").withColumn("place", F.row_number().over(order))
+    order = [F.col("status") != "awaiting", "priority", F.desc("severity"), "label"]
+    return numbered(incidents.where("status <> 'merged'"), "place", *order)
+
+
+def numbered(rows: DataFrame, name: str, *order: Column | str) -> DataFrame:
+    """rows with their place from 1 in an order, by a range sort: each partition numbers its own rows, and starts after those
+    before it. Only the partitions' sizes meet in one task."""
+    row = F.col("__row")
+    sorted_ = written(rows.orderBy(*order).withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    part, own = F.shiftright(row, 33), row.bitwiseAND(F.lit((1 << 33) - 1))
+    size = sorted_.groupBy(part.alias("__part")).agg(F.count("*").alias("n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    base = size.select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))
+    return sorted_.withColumn("__part", part).join(base, "__part").withColumn(name, (F.col("__base") + own + 1).cast("int")).drop(
+        "__row", "__part", "__base")
 
 
 def archive(incidents: DataFrame, since: int, status: str | None = None, service: str | None = None, text: str | None = None,

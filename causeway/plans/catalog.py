@@ -11,6 +11,7 @@ from ..functions import redaction
 from ..functions import text as T
 from ..operators import baseline, bridges, causal, dedup, evaluate, incidents, legacy, pairs, severity, similar_text, splitting, timeline, topology
 from ..operators.components import components
+from ..sources import sinks
 from ..tables import read
 from .runs import kept
 from .signals import edges, registry, signals
@@ -205,16 +206,6 @@ def rule_classify(spark, d):
 # --- graph
 
 
-@query
-def dependency_hops(spark, d):
-    return topology.hops(edges(spark))
-
-
-@query
-def dependents_closure(spark, d):
-    return topology.dependents(edges(spark))
-
-
 @query
 def span_edges(spark, d):
     """Edges between nations of customers and suppliers: parent spans are orders, child spans lines."""
@@ -538,11 +529,11 @@ def redacted_documents(spark, d):
 
 @query
 def upsert_latest(spark, d):
-    """Keep-latest merge: the last order status of each customer."""
+    """Keep-latest merge: the last order status of each customer, of orders that came in two lots."""
     o = read(spark, d, "orders").withColumn("ts", F.unix_micros(F.col("o_orderdate").cast("timestamp")))
-    last = F.max(F.struct("ts", "o_orderkey", "o_orderstatus")).alias("m")
-    return o.groupBy("o_custkey").agg(last, F.count("*").alias("versions")).select(
-        "o_custkey", F.col("m.o_orderkey").alias("o_orderkey"), F.col("m.o_orderstatus").alias("status"), "versions")
+    last = sinks.keep_latest(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 2 = 1"), "o_custkey", "ts", "o_orderkey")
+    n = o.groupBy("o_custkey").agg(F.count("*").alias("versions"))
+    return last.join(n, "o_custkey").select("o_custkey", "o_orderkey", F.col("o_orderstatus").alias("status"), "versions")
 
 
 @query

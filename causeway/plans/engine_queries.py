@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import scrub
@@ -14,6 +14,7 @@ from ..operators import (
     evaluate,
     evidence,
     incidents,
+    pairs,
     propagation,
     severity,
     similar_text,
@@ -26,10 +27,11 @@ from ..operators import (
     validated,
 )
 from ..sources import appended
-from ..streaming import live
+from ..streaming import live, metrics
+from ..streaming.review import adjusted_weights
 from ..tables import read, shared_dir, written
 from . import oracles
-from .catalog import _scores, anomalous, membership, query, reach, rooted, scored_pairs
+from .catalog import QUERIES, _scores, anomalous, membership, query, reach, rooted, scored, scored_pairs
 from .runs import kept
 from .signals import edges, signals
 
@@ -130,6 +132,19 @@ def streamed_members(spark, d):
     return engine.members(spark, 0).select("id", "label")
 
 
+_HIT = "count_if(coalesce({}, false))::BIGINT AS {}"
+
+
+@sql("+scored", "SELECT sum(occurrence_count)::BIGINT AS received, count(*) AS distinct_, " + ", ".join([_HIT.format("is_anomaly", "anomalies"), _HIT.format("occurrence_count > 1", "repeated"), "max(ts) AS clock", *[
+    _HIT.format(f"source = '{s}'", f"from_{s}") for s in metrics.SOURCES], *[_HIT.format(f"least(floor(anomaly_score * 10), 9) = {k}", f"score_{k}") for k in range(10)]]) + " FROM scored")
+def observed_run(spark, d):
+    """The figures of a run over all judged signals, counted while they are written."""
+    seen = Observation("run")
+    written(metrics.observed(scored(spark, d), seen), "observed")
+    row = seen.get
+    return spark.createDataFrame([tuple(row[k] for k in metrics.measures())], ", ".join(f"{k} long" for k in metrics.measures())).withColumnRenamed("distinct", "distinct_")
+
+
 # --- sweeps
 
 THRESHOLDS = [0.45, 0.5, 0.55, 0.6, 0.7]
@@ -285,6 +300,57 @@ def evidence_bundle(spark, d):
     return rows.where("section <> 'excluded' and not (section = 'factor' and place > 3)").drop("body")
 
 
+LEARNED = [(1, ["svc0", "svc1", "svc2"], ["approve"]), (2, ["svc1", "svc3", "svc4", "svc7"], ["reject"]), (3, ["svc2", "svc5", "svc6", "svc11"], ["approve", "approve"])]
+
+
+def _learned() -> list[tuple[int, list[str], dict[str, float]]]:
+    """Weight sets of three groups of services after a reviewer's decisions."""
+    out = []
+    for k, services, actions in LEARNED:
+        w = dict(pairs.WEIGHTS)
+        for action in actions:
+            w = adjusted_weights(w, action)
+        out.append((k, services, w))
+    return out
+
+
+def _learned_sql() -> str:
+    inside = lambda services: " AND ".join(f"list_contains({services!r}, {c}.service)" for c in ("ra", "rb"))
+    total = lambda w: " + ".join(f"{v} * {k}_term" for k, v in w.items())
+    cases = " ".join(f"WHEN {inside(services)} THEN {total(w)}" for _, services, w in _learned())
+    return f"round(CASE {cases} ELSE {total(pairs.WEIGHTS)} END, 6)"
+
+
+@sql("+sims", f"""SELECT g.a_id, g.b_id, {_learned_sql()} AS sim FROM terms t JOIN gated g ON g.a_id = t.a_id AND g.b_id = t.b_id WHERE 1 - {_learned_sql()} <= 0.55""")
+def learned_links(spark, d):
+    """Links under the weights that reviewers' decisions have taught for some services, else under the default."""
+    e = edges(spark)
+    learned = spark.createDataFrame(_learned(), "k int, services array<string>, weights map<string,double>")
+    gated = pairs.gated(pairs.candidates(anomalous(spark, d), e), e)
+    return pairs.links(pairs.similarity(pairs.learned_sets(gated, learned))).select("a_id", "b_id", "sim")
+
+
+TEXTS["p1_live_calibration"] = "+impact", f"""SELECT *, coalesce(incidents >= 3 AND p1_share > 0.4, false) AS warn FROM (SELECT count(*) AS incidents, count_if(NOT suppressed)::BIGINT AS live,
+  round(avg(CASE WHEN NOT suppressed THEN CASE WHEN priority = 'P1' THEN 1.0 ELSE 0.0 END END), 6) AS p1_share FROM impact JOIN ({oracles.TEXTS['maintenance_suppression'][1]}) USING (label))"""
+
+
+@query
+def p1_live_calibration(spark, d):
+    """The share of P1 among incidents that no maintenance window holds back."""
+    return severity.p1_warning(rooted(spark, d)[2], suppressed=QUERIES["maintenance_suppression"](spark, d))
+
+
+TEXTS["validated_confidence_parts"] = "+clusters", "SELECT label, 'density' AS part, round(0.40 * density + 1e-9, 2) AS points FROM clusters"
+
+
+@query
+def validated_confidence_parts(spark, d):
+    """The density term of each cluster's confidence (the other terms are in cluster_confidence)."""
+    m, found = membership(spark, d)
+    terms = incidents.confidence_terms(m, found, topology.hops(edges(spark)))
+    return evidence.validated_parts(terms).where("part = 'density'")
+
+
 # --- redaction
 
 

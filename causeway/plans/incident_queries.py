@@ -10,7 +10,7 @@ from ..sources import adapters
 from ..tables import read, written
 from . import oracles
 from .catalog import QUERIES, anomalous, membership, query, rooted, scored, scored_pairs
-from .signals import edges, signals
+from .signals import EDGES_SQL, edges, signals
 
 TEXTS: dict[str, tuple[str, str]] = {}
 
@@ -227,17 +227,6 @@ def run_report(spark, d):
         review_tables.minutes_saved(F.col("received")).alias("minutes_saved"))
 
 
-@sql("", "SELECT e.caller AS service, d.callee AS dependency FROM edges e JOIN edges d ON d.caller = e.caller UNION SELECT service, dependency FROM (WITH RECURSIVE down AS (SELECT caller AS service, callee AS dependency FROM edges UNION SELECT w.service, e.callee FROM down w JOIN edges e ON e.caller = w.dependency) SELECT * FROM down)")
-def dependencies_closure(spark, d):
-    return topology.dependencies(edges(spark))
-
-
-@sql("", """SELECT caller, callee, array_to_string(arg_min(path, (len(path), path)), ' > ') AS path FROM (WITH RECURSIVE p AS (SELECT caller, callee, [caller, callee] AS path FROM edges UNION ALL
-  SELECT p.caller, e.callee, list_append(p.path, e.callee) FROM p JOIN edges e ON e.caller = p.callee WHERE NOT list_contains(p.path, e.callee) AND len(p.path) < 7) SELECT * FROM p) GROUP BY caller, callee""")
-def call_paths(spark, d):
-    return topology.call_paths(edges(spark)).withColumn("path", F.array_join("path", " > "))
-
-
 @sql("+members", """SELECT label, arg_min(id, (ts, sev_rank, id)) AS id FROM members GROUP BY label""")
 def earliest_roots(spark, d):
     """The offline view's root: the earliest signal, of equal ones the most severe."""
@@ -376,6 +365,36 @@ def payload_span_edges(spark, d):
     return adapters.span_edges(_spans(spark, d))
 
 
+def span_graph(spark, d) -> DataFrame:
+    """The calls that all spans show, those to the next two services by number: a graph without circles."""
+    gap = F.substring("callee", 4, 9).cast("int") - F.substring("caller", 4, 9).cast("int")
+    return payload_span_edges(spark, d).where(gap.isin(1, 2))
+
+
+HARVESTED = f"""edges AS (SELECT DISTINCT 'svc' || (p.user_id % 12) AS caller, 'svc' || (c.user_id % 12) AS callee FROM {_PARENT} WHERE c.user_id % 12 - p.user_id % 12 IN (1, 2))"""
+
+
+@sql("calls walk hop", "SELECT a, b, hops FROM hop")
+def dependency_hops(spark, d):
+    return topology.hops(span_graph(spark, d))
+
+
+@sql("dep", "SELECT DISTINCT service, dependent FROM dep WHERE service <> dependent")
+def dependents_closure(spark, d):
+    return topology.dependents(span_graph(spark, d))
+
+
+@sql("", "SELECT e.caller AS service, d.callee AS dependency FROM edges e JOIN edges d ON d.caller = e.caller UNION SELECT service, dependency FROM (WITH RECURSIVE down AS (SELECT caller AS service, callee AS dependency FROM edges UNION SELECT w.service, e.callee FROM down w JOIN edges e ON e.caller = w.dependency) SELECT * FROM down)")
+def dependencies_closure(spark, d):
+    return topology.dependencies(span_graph(spark, d))
+
+
+@sql("", """SELECT caller, callee, array_to_string(arg_min(path, (len(path), path)), ' > ') AS path FROM (WITH RECURSIVE p AS (SELECT caller, callee, [caller, callee] AS path FROM edges UNION ALL
+  SELECT p.caller, e.callee, list_append(p.path, e.callee) FROM p JOIN edges e ON e.caller = p.callee WHERE NOT list_contains(p.path, e.callee) AND len(p.path) < 7) SELECT * FROM p) GROUP BY caller, callee""")
+def call_paths(spark, d):
+    return topology.call_paths(span_graph(spark, d)).withColumn("path", F.array_join("path", " > "))
+
+
 @sql("", f"""SELECT {_S} AS service, CASE event_type WHEN 'error' THEN 'critical' WHEN 'view' THEN 'warning' ELSE 'info' END AS severity, {_AT} AS ts, event_type AS message FROM events WHERE event_id % 10 > 0""")
 def payload_generic(spark, d):
     """Flat records under names of their own; those without a time are dropped."""
@@ -395,3 +414,5 @@ def payload_union(spark, d):
 
 
 ORACLE_SQL = {name: oracles.oracle(name, TEXTS) for name in TEXTS}
+# these walk the harvested graph
+ORACLE_SQL |= {name: ORACLE_SQL[name].replace(EDGES_SQL, HARVESTED) for name in ("dependency_hops", "dependents_closure", "dependencies_closure", "call_paths")}

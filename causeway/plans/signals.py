@@ -51,7 +51,10 @@ def registry(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(f"svc{i}", (95 - 6 * i) / 100) for i in range(10)], "service string, criticality double")
 
 
-SIGNALS_SQL = """
+EDGES_SQL = """edges AS (SELECT 'svc' || i AS caller, 'svc' || j AS callee FROM (SELECT i, unnest([2 * i + 1, 2 * i + 2]) AS j
+    FROM range(6) t(i)) WHERE j < 12 UNION ALL SELECT 'svc7', 'svc10' UNION ALL SELECT 'svc8', 'svc11')"""
+
+SIGNALS_SQL = f"""
 ev AS (SELECT *, (props->>'k')::INTEGER AS k FROM events),
 signals AS (SELECT event_id AS id, (1704067200000000 + floor((epoch_us(ts) - 1704067200000000) / 10.0))::BIGINT AS ts,
   'svc' || (user_id % 12) AS service, 'c' || (k % 5) AS component,
@@ -65,6 +68,5 @@ signals AS (SELECT event_id AS id, (1704067200000000 + floor((epoch_us(ts) - 170
   CASE WHEN event_type IN ('click', 'purchase') THEN 100.0 END AS threshold,
   CASE WHEN event_type IN ('error', 'signup') THEN 'tr' || (event_id // 3) END AS trace_id,
   CASE WHEN event_type = 'error' THEN 'svc' || (k % 12) END AS mention FROM ev),
-edges AS (SELECT 'svc' || i AS caller, 'svc' || j AS callee FROM (SELECT i, unnest([2 * i + 1, 2 * i + 2]) AS j
-    FROM range(6) t(i)) WHERE j < 12 UNION ALL SELECT 'svc7', 'svc10' UNION ALL SELECT 'svc8', 'svc11'),
+{EDGES_SQL},
 registry AS (SELECT 'svc' || i AS service, (95 - 6 * i) / 100.0 AS criticality FROM range(10) t(i))"""

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def keep_latest(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
-    """Upsert by key: the row with the highest order wins, new over old at ties."""
+def keep_latest(old: DataFrame, new: DataFrame, key: str, *order: str) -> DataFrame:
+    """Upsert by key: the row with the highest order (several columns: the first that differs) wins, new over old at ties."""
     both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)), allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy(F.desc(order), F.desc("__new"))
+    w = Window.partitionBy(key).orderBy(*[F.desc(c) for c in order], F.desc("__new"))
     return both.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r", "__new")
 
 
@@ -40,5 +40,5 @@ def record(stream: DataFrame, path: str, checkpoint: str):
 
 
 def bounded_feed(rows: DataFrame, newest: int = 5000) -> DataFrame:
-    """The newest rows by arrival: the feed's own limit."""
-    return rows.orderBy(F.desc("arrival")).limit(newest)
+    """The newest rows by arrival, of equal ones those with the higher id: the feed's own limit."""
+    return rows.orderBy(F.desc("arrival"), *([F.desc("id")] if "id" in rows.columns else [])).limit(newest)
