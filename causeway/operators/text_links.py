@@ -88,9 +88,15 @@ def near(alerts: DataFrame, eps: float = EPS, stop: tuple[str, ...] = ()) -> Dat
     met = seen.join(step, "slot").select(F.least("t", "u").alias("t"), F.greatest("t", "u").alias("u")).distinct()
     side = lambda c: v.select(F.col("id").alias(c), F.col("terms").alias(f"{c}_terms"), F.col("ws").alias(f"{c}_ws"))
     product = dot(*[F.col(x) for x in ("t_terms", "t_ws", "u_terms", "u_ws")])
+    met = written(met, "met-texts")
     cosine = met.where("t <> u").join(side("t"), "t").join(side("u"), "u").select("t", "u", F.round(product, 9).alias("cosine"))
     # a text with itself: 1, or 0 without terms
-    cosine = cosine.union(v.select("id", "id", F.lit(1.0))).where("cosine > 0")
+    cosine = cosine.union(v.select("id", "id", F.lit(1.0)))
+    if eps > 1:  # even texts without a common word are near for a while
+        everyone = met.join(cosine.select("t", "u"), ["t", "u"], "left_anti").select("t", "u", F.lit(0.0))
+        cosine = cosine.union(everyone)
+    else:
+        cosine = cosine.where("cosine > 0")
     cosine = written(cosine.union(cosine.where("t <> u").select("u", "t", "cosine").toDF("t", "u", "cosine")), "cosines")
     room = F.greatest(F.col("cosine") - (1 - eps), F.lit(0.0))
     reach = F.ceil(MINUTES * F.sqrt(room / PENALTY) * 6e7) + 1
@@ -99,7 +105,7 @@ def near(alerts: DataFrame, eps: float = EPS, stop: tuple[str, ...] = ()) -> Dat
     b = told.select(F.col("id").alias("b"), F.col("ts").alias("b_ts"), F.col("t").alias("u"), "slot")
     close = a.join(b, ["u", "slot"]).where("a < b").where(F.abs(F.col("a_ts") - F.col("b_ts")) <= F.col("reach"))
     out = close.select("a", "b", "cosine", (F.abs(F.col("a_ts") - F.col("b_ts")) / 6e7).alias("gap"))
-    if eps >= 1:  # even without a common word
+    if eps == 1:  # at one time even without a common word
         same = told.select(F.col("id").alias("a"), "ts", F.col("t").alias("t")).join(told.select(F.col("id").alias("b"), "ts", F.col("t").alias("u")), "ts")
         same = same.where("a < b").join(cosine.select("t", "u"), ["t", "u"], "left_anti")
         out = out.union(same.select("a", "b", F.lit(0.0), F.lit(0.0)))

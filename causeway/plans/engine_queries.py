@@ -13,6 +13,7 @@ from ..operators import (
     causal,
     evaluate,
     evidence,
+    explain,
     incidents,
     pairs,
     propagation,
@@ -26,7 +27,7 @@ from ..operators import (
     truth,
     validated,
 )
-from ..sources import appended
+from ..sources import appended, days
 from ..streaming import live, metrics
 from ..streaming.review import adjusted_weights
 from ..tables import read, shared_dir, written
@@ -429,4 +430,113 @@ def library_argmax(spark, d):
     return library.best(part("documents", "doc_id", "\n").withColumnRenamed("doc_id", "label"))
 
 
+# --- explanations and comparisons
+
+
+def _labels_of(spark, d) -> DataFrame:
+    return membership(spark, d)[0].select("id", "label")
+
+
+_CONF = "least(greatest({}, 0), 1) + 1e-9"
+
+
+@sql("+labels", f"""SELECT *, round_even(round((time_proximity + template_similarity + service_affinity + cohesion) * 25, 6), 0)::INTEGER AS confidence_pct FROM (WITH {_NEAR},
+  own AS (SELECT l.label, t.id, t.ts, a.service FROM told t JOIN labels l USING (id) JOIN anom a USING (id)),
+  pr AS (SELECT x.label, x.id AS a, y.id AS b, abs(x.ts - y.ts) AS gap FROM own x JOIN own y ON x.label = y.label AND x.id < y.id),
+  dots AS (SELECT pr.label, sum(x.w * y.w) AS dots FROM pr JOIN vec x ON x.id = pr.a JOIN vec y ON y.id = pr.b AND y.term = x.term GROUP BY 1),
+  g AS (SELECT label, avg(gap) / 6e7 AS gap, count(*)::DOUBLE AS pairs FROM pr GROUP BY 1), sv AS (SELECT label, max(c) / sum(c)::DOUBLE AS share, sum(c) AS n FROM (SELECT label, service, count(*) AS c FROM own GROUP BY 1, 2) GROUP BY 1),
+  cl AS (SELECT x.label, count(*) AS close FROM near JOIN own x ON x.id = near.a JOIN own y ON y.id = near.b AND y.label = x.label GROUP BY 1)
+  SELECT g.label, sv.n::BIGINT AS n, round({_CONF.format('1 - gap / 6')}, 2) AS time_proximity, round({_CONF.format('coalesce(dots, 0) / pairs')}, 2) AS template_similarity, round({_CONF.format('share')}, 2) AS service_affinity,
+    round({_CONF.format('coalesce(close, 0) / pairs')}, 2) AS cohesion FROM g JOIN sv USING (label) LEFT JOIN dots USING (label) LEFT JOIN cl USING (label))""")
+def correlation_explanation(spark, d):
+    """Why the alerts of each incident stand together, in four shares and their mean."""
+    alerts = anomalous(spark, d).select("id", "ts", "service", F.concat_ws(" ", "service", "source", "message").alias("text"))
+    return explain.explanation(alerts, _labels_of(spark, d), text_links.near(alerts))
+
+
+@sql("+labels", f"""SELECT label, id, distance, place::INTEGER AS place FROM (WITH {_NEAR.replace('4.25 * 60000000', '5.4 * 60000000').replace('<= 1.0)', '<= 1.6)')},
+  two AS (SELECT a AS id, b AS member, distance FROM near UNION ALL SELECT b, a, distance FROM near),
+  best AS (SELECT l.label, two.id, min(distance) AS distance FROM two JOIN labels l ON l.id = two.member WHERE two.id NOT IN (SELECT id FROM labels) GROUP BY 1, 2)
+  SELECT *, row_number() OVER (PARTITION BY label ORDER BY distance, id) AS place FROM best) WHERE place <= 4""")
+def excluded_alerts(spark, d):
+    """The four nearest alerts that each incident left out."""
+    return explain.nearly(_alerts(spark, d), _labels_of(spark, d))
+
+
+@sql("+roots", """SELECT s.label, s.service, is_root, CASE WHEN is_root THEN least(99, greatest(70, pct)) ELSE least(72, greatest(18, pct)) END::INTEGER AS confidence FROM (SELECT o.label, o.service, r.root = o.service AS is_root,
+  floor((35 * CASE WHEN o.first = min(o.first) OVER (PARTITION BY o.label) THEN 100 ELSE 45 END + 25 * CASE sev WHEN 0 THEN 100 WHEN 1 THEN 75 ELSE 50 END + 25 * CASE WHEN r.root = o.service THEN 100 ELSE 40 END
+  + 15 * CASE WHEN r.root = o.service AND o.label % 3 = 0 THEN 90 ELSE 50 END + 50) / 100.0) AS pct FROM (SELECT label, service, min(ts) AS first, min(sev_rank) AS sev FROM members GROUP BY 1, 2) o JOIN roots r USING (label)) s""")
+def root_confidence_graph(spark, d):
+    """How sure each service is the cause, one incident in three being known."""
+    m, roots, _ = rooted(spark, d)
+    return explain.confidence_graph(m, roots, m.where("label % 3 = 0").select("label"))
+
+
+@sql("+members", """SELECT label, item, symptom_pct, overlap_pct, CASE WHEN b = n AND b = t THEN 'match' WHEN b > 0 THEN 'partial' ELSE 'different' END AS services FROM (
+  SELECT m.label, m.item, round_even(100 * m.similarity, 0)::INTEGER AS symptom_pct, round_even(100 * b / greatest(n, 1)::DOUBLE, 0)::INTEGER AS overlap_pct, b, n, t FROM (
+  SELECT label, label % 12 AS item, (label % 100) / 100.0 AS similarity, count(DISTINCT service) AS n, count(DISTINCT CASE WHEN list_contains([label % 12, (label + 1) % 12, (label + 2) % 12], substr(service, 4)::INTEGER) THEN service END) AS b,
+  3 AS t FROM members GROUP BY label) m)""")
+def history_comparison(spark, d):
+    """Each incident beside a known one: twelve of three neighbouring services each, matched by number."""
+    m, _, _ = rooted(spark, d)
+    history = signals(spark, d).select("service").distinct().select(F.substring("service", 4, 9).cast("long").alias("k"), "service").select(
+        F.explode(F.array(*[F.pmod(F.col("k") - j, F.lit(12)) for j in range(3)])).alias("item"), "service")
+    matches = m.select("label", F.pmod("label", F.lit(12)).alias("item"), (F.pmod("label", F.lit(100)) / 100).alias("similarity")).distinct()
+    return explain.compared(m, matches, history)
+
+
+# --- batches
+
+
+@sql("", """SELECT id, at_s FROM (WITH e AS (SELECT id, ts, max(ts) OVER () AS newest FROM signals), r AS (SELECT *, min(ts) OVER () AS t0, row_number() OVER (ORDER BY ts, id) AS k FROM e WHERE ts >= newest - 3000000000),
+  b AS (SELECT id, k, (ts // 1000 - t0 // 1000) / greatest(newest // 1000 - t0 // 1000, 1)::DOUBLE * 23.0 + 0.5 - 0.08 * k AS lead FROM r)
+  SELECT id, 0.0::DOUBLE AS at_s FROM e WHERE ts < newest - 3000000000 UNION ALL SELECT id, least(round(max(lead) OVER (ORDER BY k) + 0.08 * k, 6), 24.0) FROM b)""")
+def replay_schedule(spark, d):
+    """When each signal shows in a replay of half a minute."""
+    return days.schedule(signals(spark, d).select("id", "ts")).withColumnRenamed("at", "at_s")
+
+
+@sql("", """SELECT id, ts + move AS ts FROM (SELECT id, ts, floor(ts / 86400000000.0)::BIGINT AS day FROM signals) JOIN (SELECT day, (first_value(lo) OVER (ORDER BY day) + coalesce(sum(hi - lo + 7200000000) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING
+  AND 1 PRECEDING), 0) - lo)::BIGINT AS move FROM (SELECT floor(ts / 86400000000.0)::BIGINT AS day, min(ts) AS lo, max(ts) AS hi FROM signals GROUP BY 1)) USING (day)""")
+def concatenated_days(spark, d):
+    """Signals of all days back to back, two hours between them."""
+    rows = signals(spark, d).select("id", "ts", F.floor(F.col("ts") / 86_400_000_000).alias("day"))
+    return days.concatenated(rows).select("id", "ts")
+
+
+@sql("", "SELECT id, (ts + floor((1767225600123456 - max(ts) OVER ()) / 300000000.0)::BIGINT * 300000000)::BIGINT AS ts FROM signals")
+def shifted_batch(spark, d):
+    """Signals moved to end at about a given time, by whole windows."""
+    return days.shifted(signals(spark, d).select("id", "ts"), 1_767_225_600_123_456)
+
+
+@sql("", """SELECT id FROM (SELECT *, ceil(k * take / size::DOUBLE) AS i FROM (SELECT s.id, row_number() OVER (PARTITION BY s.component, s.severity ORDER BY s.ts, s.id) - 1 AS k, p.size, p.take FROM signals s JOIN (
+  SELECT component, severity, size, CASE WHEN kept THEN size ELSE least(size, base + floor(greatest(1000 - sum(CASE WHEN kept THEN size ELSE base END) OVER (), 0) * coalesce(weight / sum(weight) OVER (), 0) + 1e-9)) END::BIGINT AS take
+  FROM (SELECT *, CASE WHEN NOT kept THEN sqrt(size - base) * CASE WHEN severity = 'high' THEN 0.35 ELSE 1.0 END END AS weight FROM (SELECT component, severity, count(*) AS size, severity = 'warning' AND count(*) <= 500 AS kept,
+  least(count(*), 5) AS base FROM signals GROUP BY 1, 2))) p ON p.component IS NOT DISTINCT FROM s.component AND p.severity = s.severity)) WHERE floor(i * size / take::DOUBLE) = k AND i < take""")
+def level_sample(spark, d):
+    """1,000 signals over components and severities: warnings whole, the severe damped; a sampling operator."""
+    rows = signals(spark, d).select("id", "ts", "component", "severity")
+    return days.sampled(rows, ["component", "severity"], 1000, F.col("severity") == "warning", F.col("severity") == "high").select("id")
+
+
+@sql("", """SELECT caller, callee FROM (SELECT *, row_number() OVER (ORDER BY sha1('7:' || caller || ':' || callee)) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT 'svc' || (p.user_id % 12) AS caller, 'svc' || (c.user_id % 12) AS callee
+  FROM events c JOIN events p ON c.event_id % 4 > 0 AND p.event_id = c.event_id - 1 WHERE p.user_id % 12 <> c.user_id % 12)) WHERE k <= greatest(floor(0.6 * n), 1)""")
+def observed_topology(spark, d):
+    """Six in ten of the calls that spans show, as partial tracing would."""
+    return days.observed(QUERIES["payload_span_edges"](spark, d), 0.6, 7)
+
+
+RULES = [("payments", "svc3", "error|purchase"), ("checkout", None, r"purchase k=[0-4]\b"), ("signups", None, "^signup"), ("faults", None, "error")]
+
+
+@sql("", """SELECT story, origin, count(*) AS n, count_if(candidate)::BIGINT AS candidates FROM (SELECT CASE WHEN service = 'svc3' AND regexp_matches(lower(message), 'error|purchase') THEN 'payments' WHEN regexp_matches(lower(message), 'purchase k=[0-4]\\b')
+  THEN 'checkout' WHEN regexp_matches(lower(message), '^signup') THEN 'signups' WHEN regexp_matches(lower(message), 'error') THEN 'faults' END AS story, CASE WHEN source LIKE '%grafana%' THEN 'grafana_alerts' WHEN source LIKE '%metric%'
+  THEN 'cloudwatch_metrics' ELSE 'application_logs' END AS origin, source IN ('cloudwatch_metric', 'grafana_alert') OR severity IN ('critical', 'high', 'warning') AS candidate FROM signals) GROUP BY ALL""")
+def story_rules(spark, d):
+    """Signals by the first rule that fits, with the family of their source and how many a person would label."""
+    s = signals(spark, d).select(days.first_rule(RULES).alias("story"), days.canonical_source(F.col("source")).alias("origin"), days.candidate().alias("c"))
+    return s.groupBy("story", "origin").agg(F.count("*").alias("n"), F.count_if("c").alias("candidates"))
+
+
 ORACLE_SQL = {name: oracles.oracle(name, TEXTS) for name in TEXTS}

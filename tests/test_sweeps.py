@@ -81,7 +81,7 @@ def test_near_by_wording_and_time(spark):
     alerts = spark.createDataFrame([(*r, "extra") for r in rows], "id long, ts long, text string, slot string").repartition(4)
     df = Counter(t for _, _, s in rows for t in grams(s))
     vec = {k: unit({t: n * (math.log((1 + len(rows)) / (1 + df[t])) + 1) for t, n in grams(s).items()}) for k, _, s in rows}
-    for eps in (1.0, 0.6):
+    for eps in (1.0, 0.6, 1.6):
         want = {}
         for a, s, _ in rows:
             for b, t, _ in rows:
