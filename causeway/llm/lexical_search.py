@@ -8,8 +8,8 @@
    accumulator over the block's documents. The best k of each item are kept from block to block, and the best k over
    all tasks stay.
 
-Terms are maximal runs of ASCII letters, digits and all characters beyond ASCII, with only A-Z lower-cased; they are
-told apart by hashes of 64 bits and their length.
+Terms are maximal runs of ASCII letters, digits and all characters beyond ASCII, with only A-Z lower-cased. They are found
+by hashes of 64 bits, and what is found is compared byte by byte. Two terms of the items that share a hash are an error.
 
 Defined cases: a null or empty text has no term and is never found; an item without terms, or whose terms no document
 has, gives no rows; rows with the same item_id are one item with the terms of all; a null item_id is an item too; a
@@ -43,42 +43,68 @@ GAP[:0x80] = True
 GAP[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = False
 
 
-def terms(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, row) of every term of a chunk of texts."""
+def terms(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, row, begin, end) of every term of a chunk of texts, and the chunk in lower case."""
     data = LOWER[data]
     starts, ends, row = pieces(data, offs, GAP[data])
-    return hashes(sums(data), starts, ends), row
+    return hashes(sums(data), starts, ends), row, starts, ends, data
 
 
 def item_terms(items: DataFrame) -> DataFrame:
-    """(item_id, term, times) of every item: times is how often its texts hold the term."""
+    """(item_id, term, word, times) of every item: times is how often its texts hold the term, term the hash of its bytes."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, data, offs in chunks(batch.column(1)):
-                term, row = terms(data, offs)
-                yield pa.record_batch([batch.column(0).take(pa.array(row + first)), pa.array(term.view(np.int64))],
-                                      names=["item_id", "term"])
-
-    found = own(items, "item_id", "text").mapInArrow(read, "item_id long, term long")
-    return found.groupBy("item_id", "term").agg(F.count("*").alias("times"))
-
-
-def sparse_rows(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
-    """(doc_id, n, terms, counts): each document's number of terms, and places in vocabulary (sorted) with occurrences."""
+                term, row, starts, ends, low = terms(data, offs)
+                raw = low.tobytes()
+                words = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                yield pa.record_batch([batch.column(0).take(pa.array(row + first)), pa.array(term.view(np.int64)), pa.array(words, pa.binary())],
+                                      names=["item_id", "term", "word"])
+
+    found = own(items, "item_id", "text").mapInArrow(read, "item_id long, term long, word binary")
+    return found.groupBy("item_id", "term", "word").agg(F.count("*").alias("times"))
+
+
+class Vocabulary:
+    """Terms by hash, with their bytes."""
+
+    def __init__(self, words: dict[int, bytes]) -> None:
+        self.keys = np.array(sorted(words), np.uint64)
+        ordered = [words[k] for k in self.keys.tolist()]
+        self.size = np.array([len(w) for w in ordered], np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        self.data = np.frombuffer(b"".join(ordered), np.uint8)
+
+    def find(self, term: np.ndarray, starts: np.ndarray, ends: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which pieces are terms of the vocabulary, their places in it), by hash and then by every byte."""
+        at = np.minimum(np.searchsorted(self.keys, term), len(self.keys) - 1)
+        hit = np.flatnonzero((self.keys[at] == term) & (self.size[at] == ends - starts))
+        at = at[hit]
+        size = self.size[at]
+        if not len(hit):
+            return hit, at
+        total = np.cumsum(size)
+        step = np.arange(total[-1]) - np.repeat(total - size, size)
+        same = data[np.repeat(starts[hit], size) + step] == self.data[np.repeat(self.begin[at], size) + step]
+        good = np.logical_and.reduceat(same, total - size)
+        return hit[good], at[good]
+
+
+def sparse_rows(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(doc_id, n, terms, counts): each document's number of terms, and places in vocabulary with occurrences."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, data, offs in chunks(batch.column(1), 1 << 20):
-                term, row = terms(data, offs)
-                rows = len(offs) - 1
-                at = np.minimum(np.searchsorted(vocabulary, term), len(vocabulary) - 1)
-                hit = vocabulary[at] == term
-                key, count = np.unique(row[hit] * len(vocabulary) + at[hit], return_counts=True)
-                ends = pa.array(np.searchsorted(key, np.arange(rows + 1) * len(vocabulary)).astype(np.int32))
+                term, row, starts, stops, low = terms(data, offs)
+                rows, width = len(offs) - 1, len(vocabulary.keys)
+                hit, at = vocabulary.find(term, starts, stops, low)
+                key, count = np.unique(row[hit] * width + at, return_counts=True)
+                ends = pa.array(np.searchsorted(key, np.arange(rows + 1) * width).astype(np.int32))
                 yield pa.record_batch(
                     [batch.column(0).slice(first, rows), pa.array(np.bincount(row, minlength=rows)),
-                     pa.ListArray.from_arrays(ends, pa.array((key % len(vocabulary)).astype(np.int32))),
+                     pa.ListArray.from_arrays(ends, pa.array((key % width).astype(np.int32))),
                      pa.ListArray.from_arrays(ends, pa.array(count.astype(np.int32)))],
                     names=["doc_id", "n", "terms", "counts"])
 
@@ -117,19 +143,24 @@ class Product:
 
 
 def _pass(docs: DataFrame, entries: list, k: int, once: bool) -> DataFrame:
-    """search() for the items of one block of entries (item_id, term, times)."""
+    """search() for the items of one block of entries (item_id, term, word, times)."""
     spark = docs.sparkSession
     item_ids = list(dict.fromkeys(e[0] for e in entries))
     number = {x: i for i, x in enumerate(item_ids)}
     item = np.array([number[e[0]] for e in entries], np.int64)
-    vocabulary, place = np.unique(np.array([e[1] for e in entries], np.int64).view(np.uint64), return_inverse=True)
+    key = np.array([e[1] for e in entries], np.int64).view(np.uint64)
+    words = dict(zip(key.tolist(), (bytes(e[2]) for e in entries), strict=True))
+    if len(words) < len({bytes(e[2]) for e in entries}):
+        raise ValueError("lexical_search: two terms share a hash")
+    vocabulary = Vocabulary(words)
+    place = np.searchsorted(vocabulary.keys, key)
     order = np.lexsort((place, item))
-    times = np.ones(len(entries), np.int64) if once else np.array([e[2] for e in entries], np.int64)[order]
+    times = np.ones(len(entries), np.int64) if once else np.array([e[3] for e in entries], np.int64)[order]
     begin = np.searchsorted(item[order], np.arange(len(item_ids) + 1))
     term = place[order]
 
     rows = written(sparse_rows(docs, vocabulary), "sparse-rows")
-    df = np.zeros(len(vocabulary), np.int64)
+    df = np.zeros(len(vocabulary.keys), np.int64)
     for r in rows.select(F.explode("terms").alias("t")).groupBy("t").count().toLocalIterator():  # the items' terms only
         df[r[0]] = r[1]
     holding, length = rows.where("n > 0").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()

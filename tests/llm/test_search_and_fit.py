@@ -109,6 +109,14 @@ def test_lexical_search(spark, monkeypatch, texts, once, small):
     assert got == brute_search(docs, items, once=once)
 
 
+def test_equal_hashes_are_not_equal_terms():
+    words = [b"one", b"two", b"three"]
+    data = np.frombuffer(b"two one twx three", np.uint8)
+    starts, ends = np.array([0, 4, 8, 12]), np.array([3, 7, 11, 17])
+    hit, at = lexical_search.Vocabulary(dict(enumerate(words))).find(np.array([1, 0, 1, 2], np.uint64), starts, ends, data)
+    assert hit.tolist() == [0, 1, 3] and at.tolist() == [1, 0, 2]
+
+
 def test_lexical_search_empty(spark, texts):
     frame = spark.createDataFrame(texts[0], "doc_id long, text string")
     asked = spark.createDataFrame(texts[1], "item_id long, text string")
