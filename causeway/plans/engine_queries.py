@@ -23,6 +23,7 @@ from ..operators import (
     sweeps,
     templates,
     text_links,
+    tickets,
     topology,
     truth,
     validated,
@@ -33,6 +34,8 @@ from ..streaming.review import adjusted_weights
 from ..tables import read, shared_dir, written
 from . import oracles
 from .catalog import QUERIES, _scores, anomalous, membership, query, reach, rooted, scored, scored_pairs
+from .incident_queries import _NUM
+from .incident_queries import _TOLD as _SAID
 from .runs import kept
 from .signals import edges, signals
 
@@ -485,6 +488,33 @@ def history_comparison(spark, d):
     return explain.compared(m, matches, history)
 
 
+_REST = "list_filter(services, lambda x: x <> root)"
+_DETAIL = _SAID.replace("ELSE message END", "ELSE substr(message, 1, 110) END")
+
+
+@sql("+impact", f"""SELECT label, n || ' correlated signals across ' || len(services) || ' service(s), scored ' || priority || '. Causal analysis points to ' || root || CASE WHEN len({_REST}) > 0 THEN ', with knock-on failures in ' || array_to_string({_REST}[1:3], ', ')
+  ELSE '' END || '.' AS summary, 'Suspected: ' || root || ' (' || told || ', first seen ' || strftime(make_timestamp(ts), '%H:%M:%S') || '). Selected by counterfactual analysis over the dependency graph (' || round(100 * causal_confidence)::INTEGER
+  || '% causal confidence); unconfirmed until checked on the service.' AS hypothesis, array_to_string(list_filter(['Inspect ' || root || ' first: causal analysis identifies it as the origin.', CASE WHEN metric IS NOT NULL THEN 'Check ' || metric || ' on ' || root
+  || CASE WHEN threshold IS NOT NULL THEN ' against its threshold (' || {_NUM.format('threshold')} || ')' ELSE '' END || '.' END, CASE WHEN len({_REST}) > 0 THEN 'Confirm ' || array_to_string({_REST}[1:3], ', ') || ' recover once ' || root
+  || ' is healthy; if they do not, there is a second independent fault.' END], lambda x: x IS NOT NULL), ' ') AS steps FROM (SELECT label, count(*) AS n, list_sort(list(DISTINCT service)) AS services FROM members GROUP BY 1) JOIN roots USING (label)
+  JOIN (SELECT label, priority FROM impact) USING (label) JOIN (SELECT label, service AS root, arg_min({{'told': {_DETAIL}, 'metric': metric, 'threshold': threshold, 'ts': ts}}, (CASE WHEN metric IS NOT NULL OR source = 'grafana_alert' THEN 0 ELSE 1 END, sev_rank, ts, id)) AS t
+  FROM members GROUP BY 1, 2) USING (label, root), LATERAL (SELECT t.told AS told, t.metric AS metric, t.threshold AS threshold, t.ts AS ts)""")
+def ticket_prose(spark, d):
+    """What a ticket says of each incident: summary, hypothesis and steps."""
+    m, roots, impact = rooted(spark, d)
+    return tickets.prose(m, roots, causal.representative(m), impact).withColumn("steps", F.array_join("steps", " "))
+
+
+@sql("+impact", """SELECT label, count(*) + 18 + 1 + CASE WHEN bool_or(lead) THEN 1 ELSE 0 END + CASE WHEN count(DISTINCT service) > 1 THEN 1 ELSE 0 END + 2 AS n FROM (SELECT m.*, t.metric IS NOT NULL AS lead FROM members m JOIN roots r ON r.label = m.label JOIN (
+  SELECT label, service, arg_min({'m': metric}, (CASE WHEN metric IS NOT NULL OR source = 'grafana_alert' THEN 0 ELSE 1 END, sev_rank, ts, id)).m AS metric FROM members GROUP BY 1, 2) t ON t.label = r.label AND t.service = r.root) GROUP BY label""")
+def ticket_lines(spark, d):
+    """How many lines the ticket of each incident has."""
+    m, roots, impact = rooted(spark, d)
+    telling = causal.representative(m)
+    rows = tickets.lines(m, evidence.drafts(m, roots, telling), tickets.prose(m, roots, telling, impact), impact)
+    return rows.groupBy("label").agg(F.max("place").cast("long").alias("n"))
+
+
 # --- batches
 
 
