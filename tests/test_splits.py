@@ -87,7 +87,7 @@ def test_solver_equals_leaving_out_each_signal():
     assert split > 100
 
 
-@pytest.mark.parametrize("most", [10**6, 12, 0])
+@pytest.mark.parametrize("most", [10**6, 12])
 def test_bridges_by_groups_and_by_joins(spark, most):
     members, links = graphs(7)
     m = spark.createDataFrame(members, "id long, label long").repartition(3)
@@ -100,7 +100,7 @@ def test_bridges_by_groups_and_by_joins(spark, most):
         ids = [x for x, k in members if k == label]
         want = slow_split(ids, [x for x in links if x[0] in ids])
         assert {frozenset(v) for (k, _), v in got.items() if k == label} == want
-    if most == 0:
+    if most == 12:
         assert bridges.split_weak_bridges(m.limit(0), e.limit(0), 0).count() == 0
 
 
