@@ -6,17 +6,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ..tables import read, written
+from ..tables import written
 
 _KEPT: dict[tuple, DataFrame] = {}
 
 
 def input_mark(spark: SparkSession, sf_dir: str, table: str) -> tuple:
-    """What changes when a file of a table does: the number, sizes, times and names of its files."""
-    files = read(spark, sf_dir, table).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
-    return tuple(files.agg(F.count("*"), F.sum("file_size"), F.max("file_modification_time"), F.sum(F.xxhash64("file_path").cast("decimal(38,0)"))).first())
+    """What changes when a file of a table does: how many files, their bytes and the newest time, asked of the file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{table}.parquet")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return len(found), sum(x.getLen() for x in found), max((x.getModificationTime() for x in found), default=0)
 
 
 def kept(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
