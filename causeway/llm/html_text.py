@@ -5,9 +5,13 @@ seen at it (tag, class and id words, amount of text, share of link text, punctua
 each state, and each child's state depends on its parent's. Sum-product messages go up the tree and down again and
 give each node's marginal probability of content, exactly, as a tree has no loops. Text belongs to its nearest element
 and is kept where that element's marginal is at least one half. Potentials are counted on labelled pages
-(labelled_pages), where content elements carry data-keep; adding pages there retrains the model. Names count by kind:
-words of boilerplate, of content, both, or a layout word beside them; names that only say what a page has or lacks
-(has-comments, no-sidebar) and those of html and body tell nothing.
+(labelled_pages), where content elements carry data-keep; adding pages there retrains the model.
+
+A name is read as a whole: its last word says what it is (post-comments), others qualify it (related-article); what
+comes after `with` or `has`, or under a taxonomy (category-social, tag-comments), says what an element has or is about;
+names that end in a state (sharing-enabled, sidebar-none) and those of html and body tell nothing.
+
+Place is that relative to the smallest block around the page's headline, where that holds a good part of its text.
 
 Tags that never hold text to read (scripts, styles, forms, ...) are boilerplate. Siblings aren't independent witnesses,
 so that what their plain tags and amounts of text tell is shared out among them: sixty long comments say no more than
@@ -55,12 +59,17 @@ BAD_WORDS = frozenset(
     "breadcrumb breadcrumbs sidebar widget widgets footer foot masthead cookie cookies consent notice "
     "notices alert popup modal overlay newsletter subscribe signup login share sharing social related recommended "
     "comment comments reply replies respond disqus reader readers discussion form search pagination pager toolbar "
-    "legal copyright disclaimer tags rss skip complementary contentinfo".split()
+    "legal copyright disclaimer tags rss skip complementary contentinfo paywall gdpr feedback".split()
 )
 HEAD_WORDS = frozenset("header head top".split())
 LAYOUT_WORDS = frozenset("row col left right side template grid".split())
-#: First or last words of names that say what a page or an element has, not what it is.
-ABOUT_WORDS = frozenset("no not non without has have with is open layout".split())
+#: Words of names that say what an element has, not what it is: nothing from there on counts.
+HAVING_WORDS = frozenset("no not non without has have with is and layout".split())
+#: Last words of names that say in what state something is.
+STATE_WORDS = frozenset("open closed enabled disabled on off none free active loaded ready visible".split())
+#: First words of names that file an element under a subject, and what may follow them in names of lists of subjects.
+SUBJECT_WORDS = frozenset("category cat tag topic term type status format js".split())
+SUBJECT_LISTS = frozenset("list lists cloud links menu nav cell bar widget box".split())
 GOOD_WORDS = frozenset(
     "article articlebody articletext story storybody main content contents entry post posttext body text prose page "
     "maincontent".split()
@@ -73,21 +82,43 @@ _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACES = re.compile(r"\s+")
 
+
+def told(words: list[str]) -> str | None:
+    """What one name says: bad, good, mixed (good, qualified by a word of boilerplate), head, layout, other; or nothing."""
+    for k, w in enumerate(words):
+        if w in HAVING_WORDS:
+            words = words[:k]
+            break
+    if not words or words[-1] in STATE_WORDS:
+        return None
+    if words[0] in SUBJECT_WORDS and len(words) > 1 and words[1] not in SUBJECT_LISTS:
+        return None
+    bad, good = not BAD_WORDS.isdisjoint(words), not GOOD_WORDS.isdisjoint(words)
+    if bad and not LAYOUT_WORDS.isdisjoint(words):
+        return "layout"
+    if bad:
+        return "mixed" if good and words[-1] in GOOD_WORDS else "bad"
+    if not HEAD_WORDS.isdisjoint(words):
+        return "good head" if not (GOOD_WORDS - {"page"}).isdisjoint(words) else "head"  # a page's head may be the site's
+    return "good" if good else "other"
+
+
 @lru_cache(1 << 14)
 def naming(attrs: str) -> tuple[int, bool]:
     """(kind of the names in the attributes of a tag, whether it is labelled as content)."""
-    bad = good = head = layout = False
+    said = set()
     for name, *values in _ATTR.findall(attrs):
         if name.lower() in ("class", "id", "role"):
-            for token in "".join(values).split():
-                words = [w.lower() for w in _WORD.findall(token)]
-                if not words or words[0] in ABOUT_WORDS or words[-1] in ABOUT_WORDS:
-                    continue
-                bad |= not BAD_WORDS.isdisjoint(words)
-                good |= not GOOD_WORDS.isdisjoint(words)
-                head |= not HEAD_WORDS.isdisjoint(words)
-                layout |= not LAYOUT_WORDS.isdisjoint(words)
-    kind = 3 if bad and good else 4 if bad and layout else 1 if bad else 6 if head and good else 5 if head else 2 if good else 0
+            said |= {told([w.lower() for w in _WORD.findall(token)]) for token in "".join(values).split()}
+    good = "good" in said or "good head" in said
+    if "bad" in said or "mixed" in said:
+        kind = 3 if good or "bad" not in said else 1
+    elif "layout" in said:
+        kind = 2 if good else 4
+    elif "head" in said or "good head" in said:
+        kind = 6 if good else 5
+    else:
+        kind = 2 if good else 7 if "other" in said else 0
     return kind, "data-keep" in attrs
 
 
@@ -176,23 +207,53 @@ def observed(nodes: list[Node]) -> tuple[np.ndarray, np.ndarray]:
         while n.tag == "h1" and k > 0 and parent[k] not in titled:
             k = int(parent[k])
             titled.add(k)
-    out = np.zeros((len(nodes), 5), np.int64)
+    out = np.zeros((len(nodes), len(SIZES)), np.int64)
     for k, n in enumerate(nodes):
         out[k, 0] = KINDS.get(n.tag, 0)
         out[k, 1] = n.kind if out[k, 0] != KINDS["body"] else 0
         if out[k, 0] == KINDS["header"] and k not in titled:
             out[k, 0] = BARE_HEADER
-        if n.kind >= 5:  # names of a header: what it holds tells whose
-            out[k, 1] = 6 if k in titled else 5
+        if 5 <= n.kind <= 6:  # names of a header: what it holds tells whose
+            out[k, 1] = 6 if k in titled else 9 if n.kind == 6 else 5
+        elif n.kind in (1, 3) and k in titled:  # a name of boilerplate on what holds the headline
+            out[k, 1] = 8
     out[:, 2] = np.digitize(text, (1, 25, 80, 300))
     out[:, 3] = np.digitize(share, (0.01, 0.3, 0.7))
     out[:, 4] = np.digitize(marks / np.maximum(text, 1), (0.002, 0.02))
     for k in range(1, len(nodes)):  # amounts mean something for blocks; an inline element has those of its block
         if out[k, 0] in INLINE and parent[k] > 0:
-            out[k, 2:] = out[parent[k], 2:]
+            out[k, 2:5] = out[parent[k], 2:5]
+    out[:, 5] = placed(nodes, parent, text)
     return out, parent
 
 
+def placed(nodes: list[Node], parent: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Each node's place relative to the block around the first headline: 1 around it or itself, 2 before, 3 inside,
+    4 after. Where that block is the whole page or holds little of its text, only what comes before the headline has a
+    place; where there is no headline, nothing has (0)."""
+    out = np.zeros(len(nodes), np.int64)
+    head = next((k for k, n in enumerate(nodes) if n.tag == "h1"), 0)
+    if not head:
+        return out
+    main = top = int(parent[head])
+    while main > 0 and (KINDS.get(nodes[main].tag) in (*INLINE, KINDS["header"]) or 5 <= nodes[main].kind <= 6):
+        main = int(parent[main])
+    if main <= 0 or nodes[main].tag in ("html", "body") or text[main] < 0.25 * text[0]:
+        out[:head] = 2
+        while top >= 0:
+            out[top] = 0
+            top = int(parent[top])
+        return out
+    end = main + 1  # nodes are in page order: what is inside follows in one run
+    while end < len(nodes) and parent[end] >= main:
+        end += 1
+    out[:main], out[main:end], out[end:] = 2, 3, 4
+    while main >= 0:
+        out[main] = 1
+        main = int(parent[main])
+    return out
+
+
 _GROUPS = (
     "#root html body", "p", "h1 h2 h3 h4 h5 h6", "article main", "div section center", "span b i em strong u font small "
     "code sub sup mark q cite abbr time", "a", "ul ol dl li dt dd", "nav menu", "aside", "footer", "header hgroup",
@@ -202,9 +263,9 @@ _GROUPS = (
 KINDS = {tag: k + 1 for k, tags in enumerate(_GROUPS) for tag in tags.split()}
 INLINE = KINDS["span"], KINDS["a"]
 BARE_HEADER = len(_GROUPS) + 1
-SIZES = (len(_GROUPS) + 2, 7, 5, 4, 3)
-#: How much each kind of evidence counts: tag and names tell more than amounts of text.
-POWER = (1.5, 1.6, 0.5, 0.7, 0.4)
+SIZES = (len(_GROUPS) + 2, 10, 5, 4, 3, 5)
+#: How much each kind of evidence counts: tag, names and place tell more than amounts of text.
+POWER = (1.5, 1.6, 0.5, 0.7, 0.4, 1.0)
 #: Siblings look alike for one reason: what their amounts of text and plain tags tell counts for about so many of them.
 SIBLINGS = 2.0
 PLAIN = tuple(KINDS[t] for t in ("p", "h1", "span", "a", "ul", "table")) + (0,)
@@ -237,11 +298,12 @@ class Potentials:
     def evidence(self, nodes: list[Node]) -> tuple[np.ndarray, np.ndarray]:
         """(log-probability of what is seen at each node under each state, parents)."""
         values, parent = observed(nodes)
-        tag, name, *amounts = (t[:, values[:, f]].T for f, t in enumerate(self.seen))
+        tag, name, *amounts, place = (t[:, values[:, f]].T for f, t in enumerate(self.seen))
         siblings = np.array([nodes[p].children if p >= 0 else 1 for p in parent])
         share = np.minimum(1, SIBLINGS / np.maximum(siblings, 1))[:, None]
+        place = place * np.where(values[:, 5:] == 0, 0, share)  # no known place tells nothing
         own_log = name * np.where(values[:, 1:2] == 0, share, 1) + tag * np.where(
-            np.isin(values[:, :1], PLAIN), PLAIN_POWER * share, 1) + sum(amounts) * share
+            np.isin(values[:, :1], PLAIN), PLAIN_POWER * share, 1) + sum(amounts) * share + place
         own_log[values[:, 0] == KINDS["script"], 1] -= NEVER_LOG
         return own_log, parent
 

@@ -37,11 +37,15 @@ WRAPS = ("content", "main", "article", "post", "entry", "story", "story-body", "
          "page no-sidebar", "entry-content", "articleBody", "main-content", "wrapper", "container", "layout-sidebar-right",
          "row", "", "", "post with-related", "text", "page-content")
 BODIES = ("", "", "", "page no-sidebar", "single single-post", "has-sidebar", "home blog", "layout-sidebar comments-open", "with-banner article")
+#: Names that mention boilerplate and stand on articles all the same, and names that say nothing to an outsider.
+MISLEADING = ("post category-social", "post tag-comments", "hentry category-legal", "article js-share", "post sharing-enabled",
+              "article related-article", "content content-with-sidebar", "sidebar-right content", "sponsored-post", "widget-content",
+              "content sidebar-none", "promo-story", "newsletter-article", "comment-page", "discussion-post", "notice-text", "menu-page")
 TITLES = ("entry-header", "post-header", "article-header", "page-header", "story-head", "")
 
 
-def drawn(seed: int) -> str:
-    """One labelled page."""
+def drawn(seed: int, hard: bool = False) -> str:
+    """One labelled page; a hard one may have misleading or meaningless names, long lists, or no headline of the first order."""
     rng = random.Random(seed)
     pick = rng.choice
 
@@ -55,6 +59,17 @@ def drawn(seed: int) -> str:
         attr = f' {pick(("class", "class", "id"))}="{name}"' if name else ""
         return f"<{tag}{attr}{' data-keep' if keep else ''}>{inner}</{tag}>"
 
+    def many(most: int) -> int:
+        """Up to most, or sometimes several times as many."""
+        return rng.randint(1, most * 5 if hard and rng.random() < 0.12 else most)
+
+    def odd(names: tuple[str, ...], rate: float = 0.05) -> str:
+        """One of names, or sometimes a made-up one that tells nothing."""
+        return "-".join(rng.sample(_WORDS, rng.randint(1, 2))) if hard and rng.random() < rate else pick(names)
+
+    def wrap() -> str:
+        return pick(MISLEADING) if hard and rng.random() < 0.12 else odd(WRAPS)
+
     def links(low: int, high: int) -> str:
         tag = pick(("li", "li", "span", ""))
         each = [f'<a href="/{pick(_WORDS)}">{words(1, 5, False)}</a>' for _ in range(rng.randint(low, high))]
@@ -65,7 +80,7 @@ def drawn(seed: int) -> str:
         return "".join(f"<{t}>{words(3, 30)}</{t}>" for t in (pick(("p", "p", "div", "span")) for _ in range(rng.randint(low, high))))
 
     def menu() -> str:
-        return pick((f"<nav>{links(3, 9)}</nav>", named(pick(("div", "ul", "nav")), pick(MENUS), links(3, 9))))
+        return pick((f"<nav>{links(3, 9)}</nav>", named(pick(("div", "ul", "nav")), odd(MENUS), links(3, 9))))
 
     def advert() -> str:
         tag = pick(("div", "div", "aside", "section", "p"))  # a paragraph holds no blocks
@@ -74,13 +89,13 @@ def drawn(seed: int) -> str:
     def sidebar() -> str:
         inner = f"<h3>{words(1, 3, False)}</h3>" + pick((links(3, 8), lines(1, 4), lines(1, 2) + links(2, 5)))
         tag = pick(("aside", "div", "section"))
-        return named(tag, "" if tag == "aside" and rng.random() < 0.5 else pick(SIDEBARS), inner)
+        return named(tag, "" if tag == "aside" and rng.random() < 0.5 else odd(SIDEBARS), inner)
 
     def comments() -> str:
         one = lambda: pick((
             named("div", pick(("comment", "comment", "reply")), f"<h4>{words(1, 2, False)}</h4><p>{words(5, 60)}</p>"), f"<li><p>{words(4, 50)}</p></li>",
             f"<p>{words(6, 60)}</p>", named("article", "comment-body", f"<p>{words(4, 40)}</p>")))
-        inner = f"<h3>{words(1, 3, False)}</h3>" + "".join(one() for _ in range(rng.randint(1, 12)))
+        inner = f"<h3>{words(1, 3, False)}</h3>" + "".join(one() for _ in range(many(12)))
         return named(pick(("div", "section", "ol")), pick(COMMENTS), inner)
 
     def block() -> str:
@@ -107,28 +122,32 @@ def drawn(seed: int) -> str:
         if kind < 0.93:
             return f"<figure{k}><figcaption{k}>{words(3, 15)}</figcaption></figure>"
         if kind < 0.97:
-            return f"<div{k}>{words(8, 60)}</div>"
+            return named("div", odd(("",), 0.3) if hard else "", words(8, 60), True)
         return f"<section{k}><h3{k}>{words(1, 5, False)}</h3><p{k}>{words(5, 50)}</p></section>"
 
-    inner = f"<h1 data-keep>{words(2, 9, False)}</h1>"
+    top = "h2" if hard and rng.random() < 0.07 else "h1"
+    inner = f"<{top} data-keep>{words(2, 9, False)}</{top}>"
     if rng.random() < 0.35:
         title = pick(TITLES)
         inner = named(pick(("header", "header", "div")) if title else "header", title, inner, True)
-    for _ in range(rng.randint(1, 14)):
+    for _ in range(many(14)):
         inner += block()
         if rng.random() < 0.07:
             inner += advert()
     if rng.random() < 0.25:
-        inner += named("div", pick(SHARES), links(2, 5))
-    if rng.random() < 0.8:
-        inner = named(pick(("article", "article", "main", "div", "section")), pick(WRAPS), inner, True)
+        inner += named("div", odd(SHARES), links(2, 5))
+    wrapped = rng.random() < 0.8
+    if wrapped:
+        inner = named(pick(("article", "article", "main", "div", "section")), wrap(), inner, True)
     after = ""
     if rng.random() < 0.3:
         after += comments()
     if rng.random() < 0.35:
         after += sidebar()
+    if hard and wrapped and top == "h1" and rng.random() < 0.25:  # a block under a name that tells nothing: its place does
+        after += named(pick(("div", "section")), odd(("",), 0.8), lines(1, 4))
     for _ in range(rng.randint(0, 2)):
-        inner = named(pick(("div", "div", "main", "section")), pick(WRAPS), inner + after, True)
+        inner = named(pick(("div", "div", "main", "section")), wrap(), inner + after, True)
         after = ""
     inner += after
     before = ""
@@ -138,7 +157,7 @@ def drawn(seed: int) -> str:
     if rng.random() < 0.8:
         before += menu()
     if rng.random() < 0.3:
-        before += named(pick(("div", "section")), pick(NOTICES), lines(1, 2) + pick(("", "<button>Go</button>")))
+        before += named(pick(("div", "section")), odd(NOTICES), lines(1, 2) + pick(("", "<button>Go</button>")))
     if rng.random() < 0.3:
         before += advert()
     if rng.random() < 0.2:
@@ -152,5 +171,5 @@ def drawn(seed: int) -> str:
 
 
 def training(n: int = 400) -> tuple[str, ...]:
-    """The pages that the model is counted on; held-out ones have seeds of n and more."""
-    return (*WRITTEN, *(drawn(k) for k in range(n)))
+    """The pages that the model is counted on, half of the drawn ones hard; held-out ones have seeds of n and more."""
+    return (*WRITTEN, *(drawn(k, hard) for k in range(n) for hard in (False, True)))
