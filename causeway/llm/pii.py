@@ -10,16 +10,20 @@ keyed SHA-256 draws from the other half. The image is laid over the separators a
 * different entities get different surrogates (a permutation), however many there are;
 * separators, lengths, case, script and kind stay: cards keep their first digit and pass the Luhn check, IBANs keep
   their country and their distance to the valid check digits, IPv4 stays IPv4, phone numbers keep the country code, mail
-  addresses keep the top-level domain, secrets keep their key word, names keep title (hence gender), script and the last
-  two letters of each longer word, which carry gender.
+  addresses keep the top-level domain, secrets keep their key word, names keep title (hence gender), script, particles
+  and the last two letters of each longer word, which carry gender. Common first names become others of their gender
+  and script: the groups of FIRST_NAMES are permuted in themselves.
 
-Numbers like cards that fail the Luhn check are no cards and stay. Names are found by their title; once found, their
-words are replaced wherever they stand in the same text, with or without title.
+Numbers like cards that fail the Luhn check are no cards and stay; ten bare digits are a phone number after a word like
+`call` or `tel`. Names are found by their title. In the same text the whole name is then replaced wherever it stands, and
+so is its last word alone, but not where that is likely an ordinary word: after an article, before a number, where it names a
+month or a day, or where the text has it in small letters too. First names alone stay, as do names that never have a title.
 
-The collision check runs first (`clashes`): distinct entities are gathered, one row each, and those whose image is
-another real entity get a placeholder instead, made of the kind and 128 bits of the keyed hash, which no permutation
-yields; so do entities whose image would be themselves. Should more than CLASHES images of a kind be real, the whole kind
-gets placeholders. `collisions` lists surrogates that two entities share, which must be none.
+The collision check runs first (`second_images`): distinct entities are gathered, one row each. Those whose image is another
+real entity, itself or taken are given images under further keys, round by round, until theirs is neither real nor taken;
+what LAST_ROUND leaves over becomes a placeholder of the kind and 128 bits of a keyed hash. Texts that hold such
+entities meet them by a join on the text's hash; no other text changes. `collisions` lists surrogates that two entities
+share, which must be none.
 
 Defined cases: null text stays null, empty text empty; very long texts are split once at the marks; texts that hold
 the mark character are escaped first; repeated rows get equal results; other columns, whatever their names, are kept;
@@ -28,6 +32,8 @@ an empty table gives an empty table.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,14 +44,18 @@ ROUNDS = 4
 #: A noncharacter that marks entities; where a text holds it, it is escaped.
 MARK = "﷐"
 
-#: Images that are real entities: so many for a kind are told apart one by one.
-CLASHES = 1 << 16
+#: Rounds of further keys for entities whose image is real.
+LAST_ROUND = 8
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _TITLE = r"(?:Mr|Mrs|Ms|Miss|Dr|Prof|Sir|Lady|Herr|Frau|Monsieur|Madame|Mme|Mlle|Señor|Señora|Señorita|Sr|Sra|Srta|Don|Doña|Господин|Госпожа|Κύριος|Κυρία)"
 #: Letters that titles begin with: what may begin a match is looked at first, as most places begin none.
 _FIRST = "[MDPSLHFГΚ]"
-_NAME = r"\p{Lu}[\p{Ll}]+(?:-\p{Lu}[\p{Ll}]+)?"
+#: A word of a name: O'Brien, McDonald, García-López; or in capitals.
+_PART = r"(?:\p{Lu}['’])?\p{Lu}\p{Ll}+(?:(?<=Mc|Mac)\p{Lu}\p{Ll}+)?"
+_NAME = rf"{_PART}(?:-{_PART})?"
+_CAPITALS = r"(?:\p{Lu}['’])?\p{Lu}{2,}(?:-\p{Lu}{2,})?(?!\p{Ll})"
+_BETWEEN = "(?:de la|de los|del|de|da|dos|di|du|van der|van den|van|von|y)"
 _BEFORE, _AFTER = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 _HEX = "[0-9A-Fa-f]{1,4}"
 #: Calling codes by their first digits, one to three digits long.
@@ -57,12 +67,27 @@ PATTERNS = {
     "key": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{20,}|\bsk-[A-Za-z0-9-]{20,}|\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
     "ip": rf"\b{_OCTET}(?:\.{_OCTET}){{3}}\b",
     "ipv6": rf"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f]{{0,4}}:)(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}}|(?:{_HEX}:){{2,7}}:)(?![0-9A-Za-z:])",
-    "phone": r"\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}\b|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}\b|\b[0-9]{3}-[0-9]{3}-[0-9]{4}\b",
+    "phone": r"\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}\b|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}\b|\b[0-9]{3}-[0-9]{3}-[0-9]{4}\b|\b[0-9]{3}\.[0-9]{3}\.[0-9]{4}\b|\b(?i:telephone|phone|tel|call|fax|mobile|cell)[.:]{0,2} ?[2-9][0-9]{2}[2-9][0-9]{6}\b",
     "card": r"\b[2-6][0-9]{3}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}\b|\b3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}\b",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
-    "name": rf"(?={_FIRST}){_BEFORE}{_TITLE}\.? {_NAME}(?: {_NAME}){{0,2}}",
+    "name": rf"(?={_FIRST}){_BEFORE}{_TITLE}\.? (?:{_NAME}(?: {_NAME}){{0,2}}(?: {_BETWEEN} {_NAME}(?: {_NAME})?){{0,2}}|{_CAPITALS}(?: {_CAPITALS})?)",
 }
+#: Months and days, which are names only beside a title.
+CALENDAR = frozenset(
+    "January February March April May June July August September October November December Monday Tuesday Wednesday Thursday "
+    "Friday Saturday Sunday".split()
+)
+#: Common first names; each line is one group: a gender and a script, and an ending where that tells the gender.
+FIRST_NAMES = (
+    "Maria Sofia Julia Lucia Claudia Silvia Patricia Natalia Olivia Amelia Cecilia Victoria Antonia Emilia",
+    "Anna Emma Laura Clara Sara Martha Linda Barbara Paula Elena Helena Christina Angela Monika Petra Carla",
+    "Mary Alice Jane Susan Karen Ruth Helen Margaret Elizabeth Charlotte Sophie Marie Claire Ingrid Carmen Isabel",
+    "John James Robert Michael William Will David Thomas Charles Daniel Paul Mark George Peter Henry Jack Bob Tom",
+    "Juan Carlos Luis Pedro Miguel Jorge Diego Pablo Antonio Francisco Pierre Jean Louis Hans Karl Jürgen Klaus Stefan",
+    "Анна Мария Елена Ольга Ирина Наталья Татьяна Светлана", "Иван Пётр Алексей Сергей Дмитрий Николай Андрей Михаил",
+    "Μαρία Ελένη Κατερίνα Σοφία Άννα", "Γιώργος Νίκος Δημήτρης Κώστας Γιάννης",
+)
 #: Classes of characters that replace each other.
 DIGIT, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 HEX = "0123456789abcdef"
@@ -77,6 +102,15 @@ def _luhn(digits: Column) -> Column:
     return F.call_function("luhn_check", digits)
 
 
+def _other_names(key: str) -> Column:
+    """Each of FIRST_NAMES to the next of its group, in an order that the key draws: one cycle, so none is itself."""
+    pairs = []
+    for names in FIRST_NAMES:
+        order = sorted(names.split(), key=lambda n: hashlib.sha256(f"{key}|{n}".encode()).digest())
+        pairs += [f"{a}:{b}" for a, b in zip(order, order[1:] + order[:1], strict=True)]
+    return F.str_to_map(F.lit(",".join(pairs)), F.lit(","), F.lit(":"))
+
+
 def _amount(key: str, kind: Column, r: Column, i: Column, other: Column) -> Column:
     """28 keyed bits for position i in round r, given the other half."""
     text = F.concat_ws("|", F.lit(key), kind, r.cast("string"), i.cast("string"), other)
@@ -157,10 +191,15 @@ def canonical(e: Column, kind: Column) -> Column:
         .when(kind == "iban", F.regexp_replace(e, " ", ""))
         .when(kind == "ipv6", _full(e))
         .when(kind == "secret", F.regexp_replace(e, _SECRET, ""))
+        .when((kind == "name") & _capital(e), F.concat(F.substr(e, F.lit(1), F.lit(1)), F.lower(F.substr(e, F.lit(2)))))
         .otherwise(e)
     )
 
 
+def _capital(e: Column) -> Column:
+    return e.rlike(r"^\p{Lu}['’-]?\p{Lu}[\p{Lu}'’-]*$")
+
+
 #: The part of a secret before its value.
 _SECRET = r"^(?i)[a-z_-]+[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
 
@@ -176,6 +215,7 @@ def image(c: Column, kind: Column, key: str = KEY) -> Column:
     head = (
         F.when(kind == "phone", F.regexp_extract(c, _CODE, 0))
         .when(kind == "key", F.regexp_extract(c, r"^(?:AKIA|ASIA|gh[pousr]_|sk-|eyJ|)", 0))
+        .when(kind == "name", F.regexp_extract(c, r"^(?:(?:Mc|Mac|\p{Lu}['’])(?=\p{Lu})|)", 0))
         .otherwise(F.substr(c, F.lit(1), F.when(kind == "card", 1).when(kind == "iban", 4).when(kind == "ipv6", 4).otherwise(0)))
     )
     # the last two letters of the words of names carry gender in many languages
@@ -207,7 +247,8 @@ def image(c: Column, kind: Column, key: str = KEY) -> Column:
         label = F.when(hexed, "hex").otherwise(kind)
         return F.aggregate(F.array(permuted(old, label, x["c"], key)), F.lit(""), lambda _, b: closed(x["h"], b, old, x["t"]))
 
-    return F.when(kind == "ip", _ip(c, key)).otherwise(F.aggregate(parts, F.lit(""), moved))
+    other = F.when(kind == "name", F.try_element_at(_other_names(key), c))
+    return F.when(kind == "ip", _ip(c, key)).when(other.isNotNull(), other).otherwise(F.aggregate(parts, F.lit(""), moved))
 
 
 def _stay(kind: Column, n: Column) -> Column:
@@ -245,24 +286,29 @@ def _styled(e: Column, c: Column, new: Column, kind: Column) -> Column:
         .when(kind == "iban", _laid(e, new, DIGIT + UPPER))
         .when(kind == "ipv6", F.when(e.rlike("[A-F]"), F.upper(hexed)).otherwise(hexed))
         .when(kind == "secret", F.concat(F.regexp_extract(e, _SECRET, 0), new))
+        .when((kind == "name") & _capital(e), F.upper(new))
         .otherwise(new)
     )
 
 
-def _replaced(e: Column, kind: Column, key: str, odd: object) -> Column:
-    """e in its style with its image; a placeholder where that is e itself or odd(kind, canonical form) holds."""
+def _replaced(e: Column, kind: Column, key: str, second: Column | None) -> Column:
+    """e in its style with its image, or with that which second (a map by _named forms) has for it; a placeholder where
+    that is one, or is e itself."""
     known = F.array(F.struct(canonical(e, kind).alias("c")))
 
     def styled(_: Column, x: Column) -> Column:
-        new = F.array(F.when(~odd(kind, x["c"]), F.nullif(image(x["c"], kind, key), x["c"])))
-        return F.aggregate(new, F.lit(""), lambda _, n: F.when(n.isNotNull(), _styled(e, x["c"], n, kind)).otherwise(F.concat(
-            F.when(kind == "secret", F.regexp_extract(e, _SECRET, 0)).otherwise(""), placeholder(x["c"], kind, key))))
+        first = F.nullif(image(x["c"], kind, key), x["c"])
+        new = first if second is None else F.coalesce(F.try_element_at(second, _form(kind, x["c"])), first)
+        before = F.when(kind == "secret", F.regexp_extract(e, _SECRET, 0)).when(kind == "phone", F.regexp_extract(e, r"^[A-Za-z.: ]*", 0)).otherwise("")
+        return F.aggregate(F.array(new), F.lit(""), lambda _, n: F.when(n.isNotNull() & ~n.startswith("["), _styled(
+            e, x["c"], n, kind)).otherwise(F.concat(before, placeholder(x["c"], kind, key))))
 
     return F.aggregate(known, F.lit(""), styled)
 
 
-def _never(kind: Column, c: Column) -> Column:
-    return F.lit(False)
+def _form(kind: Column, c: Column) -> Column:
+    """An entity's key: its kind and canonical form."""
+    return F.concat_ws("|", kind, c)
 
 
 def _any() -> str:
@@ -293,82 +339,122 @@ def _parts(text: Column) -> Column:
     return F.split(F.regexp_replace(safe, f"({_any()})", f"{MARK}b$1{MARK}b"), MARK + "b", -1)
 
 
-def _words(parts: Column) -> Column:
-    """The words of the names among the parts of a text."""
-    names = F.filter(F.filter(parts, lambda p, i: i % 2 == 1), lambda p: p.rlike(f"^{PATTERNS['name']}$"))
-    return F.array_distinct(F.flatten(F.transform(names, lambda p: F.split(F.regexp_replace(p, rf"^{_TITLE}\.? ", ""), " "))))
+def _bare_name(e: Column) -> Column:
+    return F.regexp_replace(e, rf"^{_TITLE}\.? ", "")
+
+
+def _name_words(e: Column) -> Column:
+    """The words of a name, without title and particles."""
+    return F.filter(F.split(_bare_name(e), " "), lambda w: w.rlike(r"^\p{Lu}"))
 
 
-def replaced(text: Column, key: str = KEY, odd: object = _never) -> Column:
+def _sought(text: Column, parts: Column) -> Column:
+    """Patterns of the names among the parts of a text: whole ones first, then last words that aren't likely ordinary."""
+    names = F.array_distinct(F.transform(F.filter(F.filter(parts, lambda p, i: i % 2 == 1), lambda p: p.rlike(f"^{PATTERNS['name']}$")), _bare_name))
+    last = F.array_distinct(F.transform(names, lambda n: F.substring_index(n, " ", -1)))
+    usual = lambda w: F.contains(text, F.concat(F.lit(" "), F.lower(w), F.lit(" "))) | w.isin(*sorted(CALENDAR))
+    alone = F.transform(F.filter(last, lambda w: ~usual(w)), lambda w: F.concat(
+        F.lit(r"(?<!\b[Aa]n? |\b[Tt]he )"), w, F.lit("(?! [0-9])")))
+    return F.concat(F.filter(names, lambda n: F.contains(n, F.lit(" "))), alone)
+
+
+def replaced(text: Column, key: str = KEY, second: Column | None = None) -> Column:
     """text with every entity replaced; texts without one are passed on as they are."""
 
     def entity(p: Column) -> Column:
         """A part that is an entity; what only looks like a card stays."""
         known = F.array(F.struct(p.alias("e"), kind_of(p).alias("k")))  # bound once, used often
         return F.aggregate(known, F.lit(""), lambda _, x: F.when(
-            (x["k"] == "card") & ~_luhn(_bare(x["e"])), x["e"]).otherwise(_replaced(x["e"], x["k"], key, odd)))
+            (x["k"] == "card") & ~_luhn(_bare(x["e"])), x["e"]).otherwise(_replaced(x["e"], x["k"], key, second)))
+
+    def renamed(p: Column) -> Column:
+        """A name without its title, word by word."""
+        return F.array_join(F.transform(F.split(p, " "), lambda w: F.when(w.rlike(r"^\p{Lu}"), _replaced(
+            w, F.lit("name"), key, second)).otherwise(w)), " ")
 
     def named(p: Column, words: Column) -> Column:
-        """A name, or plain text, with the words of the text's names replaced."""
+        """Plain text with the text's names replaced."""
         at = F.concat(F.lit(_BEFORE + "("), F.array_join(words, "|"), F.lit(")" + _AFTER))
         cut = F.split(F.regexp_replace(p, at, F.lit(f"{MARK}n$1{MARK}n")), MARK + "n", -1)
-        return F.array_join(F.transform(cut, lambda x, i: F.when(i % 2 == 1, _replaced(x, F.lit("name"), key, odd)).otherwise(x)), "")
+        return F.array_join(F.transform(cut, lambda x, i: F.when(i % 2 == 1, renamed(x)).otherwise(x)), "")
 
     def whole(x: Column) -> Column:
-        plain = lambda p, i: (i % 2 == 0) | p.rlike(f"^{PATTERNS['name']}$")
-        done = F.transform(x["p"], lambda p, i: F.when(~plain(p, i), entity(p)).when(F.size(x["w"]) > 0, named(
+        name = lambda p: p.rlike(f"^{PATTERNS['name']}$")
+        done = F.transform(x["p"], lambda p, i: F.when((i % 2 == 1) & name(p), F.concat(F.regexp_extract(
+            p, rf"^{_TITLE}\.? ", 0), renamed(_bare_name(p)))).when(i % 2 == 1, entity(p)).when(F.size(x["w"]) > 0, named(
             p, x["w"])).otherwise(p))
         return F.replace(F.array_join(done, ""), F.lit(MARK + "e"), F.lit(MARK))
 
     # parts and words are bound once
     done = F.aggregate(F.array(_parts(text)), F.lit(""), lambda _, parts: F.aggregate(
-        F.array(F.struct(parts.alias("p"), _words(parts).alias("w"))), F.lit(""), lambda _, x: whole(x)))
+        F.array(F.struct(parts.alias("p"), _sought(text, parts).alias("w"))), F.lit(""), lambda _, x: whole(x)))
     return F.when(hinted(text) & text.rlike(_any()), done).otherwise(text)
 
 
+def _found(e: Column) -> Column:
+    """(kind, canonical form) of what an entity holds: one, or each word of a name."""
+    kind = kind_of(e)
+    one = lambda k, x: F.struct(k.alias("kind"), canonical(x, k).alias("entity"))
+    return F.aggregate(F.array(kind), F.array().cast("array<struct<kind:string,entity:string>>"), lambda _, k: F.when(
+        k == "name", F.transform(_name_words(e), lambda w: one(F.lit("name"), w))).when(
+        (k == "card") & ~_luhn(_bare(e)), F.array().cast("array<struct<kind:string,entity:string>>")).otherwise(F.array(one(k, e))))
+
+
 def entities(docs: DataFrame, key: str = KEY) -> DataFrame:
     """(kind, entity, surrogate, n): the distinct canonical entities of all texts, their images and how often each is
     found. Counted where they are read, then one row each."""
     text = F.col("`text`")
     found = docs.where(hinted(text) & text.rlike(_any())).select(F.posexplode(_parts(text)).alias("i", "e")).where("i % 2 = 1")
-    found = found.groupBy("e").agg(F.count("*").alias("n")).withColumn("kind", kind_of(F.col("e")))
-    found = found.where((F.col("kind") != "card") | _luhn(_bare(F.col("e"))))
-    bare = F.split(F.regexp_replace("e", rf"^{_TITLE}\.? ", ""), " ")
-    forms = F.when(F.col("kind") == "name", bare).otherwise(F.array(canonical(F.col("e"), F.col("kind"))))
-    each = found.select("kind", "n", F.explode(forms).alias("entity")).groupBy("kind", "entity").agg(F.sum("n").alias("n"))
+    found = found.groupBy("e").agg(F.count("*").alias("n")).select("n", F.inline(_found(F.col("e"))))
+    each = found.groupBy("kind", "entity").agg(F.sum("n").alias("n"))
     return each.select("kind", "entity", image(F.col("entity"), F.col("kind"), key).alias("surrogate"), "n")
 
 
 def collisions(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """Surrogates that more than one entity of a kind has: none, unless the permutation were broken."""
-    return entities(docs, key).groupBy("kind", "surrogate").agg(F.count("*").alias("n")).where("n > 1")
-
-
-def clashes(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """(kind, entity): entities whose image is another entity of the texts, or the text of a placeholder's kind."""
+    """Surrogates that more than one entity of a kind has, after the collision check: none, unless it were broken."""
     found = written(entities(docs, key).select("kind", "entity", "surrogate"), "entities")
-    real = found.select(F.col("kind").alias("k"), F.col("entity").alias("e"))
-    met = found.where("surrogate <> entity").join(real, (F.col("kind") == F.col("k")) & (F.col("surrogate") == F.col("e")), "left_semi")
-    return met.select("kind", "entity")
+    second = second_images(found, key).withColumnRenamed("surrogate", "second")
+    each = found.join(second, ["kind", "entity"], "left").withColumn("surrogate", F.coalesce("second", "surrogate"))
+    return each.groupBy("kind", "surrogate").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def second_images(found: DataFrame, key: str = KEY) -> DataFrame:
+    """(kind, entity, surrogate) for the entities whose image won't do: it is real, itself, a common first name that
+    another may turn into, or a lesser entity's too. Common first names are left out: they point at nobody, and among
+    themselves their images are distinct. Each round asks only for what the last one left."""
+    real = found.select("kind", F.col("entity").alias("surrogate"))
+    common = F.map_keys(_other_names(key))
+    is_common = lambda c: (F.col("kind") == "name") & F.array_contains(common, F.col(c))
+
+    def unfit(images: DataFrame, taken: DataFrame) -> DataFrame:
+        first = images.groupBy("kind", "surrogate").agg(F.min("entity").alias("entity"))
+        free = first.join(taken, ["kind", "surrogate"], "left_anti").where((F.col("surrogate") != F.col("entity")) & ~is_common("surrogate"))
+        return images.join(free, ["kind", "entity"], "left_anti")
+
+    left = written(unfit(found.where(~is_common("entity")), real).select("kind", "entity"), "clashes")
+    done = left.withColumn("surrogate", F.lit("")).limit(0)
+    for n in range(1, LAST_ROUND + 1):
+        if left.isEmpty():
+            return done
+        images = written(left.withColumn("surrogate", image(F.col("entity"), F.col("kind"), f"{key}#{n}")), "images")
+        taken = real.unionByName(found.select("kind", "surrogate")).unionByName(done.select("kind", "surrogate"))
+        left = written(unfit(images, taken).select("kind", "entity"), "clashes")
+        done = written(done.unionByName(images.join(left, ["kind", "entity"], "left_anti")), "second_images")
+    return done.unionByName(left.withColumn("surrogate", placeholder(F.col("entity"), F.col("kind"), key)))
 
 
 def scrub(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """docs with the entities of text replaced."""
-    clash = written(clashes(docs, key), "clashes")
+    """docs with the entities of text replaced. Only where some images won't do are texts joined with their second ones,
+    by the hash of the text, as rows have no key of their own."""
+    second = second_images(written(entities(docs, key).select("kind", "entity", "surrogate"), "entities"), key)
     text, columns = F.col("`text`"), [F.col(f"`{c}`") for c in docs.columns]
-    if clash.isEmpty():
+    if second.isEmpty():
         return docs.withColumn("text", replaced(text, key))
-    count = clash.groupBy("kind").agg(F.count("*").alias("n"))
-    some = clash.join(F.broadcast(count), "kind").select("kind", "n", F.xxhash64("kind", "entity").alias("h"))
-    # one row: kinds with too many, and hashes of the others by their last eight bits
-    held = some.agg(F.collect_set(F.when(F.col("n") > CLASHES, F.col("kind"))).alias("kinds"), F.collect_set(F.when(
-        F.col("n") <= CLASHES, F.col("h"))).alias("all"))
-    held = held.select(F.struct("kinds", F.transform(F.sequence(F.lit(0), F.lit(255)), lambda b: F.filter(
-        "all", lambda h: F.pmod(h, F.lit(256)) == b)).alias("slots")).alias(at := fresh(docs, "held")))
-
-    def odd(kind: Column, c: Column) -> Column:
-        h = F.xxhash64(kind, c)
-        return F.array_contains(F.col(at)["kinds"], kind) | F.array_contains(F.get(F.col(at)["slots"], F.pmod(h, F.lit(256)).cast("int")), h)
-
-    joined = docs.join(F.broadcast(held))
-    return joined.select(*[replaced(text, key, odd).alias("text") if name == "text" else c for name, c in zip(docs.columns, columns, strict=True)])
+    held = docs.where(hinted(text) & text.rlike(_any())).select(F.sha2(text, 256).alias("h"), F.explode(F.filter(
+        _parts(text), lambda p, i: i % 2 == 1)).alias("e")).select("h", F.inline(_found(F.col("e")))).distinct()
+    held = held.join(second, ["kind", "entity"]).groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct(
+        _form(F.col("kind"), F.col("entity")), "surrogate"))).alias("m"))
+    at, h = fresh(docs, "second"), fresh(docs, "hash")
+    held = held.select(F.col("h").alias(h), F.col("m").alias(at))
+    joined = docs.join(held, F.sha2(text, 256) == F.col(h), "left")
+    return joined.select(*[replaced(text, key, F.col(at)).alias("text") if name == "text" else c for name, c in zip(docs.columns, columns, strict=True)])
