@@ -228,13 +228,14 @@ def observed(nodes: list[Node]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def placed(nodes: list[Node], parent: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """Each node's place relative to the block around the first headline: 1 around it or itself, 2 before, 3 inside,
+    """Each node's place relative to the block around the headline: 1 around it or itself, 2 before, 3 inside,
     4 after. Where that block is the whole page or holds little of its text, only what comes before the headline has a
-    place; where there is no headline, nothing has (0)."""
+    place; where there is no headline, or several, nothing has (0)."""
     out = np.zeros(len(nodes), np.int64)
-    head = next((k for k, n in enumerate(nodes) if n.tag == "h1"), 0)
-    if not head:
+    heads = [k for k, n in enumerate(nodes) if n.tag == "h1"]
+    if len(heads) != 1:
         return out
+    head = heads[0]
     main = top = int(parent[head])
     while main > 0 and (KINDS.get(nodes[main].tag) in (*INLINE, KINDS["header"]) or 5 <= nodes[main].kind <= 6):
         main = int(parent[main])
