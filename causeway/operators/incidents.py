@@ -77,13 +77,14 @@ def correlation_confidence(members: DataFrame, links: DataFrame, hops: DataFrame
 
 
 def _terms(members: DataFrame, links: DataFrame, hops: DataFrame) -> DataFrame:
-    order = F.row_number().over(Window.partitionBy("label").orderBy("id"))
-    size = F.count("*").over(Window.partitionBy("label"))
-    m = members.select("label", "id", "service", order.alias("k"), size.alias("n"))
+    order = F.row_number().over(Window.partitionBy("label").orderBy("id")).cast("long")
+    # members after the first PAIR_CAP + 1 are in no pair, so that a large cluster's are not ranked further
+    ranked = members.select("label", "id", "service", order.alias("k")).where(F.col("k") <= PAIR_CAP + 1)
+    m = ranked.join(members.groupBy("label").agg(F.count("*").alias("n")), "label")
     # pair number before member k, in (i, j) order; only members with pairs under the cap take part as first
     before = (F.col("k") - 1) * F.col("n") - F.col("k") * (F.col("k") - 1) / 2
     first = m.withColumn("before", before).where(F.col("before") < PAIR_CAP)
-    second = m.where(F.col("k") <= PAIR_CAP + 1).select("label", F.col("k").alias("k2"), F.col("service").alias("s2"))
+    second = ranked.select("label", F.col("k").alias("k2"), F.col("service").alias("s2"))
     pair = first.join(second, "label").where("k2 > k and before + k2 - k <= " + str(PAIR_CAP))
     near = hops.select(F.col("a").alias("ha"), F.col("b").alias("hb"), "hops")
     pair = pair.join(near, (F.col("service") == F.col("ha")) & (F.col("s2") == F.col("hb")), "left")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_signals import MIN, T0, graph
 
-from causeway.operators import bridges, pairs, topology, validated
+from causeway.operators import bridges, incidents, pairs, topology, validated
 from causeway.operators.components import components
 
 
@@ -167,3 +167,14 @@ def test_components_that_do_not_settle_are_an_error(spark):
     e = spark.createDataFrame([(k, k + 1) for k in range(60)], "a long, b long")
     with pytest.raises(RuntimeError, match="not settled"):
         components(e, rounds=2)
+
+
+def test_confidence_of_a_cluster_of_many_members(spark):
+    """Pair numbers of 50,000 members don't fit in an int; only the first pairs count, those of the first member."""
+    n = 50_000
+    m = spark.range(n).select("id", F.lit(0).cast("long").alias("label"), F.when(F.col("id") <= 1000, "a").otherwise("b").alias("service"), F.col(
+        "id").alias("ts"), F.lit(0.7).alias("anomaly_score"))
+    links = spark.createDataFrame([(0, 1, "same service", 0.8)], "a_id long, b_id long, gate string, sim double")
+    near = spark.createDataFrame([("a", "a", 0), ("b", "b", 0)], "a string, b string, hops int")
+    got = incidents.confidence_terms(m, links, near).first()
+    assert (got.label, got.topology, got.evidence) == (0, 1000 / incidents.PAIR_CAP, round(1.6 / n, 9))
