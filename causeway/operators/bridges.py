@@ -4,8 +4,12 @@ A bridge is a signal of a connected cluster of LEAST or more whose best link is
 or more parts of at least two signals remain. Of several the one with the smallest id is taken; it stays with the part
 of its best link (the smallest other id on ties), and all parts are looked at again.
 
-Clusters of up to `most` links are solved one group each, in time linear in links for each split. Larger ones are split
-by joins, all clusters of a round at once:
+Both ends of a link of WEAK_BRIDGE or more are never a bridge, and only links of bridges are cut. So what such signals and
+the links between them tie together (a core) never falls apart and counts as one node of its size; so does a weak signal
+with links to one core only. What is left, the weak signals between cores, is a small part of the links.
+
+Clusters of which up to `most` links are left are solved one group each, in time linear in links for each split. Larger
+ones are split by joins, all clusters of a round at once:
 
 1. a spanning tree by breadth first, each node with the path that leads to it; every other link of such a tree joins
    nodes of which neither lies above the other;
@@ -29,11 +33,11 @@ from ..tables import written
 from .components import components
 
 WEAK_BRIDGE, LEAST = 0.50, 5
-#: Links of a cluster that one task holds.
+#: Links of a cluster, without those inside cores, that one task holds.
 MOST_LINKS = 500_000
 
 
-def _below(nodes: list, near: dict) -> tuple[list, dict, dict, dict]:
+def _below(nodes: list, near: dict, weight: dict) -> tuple[list, dict, dict, dict]:
     """A depth-first tree from the smallest node: (nodes in order of visit, parent, size below, lowest visit reachable)."""
     parent, order, seen = {nodes[0]: None}, [], {}
     stack = [(nodes[0], None)]
@@ -43,10 +47,10 @@ def _below(nodes: list, near: dict) -> tuple[list, dict, dict, dict]:
             continue
         seen[x], parent[x] = len(order), up
         order.append(x)
-        stack += [(y, x) for y, _ in near[x] if y not in seen]
-    size, low = dict.fromkeys(order, 1), dict(seen)
+        stack += [(y, x) for y, *_ in near[x] if y not in seen]
+    size, low = {x: weight[x] for x in order}, dict(seen)
     for x in reversed(order):
-        for y, _ in near[x]:
+        for y, *_ in near[x]:
             if y != parent[x]:
                 low[x] = min(low[x], low[y] if parent.get(y) == x else seen[y])
         if parent[x] is not None:
@@ -54,46 +58,55 @@ def _below(nodes: list, near: dict) -> tuple[list, dict, dict, dict]:
     return order, parent, size, low
 
 
-def _bridge(nodes: list, near: dict) -> tuple | None:
+def _bridge(nodes: list, near: dict, weight: dict) -> tuple | None:
     """(bridge, parts without it) of a connected cluster, or None."""
-    if len(nodes) < LEAST:
+    n = sum(weight[x] for x in nodes)
+    if n < LEAST:
         return None
-    order, parent, size, low = _below(nodes, near)
+    order, parent, size, low = _below(nodes, near, weight)
     if len(order) < len(nodes):
         return None
     visit = {x: k for k, x in enumerate(order)}
+    last: dict = {}  # the last visit below a node
+    for x in reversed(order):
+        last[x] = max(last.get(x, 0), visit[x])
+        if parent[x] is not None:
+            last[parent[x]] = max(last.get(parent[x], 0), last[x])
     apart = defaultdict(list)  # children that nothing but their parent ties to the rest
     for x in order[1:]:
         p = parent[x]
         if parent[p] is None or low[x] >= visit[p]:
             apart[p].append(x)
     for x in sorted(apart):
-        if max(w for _, w in near[x]) >= WEAK_BRIDGE:
+        if weight[x] > 1 or max(e[1] for e in near[x]) >= WEAK_BRIDGE:
             continue
-        rest = len(nodes) - 1 - sum(size[c] for c in apart[x])
+        rest = n - 1 - sum(size[c] for c in apart[x])
         if sum(size[c] >= 2 for c in apart[x]) + (rest >= 2) < 2:
             continue
-        side = {y: c for c in apart[x] for y in order[visit[c] : visit[c] + size[c]]}
+        side = {y: c for c in apart[x] for y in order[visit[c] : last[c] + 1]}
         parts = defaultdict(list)
         for y in nodes:
             if y != x:
                 parts[side.get(y)].append(y)
-        best = min(near[x], key=lambda e: (-e[1], e[0]))[0]
+        best = min(near[x], key=lambda e: (-e[1], e[2]))[0]
         parts[side.get(best)].append(x)
         return x, [sorted(p) for p in parts.values()]
     return None
 
 
-def solve(nodes: list, links: list[tuple]) -> list[list]:
-    """Parts of one cluster; links are (a, b, similarity)."""
+def solve(nodes: list, links: list[tuple], weight: dict | None = None) -> list[list]:
+    """Parts of one cluster; links are (a, b, similarity). With weight, the signals of each node (one weak signal, or a core),
+    they are (a, b, similarity, first, second) with the signals at either end that count on ties."""
+    weight = weight or dict.fromkeys(nodes, 1)
     done, todo = [], [(sorted(nodes), links)]
     while todo:
         now, own = todo.pop()
         near = defaultdict(list)
-        for a, b, w in own:
-            near[a].append((b, w))
-            near[b].append((a, w))
-        cut = _bridge(now, near)
+        for a, b, w, *ends in own:
+            first, second = ends or (a, b)
+            near[a].append((b, w, second))
+            near[b].append((a, w, first))
+        cut = _bridge(now, near, weight)
         if cut is None:
             done.append(now)
             continue
@@ -189,26 +202,54 @@ def split_large(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return done
 
 
+def _cores(inside: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(held, left) of inside(part, a, b, sim): held(id, core) names the core of each signal that isn't alone; left(part, x, y,
+    sim, x_end, y_end) are the links between cores and what is alone, the best for each weak signal and core."""
+    ends = inside.select("a", "b", "sim").union(inside.select("b", "a", "sim")).toDF("a", "b", "sim")
+    weak = written(ends.groupBy("a").agg(F.max("sim").alias("best")).where(F.col("best") < WEAK_BRIDGE).select(F.col("a").alias("weak")), "weak-signals")
+    sure = inside.join(weak, F.col("a") == F.col("weak"), "left_anti").join(weak, F.col("b") == F.col("weak"), "left_anti")
+    core = written(components(sure.select("a", "b")).withColumnRenamed("label", "core"), "cores")
+    own = ends.join(weak, F.col("a") == F.col("weak"), "left_semi").join(core, F.col("b") == core.id, "left").select(
+        F.col("a").alias("x"), F.col("b").alias("end"), F.coalesce("core", "b").alias("y"), F.col("core").isNull().alias("loose"), "sim")
+    own = written(own, "weak-links")
+    leaf = own.groupBy("x").agg(F.min("y").alias("y"), F.max("y").alias("last"), F.bool_or("loose").alias("loose")).where(
+        "y = last and not loose").select(F.col("x").alias("id"), F.col("y").alias("core"))
+    held = written(core.unionByName(leaf), "held")
+    # of two weak signals the smaller one comes first, and each link once
+    left = own.where("not loose or x < end").join(leaf.select(F.col("id").alias("x")), "x", "left_anti")
+    best = F.min(F.struct((-F.col("sim")).alias("neg"), "end")).alias("m")
+    left = left.groupBy("x", "y").agg(best).select("x", "y", (-F.col("m.neg")).alias("sim"), F.col("x").alias("x_end"), F.col("m.end").alias("y_end"))
+    return held, left
+
+
 def split_weak_bridges(members: DataFrame, links: DataFrame, most: int = MOST_LINKS) -> DataFrame:
     """(id, label, part) of members(id, label): part is the smallest id of the part a signal ends up in. links(a_id, b_id,
     sim) between members of one cluster count."""
     own = links.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "sim")
     inside = written(_inside(members.select(F.col("label").alias("part"), "id"), own), "cluster-links")
-    large = inside.groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") > most).select(F.col("part").alias("label"))
-    large = written(large, "large-clusters")
+    held, left = _cores(inside)
+    nodes = members.select("label", "id")
+    at = written(nodes.join(held, "id", "left").withColumn("node", F.coalesce("core", "id")), "nodes")
+    left = written(left.join(at.select("label", F.col("id").alias("x")), "x"), "left-links")
+    counts = left.groupBy("label").agg(F.count("*").alias("n"))
+    large = written(counts.where(F.col("n") > most).select("label"), "large-clusters")
+    small = written(counts.where(F.col("n") <= most).select("label"), "small-clusters")
 
     def run(key: tuple, m: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        parts = solve(m["id"].tolist(), list(e[["a", "b", "sim"]].itertuples(index=False, name=None)))
-        return pd.DataFrame([(x, key[0], min(p)) for p in parts for x in p], columns=["id", "label", "part"])
-
-    nodes = members.select("label", "id")
-    small = nodes.join(large, "label", "left_anti").groupBy("label").cogroup(
-        inside.join(large.withColumnRenamed("label", "part"), "part", "left_anti").groupBy("part")).applyInPandas(run, "id long, label long, part long")
+        first = dict(zip(m["node"].tolist(), m["first"].tolist(), strict=True))
+        weight = dict(zip(m["node"].tolist(), m["size"].tolist(), strict=True))
+        parts = solve(list(first), list(e[["x", "y", "sim", "x_end", "y_end"]].itertuples(index=False, name=None)), weight)
+        return pd.DataFrame([(x, key[0], min(first[y] for y in p)) for p in parts for x in p], columns=["node", "label", "part"])
+
+    heavy = at.join(small, "label", "left_semi").groupBy("label", "node").agg(F.count("*").alias("size"), F.min("id").alias("first"))
+    solved = heavy.groupBy("label").cogroup(left.join(small, "label", "left_semi").groupBy("label")).applyInPandas(
+        run, "node long, label long, part long")
+    whole = nodes.groupBy("label").agg(F.min("id").alias("first"))
+    out = at.join(solved, ["label", "node"], "left").join(whole, "label").select("id", "label", F.coalesce("part", "first").alias("part"))
     if large.isEmpty():
-        return small
+        return out
     many = nodes.join(large, "label", "left_semi")
-    first = F.min("id").over(Window.partitionBy("label")).alias("part")
-    start = many.select(first, "id")
+    start = many.join(whole, "label").select(F.col("first").alias("part"), "id")
     # parts are named after their smallest id, also those that are never split
     found = split_large(start, inside.select("a", "b", "sim")).groupBy("id").agg(F.min("part").alias("part"))
-    return small.unionByName(many.join(found, "id").select("id", "label", "part"))
+    return out.join(large, "label", "left_anti").unionByName(many.join(found, "id").select("id", "label", "part"))

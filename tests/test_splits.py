@@ -178,3 +178,18 @@ def test_confidence_of_a_cluster_of_many_members(spark):
     near = spark.createDataFrame([("a", "a", 0), ("b", "b", 0)], "a string, b string, hops int")
     got = incidents.confidence_terms(m, links, near).first()
     assert (got.label, got.topology, got.evidence) == (0, 1000 / incidents.PAIR_CAP, round(1.6 / n, 9))
+
+
+def test_strong_links_are_no_part_of_the_search(spark, monkeypatch):
+    """Two groups of 30 tied closely, a weak signal between them and others at one of them: of 870 links two are searched."""
+    monkeypatch.setattr(bridges, "split_large", None)
+    groups = [range(100, 130), range(200, 230)]
+    links = [(a, b, 0.9) for g in groups for a in g for b in g if a < b]
+    links += [(7, 101, 0.46), (7, 205, 0.48), (3, 110, 0.47), (3, 111, 0.47), (5, 220, 0.49)]
+    nodes = sorted({x for e in links for x in e[:2]})
+    m = spark.createDataFrame([(x, 0) for x in nodes], "id long, label long")
+    got = defaultdict(list)
+    for r in bridges.split_weak_bridges(m, spark.createDataFrame(links, "a_id long, b_id long, sim double"), 4).collect():
+        got[r.part].append(r.id)
+    assert {k: sorted(v) for k, v in got.items()} == {min(p): sorted(p) for p in slow_split(nodes, links)}
+    assert set(got) == {3, 5}
