@@ -368,7 +368,8 @@ def payload_span_edges(spark, d):
 def span_graph(spark, d) -> DataFrame:
     """The calls that all spans show, those to the next two services by number: a graph without circles."""
     gap = F.substring("callee", 4, 9).cast("int") - F.substring("caller", 4, 9).cast("int")
-    return payload_span_edges(spark, d).where(gap.isin(1, 2))
+    # walks join it again and again: the spans are read once
+    return written(payload_span_edges(spark, d).where(gap.isin(1, 2)), "span-graph")
 
 
 HARVESTED = f"""edges AS (SELECT DISTINCT 'svc' || (p.user_id % 12) AS caller, 'svc' || (c.user_id % 12) AS callee FROM {_PARENT} WHERE c.user_id % 12 - p.user_id % 12 IN (1, 2))"""

@@ -5,6 +5,7 @@ import pytest
 
 from causeway.operators import topology
 from causeway.plans import incident_queries
+from causeway.sources import adapters
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -53,3 +54,15 @@ def test_queries_equal_their_sql(spark, name):
     assert columns == sorted(want.columns)
     rows = lambda t: sorted(map(str, t[columns].astype(object).where(t[columns].notna(), None).itertuples(index=False, name=None)))
     assert rows(got) == rows(want)
+
+
+def test_walks_read_the_spans_once(spark):
+    assert not any("events" in f for f in incident_queries.span_graph(spark, FOLDER).inputFiles())
+
+
+def test_spans_of_one_id_give_one_parent(spark):
+    rows = [("b", "p", None, "1"), ("a", "p", None, "1"), ("c", "k", "p", "2"), ("c", "q", "none", "2")]
+    spans = spark.createDataFrame([(s, "t", i, up, "x", 5, status, None) for s, i, up, status in rows],
+                                  "service string, trace_id string, span_id string, parent_id string, name string, ts long, status string, message string")
+    for some in (spans, spans.orderBy("service")):
+        assert {(r.span_id, r.parent_service) for r in adapters.error_spans(some).collect()} == {("k", "a"), ("q", None)}
