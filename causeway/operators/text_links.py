@@ -6,8 +6,9 @@ join goes over raw terms where it can be avoided:
 * near(): the distance of two alerts is 1 - cosine + 2 min(minutes / 6, 1)^2. Which texts come near each other in time is
   looked up first, by slots of the widest gap that any cosine can bridge; a cosine is formed once for each such pair of
   different texts, however often they repeat; then alerts meet by (text, slot) only where the text's cosine allows the gap.
-* best_of_library(): of a cluster's terms, those whose greatest possible contributions together stay below the threshold
-  can't lift an item to it alone, so candidates come from the other terms; their cosines are exact.
+* Library.best(): the library's terms are few, so a text's other terms are dropped where they are read, before anything is
+  grouped; cosines are sums over the terms that a cluster and an item share. A library of at most SMALL rows is broadcast,
+  so that its most frequent terms meet no single task.
 
 Defined cases: null and empty texts have no terms, and no cosine with any other; alerts of the same time are linked whatever
 they say, as their distance is at most 1; equal alerts are told apart by id.
@@ -23,21 +24,34 @@ from pyspark.sql import functions as F
 from ..tables import written
 
 EPS, MINUTES, PENALTY, LEAST = 1.0, 6.0, 2.0, 0.25
+#: A library of at most so many (item, term) is broadcast (about 10 MB).
+SMALL = 200_000
 
 
-def terms(text: Column, stop: tuple[str, ...] = ()) -> Column:
-    """Lower-case words of two or more characters without stop words, and pairs of neighbours among them."""
+def _words(text: Column, stop: tuple[str, ...] = ()) -> Column:
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}_]{2,})"), 1)
-    if stop:
-        words = F.filter(words, lambda w: ~w.isin(*stop))
+    return F.filter(words, lambda w: ~w.isin(*stop)) if stop else words
+
+
+def _with_pairs(words: Column) -> Column:
     pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))),
                        lambda a, b: F.concat_ws(" ", a, b))
     return F.concat(words, pairs)
 
 
+def terms(text: Column, stop: tuple[str, ...] = ()) -> Column:
+    """Lower-case words of two or more characters without stop words, and pairs of neighbours among them."""
+    return _with_pairs(_words(text, stop))
+
+
+def listed(texts: DataFrame, *key: str, stop: tuple[str, ...] = ()) -> DataFrame:
+    """(*key, term) of texts(*key, text), repeats too; a text's words are found once."""
+    return texts.select(*key, _words(F.col("text"), stop).alias("words")).select(*key, F.explode(_with_pairs(F.col("words"))).alias("term"))
+
+
 def counted(texts: DataFrame, *key: str, stop: tuple[str, ...] = ()) -> DataFrame:
     """(*key, term, tf) of texts(*key, text)."""
-    return texts.select(*key, F.explode(terms(F.col("text"), stop)).alias("term")).groupBy(*key, "term").agg(F.count("*").alias("tf"))
+    return listed(texts, *key, stop=stop).groupBy(*key, "term").agg(F.count("*").alias("tf"))
 
 
 def fitted(texts: DataFrame, stop: tuple[str, ...] = ()) -> DataFrame:
@@ -50,8 +64,12 @@ def fitted(texts: DataFrame, stop: tuple[str, ...] = ()) -> DataFrame:
 def weighted(texts: DataFrame, idf: DataFrame, *key: str, stop: tuple[str, ...] = ()) -> DataFrame:
     """(*key, term, w) of texts(*key, text), each text's weights of length 1; terms that aren't in idf are left out."""
     w = counted(texts, *key, stop=stop).join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norm = w.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(norm, list(key)).select(*key, "term", (F.col("w") / F.col("norm")).alias("w"))
+    return _of_length_1(w, *key)
+
+
+def _of_length_1(w: DataFrame, *key: str) -> DataFrame:
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*key)))
+    return w.select(*key, "term", (F.col("w") / norm).alias("w"))
 
 
 def vectors(weights: DataFrame, key: str) -> DataFrame:
@@ -116,9 +134,7 @@ def near(alerts: DataFrame, eps: float = EPS, stop: tuple[str, ...] = ()) -> Dat
 
 def centroids(weights: DataFrame, key: str) -> DataFrame:
     """(key, term, w): the sum of the vectors of weights(key, part, term, w), of length 1: their mean's direction."""
-    total = weights.groupBy(key, "term").agg(F.sum("w").alias("w"))
-    norm = total.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return total.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("w"))
+    return _of_length_1(weights.groupBy(key, "term").agg(F.sum("w").alias("w")), key)
 
 
 class Library:
@@ -133,20 +149,17 @@ class Library:
         df = inside.groupBy("term").agg(F.count("*").alias("df"))
         self.idf = written(df.join(F.broadcast(n), F.lit(True)).select("term", (F.log((1 + F.col("items")) / (1 + F.col("df"))) + 1).alias("idf")), "idf")
         self.items = written(centroids(weighted(incidents, self.idf, "item", "part", stop=stop), "item"), "library")
+        self.small = self.items.count() <= SMALL
 
     def best(self, alerts: DataFrame, least: float = LEAST) -> DataFrame:
         """(label, item, similarity) of alerts(label, part, text): for each cluster the item whose centroid is most like the
         cluster's, if by `least` or more; the smallest item on ties. Clusters without a match give no row."""
-        own = written(centroids(weighted(alerts, self.idf, "label", "part", stop=self.stop), "label"), "centroids")
-        most = self.items.groupBy("term").agg(F.max("w").alias("most"))
-        bound = F.col("w") * F.col("most")
-        upto = Window.partitionBy("label").orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, 0)
-        # rounding: a little more than can be lost in the sums
-        needed = own.join(most, "term").withColumn("bound", bound).withColumn("sum", F.sum("bound").over(upto)).where(F.col("sum") >= least - 1e-6)
-        met = needed.select("label", "term").join(self.items.select("item", "term"), "term").select("label", "item").distinct()
-        a, b = vectors(own, "label"), vectors(self.items, "item")
-        b = b.select("item", F.col("terms").alias("item_terms"), F.col("ws").alias("item_ws"))
-        like = met.join(a, "label").join(b, "item").select("label", "item", F.round(dot(*[F.col(x) for x in (
-            "terms", "ws", "item_terms", "item_ws")]), 6).alias("similarity"))
+        near = F.broadcast if self.small else lambda df: df
+        known = listed(alerts, "label", "part", stop=self.stop).join(near(self.idf), "term")
+        # dealt by part once: counts and lengths of parts need no other order
+        w = known.repartition("label", "part").groupBy("label", "part", "term").agg((F.count("*") * F.first("idf")).alias("w"))
+        own = centroids(_of_length_1(w, "label", "part"), "label")
+        both = own.join(near(self.items.withColumnRenamed("w", "item_w")), "term")
+        like = both.groupBy("label", "item").agg(F.round(F.sum(F.col("w") * F.col("item_w")), 6).alias("similarity"))
         best = F.min(F.struct((-F.col("similarity")).alias("neg"), "item")).alias("m")
         return like.where(F.col("similarity") >= least).groupBy("label").agg(best).select("label", "m.item", (-F.col("m.neg")).alias("similarity"))

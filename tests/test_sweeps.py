@@ -122,3 +122,15 @@ def test_library_match_is_the_best_of_all(spark, least):
     found = text_links.Library(spark.createDataFrame(library, "item long, part int, text string")).best(
         spark.createDataFrame(alerts, "label long, part int, text string"), least)
     assert {r.label: (r.item, r.similarity) for r in found.collect()} == want and len(want) > (20 if least < 0.3 else 3)
+
+
+def test_library_terms_are_met_by_broadcast_and_pairs_get_no_vectors(spark, monkeypatch):
+    library = spark.createDataFrame([(i, 0, f"common topic{i} detail{i}") for i in range(30)], "item long, part int, text string")
+    alerts = spark.createDataFrame([(c, p, f"common topic{c % 30} other{p}") for c in range(60) for p in range(3)] + [(99, 0, "unknown")], "label long, part int, text string")
+    whole = text_links.Library(library).best(alerts)
+    plan = whole._jdf.queryExecution().optimizedPlan().toString()
+    assert "map_from_arrays" not in plan and plan.count("strategy=broadcast") == 2
+    monkeypatch.setattr(text_links, "SMALL", 0)
+    got = {(r.label, r.item, r.similarity) for r in whole.collect()}
+    assert {x[:2] for x in got} == {(c, c % 30) for c in range(60)}
+    assert {(r.label, r.item, r.similarity) for r in text_links.Library(library).best(alerts).collect()} == got
