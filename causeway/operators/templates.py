@@ -26,58 +26,88 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..tables import written
 
-MASK, SIMILAR, CHILDREN, CHUNK = "<*>", 0.4, 100, 20_000
+MASK, SIMILAR, CHILDREN, CHUNK, FEW = "<*>", 0.4, 100, 20_000, 64
 
 
 class Leaf:
-    """The templates of one leaf in order of age."""
+    """The templates of one leaf in order of age.
+
+    A line that shares `least` of its words with a template shares one at least of any length - least + 1 of them, so only
+    the templates that hold one of the line's rarest words in its place are compared. What a template has masked since
+    stays listed: comparing tells. Up to FEW templates are all compared.
+    """
 
     def __init__(self, length: int) -> None:
         self.length, self.n = length, 0
+        self.least = next(k for k in range(length + 1) if k >= SIMILAR * length)
         self.number: dict[str, int] = {MASK: -1}
         self.words = [""]
         self.table = np.zeros((8, length), np.int32)
+        self.holders: list[dict[int, list[int]]] = []
         self.names: list = []
         self.counts: list[int] = []
 
-    def _row(self, words: list[str]) -> np.ndarray:
-        out = np.empty(self.length, np.int32)
-        for k, w in enumerate(words):
+    def _row(self, words: list[str]) -> list[int]:
+        out = []
+        for w in words:
             at = self.number.get(w)
             if at is None:
                 at = self.number[w] = len(self.words)
                 self.words.append(w)
-            out[k] = at
+            out.append(at)
         return out
 
-    def add(self, words: list[str], name, count: int = 1) -> int:
-        """Place a line, named so if it is a template of its own; the place of its template."""
-        row = self._row(words)
-        if self.n:
-            now = self.table[: self.n]
-            masks = now < 0
-            alike = ((now == row) & ~masks).sum(1)
-            best = int(np.lexsort((np.arange(self.n), -masks.sum(1), -alike))[0]) if self.length else 0
-            if alike[best] >= SIMILAR * self.length:
-                now[best][now[best] != row] = -1
-                self.counts[best] += count
-                return best
+    def _append(self, row: list[int], name, count: int) -> None:
         if self.n == len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
         self.table[self.n] = row
+        if self.holders:
+            self._list(self.n, row)
+        elif self.n == FEW:
+            self.holders = [{} for _ in row]
+            for k in range(FEW + 1):
+                self._list(k, self.table[k].tolist())
         self.names.append(name)
         self.counts.append(count)
         self.n += 1
-        return self.n - 1
+
+    def _list(self, k: int, row: list[int]) -> None:
+        for held, w in zip(self.holders, row, strict=True):
+            if w >= 0:
+                held.setdefault(w, []).append(k)
+
+    def _best(self, row: list[int]) -> int | None:
+        """The template that a line joins."""
+        if not self.length:
+            return 0 if self.n else None
+        if self.holders:
+            lists = sorted((held.get(w, ()) for held, w in zip(self.holders, row, strict=True)), key=len)
+            near = np.fromiter(set().union(*lists[: self.length - self.least + 1]), np.int64)
+        else:
+            near = np.arange(self.n)
+        if not len(near):
+            return None
+        now = self.table[near] if self.holders else self.table[: self.n]
+        masks = now < 0
+        alike = ((now == np.array(row, np.int32)) & ~masks).sum(1)
+        best = np.lexsort((near, -masks.sum(1), -alike))[0]
+        return int(near[best]) if alike[best] >= self.least else None
+
+    def add(self, words: list[str], name, count: int = 1) -> int:
+        """Place a line, named so if it is a template of its own; the place of its template."""
+        row = self._row(words)
+        best = self._best(row)
+        if best is None:
+            self._append(row, name, count)
+            return self.n - 1
+        now = self.table[best]
+        now[now != np.array(row, np.int32)] = -1
+        self.counts[best] += count
+        return best
 
     def restore(self, words: list[str], name, count: int) -> None:
         """A template that was found before."""
-        if self.n == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[self.n] = self._row(words)
-        self.names.append(name)
-        self.counts.append(count)
-        self.n += 1
+        self._append(self._row(words), name, count)
 
     def template(self, k: int) -> list[str]:
         return [MASK if x < 0 else self.words[x] for x in self.table[k].tolist()]
@@ -145,7 +175,8 @@ def templates(lines: DataFrame, children: int = CHILDREN, chunk: int = CHUNK) ->
     """(found, placed) of lines(ts long, id long, message string): found(template_id, template, n_words, n_lines,
     n_distinct) and placed(words, template_id), a row for each distinct line. Names tell a template's first line."""
     name = F.struct("ts", "id")
-    distinct = with_words(lines).groupBy("words").agg(F.min(name).alias("at"), F.count("*").alias("n"))
+    # written, as leaves() reads it twice
+    distinct = written(with_words(lines).groupBy("words").agg(F.min(name).alias("at"), F.count("*").alias("n")), "distinct-lines")
     start = written(leaves(distinct, children).select("length", "head", "words", "at", "n"), "log-lines")
     rows, maps, most = start, None, None
     while True:

@@ -106,3 +106,21 @@ def test_stream_equals_a_slow_reader(spark, tmp_path):
         assert got == {k: name(v) for k, v in where.items()}
     finally:
         spark.conf.unset(key)
+
+
+def test_a_line_is_compared_with_few_templates_of_a_large_leaf(monkeypatch):
+    rng = np.random.default_rng(4)
+    lines = [[f"w{int(x)}" for x in rng.zipf(1.3, 8)] for _ in range(1500)]
+    leaf, slow, compared = templates.Leaf(8), [], []
+    lexsort = np.lexsort
+    monkeypatch.setattr(templates.np, "lexsort", lambda keys: compared.append(len(keys[0])) or lexsort(keys))
+    for k, line in enumerate(lines):
+        alike = lambda t: sum(a == b != "<*>" for a, b in zip(t[1], line, strict=True))  # noqa: B023, E731
+        best = max(slow, key=lambda t: (alike(t), t[1].count("<*>")), default=None)  # noqa: B023
+        if best is None or alike(best) < 0.4 * 8:
+            best = [len(slow), line]
+            slow.append(best)
+        best[1] = [a if a == b else "<*>" for a, b in zip(best[1], line, strict=True)]
+        assert leaf.add(line, (k, k)) == best[0]
+    assert [leaf.template(k) for k in range(leaf.n)] == [t[1] for t in slow] and leaf.n > 3 * templates.FEW
+    assert sum(compared) < len(lines) * leaf.n / 8
