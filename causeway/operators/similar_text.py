@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import written
 from .components import components
 
 
@@ -52,7 +53,7 @@ def time_penalty(gap_minutes, minutes: float = 6.0):
 def density_clusters(edges: DataFrame, nodes: DataFrame, min_samples: int = 3) -> DataFrame:
     """(id, label): DBSCAN over neighbour pairs edges(a, b). A core has min_samples neighbours with itself; clusters are
     the components of cores; a border row joins the cluster with the smallest core; others get -1."""
-    both = edges.select("a", "b").union(edges.select("b", "a")).distinct().toDF("a", "b")
+    both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct().toDF("a", "b"), "neighbours")  # read several times
     core = both.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= min_samples - 1).select(F.col("a").alias("core"))
     inner = both.join(core, both.a == core.core, "left_semi").join(core, both.b == F.col("core"), "left_semi")
     label = components(inner).union(core.join(inner, core.core == inner.a, "left_anti").select("core", "core")).toDF("id", "label")

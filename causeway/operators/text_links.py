@@ -5,7 +5,8 @@ join goes over raw terms where it can be avoided:
 
 * near(): the distance of two alerts is 1 - cosine + 2 min(minutes / 6, 1)^2. Which texts come near each other in time is
   looked up first, by slots of the widest gap that any cosine can bridge; a cosine is formed once for each such pair of
-  different texts, however often they repeat; then alerts meet by (text, slot) only where the text's cosine allows the gap.
+  different texts, however often they repeat; then alerts meet by (text, slot) only where both texts are told near that
+  slot and their cosine allows the gap.
 * Library.best(): the library's terms are few, so a text's other terms are dropped where they are read, before anything is
   grouped; cosines are sums over the terms that a cluster and an item share. A library of at most SMALL rows is broadcast,
   so that its most frequent terms meet no single task.
@@ -118,10 +119,12 @@ def near(alerts: DataFrame, eps: float = EPS, stop: tuple[str, ...] = ()) -> Dat
     cosine = written(cosine.union(cosine.where("t <> u").select("u", "t", "cosine").toDF("t", "u", "cosine")), "cosines")
     room = F.greatest(F.col("cosine") - (1 - eps), F.lit(0.0))
     reach = F.ceil(MINUTES * F.sqrt(room / PENALTY) * 6e7) + 1
-    a = told.join(cosine, "t").select(F.col("id").alias("a"), F.col("ts").alias("a_ts"), "u", "cosine", reach.alias("reach"), F.explode(
-        F.array(*[F.col("slot") + k for k in (-1, 0, 1)])).alias("slot"))
-    b = told.select(F.col("id").alias("b"), F.col("ts").alias("b_ts"), F.col("t").alias("u"), "slot")
-    close = a.join(b, ["u", "slot"]).where("a < b").where(F.abs(F.col("a_ts") - F.col("b_ts")) <= F.col("reach"))
+    # which texts meet in which slots, with their cosine; an alert is not spread over all texts that are like its own
+    there = seen.select("t", "slot", F.explode(F.array(*[F.col("slot") + k for k in (-1, 0, 1)])).alias("u_slot")).join(seen.toDF("u", "u_slot"), "u_slot")
+    there = there.join(cosine, ["t", "u"]).withColumn("reach", reach)
+    a = told.select(F.col("id").alias("a"), F.col("ts").alias("a_ts"), "t", "slot")
+    b = told.select(F.col("id").alias("b"), F.col("ts").alias("b_ts"), F.col("t").alias("u"), F.col("slot").alias("u_slot"))
+    close = there.join(a, ["t", "slot"]).join(b, ["u", "u_slot"]).where("a < b").where(F.abs(F.col("a_ts") - F.col("b_ts")) <= F.col("reach"))
     out = close.select("a", "b", "cosine", (F.abs(F.col("a_ts") - F.col("b_ts")) / 6e7).alias("gap"))
     if eps == 1:  # at one time even without a common word
         same = told.select(F.col("id").alias("a"), "ts", F.col("t").alias("t")).join(told.select(F.col("id").alias("b"), "ts", F.col("t").alias("u")), "ts")

@@ -134,3 +134,14 @@ def test_library_terms_are_met_by_broadcast_and_pairs_get_no_vectors(spark, monk
     got = {(r.label, r.item, r.similarity) for r in whole.collect()}
     assert {x[:2] for x in got} == {(c, c % 30) for c in range(60)}
     assert {(r.label, r.item, r.similarity) for r in text_links.Library(library).best(alerts).collect()} == got
+
+
+def test_alerts_are_not_spread_over_the_texts_like_their_own(spark):
+    alerts = spark.createDataFrame([(k, k * 60_000_000, f"pool full on db{k % 5}") for k in range(40)], "id long, ts long, text string")
+    lines = text_links.near(alerts)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+    spread = [k for k, x in enumerate(lines) if "Generate explode" in x]
+    assert spread
+    for k in spread:  # what is spread over slots is texts, before anything is joined to them
+        below = next((j for j in range(k + 1, len(lines)) if depth(lines[j]) <= depth(lines[k])), len(lines))
+        assert not any("Join" in x for x in lines[k + 1 : below])
