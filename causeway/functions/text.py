@@ -122,9 +122,10 @@ def mentioned(text: Column, services: Column, own: Column) -> Column:
 def event_time(raw: Column) -> Column:
     """Microseconds since 1970 of a number (seconds, milliseconds, microseconds or nanoseconds, by size) or of an
     ISO time (UTC where it has no zone); null where it is neither."""
-    number = raw.try_cast("double")
-    return F.coalesce(
-        F.when(number >= 1e17, number / 1e3).when(number >= 1e14, number).when(number >= 1e11, number * 1e3).when(
-            number.isNotNull(), number * 1e6).cast("long"),
-        F.unix_micros(F.try_to_timestamp(raw)),
-    )
+    # what has a colon is no number: failing to read it as one costs more than the whole rest
+    number = lambda r: F.when(F.instr(r, ":") == 0, r.try_cast("double"))
+    scaled = lambda n: F.when(n >= 1e17, n / 1e3).when(n >= 1e14, n).when(n >= 1e11, n * 1e3).when(
+        n.isNotNull(), n * 1e6).cast("long")
+    # arrays of one, so that raw and its number, which are named often, are computed once
+    one = lambda c, f: F.get(F.transform(F.array(c), f), F.lit(0))
+    return one(raw, lambda r: F.coalesce(one(number(r), scaled), F.unix_micros(F.try_to_timestamp(r))))

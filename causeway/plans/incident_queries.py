@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import causal, dedup, evidence, incidents, pairs, review_tables, topology
 from ..sources import adapters
-from ..tables import read, written
+from ..tables import once, read, written
 from . import oracles
 from .catalog import QUERIES, anomalous, membership, query, rooted, scored, scored_pairs
 from .signals import EDGES_SQL, edges, signals
@@ -256,7 +256,7 @@ def detection_tally(spark, d):
 
 
 def _raw(spark, d, raw) -> DataFrame:
-    return read(spark, d, "events").select(raw.alias("raw"), (F.unix_micros(F.col("ts").cast("timestamp"))).alias("received_us"))
+    return read(spark, d, "events").select(once(raw).alias("raw"), (F.unix_micros(F.col("ts").cast("timestamp"))).alias("received_us"))
 
 
 def _k() -> Column:

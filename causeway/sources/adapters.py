@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.redaction import kinds_found, redact, redact_map
 from ..functions.text import environment, event_time, log_severity, mentioned, severity, stable_id
+from ..tables import once
 
 COLUMNS = ("id", "source", "service", "component", "environment", "region", "severity", "ts", "message", "metric", "value",
            "threshold", "trace_id", "span_id", "parent_service", "labels", "is_anomaly")
@@ -22,12 +23,20 @@ def _some(c: Column) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
 
 
-def _shape(df: DataFrame, **given: Column) -> DataFrame:
-    """df in COLUMNS: given ones, the rest null; rows without a time are dropped; ids are hashes of what tells them apart."""
+def _timed(df: DataFrame, ts: Column) -> DataFrame:
+    """df with `__ts`, the time of each row, computed once; rows without one are dropped."""
+    return df.select("*", once(ts.cast(_KINDS["ts"])).alias("__ts")).where("__ts is not null")
+
+
+def _shape(df: DataFrame, ts: Column | None = None, **given: Column) -> DataFrame:
+    """df in COLUMNS: given ones, the rest null; rows without a time (ts, where df isn't timed yet) are dropped; ids are
+    hashes of what tells them apart."""
+    df = df if ts is None else _timed(df, ts)
+    given["ts"] = F.col("__ts")
     out = df.select(*[given[c].cast(_KINDS.get(c, "string")).alias(c) if c in given else F.lit(None).cast(
         _KINDS.get(c, "string")).alias(c) for c in COLUMNS])
     ident = stable_id(F.col("source"), F.col("service"), F.col("ts"), F.coalesce("metric", "message"))
-    return out.where("ts is not null").withColumn("id", F.coalesce("id", ident)).withColumn(
+    return out.withColumn("id", F.coalesce("id", ident)).withColumn(
         "is_anomaly", F.coalesce("is_anomaly", F.lit(False)))
 
 
@@ -42,10 +51,11 @@ def log_lines(df: DataFrame) -> DataFrame:
     pairs = F.transform(F.filter(F.split(part(5), r"\s+"), lambda p: F.instr(p, ":") > 1), lambda p: F.struct(
         F.concat(F.lit("ctx."), F.substring_index(p, ":", 1)).alias("k"), F.substr(p, F.instr(p, ":") + 1).alias("v")))
     fields = F.map_from_entries(F.array_distinct(pairs))
-    rows = df.withColumn("level", level).where("level is not null").withColumn("fields", fields)
+    rows = df.select("raw", once(level).alias("level")).where("level is not null")
+    rows = _timed(rows, event_time(part(1))).withColumn("fields", fields)
     host = F.coalesce(rows["fields"]["ctx.host"], rows["fields"]["ctx.ip"])
     return _shape(rows, source=F.lit("app_log"), service=part(3), component=part(4), severity=F.col("level"),
-                  ts=event_time(part(1)), message=part(6), labels=F.col("fields"), environment=environment(host))
+                  message=part(6), labels=F.col("fields"), environment=environment(host))
 
 
 _ALARM = """AlarmName string, AlarmDescription string, StateChangeTime string, Region string, NewStateValue string,
@@ -66,13 +76,13 @@ def alarms(df: DataFrame) -> DataFrame:
     dims = F.transform(F.coalesce(F.col("Trigger.Dimensions"), F.array().cast("array<struct<name:string,value:string>>")),
                        lambda d: F.struct(d["name"].alias("k"), d["value"].alias("v")))
     named = F.map_from_entries(F.array_distinct(F.filter(dims, lambda d: d["k"].isNotNull())))
-    a = a.withColumn("dims", named)
+    a = _timed(a, event_time(F.col("StateChangeTime"))).withColumn("dims", named)
     service = F.coalesce(_some(F.col("AffectedResources.service")), _some(F.col("dims")["ServiceName"]), _some(F.col(
         "dims")["DBInstanceIdentifier"]), _some(F.col("dims")["FunctionName"]), _some(F.col("dims")["LoadBalancer"]), _some(
         F.col("AlarmName")), F.lit("unknown"))
     return _shape(a, source=F.lit("cloudwatch_metric"), service=service, component=F.col("AffectedResources.component"),
                   environment=F.col("AffectedResources.environment"), region=F.coalesce("AffectedResources.region", "Region"),
-                  severity=F.lit("critical"), ts=event_time(F.col("StateChangeTime")),
+                  severity=F.lit("critical"),
                   message=F.coalesce(_some(F.col("AlarmDescription")), F.col("NewStateReason"), F.col("AlarmName")),
                   metric=F.col("Trigger.MetricName"), value=F.coalesce("Trigger.ObservedValue", reason_value(F.col(
                       "NewStateReason"))), threshold=F.col("Trigger.Threshold"), labels=F.col("dims"), is_anomaly=F.lit(True))

@@ -5,13 +5,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def once(c: Column) -> Column:
+    """c as the only row of an array that is exploded: filters and columns that name it read its value. A plain column is
+    put into each of them, and all of it is computed again for each."""
+    return F.explode(F.array(c))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or what the context was given. A temporary one only where
     neither is set and all runs in one process (tests); elsewhere that is an error."""

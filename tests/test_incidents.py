@@ -56,6 +56,12 @@ def test_queries_equal_their_sql(spark, name):
     assert rows(got) == rows(want)
 
 
+@pytest.mark.parametrize("name", ["payload_log_lines", "payload_alarms", "payload_generic"])
+def test_payloads_and_times_are_computed_once(spark, name):
+    plan = incident_queries.QUERIES[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("date_format(") == 1 and plan.count("regexp_extract(raw") <= 6
+
+
 def test_walks_read_the_spans_once(spark):
     assert not any("events" in f for f in incident_queries.span_graph(spark, FOLDER).inputFiles())
 

@@ -185,6 +185,14 @@ def test_log_line_adapter(spark):
     assert [(r.service, r.component, r.severity, r.message, r.labels["ctx.user"]) for r in got] == [("payments", "db-pool", "high", "Pool exhausted: 100", "bob")]
 
 
+def test_log_line_times(spark):
+    times = ["2026-09-26T10:01:05Z", "2026-09-26T12:01:05+02:00", "1790416865", "1790416865000", "1790416865000000", "1790416865000000000"]
+    lines = [f"{t} INFO a b [k:1 k:1] m" for t in times]
+    # without a time the line is dropped before its fields are read: its key comes twice
+    got = adapters.log_lines(raw(spark, *lines, "never ERROR a b [k:1 k:2] m", "25:00: ERROR a b m")).collect()
+    assert [r.ts for r in got] == [1790416865000000] * 6
+
+
 def test_alarm_adapter(spark):
     ok = {"AlarmName": "A", "NewStateValue": "ALARM", "StateChangeTime": "2026-01-01T00:00:00Z", "NewStateReason": "x [200.0 (t)] was greater than the threshold (90.0)",
           "Trigger": {"MetricName": "M", "Threshold": 90.0, "Dimensions": [{"name": "ServiceName", "value": "db"}]}}
