@@ -122,7 +122,7 @@ def mentioned(text: Column, services: Column, own: Column) -> Column:
 def event_time(raw: Column) -> Column:
     """Microseconds since 1970 of a number (seconds, milliseconds, microseconds or nanoseconds, by size) or of an
     ISO time (UTC where it has no zone); null where it is neither."""
-    # what has a colon is no number: failing to read it as one costs more than the whole rest
+    # what has a colon is no number: it isn't tried as one, as each failure is an exception inside
     number = lambda r: F.when(F.instr(r, ":") == 0, r.try_cast("double"))
     scaled = lambda n: F.when(n >= 1e17, n / 1e3).when(n >= 1e14, n).when(n >= 1e11, n * 1e3).when(
         n.isNotNull(), n * 1e6).cast("long")
