@@ -64,31 +64,50 @@ def validation(members: DataFrame, clusters: DataFrame) -> DataFrame:
     return out.withColumn("accepted", F.col("coherent") & F.col("supported") & F.col("independent"))
 
 
-def confidence_terms(members: DataFrame, links: DataFrame, hops: DataFrame) -> DataFrame:
-    """(label, density, topology, evidence): what correlation_confidence weighs."""
-    return _terms(members, links, hops).select("label", "density", F.coalesce("topology", F.lit(1.0)).alias("topology"), "evidence")
+def confidence_terms(members: DataFrame, links: DataFrame, hops: DataFrame, first: int | None = PAIR_CAP) -> DataFrame:
+    """(label, density, topology, evidence): what correlation_confidence weighs. Its topology is that of all pairs, which
+    first=None gives here; else that of the first pairs by ids only."""
+    topo = _topology(members, hops) if first is None else _first_topology(members, hops, first)
+    return _terms(members, links, topo).select("label", "density", F.coalesce("topology", F.lit(1.0)).alias("topology"), "evidence")
 
 
 def correlation_confidence(members: DataFrame, links: DataFrame, hops: DataFrame) -> DataFrame:
-    """0.40 density + 0.35 share of the first PAIR_CAP member pairs (by ids) at most 2 calls apart + 0.25 mean best
-    link of each signal. Only the topology term is capped; pairs come from ranks, a bounded number for each member."""
-    return _terms(members, links, hops).select("label", F.round(
+    """0.40 density + 0.35 share of the member pairs at most 2 calls apart + 0.25 mean best link of each signal. All pairs
+    count; none is formed."""
+    return _terms(members, links, _topology(members, hops)).select("label", F.round(
         0.40 * F.col("density") + 0.35 * F.coalesce("topology", F.lit(1.0)) + 0.25 * F.col("evidence") + 1e-9, 6).alias("confidence"))
 
 
-def _terms(members: DataFrame, links: DataFrame, hops: DataFrame) -> DataFrame:
+def _topology(members: DataFrame, hops: DataFrame) -> DataFrame:
+    """(label, topology): the share of a cluster's pairs of members whose services are at most 2 calls apart, from how many
+    members each service has. hops holds each pair of services either way round and once."""
+    c = members.groupBy("label", "service").agg(F.count("*").alias("c"))
+    near = hops.where("hops <= 2").select(F.col("a").alias("service"), "b")
+    met = c.join(near, "service").select("label", "service", "c", "b").join(
+        c.select("label", F.col("service").alias("b"), F.col("c").alias("d")), ["label", "b"])
+    # pairs of members either way round; no member is paired with itself
+    both = met.groupBy("label").agg(F.sum(F.col("c") * F.when(F.col("service") == F.col("b"), F.col("d") - 1).otherwise(F.col("d"))).alias("near"))
+    n = c.groupBy("label").agg(F.sum("c").alias("n")).where("n > 1")
+    return n.join(both, "label", "left").select("label", (F.coalesce("near", F.lit(0)) / (F.col("n") * (F.col("n") - 1))).alias("topology"))
+
+
+def _first_topology(members: DataFrame, hops: DataFrame, first: int) -> DataFrame:
+    """(label, topology) of the first pairs by ids, which come from ranks: a bounded number for each member."""
     order = F.row_number().over(Window.partitionBy("label").orderBy("id")).cast("long")
-    # members after the first PAIR_CAP + 1 are in no pair, so that a large cluster's are not ranked further
-    ranked = members.select("label", "id", "service", order.alias("k")).where(F.col("k") <= PAIR_CAP + 1)
+    # members after the first + 1 are in no pair, so that a large cluster's are not ranked further
+    ranked = members.select("label", "id", "service", order.alias("k")).where(F.col("k") <= first + 1)
     m = ranked.join(members.groupBy("label").agg(F.count("*").alias("n")), "label")
-    # pair number before member k, in (i, j) order; only members with pairs under the cap take part as first
+    # pair number before member k, in (i, j) order; only members with pairs under `first` take part as first
     before = (F.col("k") - 1) * F.col("n") - F.col("k") * (F.col("k") - 1) / 2
-    first = m.withColumn("before", before).where(F.col("before") < PAIR_CAP)
+    one = m.withColumn("before", before).where(F.col("before") < first)
     second = ranked.select("label", F.col("k").alias("k2"), F.col("service").alias("s2"))
-    pair = first.join(second, "label").where("k2 > k and before + k2 - k <= " + str(PAIR_CAP))
+    pair = one.join(second, "label").where(f"k2 > k and before + k2 - k <= {first}")
     near = hops.select(F.col("a").alias("ha"), F.col("b").alias("hb"), "hops")
     pair = pair.join(near, (F.col("service") == F.col("ha")) & (F.col("s2") == F.col("hb")), "left")
-    topo = pair.groupBy("label").agg(F.avg((F.coalesce("hops", F.lit(9)) <= 2).cast("double")).alias("topology"))
+    return pair.groupBy("label").agg(F.avg((F.coalesce("hops", F.lit(9)) <= 2).cast("double")).alias("topology"))
+
+
+def _terms(members: DataFrame, links: DataFrame, topo: DataFrame) -> DataFrame:
     labels = members.select("id", "label")
     ends = links.select(F.col("a_id").alias("id"), "sim").union(links.select("b_id", "sim"))
     best = labels.join(ends.groupBy("id").agg(F.max("sim").alias("best")), "id", "left")

@@ -351,7 +351,7 @@ TEXTS["validated_confidence_parts"] = "+clusters", "SELECT label, 'density' AS p
 def validated_confidence_parts(spark, d):
     """The density term of each cluster's confidence (the other terms are in cluster_confidence)."""
     m, found = membership(spark, d)
-    terms = incidents.confidence_terms(m, found, topology.hops(edges(spark)))
+    terms = incidents.confidence_terms(m, found, topology.hops(edges(spark)), None)
     return evidence.validated_parts(terms).where("part = 'density'")
 
 

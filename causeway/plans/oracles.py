@@ -194,9 +194,10 @@ TEXTS: dict[str, tuple[str, str]] = {
   SELECT label, count(DISTINCT (service, source, coalesce(metric, substr(message, 1, 60)))) AS conditions, bool_and(sev_rank <= 1) AS all_severe
   FROM members GROUP BY label) s ON s.label = c.label)"""),
     "cluster_confidence": ("+clusters", """SELECT c.label, round(0.40 * density + 0.35 * coalesce(topology, 1.0) + 0.25 * evidence + 1e-9, 6) AS confidence FROM clusters c
-  LEFT JOIN (SELECT label, avg(CASE WHEN coalesce(h.hops, 9) <= 2 THEN 1.0 ELSE 0.0 END) AS topology FROM (SELECT m.label, m.service AS s1, n.service AS s2,
-    row_number() OVER (PARTITION BY m.label ORDER BY m.id, n.id) AS k FROM members m JOIN members n ON m.label = n.label AND m.id < n.id) p
-    LEFT JOIN hop h ON h.a = s1 AND h.b = s2 WHERE k <= 2500 GROUP BY label) t ON t.label = c.label
+  LEFT JOIN (SELECT label, sum(CASE WHEN coalesce(h.hops, 9) <= 2 THEN n ELSE 0 END)::DOUBLE / sum(n) AS topology FROM (SELECT p.label, p.service AS s1, q.service AS s2,
+    CASE WHEN p.service = q.service THEN p.n * (p.n - 1) // 2 ELSE p.n * q.n END AS n FROM (SELECT label, service, count(*) AS n FROM members GROUP BY 1, 2) p
+    JOIN (SELECT label, service, count(*) AS n FROM members GROUP BY 1, 2) q ON p.label = q.label AND p.service <= q.service) s
+    LEFT JOIN hop h ON h.a = s1 AND h.b = s2 GROUP BY label) t ON t.label = c.label
   JOIN (SELECT label, floor((2000 * sum(round(best * 1e6)::BIGINT)::BIGINT + count(*)) / (2 * count(*))::DOUBLE) / 1e9 AS evidence FROM (SELECT l.label, l.id, max(sim) AS best FROM labels l JOIN (SELECT a_id AS id, sim FROM links UNION ALL
     SELECT b_id, sim FROM links) e ON e.id = l.id GROUP BY l.label, l.id) GROUP BY label) b ON b.label = c.label"""),
     "near_misses": ("+clusters svcs", """SELECT label, id, reason, rank FROM (SELECT c.label, a.id, CASE WHEN EXISTS (SELECT 1 FROM svcs s JOIN calls e ON e.x = s.service

@@ -180,6 +180,23 @@ def test_confidence_of_a_cluster_of_many_members(spark):
     assert (got.label, got.topology, got.evidence) == (0, 1000 / incidents.PAIR_CAP, round(1.6 / n, 9))
 
 
+def test_confidence_counts_every_pair_of_a_cluster(spark):
+    """101 members of four services, one outside the graph: 5,050 pairs, of which those after the 2,500th count too."""
+    service = lambda k: ("a", "b", "c", "lone")[0 if k < 40 else 1 if k < 70 else 2 if k < 90 else 3]
+    rows = [(k, 0, service(k), k, 0.7) for k in range(101)] + [(500, 500, "a", 1, 0.7)]
+    m = spark.createDataFrame(rows, "id long, label long, service string, ts long, anomaly_score double")
+    links = spark.createDataFrame([(0, 1, "same service", 0.8)], "a_id long, b_id long, gate string, sim double")
+    near = topology.hops(spark.createDataFrame([("a", "b"), ("b", "x"), ("x", "c")], "caller string, callee string"))
+    apart = {(r.a, r.b): r.hops for r in near.collect()}
+    pairs_ = [apart.get((service(i), service(j)), 9) <= 2 for i in range(101) for j in range(i + 1, 101)]
+    got = {r.label: r for r in incidents.confidence_terms(m, links, near, None).collect()}
+    assert (got[0].topology, got[500].topology) == (sum(pairs_) / len(pairs_), 1.0)
+    assert got[0].topology != sum(pairs_[:2500]) / 2500
+    sure = {r.label: r.confidence for r in incidents.correlation_confidence(m, links, near).collect()}
+    want = 0.40 * got[0].density + 0.35 * sum(pairs_) / len(pairs_) + 0.25 * got[0].evidence
+    assert sure[0] == round(want + 1e-9, 6)
+
+
 def test_strong_links_are_no_part_of_the_search(spark, monkeypatch):
     """Two groups of 30 tied closely, a weak signal between them and others at one of them: of 870 links two are searched."""
     monkeypatch.setattr(bridges, "split_large", None)
