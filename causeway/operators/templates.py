@@ -8,7 +8,9 @@ least SIMILAR of its words; words that differ become MASK. Else it is a new temp
 Batch form (templates): equal lines count together and are placed once, at their first occurrence. Leaves are sorted by
 time inside partitions and folded as streams, so a leaf's templates are held, its lines aren't. A leaf with more than
 CHUNK distinct lines is dealt to chunks by hash; each chunk is mined alone and what it finds is mined again, in fewer
-chunks, until one is left. Streaming form (mined): the leaves are keyed state.
+chunks (a FEWER-th at most), until one is left. A leaf of one chunk is done and not mined again: its templates would stay
+as they are. Lines are moved as strings, once to count equal ones and once a round. Streaming form (mined): the leaves
+are keyed state.
 
 Defined cases: null and blank messages are the empty template; order is by ts, then id, nulls first.
 """
@@ -16,17 +18,18 @@ Defined cases: null and blank messages are the empty template; order is by ts, t
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..tables import written
 
-MASK, SIMILAR, CHILDREN, CHUNK, FEW = "<*>", 0.4, 100, 20_000, 64
+MASK, SIMILAR, CHILDREN, CHUNK, FEWER, FEW = "<*>", 0.4, 100, 20_000, 32, 64
 
 
 class Leaf:
@@ -123,89 +126,113 @@ def _head():
     return F.when(first.rlike("[0-9]"), MASK).otherwise(first)
 
 
-def leaves(distinct: DataFrame, children: int = CHILDREN) -> DataFrame:
-    """distinct(words, at) with length and head: the leaf of each line. at is any ordered column."""
-    rows = distinct.withColumn("length", F.size("words")).withColumn("head", _head())
-    named = rows.where(F.col("head") != MASK).groupBy("length", "head").agg(F.min("at").alias("at"))
+def _words():
+    """The words of a line."""
+    return F.when(F.col("line") == "", F.array().cast("array<string>")).otherwise(F.split("line", " "))
+
+
+def leaves(distinct: DataFrame, children: int, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """distinct(length, line, ts, id): the first words with leaves of their own, (length, head), and (length, leaf, parts)
+    of the leaves with more than `chunk` lines."""
+    heads = distinct.select("length", F.substring_index("line", " ", 1).alias("head"), F.struct("ts", "id").alias("at"))
+    heads = heads.withColumn("head", F.when(F.col("head").rlike("[0-9]"), MASK).otherwise(F.col("head")))
+    heads = written(heads.groupBy("length", "head").agg(F.min("at").alias("at"), F.count("*").alias("size")), "first-words")
     rank = F.row_number().over(Window.partitionBy("length").orderBy("at", "head"))
-    own = named.withColumn("r", rank).where(F.col("r") < children).select("length", "head", F.col("head").alias("own"))
-    return rows.join(own, ["length", "head"], "left").withColumn("head", F.coalesce("own", F.lit(MASK))).drop("own")
+    named = heads.where(F.col("head") != MASK).select("length", "head", rank.alias("r")).where(F.col("r") < children)
+    own = written(named.select("length", "head"), "leaf-words")
+    leaf = heads.join(own.withColumn("leaf", F.col("head")), ["length", "head"], "left").groupBy(
+        "length", F.coalesce("leaf", F.lit(MASK)).alias("leaf"))
+    return own, _parts(leaf.agg(F.sum("size").alias("size")), F.ceil(F.col("size") / chunk))
+
+
+def _parts(sizes: DataFrame, parts: Column) -> DataFrame:
+    """(length, leaf, parts) of the leaves in several parts, of which there are no more than chunks."""
+    return written(sizes.withColumn("parts", parts.cast("int")).where("parts > 1").select("length", "leaf", "parts"), "leaf-parts")
 
 
-def _mine(rows: DataFrame) -> DataFrame:
-    """rows(length, head, chunk, words, at struct<ts,id>, n) with `of`, the at of the line that named their template, and
-    beside them a row for each template (words its words, n its lines, of null)."""
-    key = ["length", "head", "chunk"]
+def _mine(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """rows(length, leaf, line, ts, id, n, d), n lines of d kinds, mined in parts(length, leaf, parts), other leaves in one:
+    a row for each template that is found, named after its first line, with parts, and one for each row of the input, its
+    ts and id and those of its template as of_ts and of_id."""
+    key = ["length", "leaf", "chunk"]
+    schema = "length int, leaf string, parts int, line string, ts long, id long, n long, d long, of_ts long, of_id long, found boolean"
+    kinds = [pa.int32(), pa.string(), pa.int32(), pa.string(), *[pa.int64()] * 6, pa.bool_()]
+
+    def table(*columns) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)],
+                               names=[x.split()[0] for x in schema.split(", ")])
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, leaf = None, None
+        now, leaf, parts, different = None, None, 1, []
 
-        def finished() -> pa.RecordBatch:
-            none, n = [None] * leaf.n, leaf.n
-            return table([now[0]] * n, [now[1]] * n, [leaf.template(k) for k in range(n)], *zip(*leaf.names, strict=True),
-                         leaf.counts, none, none, [True] * n)
+        def finished() -> Iterator[pa.RecordBatch]:
+            for k in range(0, leaf.n, CHUNK):
+                at = range(k, min(k + CHUNK, leaf.n))
+                n, none = len(at), [None] * len(at)
+                yield table([now[0]] * n, [now[1]] * n, [parts] * n, [" ".join(leaf.template(x)) for x in at],
+                            *zip(*leaf.names[k : k + n], strict=True), leaf.counts[k : k + n], different[k : k + n], none, none, [True] * n)
 
         for batch in batches:
-            length, head, chunk, words, ts, ids, n = (c.to_pylist() for c in batch.columns)
+            length, name, chunk, several, line, ts, ids, n, d = (c.to_pylist() for c in batch.columns)
             of = []
-            for k, place in enumerate(zip(length, head, chunk, strict=True)):
+            for k, place in enumerate(zip(length, name, chunk, strict=True)):
                 if place != now:
                     if leaf is not None:
-                        yield finished()
-                    now, leaf = place, Leaf(length[k])
-                of.append(leaf.names[leaf.add(words[k], (ts[k], ids[k]), n[k])])
+                        yield from finished()
+                    now, leaf, parts, different = place, Leaf(length[k]), several[k], []
+                at = leaf.add(line[k].split(" ") if line[k] else [], (ts[k], ids[k]), n[k])
+                if at == len(different):
+                    different.append(0)
+                different[at] += d[k]
+                of.append(leaf.names[at])
             if of:
-                yield table(length, head, words, ts, ids, n, *zip(*of, strict=True), [False] * len(of))
+                none = [None] * len(of)
+                yield table(none, none, none, none, ts, ids, none, none, *zip(*of, strict=True), [False] * len(of))
         if leaf is not None:
-            yield finished()
-
-    schema = "length int, head string, words array<string>, ts long, id long, n long, of_ts long, of_id long, found boolean"
-    kinds = [pa.int32(), pa.string(), pa.list_(pa.string()), *[pa.int64()] * 5, pa.bool_()]
-
-    def table(*columns) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)],
-                               names=[x.split()[0] for x in schema.split(", ")])
+            yield from finished()
 
-    flat = rows.select(*key, "words", F.col("at.ts").alias("ts"), F.col("at.id").alias("id"), "n")
-    dealt = flat.repartition(*key).sortWithinPartitions(*key, "ts", "id")
+    held = rows.join(F.broadcast(parts), ["length", "leaf"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    held = held.withColumn("chunk", F.when(F.col("parts") > 1, F.pmod(F.xxhash64(_words()), F.col("parts"))).otherwise(0).cast("int"))
+    dealt = held.select(*key, "parts", "line", "ts", "id", "n", "d").repartition(*key).sortWithinPartitions(*key, "ts", "id")
     return dealt.mapInArrow(fold, schema)
 
 
 def templates(lines: DataFrame, children: int = CHILDREN, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
     """(found, placed) of lines(ts long, id long, message string): found(template_id, template, n_words, n_lines,
     n_distinct) and placed(words, template_id), a row for each distinct line. Names tell a template's first line."""
-    name = F.struct("ts", "id")
-    # written, as leaves() reads it twice
-    distinct = written(with_words(lines).groupBy("words").agg(F.min(name).alias("at"), F.count("*").alias("n")), "distinct-lines")
-    start = written(leaves(distinct, children).select("length", "head", "words", "at", "n"), "log-lines")
-    rows, maps, most = start, None, None
+    line = with_words(lines).select(F.array_join("words", " ").alias("line"), F.struct("ts", "id").alias("at"))
+    counted = line.groupBy("line").agg(F.min("at").alias("at"), F.count("*").alias("n"))
+    # text is the bulk of these tables
+    small = {"compression": "zstd"}
+    distinct = written(counted.select(F.size(_words()).alias("length"), "line", "at.*", "n"), "distinct-lines", **small)
+    own, parts = leaves(distinct, children, chunk)
+    head = F.substring_index("line", " ", 1).alias("head")
+    rows = distinct.select("length", head, "line", "ts", "id", "n", F.lit(1).cast("long").alias("d")).join(
+        own.withColumn("leaf", F.col("head")), ["length", "head"], "left").drop("head").withColumn("leaf", F.coalesce("leaf", F.lit(MASK)))
+    found, maps = [], None
     while True:
-        size = rows.groupBy("length", "head").agg(F.count("*").alias("size"))
-        parts = F.ceil(F.col("size") / chunk)
-        if most is not None:  # fewer chunks each time, however little was found to be alike
-            parts = F.least(parts, F.lit(most // 2))
-        size = size.select("length", "head", F.greatest(parts, F.lit(1)).cast("int").alias("parts"))
-        most = size.agg(F.max("parts")).first()[0] or 1
-        split = rows.join(size, ["length", "head"]).withColumn("chunk", F.pmod(F.xxhash64("words"), F.col("parts")).cast("int"))
-        got = written(_mine(split), "log-templates")
+        got = written(_mine(rows, parts), "log-templates", **small)
         step = got.where("not found").select(F.struct("ts", "id").alias("at"), F.struct(
             F.col("of_ts").alias("ts"), F.col("of_id").alias("id")).alias("of"))
         if maps is None:
             maps = step
         else:  # where what was named so went in this round
             maps = maps.join(step.select(F.col("at").alias("was"), F.col("of").alias("to")), F.col("of").eqNullSafe(
-                F.col("was"))).select("at", F.col("to").alias("of"))
-        rows = got.where("found").select("length", "head", "words", F.struct("ts", "id").alias("at"), "n")
-        if most == 1:
+                F.col("was")), "left").select("at", F.when(F.col("was").isNotNull(), F.col("to")).otherwise(F.col("of")).alias("of"))
+        found.append(got.where("found and parts = 1"))
+        rows = got.where("found and parts > 1").select("length", "leaf", "line", "ts", "id", "n", "d", "parts")
+        if parts.isEmpty():
             break
-    ident = lambda c: F.concat(F.lit("T"), F.coalesce(F.col(f"{c}.ts").cast("string"), F.lit("")), F.lit("-"), F.coalesce(
-        F.col(f"{c}.id").cast("string"), F.lit("")))
-    placed = start.join(maps.withColumnRenamed("at", "was"), F.col("at").eqNullSafe(F.col("was"))).select(
-        "words", ident("of").alias("template_id"))
-    distinct_lines = maps.groupBy(ident("of").alias("template_id")).agg(F.count("*").alias("n_distinct"))
-    found = rows.select(ident("at").alias("template_id"), F.array_join("words", " ").alias("template"), F.col("length").alias(
-        "n_words"), F.col("n").alias("n_lines")).join(distinct_lines, "template_id")
-    return found, placed
+        sizes = rows.groupBy("length", "leaf").agg(F.count("*").alias("size"), F.first("parts").alias("were"))
+        # fewer chunks each time, however little was found to be alike
+        parts = _parts(sizes, F.least(F.ceil(F.col("size") / chunk), F.floor(F.col("were") / FEWER)))
+        rows = rows.drop("parts")
+    ident = lambda ts, id_: F.concat(F.lit("T"), F.coalesce(F.col(ts).cast("string"), F.lit("")), F.lit("-"), F.coalesce(
+        F.col(id_).cast("string"), F.lit(""))).alias("template_id")
+    placed = distinct.join(maps.withColumnRenamed("at", "was"), F.struct("ts", "id").eqNullSafe(F.col("was"))).select(
+        _words().alias("words"), ident("of.ts", "of.id"))
+    return reduce(DataFrame.union, found).select(ident("ts", "id"), F.col("line").alias("template"), F.col("length").alias(
+        "n_words"), F.col("n").alias("n_lines"), F.col("d").alias("n_distinct")), placed
 
 
 def with_template(lines: DataFrame, children: int = CHILDREN, chunk: int = CHUNK) -> DataFrame:

@@ -124,3 +124,20 @@ def test_a_line_is_compared_with_few_templates_of_a_large_leaf(monkeypatch):
         assert leaf.add(line, (k, k)) == best[0]
     assert [leaf.template(k) for k in range(leaf.n)] == [t[1] for t in slow] and leaf.n > 3 * templates.FEW
     assert sum(compared) < len(lines) * leaf.n / 8
+
+
+def test_a_leaf_of_one_chunk_is_written_once(spark, monkeypatch):
+    """240 lines of which no two are alike are a leaf of 35 chunks, a few others a small one: what is found in the chunks is
+    mined once more, the small leaf isn't, and where a line went is kept without its words."""
+    kept, write = [], templates.written
+    monkeypatch.setattr(templates, "written", lambda df, name, **options: kept.append((name, write(df, name, **options))) or kept[-1][1])
+    big = [(k, k, f"9 a{k} b{k} c{k} d{k}") for k in range(240)]
+    rows = [*big, *[(1000 + k, k, f"start e{k // 2} f{k} g{k}") for k in range(4)], (2000, 1, "start e0 f1 h"), (2001, 1, "start e0 f1 h")]
+    found, placed = templates.templates(spark.createDataFrame(rows, LINES), chunk=7)
+    where, want = slow(rows)
+    assert {r.template_id: (r.template, r.n_lines, r.n_distinct) for r in found.collect()} == {
+        name(k): (*v, len({m for t, i, m in rows if where[t, i] == k})) for k, v in want.items()}
+    tables = [t for n, t in kept if n == "log-templates"]
+    assert [t.where("found").count() for t in tables] == [len(want), 240]
+    assert all(t.where("not found and line is not null").isEmpty() for t in tables)
+    assert {tuple(r.words): r.template_id for r in placed.collect()} == {tuple(split(m)): name(where[t, i]) for t, i, m in rows}
