@@ -9,8 +9,8 @@ form one segment of at most 2 MIN - K bytes.
    list) and aren't shuffled to find that out.
 2. Equal segments are counted and reduced to their first place before anything else: the later ones repeat as a whole.
 3. What differs at one anchor hash is searched by suffix arrays: shards of anchors hold the bytes of their distinct
-   segments; Larsson-Sadakane refinement sorts all suffixes in numpy, Kasai's method gives common prefixes, and every
-   run of suffixes with MIN bytes in common keeps its first place only. An anchor with more than BLOCK segments is
+   segments; Larsson-Sadakane refinement sorts the suffixes in numpy by their first MIN bytes, and every run of suffixes
+   that agree in these keeps its first place only. An anchor with more than BLOCK segments is
    split into shards of its own, which are merged pair by pair: the windows of one are looked up in the other's suffix
    array by binary search. Beyond DEAL shards, when that would copy segments more often than they have windows, the
    windows are dealt to shards by their content instead, so that work grows with their number.
@@ -162,19 +162,53 @@ def _rows(docs: DataFrame, last: np.ndarray) -> DataFrame:
 
 
 class SuffixArray:
-    """All suffixes of some byte strings in order, by Larsson-Sadakane refinement, with common prefixes by Kasai."""
+    """All suffixes of some byte strings in order, by Larsson-Sadakane refinement, with common prefixes by Kasai. With a
+    depth, the suffixes of at least so many bytes in order of their first `depth` bytes: refinement ends there, and a
+    suffix takes part as long as it has the bytes of the round. Those equal in `depth` bytes are one group."""
 
-    def __init__(self, strings: list[bytes]) -> None:
+    def __init__(self, strings: list[bytes], depth: int | None = None) -> None:
         size = np.fromiter(map(len, strings), np.int64, len(strings))
         self.begin = np.concatenate([[0], np.cumsum(size + 1)])  # an end mark after each
         n = int(self.begin[-1])
-        self.text = np.zeros(n, np.int32)
-        inner = np.ones(n, bool)
-        inner[self.begin[1:] - 1] = False
-        self.text[inner] = np.frombuffer(b"".join(strings), np.uint8).astype(np.int32) + 1
+        self.raw = np.frombuffer(b"\0".join([*strings, b""]), np.uint8)
         self.of = np.repeat(np.arange(len(strings)), size + 1)
         self.rest = self.begin[self.of + 1] - 1 - np.arange(n)  # bytes from here to the end of the string
-        self.order, self.rank = self._sorted()
+        if depth is None:
+            self.text = np.where(self.rest > 0, self.raw.astype(np.int32) + 1, 0)
+            self.order, self.rank = self._sorted()
+        else:
+            self.order, self.group = self._sorted_to(depth)
+
+    def _sorted_to(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """(suffixes in order, where each one's group begins) of the suffixes of at least depth bytes, 8 or more."""
+        n, h = len(self.raw), 8
+        key = self.raw.astype(_U)
+        for k in (1, 2, 4):  # the first eight bytes
+            key = (key[: max(len(key) - k, 0)] << _U(8 * k)) | key[k:]
+        order = np.flatnonzero(self.rest >= h)
+        by = np.argsort(key[order])
+        order, key = order[by], key[order[by]]
+        rank = np.zeros(n, np.int64)
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = key[1:] != key[:-1]
+        while True:
+            group = np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))
+            if h == depth:
+                return order, group
+            rank[order] = group
+            step = min(h, depth - h)
+            h += step
+            live = self.rest[order] >= h
+            order, group = order[live], group[live]
+            fresh = np.ones(len(order), bool)
+            fresh[1:] = group[1:] != group[:-1]
+            # only groups of several are refined
+            at = np.flatnonzero(~fresh | ~np.append(fresh[1:], True))
+            who = order[at]
+            after = rank[who + step]
+            by = np.argsort((group[at] << 32) | after)  # places fit 31 bits: a shard is small
+            order[at], after = who[by], after[by]
+            fresh[at[1:]] |= after[1:] != after[:-1]
 
     def _sorted(self) -> tuple[np.ndarray, np.ndarray]:
         n, h = len(self.text), 7
@@ -243,29 +277,26 @@ class SuffixArray:
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """(places, their MIN bytes as one value each) of all windows, in order."""
         at = self.order[self.rest[self.order] >= MIN]
-        view = np.lib.stride_tricks.sliding_window_view((self.text - 1).astype(np.uint8), MIN)
+        view = np.lib.stride_tricks.sliding_window_view(self.raw, MIN) if len(at) else None
         return at, np.ascontiguousarray(view[at]).view(f"V{MIN}").ravel() if len(at) else np.zeros(0, f"V{MIN}")
 
 
 def repeated(strings: list[bytes], place: np.ndarray) -> np.ndarray:
     """Which places of the concatenated strings (an end mark after each) start a window that an earlier window equals.
     place: the rank of each string's first byte in the corpus, rising along its bytes."""
-    sa = SuffixArray(strings)
-    first = place[sa.of] + np.arange(len(sa.of)) - sa.begin[sa.of]
-    common = sa.common()
+    sa = SuffixArray(strings, MIN)
     out = np.zeros(len(sa.of), bool)
-    if len(common):
-        head = np.flatnonzero(common < MIN)
-        run = np.diff(np.append(head, len(common)))
-        low = np.minimum.reduceat(first[sa.order], head)
-        later = first[sa.order] > np.repeat(low, run)
-        out[sa.order[later & np.repeat(run > 1, run)]] = True
+    if len(sa.order):
+        first = place[sa.of[sa.order]] + sa.order - sa.begin[sa.of[sa.order]]
+        head = np.flatnonzero(sa.group == np.arange(len(sa.group)))
+        low = np.minimum.reduceat(first, head)
+        out[sa.order[first > np.repeat(low, np.diff(np.append(head, len(first))))]] = True
     return out
 
 
 def merged(one: list[bytes], two: list[bytes], at_one: np.ndarray, at_two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """repeated() across two shards: each window of two is looked up in one's suffix array by binary search."""
-    a, b = SuffixArray(one), SuffixArray(two)
+    a, b = SuffixArray(one, MIN), SuffixArray(two, MIN)
     out_a, out_b = np.zeros(len(a.of), bool), np.zeros(len(b.of), bool)
     pa_, wa = a.windows()
     pb, wb = b.windows()

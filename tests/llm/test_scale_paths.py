@@ -71,3 +71,29 @@ def test_one_large_cell(spark, monkeypatch):
                 if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
                     root[a] = min(root[a], root[b])
     assert got.component_id.to_dict() == root and got.n_shingles.to_dict() == {d: len(s) for d, s in sets.items()}
+
+
+def test_suffixes_are_sorted_no_further_than_a_window(monkeypatch):
+    """Windows of strings of two letters and of long copies, against their bytes; suffixes aren't sorted to their ends."""
+    for whole in ("_sorted", "common"):
+        monkeypatch.setattr(suffix_dedup.SuffixArray, whole, None)
+    rng = np.random.default_rng(7)
+    few = [bytes(rng.integers(97, 99, int(n)).astype(np.uint8)) for n in rng.integers(0, 60, 30)]
+    for depth in (8, 9, 23):
+        sa = suffix_dedup.SuffixArray(few, depth)
+        got = [few[sa.of[p]][p - sa.begin[sa.of[p]] :][:depth] for p in sa.order]
+        assert got == sorted(s[k : k + depth] for s in few for k in range(len(s) - depth + 1))
+        assert sa.group.tolist() == [got.index(x) for x in got]
+    width = suffix_dedup.MIN
+    text = bytes(rng.integers(0, 256, 400).astype(np.uint8))
+    strings = [text[:180], text[40:160], bytes([0] * 150), text[60:240], text[20:140][::-1], bytes([0] * 130), text[:99], b"", text[120:300]]
+    place = np.arange(len(strings)) * 1000
+    begin = np.concatenate([[0], np.cumsum([len(s) + 1 for s in strings])])
+    seen, want = set(), set()
+    for s, b in zip(strings, begin.tolist(), strict=False):
+        for k in range(len(s) - width + 1):
+            if s[k : k + width] in seen:
+                want.add(b + k)
+            seen.add(s[k : k + width])
+    assert set(np.flatnonzero(suffix_dedup.repeated(strings, place)).tolist()) == want and len(want) > 100
+    assert not len(suffix_dedup.repeated([], np.zeros(0, np.int64))) and not suffix_dedup.repeated([b"", b"ab"], np.arange(2)).any()
